@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerfold.llm import media, simhash, urls
+from ledgerfold.llm import media, mixture, packing, quality, simhash, urls
 
 #: The rules of the URL query.
 URL_RULES = [
@@ -22,10 +23,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix_counts(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.payload_digests(media.media_columns(_table(spark, sf_dir, "documents")))
 
 
+def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_digests(packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=4, distance=4)
     return out.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id", "n_links")
@@ -36,7 +49,10 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op3_source_mix": op3_source_mix,
     "op4_media_columns": op4_media_columns,
+    "op5_curve_packing": op5_curve_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_url_filters": op9_url_filters,
 }
