@@ -76,14 +76,46 @@ def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndar
     return np.where(p < EDGE, 0.0, np.where(p > 1 - EDGE, 1.0, p))
 
 
-def land(size: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Decide the few documents that are left: the choice whose total is nearest the expected one, fewer documents on a tie."""
+def land(size: np.ndarray, p: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Decide what the last flight left open, and settle the word total within its block.
+
+    The few open documents take the choice whose total is nearest the expected one. If a long document was among
+    them, the rest of the gap is closed by exchanging one drawn document for one not drawn, or else by
+    one more or one fewer, as long as that brings the total nearer. ``start`` has the probabilities before the flight;
+    documents that were never in doubt stay as they are.
+    """
     open_ = np.flatnonzero((p > 0) & (p < 1))
     out = p.copy()
     want = float((size[open_] * p[open_]).sum())
     best = min(range(1 << len(open_)), key=lambda m: (abs(sum(float(size[j]) for k, j in enumerate(open_) if m >> k & 1) - want), m.bit_count(), m))
     for k, j in enumerate(open_):
         out[j] = best >> k & 1
+    gap = float((size * (p - out)).sum())
+    doubt = (start > EDGE) & (start < 1 - EDGE)
+    for _ in range(4):
+        spare = np.flatnonzero(doubt & (out == 0))
+        spare = spare[np.argsort(size[spare], kind="stable")]
+        drawn = np.flatnonzero(doubt & (out == 1))
+        moves: list[tuple[float, int, int]] = [(abs(gap), -1, -1)]
+        if len(spare) and len(drawn):
+            near = np.searchsorted(size[spare], size[drawn] + gap)
+            for at in (np.clip(near, 0, len(spare) - 1), np.clip(near - 1, 0, len(spare) - 1)):
+                left = np.abs(gap - (size[spare[at]] - size[drawn]))
+                i = int(left.argmin())
+                moves.append((float(left[i]), int(spare[at[i]]), int(drawn[i])))
+        if len(spare):
+            i = int(np.abs(gap - size[spare]).argmin())
+            moves.append((abs(gap - float(size[spare[i]])), int(spare[i]), -1))
+        if len(drawn):
+            i = int(np.abs(gap + size[drawn]).argmin())
+            moves.append((abs(gap + float(size[drawn[i]])), -1, int(drawn[i])))
+        left, add, drop = min(moves, key=lambda x: x[0])
+        if left >= abs(gap):
+            break
+        for j, to in ((add, 1.0), (drop, 0.0)):
+            if j >= 0:
+                out[j] = to
+        gap = float((size * (p - out)).sum())
     return out
 
 
@@ -93,8 +125,9 @@ def _fly(last: bool):
         seed = hashlib.blake2b(repr(key).encode(), digest_size=8).digest()
         order = np.random.default_rng(int.from_bytes(seed, "little"))
         pdf = pdf.iloc[order.permutation(len(pdf))]
-        p = flight(pdf["size"].to_numpy(), pdf["p"].to_numpy(), order)
-        return pdf.assign(p=land(pdf["size"].to_numpy(), p) if last else p)
+        size, start = pdf["size"].to_numpy(), pdf["p"].to_numpy()
+        p = flight(size, start, order)
+        return pdf.assign(p=land(size, p, start) if last else p)
 
     return run
 
