@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerfold.llm import media, mixture, packing, quality, simhash, urls
+from ledgerfold.llm import lines, media, mixture, packing, quality, simhash, substring, urls
 
 #: The rules of the URL query.
 URL_RULES = [
@@ -27,6 +28,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix_counts(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -48,13 +53,20 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"), "n_removed", "removed_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_source_mix": op3_source_mix,
     "op4_media_columns": op4_media_columns,
     "op5_curve_packing": op5_curve_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_url_filters": op9_url_filters,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 SQL: dict[str, str] = {
