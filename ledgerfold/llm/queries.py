@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import lines, media, mixture, packing, quality, simhash, substring, urls
+from ledgerfold.llm import lines, media, mixture, packing, quality, simhash, substring, topk, urls
 
 #: The rules of the URL query.
 URL_RULES = [
@@ -44,6 +44,10 @@ def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op6_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=4, distance=4)
     return out.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id", "n_links")
@@ -64,12 +68,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op4_media_columns": op4_media_columns,
     "op5_curve_packing": op5_curve_packing,
+    "op6_bit_sliced_topk": op6_bit_sliced_topk,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_line_dedup": op10_line_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op6_bit_sliced_topk": """
+WITH cells AS (
+  SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings),
+q AS (SELECT vec_id, pos, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS v FROM cells),
+scores AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(sum(a.v * b.v) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.pos = b.pos AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY a.vec_id, b.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
     "op9_url_filters": r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
