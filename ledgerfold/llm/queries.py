@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import lines, media, mixture, packing, quality, simhash, substring, topk, urls
+from ledgerfold.llm import licenses, lines, media, mixture, packing, quality, simhash, substring, topk, urls
 
 #: The rules of the URL query.
 URL_RULES = [
@@ -53,6 +53,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id", "n_links")
 
 
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_curve_packing": op5_curve_packing,
     "op6_bit_sliced_topk": op6_bit_sliced_topk,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_license_scans": op8_license_scans,
     "op9_url_filters": op9_url_filters,
     "op10_line_dedup": op10_line_dedup,
 }
