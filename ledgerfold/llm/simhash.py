@@ -209,11 +209,14 @@ def hex_fingerprint(fp):
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, distance: int = 7) -> DataFrame:
-    """``docs`` with one document per class, the one with the smallest doc_id; of rows repeating it one stays.
+    """``docs`` with one document per class, the one with the smallest doc_id, all columns kept.
 
-    Rows with a null doc_id stay (they name no class).
+    Rows that repeat a doc_id are one document, of which one row stays; rows with a null doc_id stay (they name no class).
     """
     cols = docs.columns
-    keep = near_duplicates(docs, shingle_words, distance).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = materialize(near_duplicates(docs, shingle_words, distance).where("doc_id = component_id").select("doc_id"))
+    keep = named.distinct()
+    kept = docs.join(keep, "doc_id", "left_semi")
+    if named.count() != keep.count():
+        kept = kept.dropDuplicates(["doc_id"])
     return kept.select(cols).unionByName(docs.where("doc_id is null").select(cols))
