@@ -7,7 +7,8 @@ removed wherever its bytes equal those of the first occurrence; that one stays.
 Scale: one pass emits a narrow row per multi-line chunk (digest and place, no text); digests are counted with
 map-side aggregation. Only documents that hold a repeated digest send text on: the bytes of those chunks are
 compared by grouping on the text itself, again pre-aggregated, so a passage in a third of all documents is one row
-per task. A document's own list of chunks is the largest thing gathered in one place.
+per task. Whole texts are shuffled twice, compressed. A document's own list of chunks is the largest thing gathered in
+one place. Joins are merge joins at every size, which AQE may split but not turn into broadcasts.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +54,25 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``text`` as compressed bytes ``z``, for a shuffle; nulls stay null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            z = [None if t is None else press(t.encode("utf-8", "surrogatepass")) for t in b["text"].to_pylist()]
+            at = b.schema.get_field_index("text")
+            yield b.set_column(at, "z", pa.array(z, pa.binary()))
+
+    fields = [f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in rows.schema]
+    return rows.mapInArrow(run, ", ".join(fields).replace("`text` binary", "`z` binary"))
+
+
+def _unpacked(z: list[bytes | None]) -> list[str | None]:
+    open_ = zstandard.ZstdDecompressor().decompress
+    return [None if x is None else open_(x).decode("utf-8", "surrogatepass") for x in z]
+
+
 def _chunk_rows(rows: DataFrame, window: int, one_in: int, most: int) -> DataFrame:
     """(doc_id, text_hash, start, stop, digest) of all chunks of two lines or more; the last line end isn't digested."""
     names = ["doc_id", "text_hash", "start", "stop", "digest"]
@@ -78,7 +99,7 @@ def _pieces(held: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             digests, pieces, at = [], [], []
-            for doc, key, text, spans in zip(*(b[c].to_pylist() for c in ("doc_id", "text_hash", "text", "spans")), strict=True):
+            for doc, key, text, spans in zip(b["doc_id"].to_pylist(), b["text_hash"].to_pylist(), _unpacked(b["z"].to_pylist()), b["spans"].to_pylist(), strict=True):
                 for s in spans:
                     digests.append(s["digest"])
                     pieces.append(text[s["start"] : s["stop"]].rstrip("\n"))
@@ -93,13 +114,14 @@ def repeated_chunks(docs: DataFrame, window: int = 2, one_in: int = 3, most: int
     rows = _rows(docs)
     chunks = materialize(_chunk_rows(rows, window, one_in, most).distinct())
     again = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    found = materialize(chunks.join(again, "digest"))
+    found = materialize(chunks.join(again.hint("merge"), "digest"))
     held = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("digest", "start", "stop")).alias("spans"))
-    pieces = _pieces(rows.join(held, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]))
+    # a repeated row's pieces come twice, at one place: they change neither the texts nor the first place
+    pieces = _pieces(_packed(rows.where("doc_id is not null")).join(held.hint("merge"), ["doc_id", "text_hash"]))
     equal = pieces.groupBy("digest", "piece").agg(F.min("at").alias("first_at"))
     # a digest with two different pieces is a collision: its bytes differ, so nothing of it is removed
     sure = equal.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.min("first_at").alias("first_at")).where("texts = 1")
-    away = found.join(sure, "digest").where(~F.struct("doc_id", "text_hash", "start").eqNullSafe(F.col("first_at")))
+    away = found.join(sure.hint("merge"), "digest").where(~F.struct("doc_id", "text_hash", "start").eqNullSafe(F.col("first_at")))
     return materialize(away.select("doc_id", "text_hash", "start", "stop", F.col("first_at.doc_id").alias("first_doc_id")))
 
 
@@ -114,14 +136,16 @@ def dedup_lines(docs: DataFrame, window: int = 2, one_in: int = 3, most: int = 1
     cols = docs.columns
     away = repeated_chunks(docs, window, one_in, most)
     spans = away.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    whole = docs.select(F.struct(*cols).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = whole.withColumn("text_hash", F.xxhash64("text")).join(spans, ["doc_id", "text_hash"], "left")
-    kind = docs.select(F.struct(*cols).alias("row")).schema["row"].dataType.simpleString()
+    row = F.struct(*[F.lit(None).cast("string").alias(c) if c == "text" else F.col(c) for c in cols]).alias("row")
+    text = F.col("text").cast("string")
+    whole = _packed(docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")))
+    joined = whole.join(spans.hint("merge"), ["doc_id", "text_hash"], "left")
+    kind = docs.select(row).schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, removed, gone = [], [], []
-            for text, cuts in zip(b["text"].to_pylist(), b["spans"].to_pylist(), strict=True):
+            for text, cuts in zip(_unpacked(b["z"].to_pylist()), b["spans"].to_pylist(), strict=True):
                 if cuts:
                     at, kept = 0, []
                     for c in cuts:
@@ -139,6 +163,5 @@ def dedup_lines(docs: DataFrame, window: int = 2, one_in: int = 3, most: int = 1
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([b["row"], pa.array(texts, pa.string()), pa.array(removed, pa.int64()), pa.array(gone, pa.int64())], ["row", "text", "n_removed", "removed_chars"])
 
-    slim = joined.withColumn("row", F.col("row").withField("text", F.lit(None).cast("string"))) if "text" in cols else joined
-    cut = slim.select("row", "text", "spans").mapInArrow(run, f"row {kind}, text string, n_removed long, removed_chars long")
+    cut = joined.select("row", "z", "spans").mapInArrow(run, f"row {kind}, text string, n_removed long, removed_chars long")
     return cut.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in cols], F.col("n_removed"), F.col("removed_chars"))
