@@ -32,6 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def lean(spark: SparkSession, limit: str = "4m") -> None:
+    """Bound Arrow batches by bytes, so that a Python worker's memory doesn't grow with the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
 
