@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.session import materialize
+from ledgerfold.session import lean, materialize
 
 
 def line_chunks(text: str, window: int = 2, one_in: int = 3, most: int = 16) -> list[tuple[int, int, int]]:
@@ -111,6 +111,7 @@ def _pieces(held: DataFrame) -> DataFrame:
 
 def repeated_chunks(docs: DataFrame, window: int = 2, one_in: int = 3, most: int = 16) -> DataFrame:
     """Chunks to remove: (doc_id, text_hash, start, stop, first_doc_id). Of each repeated chunk the first place stays."""
+    lean(docs.sparkSession)
     rows = _rows(docs)
     chunks = materialize(_chunk_rows(rows, window, one_in, most).distinct())
     again = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")

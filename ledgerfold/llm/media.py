@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerfold.session import lean
+
 SIDE = 24
 BLOCK = SIDE * SIDE
 
@@ -147,6 +149,7 @@ def media_columns(docs: DataFrame, tile_side: int = 16) -> DataFrame:
                 kinds = (pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([b["doc_id"], *map(pa.array, out, kinds)], names)
 
+    lean(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary, payload binary, dhash string, tile binary")
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.llm.tokens import encoder
-from ledgerfold.session import materialize
+from ledgerfold.session import lean, materialize
 
 END = 1
 HASHED = 256
@@ -106,18 +106,26 @@ def cut_lengths(left: int, length: int) -> Iterator[int]:
             yield 1 << bit
 
 
-def pack(docs: DataFrame, vocabulary_path: str, length: int = 2048) -> DataFrame:
+def crc_of(ids: bytes) -> int:
+    """CRC-32 of uint16 ids as little-endian uint32."""
+    return zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
+
+
+def pack(docs: DataFrame, vocabulary_path: str, length: int = 2048, digests: bool = False) -> DataFrame:
     """Pieces of all documents: (doc_id, start, doc_tokens, sequence_id, offset, ids binary of uint16).
 
+    With ``digests``, length and ids_crc32 (of the ids as little-endian uint32) stand in place of the ids.
+
     Each document's ids (with the end id) lie in consecutive pieces, each id in exactly one; sequences are gapless from
     offset 0 and hold ``length`` ids, but for the tail of each task's stretch of the curve, whose sequences
     hold powers of two. Null and empty texts are the end id alone, which sorts at the curve's middle. Repeated rows are
     packed each on its own; a null doc_id sorts first and stays null. Texts of any length are cut as needed. An empty
     table gives an empty result; extra columns are ignored.
     """
+    lean(docs.sparkSession)
     tokens = materialize(with_tokens(docs, vocabulary_path))
-    names = ["doc_id", "start", "doc_tokens", "sequence_id", "offset", "ids"]
-    kinds = [pa.int64()] * 5 + [pa.binary()]
+    names = ["doc_id", "start", "doc_tokens", "sequence_id", "offset", *(["length", "ids_crc32"] if digests else ["ids"])]
+    kinds = [pa.int64()] * 5 + ([pa.int64()] * 2 if digests else [pa.binary()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 40
@@ -132,7 +140,8 @@ def pack(docs: DataFrame, vocabulary_path: str, length: int = 2048) -> DataFrame
             while at < size:
                 doc, start, total, ids = waiting[0]
                 take = min(len(ids) // 2, size - at)
-                out.append((doc, start, total, sequence, at, ids[: 2 * take]))
+                part = ids[: 2 * take]
+                out.append((doc, start, total, sequence, at, *((take, crc_of(part)) if digests else (part,))))
                 at += take
                 if 2 * take == len(ids):
                     waiting.pop(0)
@@ -165,17 +174,4 @@ def pack(docs: DataFrame, vocabulary_path: str, length: int = 2048) -> DataFrame
             yield flush()
 
     ordered = tokens.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
-    return ordered.select("doc_id", "n", "ids").mapInArrow(run, "doc_id long, start long, doc_tokens long, sequence_id long, offset long, ids binary")
-
-
-def piece_digests(pieces: DataFrame) -> DataFrame:
-    """The pieces with length and the CRC-32 of their ids as little-endian uint32, in place of the ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b["ids"].to_pylist()
-            crc = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in ids]
-            cols = [b["doc_id"], b["start"], pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(crc, pa.int64()), b["doc_tokens"], b["sequence_id"], b["offset"]]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    return pieces.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ordered.select("doc_id", "n", "ids").mapInArrow(run, ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerfold.session import lean
+
 HASHED = 128
 _UPPER, _LOWER, _DIGIT, _SPACE, _MARK, _END, _HIGH = range(7)
 
@@ -127,6 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 12_000) -> Ranke
 
     Labels other than 0 and 1 are left out; an id labelled twice counts by its smaller label.
     """
+    lean(docs.sparkSession)
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)  # the documented bound, so it may be broadcast

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.operators.graph import connected_components
-from ledgerfold.session import materialize
+from ledgerfold.session import lean, materialize
 
 SEED = 42
 BITS = 64
@@ -90,7 +90,7 @@ def _keyed(rows: DataFrame, distance: int, intact: int) -> DataFrame:
             for used, g in pdf.groupby("used", sort=False):
                 taken = np.array([used], np.int64).view(np.uint64)[0]
                 masks = block_masks(~taken & np.uint64(2**64 - 1), distance, intact)
-                step = max(1, 200_000 // len(masks))
+                step = max(1, 100_000 // len(masks))
                 for i in range(0, len(g), step):
                     part = g.iloc[i : i + step]
                     fp = part["fp"].to_numpy(np.int64).view(np.uint64)
@@ -190,6 +190,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, distance: int = 7)
     columns are ignored. The defaults (five words, 7 bits) stand for a cosine of about 0.94 between shingle
     counts, well over a similarity of 0.8.
     """
+    lean(docs.sparkSession)
     marked = materialize(with_fingerprints(docs, shingle_words))
     groups = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
     links = materialize(near_links(groups.select("fp"), distance))

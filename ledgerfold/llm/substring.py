@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.session import materialize
+from ledgerfold.session import lean, materialize
 
 #: The gear table: 256 fixed pseudo-random 32-bit values, one per byte.
 GEAR = np.random.default_rng(2024).integers(0, 2**32, 256, dtype=np.uint32)
@@ -101,6 +101,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 20, mean: int = 56, leas
     Repeats inside one document don't count. Null and empty texts have no passage; rows with a null doc_id are left out; rows that
     repeat a doc_id are one document; extra columns are ignored; an empty table gives an empty result.
     """
+    lean(docs.sparkSession)
     chunks = materialize(_chunk_rows(docs, mean, least, most))
     firsts = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
     firsts = firsts.where("first_doc_id < last_doc_id").select("digest", "first_doc_id")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import cached_property
 
 import numpy as np
 import tiktoken
@@ -33,11 +34,11 @@ def _byte_letters() -> dict[str, int]:
 class WordEncoder(dict):
     """word -> its ids as little-endian uint16 bytes, by way of its split parts; each cache forgets all at ``limit`` entries."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 150_000):
         super().__init__()
         self.limit = limit
         self.parts: dict[str, bytes] = {}
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         letters = _byte_letters()
@@ -53,6 +54,11 @@ class WordEncoder(dict):
         self.pair = [tokens.get(t, 0).to_bytes(2, "little") for t in ranks]
         self.bpe = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def whole(self) -> Tokenizer:
+        """The file's own tokenizer, loaded when a text first needs it."""
+        return Tokenizer.from_file(self.path)
+
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
