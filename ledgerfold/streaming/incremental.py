@@ -85,11 +85,11 @@ def copied_stream(user: DataFrame, agent: DataFrame, hours: int = 48, delay: str
     return u.join(a, near).select("u_id", "a_id", "u_at", "a_at", F.col("u_hash").alias("hash"))
 
 
-def burst_stream(tasks: DataFrame, gap: str = "10 minutes", delay: str = "1 hour", least: int = 5) -> DataFrame:
-    """Enqueue bursts as a stream of session windows."""
+def burst_stream(tasks: DataFrame, keys: tuple[str, ...] = ("installation_id",), gap: str = "10 minutes", delay: str = "1 hour", least: int = 5) -> DataFrame:
+    """Enqueue bursts as a stream of session windows, per key: a stream has no session windows without one."""
     roots = tasks.where("parent_id is null and created_by is null").withWatermark("created_at", delay)
-    out = roots.groupBy(F.session_window("created_at", gap).alias("w")).agg(F.count(F.lit(1)).alias("root_tasks"), F.max("created_at").alias("ended_at"))
-    return out.where(F.col("root_tasks") >= least).select(F.col("w.start").alias("started_at"), "ended_at", "root_tasks")
+    out = roots.groupBy(F.session_window("created_at", gap).alias("w"), *keys).agg(F.count(F.lit(1)).alias("root_tasks"), F.max("created_at").alias("ended_at"))
+    return out.where(F.col("root_tasks") >= least).select(*keys, F.col("w.start").alias("started_at"), "ended_at", "root_tasks")
 
 
 def refresh_batches(changes: DataFrame, store: str, recompute: Callable[[DataFrame], DataFrame], checkpoint: str, key: str = "workspace_id") -> DataStreamWriter:
