@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 12_000) -> Ranke
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
     pdf = found.mapInArrow(_arrow_features, "doc_id long, quality int, x array<double>").toPandas()
-    x = np.array(pdf["x"].tolist()).reshape(len(pdf), -1)
+    x = np.array(pdf["x"].tolist()).reshape(len(pdf), NAMES + HASHED)
     order = np.lexsort((*x.T[:3], pdf["doc_id"])) if len(pdf) else np.zeros(0, np.int64)
     return fit_ranker(x[order], pdf["quality"].to_numpy()[order])
 
@@ -154,7 +154,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_labels: int = 12_000
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
                 b = whole.slice(i, 1024)
-                score = ranker.score(np.array([features(t) for t in b["text"].to_pylist()]).reshape(b.num_rows, -1))
+                score = ranker.score(np.array([features(t) for t in b["text"].to_pylist()]).reshape(b.num_rows, NAMES + HASHED))
                 cols = [b["doc_id"], b["held_out"], pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "score", "predicted"])
 
@@ -172,7 +172,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_labels: int = 12_000) -> D
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
                 b = whole.slice(i, 1024)
-                x = np.array([features(t) for t in b.column(at).to_pylist()]).reshape(b.num_rows, -1)
+                x = np.array([features(t) for t in b.column(at).to_pylist()]).reshape(b.num_rows, NAMES + HASHED)
                 yield b.filter(pa.array(ranker.score(x) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema).select(cols)

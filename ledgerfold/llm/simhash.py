@@ -60,7 +60,7 @@ def with_fingerprints(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
 def block_masks(free: np.uint64 | int, distance: int, intact: int) -> list[int]:
     """Masks of every choice of ``intact`` among ``distance + intact`` nearly equal blocks of the bits in ``free``."""
     bits = [i for i in range(BITS) if int(free) >> i & 1]
-    blocks = [sum(1 << i for i in part) for part in np.array_split(bits, distance + intact) if len(part)]
+    blocks = [sum(1 << int(i) for i in part) for part in np.array_split(bits, distance + intact) if len(part)]
     return [sum(c) for c in combinations(blocks, max(1, len(blocks) - distance))] if len(blocks) > distance else [0]
 
 
