@@ -213,3 +213,15 @@ def refresh_works(spark, sf_dir):
     count = lambda df: df.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("n"))
     stored, changed = count(o.where("o_orderkey % 10 <> 0")), o.where("o_orderkey % 10 = 0")
     return library.refresh(stored, changed, lambda keys: count(joins.having(o, keys, "workspace_id")))
+
+
+@BOOK.add("""WITH a AS (SELECT DISTINCT l_partkey AS c, l_shipdate AS t, max(l_orderkey * 100 + l_linenumber) AS id, max_by(l_returnflag, l_orderkey * 100 + l_linenumber) AS conf FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2), f AS (SELECT l_orderkey * 100 + l_linenumber AS fid, l_partkey AS c, l_shipdate AS t, CASE WHEN l_tax > 0.05 THEN 'high' ELSE 'low' END AS sev, l_suppkey AS path FROM lineitem WHERE l_linenumber = 2),
+g AS (SELECT f.*, a.conf, a.id, row_number() OVER (PARTITION BY fid, f.c, f.t, f.path ORDER BY a.t DESC) AS n FROM f JOIN a ON a.c = f.c AND a.t <= f.t)
+SELECT conf AS configuration, count(*) AS findings, count(DISTINCT id) AS runs, count(*) FILTER (sev = 'high') AS high, count(DISTINCT path) AS files, round(count(*) / CAST(count(DISTINCT id) AS DOUBLE), 6) AS per_run FROM g WHERE n = 1 GROUP BY 1""")
+def review_summary(spark, sf_dir):
+    """Review findings go to the last run on their candidate at or before them."""
+    li = table(spark, sf_dir, "lineitem").withColumn("id", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
+    runs = li.where("l_linenumber = 1").groupBy("l_partkey", F.col("l_shipdate").alias("at")).agg(F.max("id").alias("attempt_id"), F.max_by("l_returnflag", "id").alias("configuration"))
+    found = li.where("l_linenumber = 2").dropDuplicates(["id", "l_partkey", "l_shipdate", "l_suppkey"]).select("id", "l_partkey", "l_shipdate", F.when(F.col("l_tax") > 0.05, "high").otherwise("low").alias("severity"), F.col("l_suppkey").alias("path"))
+    out = workflow.review_summary(joins.asof_backward(found, runs, ["l_partkey"], "l_shipdate", "at", ["attempt_id", "configuration"]))
+    return out.withColumn("per_run", F.round("per_run", 6))

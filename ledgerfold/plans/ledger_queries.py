@@ -138,3 +138,20 @@ def price_tool_calls(spark, sf_dir):
     led = ledger(spark, sf_dir)
     calls = led.select("event_id", "model", "day", F.when(F.col("provider") == "purchase", "claude").otherwise("other").alias("provider"), F.col("cache_read_input_tokens").alias("result_tokens"), F.col("cache_creation_input_tokens").alias("carried_tokens"), F.col("output_tokens").cast("double").alias("call_output_tokens"))
     return pricing.price_tool_calls(calls, *prices(spark)).select("event_id", F.round("cost_usd", 9).alias("cost_usd"))
+
+
+@BOOK.add(f"""WITH {LEDGER} SELECT event_id, l.workspace_id, CASE WHEN k % 3 = 0 THEN 'session model' ELSE family END AS model, c_name AS title, n_name AS repository_name FROM led l JOIN customer c ON c.c_custkey = l.workspace_id LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey < 10 WHERE total_tokens > 0""")
+def usage_ledger(spark, sf_dir):
+    led = ledger(spark, sf_dir)
+    rows = led.select("event_id", "session_id", "total_tokens", F.when(F.col("k") % 3 == 0, " ").otherwise(F.col("provider")).alias("model"))
+    sessions = led.select("session_id", "workspace_id", F.lit("session model").alias("model")).distinct()
+    works = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("workspace_id"), F.col("c_name").alias("title"), F.col("c_nationkey").alias("repository_id"))
+    repos = table(spark, sf_dir, "nation").where("n_nationkey < 10").select(F.col("n_nationkey").alias("repository_id"), F.col("n_name").alias("name"))
+    return usage.usage_ledger(rows, sessions, works, repos).select("event_id", "workspace_id", "model", "title", "repository_name")
+
+
+@BOOK.add("""WITH m AS (SELECT ts, CAST(floor(value) AS BIGINT) AS w FROM events WHERE floor(value) > 0), x(win, h) AS (VALUES ('1h', 1), ('6h', 6), ('24h', 24), ('7d', 168), ('30d', 720), ('all', 0))
+SELECT win AS "window", CAST(sum(w) AS BIGINT) AS words, count(*) AS messages FROM m, x WHERE h = 0 OR floor(epoch(ts)) >= epoch(TIMESTAMP '2024-01-30 21:20:00') - h * 3600 GROUP BY 1""")
+def typed_words(spark, sf_dir):
+    m = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("sent_at"), F.floor("value").cast("long").alias("words"))
+    return usage.typed_words(m, "2024-01-30 21:20:00")

@@ -112,3 +112,68 @@ def embed_documents(spark, sf_dir):
 def explain_similarity(spark, sf_dir):
     page = corpus(spark, sf_dir).orderBy("id").limit(20)
     return search.explain_similarity("the with of", page)
+
+
+def _written(spark, sf_dir):
+    """Orders as classified messages: a work per customer, words from the price."""
+    o = table(spark, sf_dir, "orders")
+    w = F.floor(F.col("o_totalprice") / 1000).cast("long")
+    return o.select(F.col("o_custkey").alias("workspace_id"), F.col("o_orderdate").cast("timestamp").alias("sent_at"), w.alias("words"), F.when(F.col("o_orderstatus") == "F", w).otherwise(F.lit(0)).cast("long").alias("typed_words"), w.alias("typed_chars"))
+
+
+WRITTEN = "wr AS (SELECT o_custkey AS w, o_orderdate AS d, CAST(floor(o_totalprice / 1000) AS BIGINT) AS words, CASE WHEN o_orderstatus = 'F' THEN CAST(floor(o_totalprice / 1000) AS BIGINT) ELSE 0 END AS typed FROM orders)"
+
+
+@BOOK.add(f"""WITH {WRITTEN}, f AS (SELECT CASE WHEN w % 3 = 0 THEN w // 3 ELSE w END AS w, words, typed FROM wr), u AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN c_custkey // 3 ELSE c_custkey END AS w, sum(CAST(c_custkey * 1000 + 1 AS BIGINT)) AS t FROM customer GROUP BY 1)
+SELECT f.w AS workspace_id, CAST(sum(typed) AS BIGINT) AS typed_words, CAST(sum(words) AS BIGINT) AS words, count(*) FILTER (typed > 0) AS typed_turns, max(typed) AS longest_turn, round(100.0 * sum(typed) / nullif(sum(words), 0), 0) AS typed_share, CAST(max(t) AS BIGINT) AS total_tokens FROM f LEFT JOIN u ON u.w = f.w GROUP BY f.w""")
+def writing_rows(spark, sf_dir):
+    usage = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("workspace_id"), (F.col("c_custkey") * 1000 + 1).alias("total_tokens"))
+    roots = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("workspace_id"), F.floor(F.col("c_custkey") / 3).cast("long").alias("root"))
+    out = authorship.writing_rows(_written(spark, sf_dir), usage, roots)
+    share = F.round(100.0 * F.col("typed_words") / F.nullif(F.col("words"), F.lit(0)), 0)
+    return out.select("workspace_id", "typed_words", "words", "typed_turns", "longest_turn", share.alias("typed_share"), "total_tokens")
+
+
+@BOOK.add(f"WITH {WRITTEN} SELECT strftime(d, '%Y-%m-%d') AS day, CAST(sum(typed) AS BIGINT) AS typed_words, count(*) AS messages FROM wr WHERE w IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1")
+def writing_series(spark, sf_dir):
+    works = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").withColumnRenamed("c_custkey", "workspace_id")
+    return authorship.writing_series(_written(spark, sf_dir), works).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@BOOK.add(f"WITH {WRITTEN}, x AS (SELECT 'all' AS period, * FROM wr UNION ALL SELECT strftime(d, '%Y-%m-%d'), * FROM wr UNION ALL SELECT '30d', * FROM wr WHERE d >= DATE '2001-08-01' - 29) SELECT period, CAST(sum(typed) AS BIGINT) AS typed_words, CAST(sum(words) AS BIGINT) AS words, count(*) AS messages FROM x GROUP BY 1")
+def authorship_stats(spark, sf_dir):
+    return authorship.authorship_stats(_written(spark, sf_dir), "2001-08-01")
+
+
+@BOOK.add(f"WITH {W}, h AS (SELECT id FROM ix WHERE term = 'the' AND id % 50 = 7) SELECT id FROM h")
+def passages(spark, sf_dir):
+    m = corpus(spark, sf_dir)
+    return search.passages(search.build_index(m), m, "7", ["the"]).select("id")
+
+
+@BOOK.add("""WITH h AS (SELECT c_custkey AS c, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer WHERE c_nationkey < 5), v AS (SELECT c_custkey AS c, c_acctbal / 9973 AS s FROM customer WHERE c_nationkey BETWEEN 3 AND 8), t AS (SELECT c_custkey AS c FROM customer WHERE c_name LIKE '%77%')
+SELECT coalesce(h.c, v.c, t.c) AS conversation_id, round(coalesce(0.55 / r, 0) + 0.35 * coalesce(s, 0) + CASE WHEN t.c IS NULL THEN 0 ELSE 0.3 END, 6) AS score FROM h FULL JOIN v ON h.c = v.c FULL JOIN t ON t.c = coalesce(h.c, v.c)""")
+def search_conversations(spark, sf_dir):
+    from pyspark.sql import Window
+
+    c = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "conversation_id")
+    hits = c.where("c_nationkey < 5").select("conversation_id", F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "conversation_id")).alias("rank"))
+    vectors = c.where("c_nationkey between 3 and 8").select("conversation_id", (F.col("c_acctbal") / 9973).alias("cosine"))
+    return search.search_conversations(hits, vectors, c.withColumnRenamed("c_name", "title"), "77")
+
+
+@BOOK.add("SELECT DISTINCT p_partkey % 100 AS conversation_id, concat('src/', p_name) AS path FROM part WHERE contains(lower(p_name), 'ring')")
+def find_files(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select((F.col("p_partkey") % 100).alias("conversation_id"), F.concat(F.lit("src/"), "p_name").alias("path"))
+    return search.find_files(p, "RING")
+
+
+@BOOK.add("SELECT c_custkey AS workspace_id, concat_ws(chr(10), c_name, nullif(c_mktsegment, ''), a) AS text FROM customer LEFT JOIN (SELECT o_custkey, string_agg(o_orderpriority, chr(10) ORDER BY n) AS a FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderpriority) AS n FROM orders WHERE o_orderstatus = 'F') WHERE n <= 3 GROUP BY 1) ON o_custkey = c_custkey")
+def work_documents(spark, sf_dir):
+    from ledgerfold.operators.library import documents
+
+    none = F.lit(None).cast("string")
+    works = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("workspace_id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("purpose"), F.lit("").alias("outcome"))
+    ends = works.select("workspace_id", none.alias("first_request"), none.alias("last_reply"))
+    failures = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("workspace_id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("text"))
+    return documents(works, ends, failures)
