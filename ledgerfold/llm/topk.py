@@ -158,7 +158,7 @@ def top_inner(vectors: DataFrame, every: int = 50, k: int = 5, block_rows: int =
     blocks = max(1, -(-n // block_rows))
     queries = rows.where(F.col("vec_id") % every == 0)
     chunks = max(1, -(-queries.count() // chunk_rows))
-    spread = lambda m, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(m)).cast("int")
+    spread = lambda m, salt: F.pmod(F.xxhash64("vec_id", "q", F.lit(salt)), F.lit(m)).cast("int")
     cell = F.struct("vec_id", "q")
     index = rows.groupBy(spread(blocks, 1).alias("block")).agg(F.collect_list(cell).alias("rows"))
     index = index.select("block", "rows", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
