@@ -110,8 +110,7 @@ def embed_documents(spark, sf_dir):
 
 @BOOK.add()
 def explain_similarity(spark, sf_dir):
-    page = corpus(spark, sf_dir).orderBy("id").limit(20)
-    return search.explain_similarity("the with of", page)
+    return search.explain_similarity("the with of", corpus(spark, sf_dir))
 
 
 def _written(spark, sf_dir):
