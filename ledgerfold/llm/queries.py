@@ -80,7 +80,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
+def _license_sql() -> str:
+    """The licence scan over the same templates, phrase places by neighbouring words."""
+    listed = ", ".join(f"({k}, '{t.label}', {i}, '{w}')" for k, t in enumerate(licenses.TEMPLATES) for i, w in enumerate(t.words))
+    needed = ", ".join(f"({k}, {at}, '{w}')" for k, at, w in licenses.key_places(licenses.TEMPLATES))
+    return rf"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.WORD}') AS ws FROM documents),
+spot AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM doc),
+listed(template, label, place, word) AS (VALUES {listed}), needed(template, place, word) AS (VALUES {needed}),
+total AS (SELECT count(*) AS n FROM documents), met AS (SELECT word, count(DISTINCT doc_id) AS df FROM spot WHERE word IN (SELECT word FROM listed) GROUP BY 1),
+idf AS (SELECT v.word, ln((n + 1) / (coalesce(df, 0) + 1)) AS idf FROM (SELECT DISTINCT word FROM listed) v LEFT JOIN met ON met.word = v.word, total),
+rare AS (SELECT word, idf FROM idf, total WHERE idf >= least(-ln(0.05), CASE WHEN n > 20 THEN greatest(ln((n + 1) / 21), 0) ELSE 0 END)),
+looked AS (SELECT doc_id, word FROM (SELECT s.doc_id, r.word, row_number() OVER (PARTITION BY s.doc_id ORDER BY r.idf DESC, r.word) AS k FROM (SELECT DISTINCT doc_id, word FROM spot) s JOIN rare r ON r.word = s.word) WHERE k <= 8),
+held AS (SELECT s.doc_id, l.template, l.label, s.pos - l.place AS shift, sum(i.idf + 1e-9) AS weight FROM spot s JOIN looked k ON k.doc_id = s.doc_id AND k.word = s.word JOIN listed l ON l.word = s.word JOIN idf i ON i.word = s.word GROUP BY 1, 2, 3, 4),
+reach AS (SELECT k.doc_id, l.template, sum(i.idf + 1e-9) AS possible FROM looked k JOIN listed l ON l.word = k.word JOIN idf i ON i.word = k.word GROUP BY 1, 2),
+good AS (SELECT h.*, possible FROM held h JOIN reach r ON r.doc_id = h.doc_id AND r.template = h.template WHERE weight >= 0.6 * possible),
+sure AS (SELECT g.doc_id, g.label, g.shift, g.weight, g.possible FROM good g JOIN needed n ON n.template = g.template JOIN spot s ON s.doc_id = g.doc_id AND s.pos = g.shift + n.place AND s.word = n.word
+  GROUP BY g.doc_id, g.template, g.label, g.shift, g.weight, g.possible HAVING count(*) = (SELECT count(*) FROM needed m WHERE m.template = g.template)),
+found AS (SELECT doc_id, max(least(1.0, weight / possible)) AS share FROM sure GROUP BY 1),
+near AS (SELECT doc_id, pos, word, lead(word) OVER w AS b, lead(word, 2) OVER w AS c FROM spot WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+hit AS (SELECT doc_id, pos, CASE WHEN word = 'mit' AND b = 'license' THEN 'mit' WHEN word = 'apache' AND b = 'license' THEN 'apache' WHEN word = 'general' AND b = 'public' AND c = 'license' THEN 'gpl' END AS label FROM near),
+base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM hit WHERE label IS NOT NULL GROUP BY 1),
+named AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM sure UNION ALL SELECT doc_id, label FROM hit WHERE label IS NOT NULL) GROUP BY 1)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  greatest(round(coalesce(share, 0), 6), CASE WHEN n_base > 0 THEN 0.5 ELSE 0 END) AS score
+FROM doc d LEFT JOIN base ON base.doc_id = d.doc_id LEFT JOIN named ON named.doc_id = d.doc_id LEFT JOIN found ON found.doc_id = d.doc_id
+"""
+
+
 SQL: dict[str, str] = {
+    "op8_license_scans": _license_sql(),
     "op6_bit_sliced_topk": """
 WITH cells AS (
   SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings),
