@@ -36,7 +36,12 @@ TOOL_ERRORS = (
 )
 
 #: Programs whose exit code 1 means "nothing found" or "differs".
-BENIGN_EXIT_1 = ("grep", "rg", "egrep", "fgrep", "diff", "test", "[")
+BENIGN_EXIT_1 = ("grep", "rg", "ag", "egrep", "fgrep", "diff", "cmp", "test", "[", "[[")
+
+
+#: How tools print exit codes and times.
+EXIT_CODE = r"(?m)^(?:Exit code:? |Process exited with code |exit status )(-?\d+)"
+WALL_TIME = r"Wall time:? ([0-9.]+) seconds"
 
 
 def tool_category(name: Column, kind: Column) -> Column:
@@ -66,7 +71,7 @@ def tool_outcome(content: Column, is_error: Column, details: Column, has_result:
     """Struct (status, error_type, exit_code, truncated, interrupted) of a call from its result text and JSON details."""
     get = lambda *paths: F.coalesce(*[F.get_json_object(details, f"$.{p}") for p in paths])
     text = F.coalesce(content, F.lit(""))
-    printed = F.regexp_extract(text, r"(?i)(?:process )?exit(?:ed with)? code:? (-?\d+)", 1)
+    printed = F.regexp_extract(text, EXIT_CODE, 1)
     exit_code = F.coalesce(get("exitCode", "exit_code").cast("long"), F.when(printed != "", printed).cast("long"))
     state = F.lower(F.coalesce(get("status"), F.lit("")))
     cut = F.coalesce(get("interrupted") == "true", F.lit(False))
@@ -93,7 +98,7 @@ def tool_outcome(content: Column, is_error: Column, details: Column, has_result:
 def tool_duration(content: Column, details: Column, started: Column, ended: Column) -> Column:
     """Struct (duration_ms, source): a reported field, the printed wall time, else the gap between timestamps."""
     field = F.coalesce(*[F.get_json_object(details, f"$.{k}").cast("double") for k in ("durationMs", "duration_ms", "totalDurationMs")])
-    wall = F.regexp_extract(F.coalesce(content, F.lit("")), r"(?i)wall time:? ([0-9.]+)", 1)
+    wall = F.regexp_extract(F.coalesce(content, F.lit("")), WALL_TIME, 1)
     reported = F.coalesce(F.when(field >= 0, field.cast("long")), F.when(wall != "", F.round(wall.cast("double") * 1000).cast("long")))
     gap = F.unix_millis(ended) - F.unix_millis(started)
     gap = F.when(gap >= 0, gap)
@@ -193,8 +198,9 @@ def sender(originator: Column, entrypoint: Column) -> Column:
     return F.when(originator == "codex_exec", "automation:codex-exec").when(entrypoint == "sdk-cli", "automation:claude-sdk-cli")
 
 
-ATTACHMENT = r"@[\w./~-]*/[\w./~-]+|\[Image #\d+\]"
-HARNESS_TAGS = ("system-reminder", "system_instruction", "environment_context", "user_instructions", "command-message", "command-name", "ide_opened_file", "ide_selection")
+#: Attachment references, and tags of text a harness puts before what a person typed.
+ATTACHMENT = r"@⟦[^⟧\n]*⟧\([^)\n]*\)|(?:/[^\s]*)?\.context/attachments/(?:[A-Za-z0-9_-]+/)?[^\n]*?\.(?:md|txt|png|jpe?g|gif|webp|pdf|json|csv|log|html|zip)\b|\(image attachment\)"
+HARNESS_TAGS = ("system_instruction", "system-reminder", "environment_context", "user_instructions", "recommended_plugins")
 
 
 def without_harness(text: Column) -> Column:
@@ -234,14 +240,22 @@ def clip(text: Column, n: int) -> Column:
 
 
 #: Words that stand for one concept.
-CONCEPTS = {"auth": "login", "authentication": "login", "signin": "login", "bug": "error", "crash": "error", "failure": "error", "db": "database", "sql": "database", "ui": "interface", "frontend": "interface", "perf": "speed", "performance": "speed", "latency": "speed"}
+CONCEPT_WORDS = {
+    "failure": "bug bugs error errors crash broken fail failed", "repair": "fix fixed resolve resolved", "build": "implement implemented create created",
+    "speed": "performance slow latency", "delete": "remove removed cleanup reclaim", "auth": "authentication authorization", "db": "database sqlite",
+    "session": "conversation thread", "worktree": "workspace", "repo": "repository", "validation": "test tests verify verified",
+}
+CONCEPTS = {w: concept for concept, words in CONCEPT_WORDS.items() for w in words.split()}
 
 
 def concept_word(word: Column) -> Column:
-    """A word's concept, else the word without a plain ending."""
+    """A word's concept, else the word without the endings ing, ed and s, in that order."""
     low = F.lower(word)
     listed = F.element_at(F.create_map(*[F.lit(x) for kv in CONCEPTS.items() for x in kv]), low)
-    return F.coalesce(listed, F.when(F.length(low) > 4, F.regexp_replace(low, "(ing|ed|s)$", "")).otherwise(low))
+    bare = low
+    for ending in ("ing$", "ed$", "s$"):
+        bare = F.regexp_replace(bare, ending, "")
+    return F.coalesce(listed, bare)
 
 
 def search_terms(query: str) -> tuple[list[str], list[str]]:

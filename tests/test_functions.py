@@ -59,8 +59,8 @@ def test_injected_text_and_senders(spark):
 
 
 def test_template_keys_concepts_and_ids(spark):
-    assert one(spark, T.template_key(F.lit("<system-reminder>a</system-reminder>\n Fix   @src/a.py NOW"))) == "fix @ now"
-    assert one(spark, T.concept_word(F.lit("Crash"))) == "error" and one(spark, T.concept_word(F.lit("testing"))) == "test"
+    assert one(spark, T.template_key(F.lit("<system-reminder>a</system-reminder>\n Fix   @⟦a.py⟧(src/a.py) NOW"))) == "fix @ now"
+    assert one(spark, T.concept_word(F.lit("Crash"))) == "failure" and one(spark, T.concept_word(F.lit("sorting"))) == "sort"
     assert one(spark, T.stable_id("n", F.lit("a"), F.lit("b"))) != one(spark, T.stable_id("n", F.lit("ab"), F.lit("")))
     assert len(one(spark, T.shingles(T.word_tokens(F.lit("a b c d e f g h i")), 8))) == 2 and one(spark, T.shingles(T.word_tokens(F.lit("a b")), 8)) == []
 
