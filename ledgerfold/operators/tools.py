@@ -136,28 +136,44 @@ def result_share(calls: DataFrame, requests: DataFrame) -> DataFrame:
 
 # --- shell commands ---------------------------------------------------------------------------------------------
 
-SETUP = {"cd", "export", "set", "source", ".", "echo", "printf", "true", "sleep", "pushd", "popd", "unset", "alias", "ulimit", "umask"}
-WRAPPERS = {"sudo", "env", "timeout", "nohup", "time", "nice", "xargs", "command", "exec", "stdbuf"}
+#: Programs that set the shell up, words before a command, and programs that run the command after them
+#: (with the number of plain arguments they take themselves).
+SETUP = set("for while until if case select [ [[ test cd pwd pushd popd export set unset source . true : echo printf sleep trap shopt local declare alias".split())
+KEYWORDS = set("then do else elif ! { ( done fi esac }".split())
+WRAPPERS = {"sudo": 0, "time": 0, "nohup": 0, "command": 0, "exec": 0, "env": 0, "timeout": 1, "gtimeout": 1, "nice": 0, "caffeinate": 0, "stdbuf": 0, "xcrun": 0}
+
 #: What programs do.
 PROGRAMS = {
-    "vcs": "git gh hg svn jj",
-    "search": "rg grep egrep fgrep find fd ag ack locate",
-    "read": "cat head tail less more ls tree wc stat file nl bat jq awk du df sed",
-    "file-write": "cp mv rm mkdir touch tee ln chmod chown rsync tar unzip zip truncate",
-    "test": "pytest jest vitest mocha tox ctest phpunit rspec",
-    "build": "make cmake ninja gcc g++ clang tsc webpack vite gradle mvn bazel",
-    "package": "pip pip3 uv poetry brew apt apt-get npm pnpm yarn cargo bundle gem",
-    "network": "curl wget ssh scp ping dig nc http",
-    "process": "ps kill pkill lsof top htop pgrep launchctl systemctl",
-    "container": "docker docker-compose kubectl podman helm",
+    "read": "cat head tail less more nl bat wc file stat xxd hexdump od strings jq yq awk cut sort uniq column tr diff cmp md5 shasum sha256sum base64 plutil readlink realpath",
+    "search": "grep rg ag ack find fd locate mdfind egrep fgrep",
+    "list": "ls tree du df pwd eza exa",
+    "vcs": "git gh",
+    "build": "make tsc esbuild swiftc xcodebuild gradle mvn cmake ninja vite webpack rollup",
+    "test": "pytest jest vitest playwright mocha",
+    "package": "brew pip pip3 uv poetry conda apt apt-get rustup",
+    "file-write": "mv cp rm mkdir touch chmod ln tee patch rsync unzip zip tar rmdir install",
+    "network": "curl wget ssh scp nc ping http dig nslookup",
+    "process": "ps kill pkill pgrep lsof top open osascript launchctl systemctl killall wait jobs screencapture",
+    "run": "node ruby perl bash sh zsh tsx ts-node java npx bunx pnpx",
     "database": "sqlite3 psql mysql redis-cli duckdb",
-    "script": "python python3 node ruby perl bash sh zsh deno bun go swift java",
+    "container": "docker kubectl helm podman",
+    "cloud": "gcloud aws terraform vercel firebase supabase",
+    "shell": "cd pushd popd export set unset source . true : echo printf sleep which type env date whoami test [ [[ command trap exit hostname uname sw_vers id tput",
 }
 _CATEGORY = {p: c for c, ps in PROGRAMS.items() for p in ps.split()}
-#: Programs whose next word is a subcommand.
-SUBCOMMANDS = set("git gh hg svn jj npm pnpm yarn cargo go docker kubectl pip pip3 uv poetry brew apt apt-get systemctl launchctl make bundle gem swift helm".split())
-_TEST_WORDS = {"test", "pytest", "-m pytest", "run test", "-m unittest", "vet"}
-_BUILD_WORDS = {"build", "run build", "install", "compile", "check"}
+
+#: Programs whose first operand names the action, and global options of theirs that take a value.
+SUBCOMMANDS = set(
+    "git go npm pnpm yarn bun cargo docker kubectl gh brew pip pip3 uv poetry make gcloud aws terraform swift deno npx bunx pnpx rustup conda apt apt-get systemctl launchctl claude codex gradle mvn dotnet helm firebase vercel supabase prisma turbo nx just task defaults security diskutil hdiutil".split()
+)
+OPTION_VALUES = {"git": "-C -c --git-dir --work-tree", "npm": "--prefix -w --workspace", "pnpm": "-C --dir --filter -F", "yarn": "--cwd", "make": "-C -f -j", "docker": "-H --context", "cargo": "--manifest-path", "gh": "-R --repo"}
+SCRIPTED = {"npm", "pnpm", "yarn", "bun"}
+#: Language tools, whose action or script tells what they do.
+LANGUAGE_TOOLS = set("go cargo npm pnpm yarn bun deno swift dotnet".split())
+ACTIONS = {
+    "test": "test vet lint", "build": "build compile generate", "package": "install i ci add get mod remove update upgrade uninstall", "file-write": "fmt format",
+}
+SCRIPT_STARTS = (("test", "test"), ("lint", "test"), ("typecheck", "test"), ("check", "test"), ("build", "build"), ("format", "file-write"), ("fmt", "file-write"))
 _LEXEME = re.compile(r"""'[^']*'|"(?:\\.|[^"\\])*"|\\.|<<<|\d?>&\d?|&>>?|<&|\d?>>?|<(?!<)|&&|\|\||[|;&\n]|[^\s'"\\<>&|;]+|\s""", re.S)
 _HEREDOC = re.compile(r"<<-?\s*(['\"]?)(\w+)\1")
 
@@ -174,44 +190,77 @@ def _without_heredocs(line: str) -> tuple[str, bool]:
     return line, found
 
 
+def _operands(words: list[str]) -> list[str]:
+    """Words without quotes, up to the first redirection."""
+    out = []
+    for w in words:
+        if re.match(r"\d*[<>]|&>", w):
+            break
+        out.append(re.sub(r"\\(.)", r"\1", w) if w[:1] not in "'\"" else w.strip("'\""))
+    return out
+
+
 def _simple(words: list[str]) -> tuple[str, str]:
     """Program and subcommand of a simple command's words."""
-    bare = [w.strip("'\"") for w in words]
-    i = 0
-    while i < len(bare):
-        w = bare[i]
-        if re.match(r"^[A-Za-z_]\w*=", w) or w in ("(", "{", "!", "then", "do", "else", "if", "while"):
-            i += 1
-        elif w.rsplit("/", 1)[-1] in WRAPPERS:
-            i += 1
-            while i < len(bare) and (bare[i].startswith("-") or re.match(r"^[\d.]+[smh]?$", bare[i]) or "=" in bare[i]):
-                i += 1
+    rest = _operands(words)
+    while rest:
+        w = rest[0].lstrip("({") or rest[0]
+        name = w.rsplit("/", 1)[-1]
+        if w in KEYWORDS or re.match(r"[A-Za-z_]\w*=", w):
+            rest = rest[1:]
+        elif name in WRAPPERS and len(rest) > 1:
+            rest = rest[1:]
+            while rest and (rest[0].startswith("-") or (name == "env" and "=" in rest[0])):
+                rest = rest[1:]
+            rest = rest[WRAPPERS[name] :]
         else:
-            break
-    if i >= len(bare):
-        return "", ""
-    program, rest = bare[i].rsplit("/", 1)[-1].lstrip("("), bare[i + 1 :]
-    if program.startswith("python") and rest[:1] == ["-m"] and len(rest) > 1:
-        return program, f"-m {rest[1]}"
+            return _action(name.lower().removesuffix(")"), rest[1:])
+    return "", ""
+
+
+def _action(program: str, rest: list[str]) -> tuple[str, str]:
+    """The program with its subcommand, script or module."""
+    if program.startswith("python") or program in ("node", "ruby", "perl", "bash", "sh", "zsh", "tsx", "ts-node"):
+        for i, w in enumerate(rest):
+            if w == "-m" and program.startswith("python"):
+                return program, f"-m {rest[i + 1]}" if i + 1 < len(rest) else ""
+            if w in ("-c", "-e"):
+                return program, w
+            if w == "-":
+                return program, "stdin"
+            if not w.startswith("-"):
+                return program, w.rsplit("/", 1)[-1]
+        return program, ""
     if program not in SUBCOMMANDS:
         return program, ""
-    k = 0
-    while k < len(rest) and rest[k].startswith("-"):
-        k += 2 if rest[k] in ("-C", "-c", "--prefix", "--cwd", "-f", "-n") else 1
-    if k >= len(rest):
+    valued = OPTION_VALUES.get(program, "").split()
+    operands, skip = [], False
+    for w in rest:
+        if not skip and not w.startswith("-"):
+            operands.append(w)
+        skip = not skip and w in valued
+    if not operands:
         return program, ""
-    sub = rest[k]
-    return program, f"run {rest[k + 1]}" if sub == "run" and k + 1 < len(rest) else sub
+    if operands[0] in ("run", "exec", "x") and program in SCRIPTED and len(operands) > 1:
+        return program, " ".join(operands[:2])
+    return program, operands[0]
 
 
 def _category(program: str, sub: str, text: str) -> str:
-    if sub in _TEST_WORDS or sub.startswith("test"):
-        return "test"
-    if sub in _BUILD_WORDS and program not in ("git", "gh", "docker"):
-        return "build" if sub != "install" else "package"
-    if program == "sed" and re.search(r"(^|\s)-i", text):
-        return "file-write"
-    return _CATEGORY.get(program, "other") if program else ""
+    verb, _, script = sub.partition(" ")
+    if program == "git":
+        return "search" if sub == "grep" else "vcs"
+    if program == "sed" or program == "perl":
+        writes = re.search(r"\s(-i|-pi|--in-place)", text)
+        return "file-write" if writes else "read" if program == "sed" else "run"
+    if program in LANGUAGE_TOOLS:
+        by_script = next((c for start, c in SCRIPT_STARTS if script.startswith(start)), None)
+        return by_script or next((c for c, verbs in ACTIONS.items() if verb in verbs.split()), "run")
+    if program.startswith("python"):
+        return {"-m pytest": "test", "-m unittest": "test", "-m pip": "package"}.get(sub, "run")
+    if program in _CATEGORY:
+        return _CATEGORY[program]
+    return "run" if program and text.strip().startswith(("./", "/")) else "other"
 
 
 def parse_command(line: str) -> dict:
