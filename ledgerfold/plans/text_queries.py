@@ -43,7 +43,8 @@ def substring_search(spark, sf_dir):
     return search.search_substring(corpus(spark, sf_dir), ["TION", "the "]).select("id")
 
 
-@BOOK.add(f"WITH {W}, v AS (SELECT term, count(*) AS df FROM ix GROUP BY 1) SELECT term, levenshtein(term, 'thering') AS distance FROM v WHERE starts_with(term, 'th') AND length(term) BETWEEN 2 AND 12 AND (levenshtein(term, 'thering') <= 2 OR regexp_replace(term, '(ing|ed|es|s|ly)$', '') = 'ther') ORDER BY distance, df DESC, term LIMIT 24")
+@BOOK.add(f"""WITH {W}, v AS (SELECT DISTINCT term FROM ix), d AS (SELECT term, CASE WHEN CASE WHEN ends_with(term, 'ation') AND length(term) > 8 THEN left(term, length(term) - 5) WHEN ends_with(term, 'ments') AND length(term) > 8 THEN left(term, length(term) - 5) WHEN ends_with(term, 'ment') AND length(term) > 7 THEN left(term, length(term) - 4) WHEN ends_with(term, 'ingly') AND length(term) > 8 THEN left(term, length(term) - 5) WHEN ends_with(term, 'ing') AND length(term) > 6 THEN left(term, length(term) - 3) WHEN ends_with(term, 'edly') AND length(term) > 7 THEN left(term, length(term) - 4) WHEN ends_with(term, 'ed') AND length(term) > 5 THEN left(term, length(term) - 2) WHEN ends_with(term, 'ies') AND length(term) > 6 THEN left(term, length(term) - 3) WHEN ends_with(term, 'es') AND length(term) > 5 THEN left(term, length(term) - 2) WHEN ends_with(term, 's') AND length(term) > 4 THEN left(term, length(term) - 1) ELSE term END = 'ther' THEN 0 ELSE levenshtein(term, 'thering') END AS distance FROM v WHERE starts_with(term, 'th') AND length(term) BETWEEN 5 AND 9 AND term <> 'thering')
+SELECT * FROM (SELECT term, distance FROM d WHERE distance <= 2 ORDER BY distance, term LIMIT 24) UNION ALL SELECT 'thering', 0""")
 def fuzzy_terms(spark, sf_dir):
     v = search.build_index(corpus(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return search.expand_terms(v, "thering").select("term", F.col("distance").cast("long").alias("distance"))
