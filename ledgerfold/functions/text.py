@@ -170,9 +170,10 @@ def failure(text: Column) -> Column:
     return out
 
 
-def disposition(state: Column, error: Column, escalated: Column, outcome: Column) -> Column:
-    """What became of a task: escalated, error, advanced, retried or open."""
-    return F.when(escalated, "escalated").when(error.isNotNull() & (error != ""), "error").when(state == "retried", "retried").when(outcome.isNotNull() & (outcome != ""), "advanced").otherwise("open")
+def disposition(error: Column, is_final: Column, human_followup: Column, outcome: Column) -> Column:
+    """What became of an attempt: error, retried (not the last one), escalated to a person, advanced or open."""
+    filled = lambda c: F.coalesce(c != "", F.lit(False))
+    return F.when(filled(error), "error").when(~is_final, "retried").when(human_followup, "escalated").when(filled(outcome), "advanced").otherwise("open")
 
 
 #: Openings of injected user-role text and their sources.

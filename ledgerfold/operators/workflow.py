@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgerfold.functions import text as T
 from ledgerfold.functions.money import model_family, ratio
 
-MIN_SAMPLE = 5
+MIN_SAMPLE = 10
 
 
 def task_links(tasks: DataFrame) -> DataFrame:
@@ -60,8 +60,7 @@ def attempt_rows(tasks: DataFrame, attempts: DataFrame, usage: DataFrame) -> Dat
         "cost_usd": F.coalesce("token_cost", "reported_cost"), "cost_source": F.when(F.col("token_cost").isNotNull(), "tokens").when(F.col("reported_cost").isNotNull(), "reported"),
         "duration_ms": F.unix_millis("finished_at") - F.unix_millis("started_at"),
     }).drop("_e")
-    state = F.when(F.col("is_final"), F.col("state")).otherwise("retried")
-    return rows.withColumn("disposition", T.disposition(state, F.col("error_class"), F.col("escalated") & F.col("is_final"), F.when(F.col("is_final"), F.col("outcome"))))
+    return rows.withColumn("disposition", T.disposition(F.col("error_class"), F.col("is_final"), F.col("human_followup"), F.col("outcome")))
 
 
 OUTSIDE = ("infrastructure", "provider")
@@ -177,7 +176,7 @@ def human_summary(tasks: DataFrame, now: str) -> DataFrame:
     h = tasks.where("is_human")
     pending = F.col("finished_at").isNull()
     oldest = F.min(F.when(pending, F.col("created_at")))
-    return h.agg(F.count(F.lit(1)).alias("human_tasks"), F.coalesce(F.sum(pending.cast("long")), F.lit(0)).alias("pending"), F.avg((F.col("parent_error").isNotNull()).cast("int")).alias("error_caused_share"), ((F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(oldest)) / 3600.0).alias("oldest_pending_hours"))
+    return h.agg(F.count(F.lit(1)).alias("human_tasks"), F.coalesce(F.sum(pending.cast("long")), F.lit(0)).alias("pending"), F.coalesce(F.sum(F.col("parent_error").isNotNull().cast("long")), F.lit(0)).alias("error_caused"), F.avg((F.col("parent_error").isNotNull()).cast("int")).alias("error_caused_share"), ((F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(oldest)) / 3600.0).alias("oldest_pending_hours"))
 
 
 def human_causes(tasks: DataFrame, k: int = 12) -> DataFrame:
@@ -261,28 +260,41 @@ def severity(n: Column, high: int = 20, medium: int = 5) -> Column:
     return F.when(n >= high, "high").when(n >= medium, "medium").otherwise("low")
 
 
-def detectors(matrix: DataFrame, clusters: DataFrame, contracts: DataFrame, outliers: DataFrame, candidates: DataFrame, people: DataFrame, shifts: DataFrame, flavors: DataFrame) -> DataFrame:
-    """Concerns as uniform rows (kind, subject, severity, n, detail), most severe first, from the summaries of this module."""
+def detectors(matrix: DataFrame, clusters: DataFrame, contracts: DataFrame, outliers: DataFrame, candidates: DataFrame, people: DataFrame, shifts: DataFrame, flavors: DataFrame, totals: DataFrame) -> DataFrame:
+    """Concerns as uniform rows (kind, subject, severity, n, detail), most severe first, from the summaries of this module.
+
+    Error clusters: the ten largest with three tasks or more. Unreliable cells: a quarter of five runs or more, with a peer of the flavor
+    that fails 15 points less named where there is one.
+    """
     one = lambda df, kind, subject, sev, n, detail: df.select(F.lit(kind).alias("kind"), subject.alias("subject"), sev.alias("severity"), n.cast("double").alias("n"), detail.cast("string").alias("detail"))
     c = F.col
+    cell = F.concat_ws(" on ", "flavor", "configuration")
     top = clusters.orderBy(F.desc("tasks"), "error_signature").limit(10).where("tasks >= 3")
-    bad = matrix.where("attempts >= 5 and agent_error_rate >= 0.25")
+    able = matrix.where("attempts >= 5 and agent_error_rate is not null")
+    peers = able.select("flavor", c("configuration").alias("peer"), c("agent_error_rate").alias("_rate"), c("attempts").alias("_n"))
+    bad = able.where("agent_error_rate >= 0.25").join(peers, "flavor", "left")
+    better = (c("peer") != c("configuration")) & (c("_rate") <= c("agent_error_rate") - 0.15)
+    bad = bad.groupBy("flavor", "configuration", "agent_errors").agg(F.max_by(F.when(better, c("peer")), F.when(better, F.struct("_n", "peer"))).alias("peer"))
+    excess = outliers.agg(F.sum(c("cost_usd") - c("median_cost_usd")).alias("excess"), F.count(F.lit(1)).alias("runs")).where("runs > 0")
+    loops = flavors.where("tasks >= 10 and revisit_rate >= 0.35").orderBy(F.desc("revisit_rate"), "flavor").limit(3)
     parts = [
         one(top, "error_cluster", c("error_signature"), F.when(c("human_followups") >= 10, "high").otherwise(severity(c("tasks"))), c("tasks"), c("attribution")),
-        one(bad, "configuration_reliability", F.concat_ws(" on ", "flavor", "configuration"), severity(c("agent_errors")), c("agent_errors"), F.round("agent_error_rate", 4)),
+        one(bad, "configuration_reliability", cell, severity(c("agent_errors")), c("agent_errors"), c("peer")),
         one(contracts.where("repairs_started >= 5 and repairs_failed >= 0.5 * repairs_started"), "output_contract", c("flavor"), severity(c("repairs_failed")), c("repairs_failed"), c("repairs_started")),
-        one(outliers, "cost_outlier", c("attempt_id").cast("string"), F.lit("medium"), c("cost_usd"), c("median_cost_usd")),
-        one(candidates.where("near_limit > 0"), "step_budget", F.lit("candidates"), severity(c("near_limit")), c("near_limit"), c("p90_steps")),
-        one(flavors.where("tasks >= 10 and revisit_rate >= 0.3"), "rework_loop", c("flavor"), F.lit("medium"), c("tasks"), F.round("revisit_rate", 4)),
-        one(people.where("pending > 0"), "human_attention", F.lit("pending"), severity(c("pending")), c("pending"), F.round("oldest_pending_hours", 1)),
-        one(matrix.where("attempts >= 5 and priced_attempts < 0.5 * attempts"), "coverage_gap", F.concat_ws(" on ", "flavor", "configuration"), F.lit("low"), c("attempts"), c("priced_attempts")),
-        one(shifts, "definition_change", c("flavor"), F.when(c("change") > 0, "medium").otherwise("low"), c("change"), c("version")),
-        one(matrix.where("attempts >= 10 and cache_read_share < 0.3"), "low_cache", F.concat_ws(" on ", "flavor", "configuration"), F.lit("low"), c("attempts"), F.round("cache_read_share", 4)),
+        one(excess, "cost_outlier", F.lit("runs far above their cell's median"), F.when(c("excess") >= 50, "medium").otherwise("low"), c("runs"), F.round("excess", 2)),
+        one(candidates.where("near_limit > 0"), "budget_pressure", F.lit("candidates near the step limit"), severity(c("near_limit"), 10, 3), c("near_limit"), c("p90_steps")),
+        one(loops, "rework_loop", c("flavor"), F.lit("medium"), F.round(c("revisit_rate") * c("tasks")), F.round("revisit_rate", 4)),
+        one(people.where("error_caused_share >= 0.3 and error_caused >= 10"), "human_attention", F.lit("human tasks that errors caused"), F.lit("high"), c("error_caused"), F.round("error_caused_share", 4)),
+        one(people.where("pending >= 10"), "human_queue", F.lit("pending human tasks"), severity(c("pending"), 50, 10), c("pending"), F.round("oldest_pending_hours", 1)),
+        one(totals.where("attempts >= 5 and with_tokens < 0.8 * attempts"), "coverage_gap", c("configuration"), F.lit("low"), c("attempts"), c("with_tokens")),
+        one(shifts.where("change > 0"), "shape_regression", c("flavor"), F.lit("high"), c("change"), c("version")),
+        one(shifts.where("change < 0"), "shape_improvement", c("flavor"), F.lit("info"), -c("change"), c("version")),
+        one(matrix.where("input_tokens >= 20000000 and attempts >= 5 and cache_read_share < 0.6"), "cache_efficiency", cell, F.lit("low"), c("attempts"), F.round("cache_read_share", 4)),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    rank = F.when(c("severity") == "high", 0).when(c("severity") == "medium", 1).otherwise(2)
+    rank = F.when(c("severity") == "high", 0).when(c("severity") == "medium", 1).when(c("severity") == "low", 2).otherwise(3)
     return out.orderBy(rank, F.desc("n"), "kind", "subject")
 
 

@@ -133,7 +133,7 @@ def workflow_detectors(spark, sf_dir):
     kinds = F.array(*map(F.lit, ("handoff_invalid", "contract_repair_started", "contract_repair_succeeded", "contract_repair_failed")))
     contracts = workflow.contract_repairs(t.select("task_id", F.element_at(kinds, (F.col("task_id") % 4 + 1).cast("int")).alias("kind")), t)
     matrix, clusters = workflow.workflow_matrix(r), workflow.error_clusters(r)
-    return workflow.detectors(matrix, clusters, contracts, workflow.cost_outliers(r), workflow.candidate_summary(r, t)[0], workflow.human_summary(t.join(parent, "parent_id", "left"), "2002-01-01"), workflow.definition_shift(t, change=0.01), workflow.flavor_summary(t))
+    return workflow.detectors(matrix, clusters, contracts, workflow.cost_outliers(r), workflow.candidate_summary(r, t)[0], workflow.human_summary(t.join(parent, "parent_id", "left"), "2002-01-01"), workflow.definition_shift(t, change=0.01), workflow.flavor_summary(t), workflow.workflow_totals(r))
 
 
 @BOOK.add()

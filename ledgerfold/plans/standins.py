@@ -152,9 +152,9 @@ att AS (
   FROM lineitem GROUP BY l_orderkey, l_linenumber),
 runs AS (
   SELECT a.*, t.flavor, t.version, t.candidate_id, t.created_at, CAST(q * 1000 AS BIGINT) AS total_tokens, CAST(q * 800 AS BIGINT) AS input_tokens, CAST(q * 300 AS BIGINT) AS rd, CAST(q AS INTEGER) * 60000 AS duration_ms,
-    row_number() OVER (PARTITION BY a.task_id ORDER BY number DESC, attempt_id DESC) = 1 AS is_final, t.error_class AS ec, t.error_signature AS es, t.attribution AS ea, t.state, t.outcome AS oc, t.escalated
-  FROM att a JOIN tasks t ON a.task_id = t.task_id),
+    row_number() OVER (PARTITION BY a.task_id ORDER BY number DESC, attempt_id DESC) = 1 AS is_final, t.error_class AS ec, t.error_signature AS es, t.attribution AS ea, t.outcome AS oc, coalesce(f.h, false) AS followed
+  FROM att a JOIN tasks t ON a.task_id = t.task_id LEFT JOIN (SELECT parent_id, bool_or(is_human) AS h FROM tasks WHERE parent_id IS NOT NULL GROUP BY 1) f ON f.parent_id = t.task_id),
 rows_ AS (
   SELECT *, CASE WHEN is_final THEN ec END AS error_class, CASE WHEN is_final THEN es END AS error_signature, CASE WHEN is_final THEN ea END AS attribution,
-    CASE WHEN is_final AND escalated THEN 'escalated' WHEN is_final AND ec IS NOT NULL THEN 'error' WHEN NOT is_final THEN 'retried' WHEN is_final AND oc IS NOT NULL THEN 'advanced' ELSE 'open' END AS disposition
+    CASE WHEN is_final AND ec IS NOT NULL THEN 'error' WHEN NOT is_final THEN 'retried' WHEN followed THEN 'escalated' WHEN oc IS NOT NULL THEN 'advanced' ELSE 'open' END AS disposition
   FROM runs)"""
