@@ -94,10 +94,13 @@ def _chunk_rows(docs: DataFrame, mean: int, least: int, most: int) -> DataFrame:
 def repeated_passages(docs: DataFrame, min_words: int = 20, mean: int = 56, least: int = 24, most: int = 192) -> DataFrame:
     """Passages that other documents have too: (doc_id, start, stop, n_words, n_chunks, first_doc_id, kept).
 
-    A passage is a run of neighbouring chunks, each of whose digests occurs in two documents or more, with at least
-    ``min_words`` word ends in it (a repeated passage loses up to a chunk at either end, so one of 50 words keeps
-    20). ``first_doc_id`` is the smallest document that holds any of its chunks first; ``kept`` says that every
-    chunk of the run has its first place here, so that a dedup keeps it; the others may be cut. Places are bytes.
+    A run is neighbouring chunks, each of whose digests occurs in two documents or more, with at least ``min_words``
+    word ends in it (a repeated passage loses up to a chunk at either end, so one of 50 words keeps 20). A run
+    is cut into passages wherever its chunks change between first place here and first place elsewhere. ``kept`` says that all
+    chunks of the passage have their first place here, so that a dedup keeps it; the others may be cut, however
+    short, and each repeated chunk survives in the first document that has it. Pieces of a mixed run that stay and have
+    fewer than ``min_words`` are no rows. ``first_doc_id`` is the smallest document that holds any of the passage's
+    chunks first. Places are bytes.
     Repeats inside one document don't count. Null and empty texts have no passage; rows with a null doc_id are left out; rows that
     repeat a doc_id are one document; extra columns are ignored; an empty table gives an empty result.
     """
@@ -110,24 +113,30 @@ def repeated_passages(docs: DataFrame, min_words: int = 20, mean: int = 56, leas
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: list | None = None
+        now: list[list] = []
         out: list[list] = []
+
+        def end() -> None:
+            if sum(p[3] for p in now) >= min_words:
+                out.extend(p for p in now if not p[6] or p[3] >= min_words)
+
         for b in batches:
             for doc, start, stop, words, first in zip(*(b[c].to_pylist() for c in ("doc_id", "start", "stop", "n_words", "first_doc_id")), strict=True):
-                if now and now[0] == doc and start <= now[2]:
-                    if stop > now[2]:
-                        now[2:7] = stop, now[3] + words, now[4] + 1, min(now[5], first), now[6] and first == doc
+                if now and now[-1][0] == doc and start <= now[-1][2]:
+                    last = now[-1]
+                    if stop > last[2] and last[6] == (first == doc):
+                        last[2:6] = stop, last[3] + words, last[4] + 1, min(last[5], first)
+                    elif stop > last[2]:
+                        now.append([doc, start, stop, words, 1, first, first == doc])
                     continue
-                if now and now[3] >= min_words:
-                    out.append(now)
-                now = [doc, start, stop, words, 1, first, first == doc]
+                end()
+                now = [[doc, start, stop, words, 1, first, first == doc]]
             if len(out) >= 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-                out = []
-        if now and now[3] >= min_words:
-            out.append(now)
+                out.clear()
+        end()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    ordered = found.repartition("doc_id").sortWithinPartitions("doc_id", "start", "stop")
+    ordered = found.repartition("doc_id").sortWithinPartitions("doc_id", "start", "stop", F.desc("first_doc_id"))
     return ordered.mapInArrow(runs, "doc_id long, start long, stop long, n_words long, n_chunks long, first_doc_id long, kept boolean")

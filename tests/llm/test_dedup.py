@@ -94,3 +94,22 @@ def test_awkward_passages(spark):
     assert {r["doc_id"] for r in got} == {n, n + 1, n + 2} and {r["first_doc_id"] for r in got} == {n}
     assert {r["doc_id"] for r in got if r["kept"]} == {n}
     assert substring.repeated_passages(docs(spark, [])).count() == 0
+
+
+def test_every_repeated_chunk_survives_once(spark):
+    word = lambda i: f"w{xxhash.xxh32_intdigest(str(i)) % 99_999}"
+    text = lambda *spans: " ".join(word(i) for a, z in spans for i in range(a, z))
+    rows = [text((0, 120)), text((0, 240)), text((0, 240), (300, 420)), text((300, 420), (900, 905)), text((120, 240), (300, 420), (0, 120))]
+    cut, where = defaultdict(list), defaultdict(set)
+    for r in substring.repeated_passages(docs(spark, rows)).collect():
+        if not r["kept"]:
+            cut[r["doc_id"]].append((r["start"], r["stop"]))
+    for doc, t in enumerate(rows):
+        raw, at = t.encode(), 0
+        for z in substring.cut_points(raw).tolist():
+            where[raw[at:z]].add((doc, any(a <= at and z <= b for a, b in cut.get(doc, []))))
+            at = z
+    shared = [s for s in where.values() if len({d for d, _ in s}) > 1]
+    assert len(shared) > 30 and cut.keys() == {1, 2, 3, 4}
+    for s in shared:
+        assert [d for d, gone in sorted(s) if not gone][:1] == [min(d for d, _ in s)] and sum(not gone for _, gone in s) == 1
