@@ -2,7 +2,8 @@
 
 A text's lines are hashed and a rolling hash over the last ``window`` line hashes chooses chunk borders, so an
 inserted line moves the borders near it only. A chunk of at least two lines that some document had before is
-removed wherever its bytes equal those of the first occurrence; that one stays.
+removed wherever its bytes equal those of the first occurrence; that one stays. ``every_pair`` takes each two neighbouring
+lines as a chunk instead, so that no repeated run of two lines or more escapes, whatever stands around it.
 
 Scale: one pass emits a narrow row per multi-line chunk (digest and place, no text); digests are counted with
 map-side aggregation. Only documents that hold a repeated digest send text on: the bytes of those chunks are
@@ -24,11 +25,12 @@ from pyspark.sql import functions as F
 from ledgerfold.session import lean, materialize
 
 
-def line_chunks(text: str, window: int = 2, one_in: int = 3, most: int = 16) -> list[tuple[int, int, int]]:
+def line_chunks(text: str, window: int = 2, one_in: int = 3, most: int = 16, least: int = 2) -> list[tuple[int, int, int]]:
     """(first character, end, number of lines that aren't blank) of each chunk; chunks cover the text with its line ends.
 
     A border falls after a line if the rolling hash of the last ``window`` lines that aren't blank is 0 modulo
-    ``one_in``, and after ``most`` such lines at the latest.
+    ``one_in`` and the chunk has ``least`` such lines, and after ``most`` at the latest. A shorter rest of the text
+    joins the chunk before it.
     """
     out, begin, at, lines = [], 0, 0, 0
     recent = [0] * window
@@ -41,14 +43,27 @@ def line_chunks(text: str, window: int = 2, one_in: int = 3, most: int = 16) ->
         mixed = 0
         for h in recent:
             mixed = (mixed * 0x9E3779B97F4A7C15 + h) & (2**64 - 1)
-        if (mixed >> 17) % one_in == 0 or lines >= most:
+        if lines >= least and (mixed >> 17) % one_in == 0 or lines >= most:
             out.append((begin, min(at, len(text)), lines))
             begin, lines = at, 0
     if begin < len(text):
+        if out and lines < least:
+            begin, _, n = out.pop()
+            lines += n
         out.append((begin, len(text), lines))
     return out
 
 
+def line_pairs(text: str) -> list[tuple[int, int, int]]:
+    """(first character, end, 2) of every two neighbouring lines that aren't blank; pairs overlap by a line."""
+    places, at = [], 0
+    for line in text.split("\n"):
+        if line.strip():
+            places.append((at, min(at + len(line) + 1, len(text))))
+        at += len(line) + 1
+    return [(a, z, 2) for (a, _), (_, z) in zip(places, places[1:], strict=False)]
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
@@ -73,7 +88,7 @@ def _unpacked(z: list[bytes | None]) -> list[str | None]:
     return [None if x is None else open_(x).decode("utf-8", "surrogatepass") for x in z]
 
 
-def _chunk_rows(rows: DataFrame, window: int, one_in: int, most: int) -> DataFrame:
+def _chunk_rows(rows: DataFrame, window: int, one_in: int, most: int, every_pair: bool) -> DataFrame:
     """(doc_id, text_hash, start, stop, digest) of all chunks of two lines or more; the last line end isn't digested."""
     names = ["doc_id", "text_hash", "start", "stop", "digest"]
 
@@ -81,7 +96,7 @@ def _chunk_rows(rows: DataFrame, window: int, one_in: int, most: int) -> DataFra
         for b in batches:
             out: list[tuple] = []
             for doc, key, text in zip(*(b[c].to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True):
-                for a, z, n in line_chunks(text or "", window, one_in, most):
+                for a, z, n in line_pairs(text or "") if every_pair else line_chunks(text or "", window, one_in, most):
                     if n >= 2:
                         digest = xxhash.xxh3_128_hexdigest(text[a:z].rstrip("\n").encode("utf-8", "surrogatepass"))
                         out.append((doc, key, a, z, digest))
@@ -109,11 +124,11 @@ def _pieces(held: DataFrame) -> DataFrame:
     return held.mapInArrow(run, "digest string, piece string, at struct<doc_id:long,text_hash:long,start:long>")
 
 
-def repeated_chunks(docs: DataFrame, window: int = 2, one_in: int = 3, most: int = 16) -> DataFrame:
+def repeated_chunks(docs: DataFrame, window: int = 2, one_in: int = 3, most: int = 16, every_pair: bool = False) -> DataFrame:
     """Chunks to remove: (doc_id, text_hash, start, stop, first_doc_id). Of each repeated chunk the first place stays."""
     lean(docs.sparkSession)
     rows = _rows(docs)
-    chunks = materialize(_chunk_rows(rows, window, one_in, most).distinct())
+    chunks = materialize(_chunk_rows(rows, window, one_in, most, every_pair).distinct())
     again = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
     found = materialize(chunks.join(again.hint("merge"), "digest"))
     held = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("digest", "start", "stop")).alias("spans"))
@@ -126,16 +141,17 @@ def repeated_chunks(docs: DataFrame, window: int = 2, one_in: int = 3, most: int
     return materialize(away.select("doc_id", "text_hash", "start", "stop", F.col("first_at.doc_id").alias("first_doc_id")))
 
 
-def dedup_lines(docs: DataFrame, window: int = 2, one_in: int = 3, most: int = 16) -> DataFrame:
+def dedup_lines(docs: DataFrame, window: int = 2, one_in: int = 3, most: int = 16, every_pair: bool = False) -> DataFrame:
     """``docs`` with repeated multi-line chunks cut from ``text``, and two more columns: n_removed, removed_chars.
 
     A chunk has two lines or more that aren't blank. The first place of a repeated chunk (smallest doc_id, then first in the text) keeps
-    it. Null, empty and one-line texts never change; rows with a null doc_id are left as they are and count for nobody;
+    it. By content-defined borders a passage that starts or ends inside a chunk stays there; with ``every_pair`` all lines of every
+    run of two lines or more that came before are cut, the first place of each line stays, and n_removed counts pairs. Null, empty and one-line texts never change; rows with a null doc_id are left as they are and count for nobody;
     rows that repeat a doc_id and text count once and change alike. Line ends inside what stays are kept as they were.
     Other columns pass through, also ones named like the helpers here. An empty table gives an empty result.
     """
     cols = docs.columns
-    away = repeated_chunks(docs, window, one_in, most)
+    away = repeated_chunks(docs, window, one_in, most, every_pair)
     spans = away.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     row = F.struct(*[F.lit(None).cast("string").alias(c) if c == "text" else F.col(c) for c in cols]).alias("row")
     text = F.col("text").cast("string")

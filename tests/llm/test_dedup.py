@@ -113,3 +113,18 @@ def test_every_repeated_chunk_survives_once(spark):
     assert len(shared) > 30 and cut.keys() == {1, 2, 3, 4}
     for s in shared:
         assert [d for d, gone in sorted(s) if not gone][:1] == [min(d for d, _ in s)] and sum(not gone for _, gone in s) == 1
+
+
+def test_line_chunks_have_two_lines():
+    text = "\n".join(f"line number {i}" for i in range(201))
+    assert min(n for _, _, n in lines.line_chunks(text)) >= 2 and lines.line_chunks("one") == [(0, 3, 1)]
+
+
+def test_every_repeated_run_of_lines_is_cut(spark):
+    line = lambda i: f"this is line {xxhash.xxh32_intdigest(str(i))}"
+    text = lambda *ids: "\n".join(map(line, ids))
+    rows = [text(*range(60)), *(text(1000 + k, *range(k, k + 2 + k % 3), 2000 + k) for k in range(1, 50)), text(*range(60)), text(7, 3000, 9), text(5000, 5000, 5000)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs(spark, rows), every_pair=True).collect()}
+    assert got[0] == rows[0] and got[50] == "" and got[51] == rows[51] and got[52] == line(5000) + "\n"
+    for k in range(1, 50):
+        assert got[k].split("\n") == [line(1000 + k), line(2000 + k)]

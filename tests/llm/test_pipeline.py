@@ -1,6 +1,6 @@
 import corpus_pipeline
 
-from ledgerfold.llm import quality
+from ledgerfold.llm import lines, quality
 from tests.llm.helpers import docs
 
 
@@ -40,3 +40,18 @@ def test_stages_take_empty_tables(spark):
     d = docs(spark, []).select("doc_id", "text", "lang", "source", "n_chars")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, d, "/root/testdata/sf0.001").count() == 0, name
+
+
+def test_line_stage_leaves_no_repeated_run_of_lines(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    seen, first = {}, d.toPandas().sort_values("doc_id")
+    for doc, text in zip(first["doc_id"], first["text"], strict=True):
+        for a, z, _ in lines.line_pairs(text):
+            seen.setdefault(text[a:z].rstrip("\n"), (doc, a))
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, d, "").collect()}
+    for doc, text in zip(first["doc_id"], first["text"], strict=True):
+        spans, at, kept = [(a, z) for a, z, _ in lines.line_pairs(text) if seen[text[a:z].rstrip("\n")] != (doc, a)], 0, ""
+        for a, z in spans:
+            kept, at = kept + text[at:a], z
+        kept += text[at:]
+        assert left.get(doc, "") == (kept if kept.strip() else ""), doc
