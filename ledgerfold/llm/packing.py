@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.llm.tokens import encoder
+from ledgerfold.llm.tokens import SPAN, encoder
 from ledgerfold.session import lean, materialize
 
 END = 1
@@ -30,21 +30,36 @@ ORDER_BITS = 10
 
 
 @lru_cache(maxsize=1)
-def projection(vocabulary: int = 1 << 16, dims: int = 3, seed: int = 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket and sign of each id, and the (HASHED, dims) Gaussian matrix; all fixed by the seed."""
+def projection(vocabulary: int = 1 << 16, dims: int = 3, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
+    """Signed bucket of each id (buckets from HASHED on count negatively), and the (HASHED, dims) Gaussian matrix; fixed by the seed."""
     rng = np.random.default_rng(seed)
     bucket = rng.integers(0, HASHED, vocabulary)
-    sign = rng.choice(np.array([-1.0, 1.0]), vocabulary)
-    return bucket, sign, rng.standard_normal((HASHED, dims))
+    return bucket + HASHED * rng.integers(0, 2, vocabulary), rng.standard_normal((HASHED, dims))
 
 
-def project(ids: np.ndarray) -> np.ndarray:
-    """Three coordinates, each about standard normal: the direction of the square-root-damped hashed counts."""
-    bucket, sign, matrix = projection()
-    v = np.bincount(bucket[ids], sign[ids], HASHED)
-    v = np.sign(v) * np.sqrt(np.abs(v))
-    norm = np.sqrt(v @ v)
-    return (v / norm if norm else v) @ matrix
+def project(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Three coordinates per document, each about standard normal: the direction of its square-root-damped hashed counts.
+
+    ``ids`` holds all documents' ids in a row; the last one of each is the end id, which does not count.
+    """
+    bucket, matrix = projection()
+    points = np.zeros((len(sizes), matrix.shape[1]))
+    stops = np.cumsum(sizes)
+    for i in range(0, len(sizes), 256):
+        n = sizes[i : i + 256]
+        begin = int(stops[i] - n[0])
+        counts = np.zeros(len(n) * 2 * HASHED, np.int64)
+        for a in range(begin, int(stops[i + len(n) - 1]), SPAN):  # a span at a time, so that a long text needs no more
+            part = ids[a : min(a + SPAN, int(stops[i + len(n) - 1]))]
+            row = np.searchsorted(stops[i : i + len(n)], np.arange(a, a + len(part)), side="right") if len(n) > 1 else 0
+            counts += np.bincount(bucket[part] + 2 * HASHED * row, minlength=len(counts))
+        counts = counts.reshape(len(n), 2 * HASHED)
+        counts[:, bucket[END]] -= 1
+        v = (counts[:, :HASHED] - counts[:, HASHED:]).astype(float)
+        v = np.sign(v) * np.sqrt(np.abs(v))
+        norm = np.sqrt((v * v).sum(1, keepdims=True))
+        points[i : i + 256] = (v / np.where(norm > 0, norm, 1)) @ matrix
+    return points
 
 
 def hilbert_key(cells: np.ndarray, bits: int = ORDER_BITS) -> np.ndarray:
@@ -86,14 +101,12 @@ def with_tokens(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(vocabulary_path)
-        end = END.to_bytes(2, "little")
-        for whole in batches:
-            for i in range(0, whole.num_rows, 1024):
-                b = whole.slice(i, 1024)
-                ids = [words.encode(t or "") + end for t in b["text"].to_pylist()]
-                points = np.array([project(np.frombuffer(x, "<u2")[:-1]) for x in ids]).reshape(-1, 3)
-                sizes = np.array([len(x) // 2 for x in ids], np.int64)
-                yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(hilbert_key(cells_of(points))), pa.array(sizes), pa.array(ids, pa.binary())], ["doc_id", "key", "n", "ids"])
+        for b in batches:
+            ids, sizes = words.encode(b["text"], END)
+            keys = hilbert_key(cells_of(project(ids, sizes)))
+            edges = np.r_[0, 2 * np.cumsum(sizes)].astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(edges), pa.py_buffer(ids.astype("<u2"))])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(keys), pa.array(sizes), packed], ["doc_id", "key", "n", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, key long, n long, ids binary")
@@ -111,10 +124,10 @@ def crc_of(ids: bytes) -> int:
     return zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
 
 
-def pack(docs: DataFrame, vocabulary_path: str, length: int = 2048, digests: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary_path: str, length: int = 2048, digests: bool = False, stretch_bytes: int = 32 << 20) -> DataFrame:
     """Pieces of all documents: (doc_id, start, doc_tokens, sequence_id, offset, ids binary of uint16).
 
-    With ``digests``, length and ids_crc32 (of the ids as little-endian uint32) stand in place of the ids.
+    ``stretch_bytes`` of ids are a task's stretch of the curve. With ``digests``, length and ids_crc32 (of the ids as little-endian uint32) stand in place of the ids.
 
     Each document's ids (with the end id) lie in consecutive pieces, each id in exactly one; sequences are gapless from
     offset 0 and hold ``length`` ids, but for the tail of each task's stretch of the curve, whose sequences
@@ -173,5 +186,6 @@ def pack(docs: DataFrame, vocabulary_path: str, length: int = 2048, digests: boo
         if out:
             yield flush()
 
-    ordered = tokens.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
+    total = tokens.agg(F.sum("n")).first()[0] or 0
+    ordered = tokens.repartitionByRange(max(1, -(-2 * total // stretch_bytes)), "key", "doc_id").sortWithinPartitions("key", "doc_id")
     return ordered.select("doc_id", "n", "ids").mapInArrow(run, ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names))
