@@ -111,13 +111,14 @@ FROM doc d LEFT JOIN base ON base.doc_id = d.doc_id LEFT JOIN named ON named.doc
 SQL: dict[str, str] = {
     "op8_license_scans": _license_sql(),
     "op6_bit_sliced_topk": """
-WITH cells AS (
-  SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings),
-q AS (SELECT vec_id, pos, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS v FROM cells),
+WITH fine AS (
+  SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scores AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(sum(a.v * b.v) AS BIGINT) AS score
-  FROM q a JOIN q b ON a.pos = b.pos AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY a.vec_id, b.vec_id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
+  SELECT a.row_id AS query_row, a.vec_id AS query_id, b.vec_id AS vec_id, b.row_id AS row_id,
+    CAST(coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda p: CAST(p[1] AS HUGEINT) * p[2])), 0) AS BIGINT) AS score
+  FROM fine a JOIN fine b ON a.row_id <> b.row_id WHERE a.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id, row_id) AS rank FROM scores)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """,
     "op9_url_filters": r"""

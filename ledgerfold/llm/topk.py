@@ -3,11 +3,13 @@
 Quantised vectors are stored as bit slices: bitmap j of attribute d holds bit j of every row's component d. A
 query's scores are added up without touching rows: each non-zero digit of a query component adds the attribute's
 slices, shifted, into a carry-save accumulator of bitmaps. The top rows are read off the score slices from the
-most significant one downward; rows tied at the boundary are resolved exactly by vec_id.
+most significant one downward; rows tied at the boundary are resolved exactly by vec_id. Depth and width of the slices come
+from the data, and scores are integers of any size, so nothing is clamped.
 
-Scale: the index is cut into blocks of ``block_rows`` rows by hash, queries into chunks; a task holds one
-block's bitmaps and one chunk. Every block answers every query (the stated query set against all rows) with k rows
-at most, and only those are shuffled and ranked.
+Scale: the index is cut into blocks by hash of the row, bounded by rows and by bytes, and each block's slices are built
+once and written to the shared folder; queries are cut into chunks bounded alike. A task holds one block's
+bitmaps and one chunk. Every block answers every query (the stated query set against all rows) with k rows at most, and only
+those are shuffled and ranked.
 """
 
 from __future__ import annotations
@@ -16,13 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerfold.session import materialize
+from ledgerfold.session import lean, materialize
 
-#: Components are clamped to this many bits after scaling, so that scores of up to 2^13 components fit a long.
-LIMIT = 1 << 24
+#: Integers up to this many bits are kept as 64-bit ones.
+PLAIN_BITS = 62
 
 
 def signed_digits(value: int) -> list[tuple[int, int]]:
@@ -41,19 +44,23 @@ def signed_digits(value: int) -> list[tuple[int, int]]:
 class BitSlices:
     """The bit-sliced index of one block: two's-complement slices of each attribute as bitmaps over the rows."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, rows = ids[order], rows[order]
-        self.n, self.dims = rows.shape
-        self.words = -(-self.n // 64)
-        top = int(np.abs(rows).max(initial=0))
-        self.depth = top.bit_length() + 1
-        self.slices = np.zeros((self.dims, self.depth, self.words), np.uint64)
-        for j in range(self.depth):
-            bits = np.zeros((self.dims, self.words * 64), np.uint8)
-            bits[:, : self.n] = (rows.T >> j) & 1
-            self.slices[:, j] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-        self.all = np.packbits(np.r_[np.ones(self.n, np.uint8), np.zeros(self.words * 64 - self.n, np.uint8)], bitorder="little").view(np.uint64)
+    def __init__(self, slices: np.ndarray, n: int):
+        self.slices, self.n = slices, n
+        self.dims, self.depth, self.words = slices.shape
+        self.all = np.packbits(np.r_[np.ones(n, np.uint8), np.zeros(self.words * 64 - n, np.uint8)], bitorder="little").view(np.uint64)
+
+    @classmethod
+    def of(cls, rows: np.ndarray) -> BitSlices:
+        """The index of integer rows (n, dims)."""
+        n, dims = rows.shape
+        words = -(-n // 64)
+        depth = max((int(rows.max()), -int(rows.min())), default=0).bit_length() + 1 if rows.size else 1
+        slices = np.zeros((dims, depth, words), np.uint64)
+        for j in range(depth):
+            bits = np.zeros((dims, words * 64), np.uint8)
+            bits[:, :n] = (rows.T >> j) & 1
+            slices[:, j] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+        return cls(slices, n)
 
     def scores(self, query: np.ndarray) -> np.ndarray:
         """Slices of every row's inner product with the query, least significant first, two's complement."""
@@ -94,11 +101,13 @@ class BitSlices:
                 out[at] = column[0]
         return out
 
-    def top(self, query: np.ndarray, k: int, without: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, scores) of the k best rows outside the bitmap ``without``; ties at the boundary go to smaller ids."""
+    def top(self, query: np.ndarray, k: int, without: int | None) -> tuple[np.ndarray, list[int]]:
+        """(positions, scores) of the k best rows but row ``without``; ties at the boundary go to smaller positions."""
         s = self.scores(query)
         s[-1] = ~s[-1]  # the sign slice turned round: larger is better in every slice
-        sure, maybe = np.zeros(self.words, np.uint64), self.all & ~without
+        sure, maybe = np.zeros(self.words, np.uint64), self.all.copy()
+        if without is not None:
+            maybe[without // 64] &= ~np.uint64(1 << without % 64)
         for j in range(len(s) - 1, -1, -1):
             both = sure | (maybe & s[j])
             n = int(np.bitwise_count(both).sum())
@@ -113,78 +122,95 @@ class BitSlices:
         rows = self._rows(sure)
         rows = np.r_[rows, self._rows(maybe)[: k - len(rows)]]
         s[-1] = ~s[-1]
-        bits = (s[:, rows // 64] >> (rows % 64).astype(np.uint64)) & np.uint64(1)
-        value = np.zeros(len(rows), np.int64)
-        for j in range(len(s)):
-            value += (-1 if j == len(s) - 1 else 1) * (bits[j].astype(np.int64) << j)
-        return rows, value
+        bits = ((s[:, rows // 64] >> (rows % 64).astype(np.uint64)) & np.uint64(1)).T.tolist()
+        top = len(s) - 1
+        return rows, [sum(b << j for j, b in enumerate(bit)) - (bit[top] << top + 1) for bit in bits]
 
     def _rows(self, bitmap: np.ndarray) -> np.ndarray:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
-    def bitmap(self, rows: np.ndarray) -> np.ndarray:
-        bits = np.zeros(self.words * 64, np.uint8)
-        bits[rows] = 1
-        return np.packbits(bits, bitorder="little").view(np.uint64)
+
+def quantised(vectors: list[np.ndarray], width: int, scale: int = 256) -> np.ndarray:
+    """floor(scale * x) of all components as exact integers, shorter vectors padded with zeros."""
+    out = np.zeros((len(vectors), width))
+    for i, x in enumerate(vectors):
+        out[i, : len(x)] = x
+    if np.abs(out).max(initial=0) * scale < 1 << PLAIN_BITS:
+        return np.floor(out * scale).astype(np.int64)
+    whole = lambda x: int(x) * scale if abs(x) >= 2**53 else int(np.floor(x * scale))
+    return np.array([[whole(float(x)) for x in row] for row in out], object)
+
+
+def order_key(score: int) -> bytes:
+    """Bytes that sort as the scores do, whatever their size."""
+    size = -(-abs(score).bit_length() // 8)
+    raw = abs(score).to_bytes(size, "big")
+    return (0x8000 + size).to_bytes(2, "big") + raw if score >= 0 else (0x8000 - size).to_bytes(2, "big") + bytes(255 - b for b in raw)
 
 
-def quantised(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
-    """(vec_id, q): components as floor(scale * x); rows with a null vector, a null or a non-finite component are left out."""
+def usable(vectors: DataFrame) -> DataFrame:
+    """(row_id, vec_id, x): vectors as doubles; rows with a null id or vector, a null or a non-finite component are left out."""
     x = F.col("embedding").cast("array<double>")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    low, high = F.lit(float(-LIMIT)), F.lit(float(LIMIT))
-    q = F.transform(x, lambda v: F.floor(F.greatest(low, F.least(high, v * F.lit(scale)))).cast("int"))
-    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
-    return rows.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), q.alias("q")).dropDuplicates(["vec_id", "q"])
+    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine)
+    return rows.select(F.monotonically_increasing_id().alias("row_id"), F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
 
 
-def _matrix(lists: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(lists), width), np.int64)
-    for i, x in enumerate(lists):
-        out[i, : len(x)] = x
-    return out
+def build_index(rows: DataFrame, blocks: int, width: int) -> DataFrame:
+    """(block, n, depth, vec_ids, row_ids, slices): one row per block, its rows in order of (vec_id, row_id), all as bytes."""
+    schema = "block int, n int, depth int, vec_ids binary, row_ids binary, slices binary"
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["vec_id", "row_id"])
+        made = BitSlices.of(quantised(pdf["x"].tolist(), width))
+        cells = [pdf[c].to_numpy(np.int64).tobytes() for c in ("vec_id", "row_id")]
+        return pd.DataFrame([[int(key[0]), made.n, made.depth, *cells, made.slices.tobytes()]], columns=[f.split()[0] for f in schema.split(", ")])
+
+    return rows.withColumn("block", F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(run, schema)
 
 
-def top_inner(vectors: DataFrame, every: int = 50, k: int = 5, block_rows: int = 16_384, chunk_rows: int = 512) -> DataFrame:
-    """The k best other rows of each query (vec_id divisible by ``every``): (query_id, rank, vec_id, score).
+def top_inner(vectors: DataFrame, every: int = 50, k: int = 5, block_rows: int = 65_536, chunk_rows: int = 64, cell_bytes: int = 16 << 20) -> DataFrame:
+    """The k best other rows of each query row (vec_id divisible by ``every``): (query_id, rank, vec_id, score).
 
-    Ties go to the smaller vec_id; a query never meets rows of its own vec_id. Shorter vectors count as padded with
-    zeros. Exact repeats of a row count once; one id with several vectors is several candidates, and as a query it is
-    ranked once, over the best score of any of its vectors. Fewer than k rows give fewer results, one row or an empty table none; extra
-    columns are ignored.
+    Every row is a candidate of every query but for the query's own row: rows that repeat an id or a whole row are
+    candidates of their own and, as queries, have results of their own. Ties go to the smaller vec_id. Shorter vectors count as
+    padded with zeros. Components and scores of any size are ranked exactly; a score beyond the range of a long is null. Fewer
+    than k other rows give fewer results, one row or an empty table none; extra columns are ignored.
+    ``cell_bytes`` bounds the bytes of a block's vectors or slices and of a chunk's vectors.
     """
-    rows = materialize(quantised(vectors))
-    n = rows.count()
-    blocks = max(1, -(-n // block_rows))
+    spark = vectors.sparkSession
+    lean(spark)
+    rows = materialize(usable(vectors))
+    at = F.array_max(F.transform("x", F.abs))
+    n, width, most = rows.agg(F.count(F.lit(1)), F.max(F.size("x")), F.max(at)).first()
+    width = max(1, width or 0)
+    depth = int(most or 0).bit_length() + 10
     queries = rows.where(F.col("vec_id") % every == 0)
-    chunks = max(1, -(-queries.count() // chunk_rows))
-    spread = lambda m, salt: F.pmod(F.xxhash64("vec_id", "q", F.lit(salt)), F.lit(m)).cast("int")
-    cell = F.struct("vec_id", "q")
-    index = rows.groupBy(spread(blocks, 1).alias("block")).agg(F.collect_list(cell).alias("rows"))
-    index = index.select("block", "rows", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    asked = queries.groupBy(spread(chunks, 2).alias("chunk")).agg(F.collect_list(cell).alias("asked"))
+    fit = lambda least, bits: max(1, min(least, 8 * cell_bytes // (width * bits)))
+    blocks = max(1, -(-n // fit(block_rows, max(64, depth))))
+    chunks = max(1, -(-queries.count() // fit(chunk_rows, 64)))
+    index = materialize(build_index(rows, blocks, width))
+    asked = queries.groupBy(F.pmod(F.xxhash64("row_id", F.lit(2)), F.lit(chunks)).cast("int").alias("chunk")).agg(F.collect_list(F.struct("row_id", "vec_id", "x")).alias("asked"))
     asked = asked.select("chunk", "asked", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    pairs = index.repartition("block", "chunk").join(asked.repartition("block", "chunk"), ["block", "chunk"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: tuple[int, BitSlices] | None = None
-        for pdf in batches:
-            for block, own, asked_ in zip(pdf["block"], pdf["rows"], pdf["asked"], strict=True):
-                width = max(max((len(r["q"]) for r in own), default=0), max((len(r["q"]) for r in asked_), default=0), 1)
-                if not kept or kept[0] != block or kept[1].dims != width:
-                    ids = np.array([r["vec_id"] for r in own], np.int64)
-                    kept = block, BitSlices(ids, _matrix([r["q"] for r in own], width))
-                bits = kept[1]
-                out = []
-                for r in asked_:
-                    q = _matrix([r["q"]], width)[0]
-                    a, z = np.searchsorted(bits.ids, [r["vec_id"], r["vec_id"] + 1])
-                    at, score = bits.top(q, k, bits.bitmap(np.arange(a, z)))
-                    out.append(pd.DataFrame({"query_id": r["vec_id"], "vec_id": bits.ids[at], "score": score}))
-                if out:
-                    yield pd.concat(out, ignore_index=True)
-
-    found = pairs.mapInPandas(run, "query_id long, vec_id long, score long")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spread = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    pairs = spread.repartition("block", "chunk").join(asked.repartition("block", "chunk").hint("merge"), ["block", "chunk"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                own, got = batch.slice(r, 1), batch["asked"][r].as_py()
+                read = lambda name, kind: np.frombuffer(own[name][0].as_buffer(), kind)
+                ids, keys = read("vec_ids", np.int64), read("row_ids", np.int64)
+                bits = BitSlices(read("slices", np.uint64).reshape(width, own["depth"][0].as_py(), -1), len(ids))
+                place = {x: i for i, x in enumerate(keys.tolist())}
+                out: list[tuple] = []
+                for q in got:
+                    best, scores = bits.top(quantised([q["x"]], width)[0], k, place.get(q["row_id"]))
+                    out += [(q["row_id"], q["vec_id"], int(ids[i]), int(keys[i]), order_key(s), s if -(2**63) <= s < 2**63 else None) for i, s in zip(best.tolist(), scores, strict=True)]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+                cols = list(zip(*out, strict=True)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["query_row", "query_id", "vec_id", "row_id", "key", "score"])
+
+    found = pairs.select("vec_ids", "row_ids", "depth", "slices", "asked").mapInArrow(run, "query_row long, query_id long, vec_id long, row_id long, key binary, score long")
+    order = Window.partitionBy("query_row").orderBy(F.desc("key"), "vec_id", "row_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
