@@ -1,19 +1,19 @@
 """License scans by a positional rare-token index, with DataFrame functions only.
 
-Template notices are a small index word -> (template, position). A file looks up its highest-IDF licence words
-(IDF over all documents), every place of such a word votes for (template, place - position), and templates whose
-rare words agree on one relative position are verified: each mandatory key phrase must stand at its place.
-
-Scale: one pass counts in how many documents each template word occurs (map-side aggregation to a row per
-template word), one pass counts words and keeps, of files that hold a rare word at all, the places of template
-words. What is shuffled afterwards are those few places. The template index and the IDF table are bounded by the templates
-given, so they may be broadcast or put into expressions.
+Template notices are a small index word -> (template, position). A file looks up, for every template whose mandatory words it
+holds, its highest-IDF words of that template (IDF over all documents); every place of such a word votes for
+(template, place - position), and templates whose rare words agree on one relative position are verified: each mandatory
+key phrase must stand at its place.
+
+Scale: one pass splits each text once, counts words and keeps the template words it holds, with their places only where some
+template has all its mandatory words; a template without them could not be verified, so nothing is lost, however common
+a notice is. Document counts are an aggregate of that narrow table. What is shuffled afterwards are the places of such
+files. The template index and the IDF table are bounded by the templates given, so they may be broadcast or put into expressions.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 from ledgerfold.session import materialize
 
-#: Characters of a word once A-Z are lower-cased, and the same before that.
+#: Characters of a word once A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: ASCII characters that stand in no word.
+BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
 @dataclass(frozen=True)
@@ -61,8 +62,8 @@ TEMPLATES = (
 
 
 def words_of(text: Column) -> Column:
-    """Words of a text with A-Z lower-cased."""
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """Words of a text with A-Z lower-cased: all other ASCII characters become blanks, at which the text is split."""
+    return F.array_remove(F.split(F.translate(text, BETWEEN + UPPER, " " * len(BETWEEN) + LOWER), " "), "")
 
 
 def phrase_starts(words: Column, phrase: list[str]) -> Column:
@@ -97,71 +98,75 @@ def _values(docs: DataFrame, rows: list[tuple], names: str) -> DataFrame:
     return docs.sparkSession.sql(f"SELECT * FROM VALUES {cells} AS t({names})")
 
 
-def word_idf(docs: DataFrame, vocabulary: list[str], total: int) -> dict[str, float]:
-    """log((documents + 1) / (documents with the word + 1)) of each vocabulary word, over all documents."""
-    words = F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(WORD), F.lit(0))
-    met = docs.select(F.explode(F.array_intersect(words, F.array(*map(F.lit, vocabulary)))).alias("word"))
-    counts = {r["word"]: r["n"] for r in met.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per vocabulary word
+def _has_all(words: list[str], held: Column) -> Column:
+    return F.size(F.array_intersect(F.array(*map(F.lit, words)), held)) == len(words)
+
+
+def word_idf(held: DataFrame, vocabulary: list[str], total: int) -> dict[str, float]:
+    """log((documents + 1) / (documents with the word + 1)) of each vocabulary word, from the words ``held`` by all documents."""
+    met = held.select(F.explode("held").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["word"]: r["n"] for r in met.collect()}  # a row per vocabulary word
     return {w: math.log((total + 1) / (counts.get(w, 0) + 1)) for w in vocabulary}
 
 
-def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, phrases: dict[str, str] | None = None, top_words: int = 8, max_share: float = 0.05, agreement: float = 0.6) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, phrases: dict[str, str] | None = None, top_words: int = 8, agreement: float = 0.6) -> DataFrame:
     """Licences of every row: (doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score).
 
-    The base scan counts every place of ``phrases``. The method looks up a file's ``top_words`` highest-IDF licence words, of
-    those that at most ``max_share`` of the documents (or 20 of them) have; a template holds at an offset if the looked-up words that
-    agree on it carry at least ``agreement`` of the IDF of the template's words that were looked up for it, and all its key phrases
-    stand at their places. ``score`` is the largest share, by IDF, of a verified template's looked-up words found in place, 0.5 at least
-    where the base scan found a phrase, else 0. Null and empty texts have no words, score 0 and empty label strings;
-    repeated rows get equal results, one row each; ties of IDF go by word; extra columns are ignored; an empty table gives an
-    empty result.
+    The base scan counts every place of ``phrases``. The method looks up, for each template, the ``top_words`` highest-IDF words
+    of it that the file holds; a template holds at an offset if the looked-up words that agree on it carry at least
+    ``agreement`` of the IDF of those words' places in the template, and all its key phrases stand at their places. No word is
+    left out for being common. ``score`` is the largest share, by IDF, of a verified template's looked-up words found in
+    place, 0.5 at least where the base scan found a phrase, else 0. Null and empty texts have no words, score 0 and empty
+    label strings; repeated rows get equal results, one row each; ties of IDF go by word; extra columns are ignored; an
+    empty table gives an empty result.
     """
     phrases = BASE_PHRASES if phrases is None else phrases
     vocabulary = sorted({w for t in templates for w in t.words})
-    total = docs.count()
-    idf = word_idf(docs, vocabulary, total)
-    # the words at most max_share of the documents have, or a score of documents, which shows nothing in a small corpus
-    most = max(math.log((total + 1) / (20 + 1)) if total > 20 else 0.0, 0.0)
-    floor = min(-math.log(max_share), most)
-    rare = sorted((w for w in vocabulary if idf[w] >= floor), key=lambda w: (-idf[w], w))
-    gates = sorted({*rare, *(p.split()[-1] for p in phrases)})
+    known = sorted({*vocabulary, *(w for p in phrases for w in p.split())})
+    keys: dict[int, list[str]] = {}
+    for k, _, w in key_places(templates):
+        keys.setdefault(k, []).append(w)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    gate = F.col("text").rlike("(?i)(?<![0-9A-Za-z])(" + "|".join(re.escape(g) for g in gates) + ")(?![0-9A-Za-z])")
-    rows = base.select(
-        "doc_id", F.concat_ws(":", "doc_id", F.xxhash64("text")).alias("key"), F.regexp_count("text", F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"),
-        F.when(gate, words_of(F.col("text"))).alias("words"),
-    )
-    hits = F.concat(*[_labelled(phrase_starts(F.col("words"), p.split()), v) for p, v in phrases.items()])
-    known = F.array(*map(F.lit, vocabulary))
-    places = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("pos"), w.alias("word"))), lambda x: F.array_contains(known, x["word"]))
-    looked = F.slice(F.array_intersect(F.array(*map(F.lit, rare)), F.col("words")), 1, top_words) if rare else F.array().cast("array<string>")
-    rows = materialize(rows.select("doc_id", "key", "n_words", hits.alias("hits"), places.alias("places"), looked.alias("looked")))
-
-    files = rows.where(F.size("looked") > 0).dropDuplicates(["key"])
-    spots = materialize(files.select("key", F.col("looked").alias("looked"), F.explode("places").alias("p")).select("key", F.col("p.pos").alias("pos"), F.col("p.word").alias("word"), F.array_contains("looked", F.col("p.word")).alias("asked")))
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(text).alias("words"))
+    split = split.select("doc_id", "words", F.array_intersect(F.array(*map(F.lit, known)), "words").alias("held"))
+    asked = F.array_compact(F.array(*[F.when(_has_all(sorted(set(keys[k])), F.col("held")), F.lit(k)) for k in range(len(templates))]))
+    split = split.withColumn("asked", asked)
+    none = F.array().cast("array<struct<start:int,label:string>>")
+    hits = F.concat(*[F.when(_has_all(sorted(set(p.split())), F.col("held")), _labelled(phrase_starts(F.col("words"), p.split()), v)).otherwise(none) for p, v in phrases.items()])
+    listed = F.array(*map(F.lit, vocabulary))
+    spots = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("pos"), w.alias("word"))), lambda x: F.array_contains(listed, x["word"]))
+    rows = materialize(split.select("doc_id", F.monotonically_increasing_id().alias("row_id"), F.size("words").cast("long").alias("n_words"), hits.alias("hits"), "held", "asked", F.when(F.size("asked") > 0, spots).alias("places")))
+
+    idf = word_idf(rows, vocabulary, rows.count())
+    ranked = sorted(vocabulary, key=lambda w: (-idf[w], w))
+    files = rows.where(F.size("asked") > 0)
+    order = F.array(*map(F.lit, ranked))
+    own = F.element_at(F.array(*[F.array(*map(F.lit, sorted(set(t.words)))) for t in templates]), F.col("template") + 1)
+    looked = files.select("row_id", F.array_intersect(order, "held").alias("held"), F.explode("asked").alias("template"))
+    looked = materialize(looked.select("row_id", "template", F.explode(F.slice(F.array_intersect("held", own), 1, top_words)).alias("word")))
+    spots = materialize(files.select("row_id", F.explode("places").alias("p")).select("row_id", F.col("p.pos").alias("pos"), F.col("p.word").alias("word")))
     postings = _values(docs, [(w, k, i, idf[w] + 1e-9) for k, t in enumerate(templates) for i, w in enumerate(t.words)], "word, template, at, idf")
-    votes = spots.where("asked").join(F.broadcast(postings), "word").select("key", "template", (F.col("pos") - F.col("at")).alias("offset"), "idf")
-    held = votes.groupBy("key", "template", "offset").agg(F.sum("idf").alias("weight"))
-    reach = files.select("key", F.explode("looked").alias("word")).join(F.broadcast(postings), "word").groupBy("key", "template").agg(F.sum("idf").alias("possible"))
-    good = held.join(reach, ["key", "template"]).where(F.col("weight") >= agreement * F.col("possible"))
+    asked_at = looked.join(F.broadcast(postings), ["word", "template"])
+    reach = asked_at.groupBy("row_id", "template").agg(F.sum("idf").alias("possible"))
+    votes = spots.join(asked_at, ["row_id", "word"]).select("row_id", "template", (F.col("pos") - F.col("at")).alias("offset"), "idf")
+    held = votes.groupBy("row_id", "template", "offset").agg(F.sum("idf").alias("weight"))
+    good = held.join(reach, ["row_id", "template"]).where(F.col("weight") >= agreement * F.col("possible"))
     needed = _values(docs, key_places(templates), "template, at, word")
     wanted = needed.groupBy("template").agg(F.count(F.lit(1)).alias("n_needed"))
-    asked = good.join(F.broadcast(needed), "template").withColumn("pos", F.col("offset") + F.col("at"))
-    there = asked.join(spots, ["key", "pos", "word"]).groupBy("key", "template", "offset", "weight", "possible").agg(F.count(F.lit(1)).alias("n"))
+    must = good.join(F.broadcast(needed), "template").withColumn("pos", F.col("offset") + F.col("at"))
+    there = must.join(spots, ["row_id", "pos", "word"]).groupBy("row_id", "template", "offset", "weight", "possible").agg(F.count(F.lit(1)).alias("n"))
     names = _values(docs, [(k, t.label) for k, t in enumerate(templates)], "template, label")
     sure = there.join(F.broadcast(wanted), "template").where("n = n_needed").join(F.broadcast(names), "template")
-    found = sure.groupBy("key").agg(F.collect_set("label").alias("own"), F.max(F.least(F.lit(1.0), F.col("weight") / F.col("possible"))).alias("share"))
+    found = sure.groupBy("row_id").agg(F.collect_set("label").alias("own"), F.max(F.least(F.lit(1.0), F.col("weight") / F.col("possible"))).alias("share"))
 
-    none = F.array().cast("array<string>")
-    base_labels = F.array_sort(F.array_distinct(F.coalesce(F.transform("hits", lambda x: x["label"]), none)))
+    blank = F.array().cast("array<string>")
+    base_labels = F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["label"])))
     starts = F.transform("hits", lambda x: x["start"].cast("long"))
-    n_base = F.coalesce(F.size("hits"), F.lit(0))
-    n_base = F.greatest(n_base, F.lit(0)).cast("long")
-    return rows.join(found, "key", "left").select(
+    n_base = F.size("hits").cast("long")
+    return rows.join(found, "row_id", "left").select(
         "doc_id", "n_words", n_base.alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         F.array_join(base_labels, ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(base_labels, F.coalesce("own", none))), ",").alias("labels"),
+        F.array_join(F.array_sort(F.array_union(base_labels, F.coalesce("own", blank))), ",").alias("labels"),
         F.greatest(F.round(F.coalesce("share", F.lit(0.0)), 6), F.when(n_base > 0, 0.5).otherwise(0.0)).alias("score"),
     )

@@ -90,10 +90,12 @@ spot AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM d
 listed(template, label, place, word) AS (VALUES {listed}), needed(template, place, word) AS (VALUES {needed}),
 total AS (SELECT count(*) AS n FROM documents), met AS (SELECT word, count(DISTINCT doc_id) AS df FROM spot WHERE word IN (SELECT word FROM listed) GROUP BY 1),
 idf AS (SELECT v.word, ln((n + 1) / (coalesce(df, 0) + 1)) AS idf FROM (SELECT DISTINCT word FROM listed) v LEFT JOIN met ON met.word = v.word, total),
-rare AS (SELECT word, idf FROM idf, total WHERE idf >= least(-ln(0.05), CASE WHEN n > 20 THEN greatest(ln((n + 1) / 21), 0) ELSE 0 END)),
-looked AS (SELECT doc_id, word FROM (SELECT s.doc_id, r.word, row_number() OVER (PARTITION BY s.doc_id ORDER BY r.idf DESC, r.word) AS k FROM (SELECT DISTINCT doc_id, word FROM spot) s JOIN rare r ON r.word = s.word) WHERE k <= 8),
-held AS (SELECT s.doc_id, l.template, l.label, s.pos - l.place AS shift, sum(i.idf + 1e-9) AS weight FROM spot s JOIN looked k ON k.doc_id = s.doc_id AND k.word = s.word JOIN listed l ON l.word = s.word JOIN idf i ON i.word = s.word GROUP BY 1, 2, 3, 4),
-reach AS (SELECT k.doc_id, l.template, sum(i.idf + 1e-9) AS possible FROM looked k JOIN listed l ON l.word = k.word JOIN idf i ON i.word = k.word GROUP BY 1, 2),
+wanted AS (SELECT template, count(DISTINCT word) AS n FROM needed GROUP BY 1),
+keyed AS (SELECT d.doc_id, d.template FROM (SELECT s.doc_id, n.template, count(DISTINCT n.word) AS n FROM spot s JOIN needed n ON n.word = s.word GROUP BY 1, 2) d JOIN wanted w ON w.template = d.template AND w.n = d.n),
+looked AS (SELECT doc_id, template, word FROM (SELECT s.doc_id, s.template, s.word, row_number() OVER (PARTITION BY s.doc_id, s.template ORDER BY i.idf DESC, s.word) AS k
+  FROM (SELECT DISTINCT s.doc_id, l.template, s.word FROM spot s JOIN listed l ON l.word = s.word JOIN keyed k ON k.doc_id = s.doc_id AND k.template = l.template) s JOIN idf i ON i.word = s.word) WHERE k <= 8),
+held AS (SELECT s.doc_id, l.template, l.label, s.pos - l.place AS shift, sum(i.idf + 1e-9) AS weight FROM looked k JOIN spot s ON k.doc_id = s.doc_id AND k.word = s.word JOIN listed l ON l.word = s.word AND l.template = k.template JOIN idf i ON i.word = s.word GROUP BY 1, 2, 3, 4),
+reach AS (SELECT k.doc_id, l.template, sum(i.idf + 1e-9) AS possible FROM looked k JOIN listed l ON l.word = k.word AND l.template = k.template JOIN idf i ON i.word = k.word GROUP BY 1, 2),
 good AS (SELECT h.*, possible FROM held h JOIN reach r ON r.doc_id = h.doc_id AND r.template = h.template WHERE weight >= 0.6 * possible),
 sure AS (SELECT g.doc_id, g.label, g.shift, g.weight, g.possible FROM good g JOIN needed n ON n.template = g.template JOIN spot s ON s.doc_id = g.doc_id AND s.pos = g.shift + n.place AND s.word = n.word
   GROUP BY g.doc_id, g.template, g.label, g.shift, g.weight, g.possible HAVING count(*) = (SELECT count(*) FROM needed m WHERE m.template = g.template)),

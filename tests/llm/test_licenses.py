@@ -45,3 +45,30 @@ def test_awkward_rows(spark):
     got = licenses.scan_licenses(docs(spark, rows)).collect()
     assert sorted(map(str, map(shape, got))) == sorted(str(brute(t[1] if isinstance(t, tuple) else t)) for t in rows)
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
+
+
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+
+
+def test_common_notices_keep_their_labels(spark):
+    """A notice in 1 %, a third, half and all of the files is found in each of them."""
+    for every in (100, 3, 2, 1):
+        texts = [f"file {i} text " + (BSD if i % every == 0 else "of no licence") for i in range(300)]
+        got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(docs(spark, texts)).collect()}
+        assert all(got[i] == ("bsd" if i % every == 0 else "") for i in range(300)), every
+    texts = [f"file {i} licensed under CC BY-NC 4.0" if i % 3 else f"file {i}" for i in range(300)]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(docs(spark, texts)).collect()}
+    assert all(got[i] == ("cc-by-nc" if i % 3 else "") for i in range(300))
+
+
+def test_a_file_with_several_notices(spark):
+    texts = [f"{MIT} and so on. {BSD}. Licensed under CC BY-NC 4.0. This is free and unencumbered software released into the public domain.", "nothing"]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(docs(spark, texts)).collect()}
+    assert got == {0: "bsd,cc-by-nc,mit,unlicense", 1: ""}
+
+
+def test_words_are_those_of_the_pattern(spark):
+    texts = ["", "é-È_x2 \u212a K\x00a", "İ ß 日本 license", "a  b\t\n c", "--", "x" * 5000]
+    got = {r["doc_id"]: r["n_words"] for r in licenses.scan_licenses(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [brute(t)[0] for t in texts]
