@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerfold.session import materialize
+from ledgerfold.operators.skew import hot_keys, salted_join
+from ledgerfold.session import discard, materialize
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, hubs: list) -> DataFrame:
     """One star step. ``edges`` holds (u, v); large stars look at all neighbours, small ones at the smaller ones.
 
-    The minimum of each neighbourhood is aggregated before it is joined back, so that a vertex with
-    very many edges is pre-aggregated and its join can be split as a skewed one.
+    The minimum of each neighbourhood is aggregated before it is joined back, and the join spreads the edges of ``hubs``.
     """
     if large:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return salted_join(both.where("v > u"), low, "u", hubs).select(F.col("v").alias("u"), F.col("m").alias("v"))
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(low, "u").select("v", "m").union(low.select("u", "m")).toDF("u", "v")
+    return salted_join(down, low, "u", hubs).select("v", "m").union(low.select("u", "m")).toDF("u", "v")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -29,35 +29,44 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     ``edges`` has two columns of one comparable type; nulls and self-loops are ignored and repeated edges
     count once. Returns (vertex, component) for vertices that have an edge. Alternating large-star and
     small-star steps halve path lengths each round; every round is written to the shared folder, so lineage
-    stays short and no edge list visits the driver.
+    stays short and no edge list visits the driver. Vertices with very many edges (fewer than 1,000 can have that many) are salted.
     """
     a, b = edges.columns[:2]
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u != v")
     e = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     for _ in range(max_rounds):
-        e = materialize(_star(_star(e, True), False).where("u != v").distinct())
-        n, h = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if (n, h) == mark:
+        n = e.count()
+        ends = e.select("u").union(e.select("v")).groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+        hubs = hot_keys(ends, "u", n)
+        last, e = e, materialize(_star(_star(e, True, hubs), False, hubs).where("u != v").distinct())
+        discard(last)
+        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == mark:
             break
-        mark = (n, h)
+        mark = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 
-def pointer_jump(parents: DataFrame, node: str = "node", parent: str = "parent", max_rounds: int = 6) -> DataFrame:
+def pointer_jump(parents: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
     """Root and depth of every node of a forest given as (node, parent), null parent for roots.
 
-    A parent that is not itself a node ends the chain and counts as the root. Doubling self-joins resolve
-    chains of up to ``2 ** max_rounds`` hops; nodes on a cycle never resolve and become their own root
-    with depth 0. Returns (node, root, depth).
+    A parent that is not itself a node ends the chain and counts as the root. Each doubling self-join halves the
+    chains that are left, until none is; pointers that still move after as many hops as there are nodes are on a
+    cycle or lead into one, and such nodes become their own root with depth 0. Returns (node, root, depth).
     """
     p = parents.select(F.col(node).alias("node"), F.col(parent).alias("parent")).dropDuplicates(["node"])
-    cur = p.select("node", F.coalesce("parent", "node").alias("up"), F.when(F.col("parent").isNull() | (F.col("parent") == F.col("node")), 0).otherwise(1).alias("hops"))
-    for _ in range(max_rounds):
-        nxt = cur.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("hops2"))
-        cur = materialize(cur.join(nxt, "up", "left").select("node", F.coalesce("up2", "up").alias("up"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops")))
-    top = p.select(F.col("node").alias("up"), F.col("parent").alias("above"))
-    done = F.col("above").isNull() | (F.col("above") == F.col("up"))
-    return cur.join(top, "up", "left").select("node", F.when(done, F.col("up")).otherwise(F.col("node")).alias("root"), F.when(done, F.col("hops")).otherwise(0).alias("depth"))
+    first = F.when(F.col("parent").isNull() | (F.col("parent") == F.col("node")), F.lit(0)).otherwise(1).cast("long")
+    # ``open`` says that the pointer may move on; hops count towards the depth
+    cur = materialize(p.select("node", F.coalesce("parent", "node").alias("up"), first.alias("hops"), (first > 0).alias("open")))
+    total, reach = cur.count(), 1
+    while reach <= 2 * total and not cur.where("open").isEmpty():
+        ahead = cur.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("hops2"), F.col("open").alias("open2"))
+        moved = cur.where("open").join(ahead, "up", "left")
+        moved = moved.select("node", F.coalesce("up2", "up").alias("up"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"), F.coalesce("open2", F.lit(False)).alias("open"))
+        last, cur = cur, materialize(cur.where("not open").unionByName(moved))
+        discard(last)
+        reach *= 2
+    return cur.select("node", F.when(~F.col("open"), F.col("up")).otherwise(F.col("node")).alias("root"), F.when(~F.col("open"), F.col("hops")).otherwise(0).alias("depth"))

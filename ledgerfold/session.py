@@ -14,6 +14,7 @@ def build(master: str = "local[8]", app: str = "ledgerfold", **conf: str) -> Spa
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
         "spark.ui.enabled": "false",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     builder = SparkSession.builder.master(master).appName(app)
@@ -23,27 +24,62 @@ def build(master: str = "local[8]", app: str = "ledgerfold", **conf: str) -> Spa
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """The folder all executors share (``spark.checkpoint.dir``).
+
+    Where none is set, a local session gets a temporary folder; on a cluster that would be one machine's, so it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         found = tempfile.mkdtemp(prefix="ledgerfold-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def lean(spark: SparkSession, limit: str = "4m") -> None:
-    """Bound Arrow batches by bytes, so that a Python worker's memory doesn't grow with the length of texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", limit)
+    """Bound Arrow batches by bytes, so that a Python worker's memory doesn't grow with the length of texts.
+
+    The bound must hold when a lazy result runs, so it stays in the session; a value that the user has set is left as it is.
+    """
+    if BATCH_BYTES not in spark.conf.getAll:
+        spark.conf.set(BATCH_BYTES, limit)
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/ledgerfold/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
 
     Unlike ``localCheckpoint`` the copy survives the loss of any executor, and unlike
-    ``checkpoint`` later reads still prune columns.
+    ``checkpoint`` later reads still prune columns. ``discard`` and ``clear_scratch`` remove the copies.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ledgerfold/{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove materialized tables that nothing reads any more, such as the last round's of a loop."""
+    for table in tables:
+        _remove(table.sparkSession, table.scratch_path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all tables that this application has materialized, once its results are stored elsewhere."""
+    _remove(spark, _scratch(spark))

@@ -1,6 +1,7 @@
 import random
 
-from ledgerfold.operators import graph, joins
+from ledgerfold import session
+from ledgerfold.operators import graph, joins, ordering, skew
 
 
 def union_find(pairs):
@@ -54,3 +55,43 @@ def test_copies_merge(spark):
     copy = spark.createDataFrame([("a", "1", "x"), ("a", "2", "z"), ("b", "1", "x"), ("b", "3", "q")], s)
     got = sorted(tuple(r) for r in joins.merge_copies(stored, copy).collect())
     assert got == [("a", "1", "x"), ("a", "2", "z"), ("b", "1", "x"), ("b", "2", "y"), ("b", "3", "q")]
+
+
+def test_pointer_jump_takes_chains_of_any_length_and_cycles(spark):
+    rows = [(i, i - 1 if i else None) for i in range(1000)] + [(2000, 2001), (2001, 2002), (2002, 2000), (2003, 2002), (3000, 3000), (3001, 9999)]
+    got = {r["node"]: (r["root"], r["depth"]) for r in graph.pointer_jump(spark.createDataFrame(rows, "node long, parent long")).collect()}
+    assert all(got[i] == (0, i) for i in range(1000))
+    assert all(got[i] == (i, 0) for i in (2000, 2001, 2002, 2003, 3000)) and got[3001] == (9999, 1)
+    assert graph.pointer_jump(spark.createDataFrame([], "node long, parent long")).count() == 0
+
+
+def test_components_with_a_hub(spark):
+    edges = [(7, i) for i in range(1000, 1600)] + [(1600 + i, 1601 + i) for i in range(5)] + [(1599, 3)]
+    got = {r["vertex"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[i] for i in (7, *range(1000, 1600))} == {3} and {got[i] for i in range(1600, 1606)} == {1600}
+
+
+def test_salted_join_equals_a_join(spark):
+    big = spark.createDataFrame([(i % 3 if i % 2 else 9, i) for i in range(600)], "k long, x long")
+    small = spark.createDataFrame([(0, "a"), (1, "b"), (9, "c")], "k long, y string")
+    for how in ("inner", "left"):
+        want = sorted(map(str, big.join(small, "k", how).collect()))
+        assert sorted(map(str, skew.salted_join(big, small, "k", [9, 1], how).collect())) == want
+
+
+def test_scratch_tables_are_removed(spark):
+    import os
+
+    t = session.materialize(spark.range(5))
+    assert t.count() == 5 and os.path.isdir(t.scratch_path)
+    session.discard(t)
+    assert not os.path.isdir(t.scratch_path)
+
+
+def test_numbered_rows(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([((i * 7919) % 1000, i) for i in range(1000)], "x long, y long").repartition(7)
+    got = ordering.numbered(df, [F.desc("x"), F.col("y")], "n").orderBy("n").collect()
+    assert [r["n"] for r in got] == list(range(1, 1001)) and [(-r["x"], r["y"]) for r in got] == sorted((-r["x"], r["y"]) for r in got)
+    assert ordering.numbered(df.limit(0), [F.col("x")]).count() == 0
