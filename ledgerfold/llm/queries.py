@@ -51,7 +51,7 @@ def op6_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=4, distance=4)
-    return out.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id", "n_links")
+    return out.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

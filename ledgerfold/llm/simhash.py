@@ -6,9 +6,9 @@ and their Hamming distance is verified there.
 
 Scale: equal fingerprints are collapsed first, so a group of exact copies is one row whatever its size.
 Keys and fingerprints are two longs per row. Buckets over ``max_bucket`` are keyed again on the bits that are
-still free, so a bucket that reaches a task is bounded: after three levels at most 2^20 distinct fingerprints
-can share one. Buckets emit a spanning forest of their links, never all pairs of a group, and components are
-found by star contraction in written rounds.
+still free, level by level, until none is larger: with 14 free bits no bucket can be, so a bucket that reaches a task is
+bounded. Buckets emit a spanning forest of their links, never all pairs of a group, and components are found by star
+contraction in written rounds.
 """
 
 from __future__ import annotations
@@ -46,15 +46,20 @@ def fingerprint(text: str | None, shingle_words: int = 5) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
-    """(doc_id, fp): fp holds the fingerprint's 64 bits as a signed long."""
+def _fingerprints_of(rows: DataFrame, first: str, shingle_words: int) -> DataFrame:
+    """(first column, fp) of (first column, text); ``first`` is the first column's name and type."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, shingle_words) for t in b["text"].to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], [b.schema.names[0], "fp"])
+
+    return rows.mapInArrow(run, f"{first}, fp long")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+
+def with_fingerprints(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
+    """(doc_id, fp): fp holds the fingerprint's 64 bits as a signed long."""
+    return _fingerprints_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id long", shingle_words)
 
 
 def block_masks(free: np.uint64 | int, distance: int, intact: int) -> list[int]:
@@ -159,49 +164,42 @@ def near_links(fps: DataFrame, distance: int = 4, max_bucket: int = 20_000, inta
     """Links (u, v) among distinct fingerprints that connect exactly what all pairs within ``distance`` connect.
 
     ``fps`` has one row per distinct fp. ``max_bucket`` only decides when a bucket is keyed again on its free
-    bits; no fingerprint is dropped and the links found do not depend on it.
+    bits; no fingerprint is dropped and what is connected does not depend on it.
     """
-    n = fps.count()
-    p = intact or choose_intact(n, distance)
-    rows = _keyed(fps.select(F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("used"), "fp"), distance, p)
-    if n <= max_bucket:
-        return _bucket_links(rows, distance).distinct()
-    rows, links = materialize(rows), None
-    for level in range(3):
-        hot = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_bucket).select("bucket") if level < 2 else None
-        hot = materialize(hot) if hot is not None else None
-        more = hot is not None and not hot.isEmpty()
+    p = intact or choose_intact(fps.count(), distance)
+    rows = materialize(_keyed(fps.select(F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("used"), "fp"), distance, p))
+    links = None
+    while True:
+        hot = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_bucket).select("bucket"))
+        more = not hot.isEmpty()
         now = _bucket_links(rows.join(hot, "bucket", "left_anti") if more else rows, distance)
         links = now if links is None else links.union(now)
         if not more:
-            break
+            return links.distinct()
         rows = materialize(_keyed(rows.join(hot, "bucket", "left_semi"), distance, p).distinct())
-    return links.distinct()
+
+
+def _named(marked: DataFrame, distance: int) -> DataFrame:
+    """(fp, component, low): each fingerprint's class, named by one of its fingerprints, and the least ``place`` of the fp."""
+    groups = materialize(marked.groupBy("fp").agg(F.min("place").alias("low")))
+    parts = connected_components(materialize(near_links(groups.select("fp"), distance))).withColumnRenamed("vertex", "fp")
+    return materialize(groups.join(parts, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "low"))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, distance: int = 7) -> DataFrame:
-    """Near-duplicate classes of whole texts: (doc_id, fp, component_id, n_links).
+    """Near-duplicate classes of whole texts: (doc_id, fp, component_id).
 
     ``component_id`` is the smallest doc_id reachable over links of at most ``distance`` differing bits, the
-    document itself included; ``n_links`` counts the links its fingerprint has in the spanning forests, 0 if
-    none (copies of one text share their fingerprint's). Null and blank texts have fingerprint 0 and are
-    linked like any other; texts shorter than a shingle hash their whole word sequence. Repeated rows stay,
-    rows with a null doc_id belong to a class but never name it. An empty table gives an empty result. Extra
-    columns are ignored. The defaults (five words, 7 bits) stand for a cosine of about 0.94 between shingle
-    counts, well over a similarity of 0.8.
+    document itself included. Null and blank texts have fingerprint 0 and are linked like any other; texts shorter than a
+    shingle hash their whole word sequence. Repeated rows stay, rows with a null doc_id belong to a class but never
+    name it. An empty table gives an empty result. Extra columns are ignored. The defaults (five words, 7 bits) stand for
+    a cosine of about 0.94 between shingle counts, well over a similarity of 0.8.
     """
     lean(docs.sparkSession)
     marked = materialize(with_fingerprints(docs, shingle_words))
-    groups = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    links = materialize(near_links(groups.select("fp"), distance))
-    degree = links.select("u").union(links.select("v")).groupBy("u").agg(F.count(F.lit(1)).alias("n_links")).withColumnRenamed("u", "fp")
-    parts = connected_components(links).withColumnRenamed("vertex", "fp")
-    low = groups.join(parts, "fp").groupBy("component").agg(F.min("low").alias("least"))
-    named = materialize(
-        groups.join(parts, "fp", "left").join(low, "component", "left").join(degree, "fp", "left")
-        .select("fp", F.coalesce("least", "low").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    )
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id", "n_links")
+    named = _named(marked.select("fp", F.col("doc_id").alias("place")), distance)
+    least = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    return marked.join(named.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp):
@@ -210,14 +208,21 @@ def hex_fingerprint(fp):
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, distance: int = 7) -> DataFrame:
-    """``docs`` with one document per class, the one with the smallest doc_id, all columns kept.
+    """``docs`` with one row per class, the one with the smallest (doc_id, text hash), all columns kept.
 
-    Rows that repeat a doc_id are one document, of which one row stays; rows with a null doc_id stay (they name no class).
+    A row's key is its doc_id and text, so rows that share an id with different texts are documents of their own; of rows equal in
+    both one stays. Null ids come after all others: such a row stays if no row of its class has an id and no other null one a smaller
+    hash. Null and blank texts are one class. An empty table gives an empty result; extra columns pass through, whatever their
+    names.
     """
+    lean(docs.sparkSession)
     cols = docs.columns
-    named = materialize(near_duplicates(docs, shingle_words, distance).where("doc_id = component_id").select("doc_id"))
-    keep = named.distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    if named.count() != keep.count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.select(cols).unionByName(docs.where("doc_id is null").select(cols))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"))
+    marked = materialize(_fingerprints_of(docs.select(key.alias("place"), F.col("text").cast("string").alias("text")), "place struct<none:boolean,id:long,hash:long>", shingle_words))
+    keep = _named(marked, distance).groupBy("component").agg(F.min("low").alias("place")).select("place")
+    same = marked.groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+    keep = materialize(same.join(keep, "place", "left_semi"))
+    whole = docs.select(F.struct(*[F.col(c) for c in cols]).alias("row"), key.alias("place"))
+    kept = whole.join(keep.hint("merge"), "place")
+    once = kept.where("n > 1").groupBy("place").agg(F.first("row").alias("row"))
+    return kept.where("n = 1").select("row").union(once.select("row")).select("row.*")

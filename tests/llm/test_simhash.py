@@ -48,7 +48,7 @@ def test_query_against_all_pairs(spark, data):
     assert dict(zip(got["doc_id"], got["fingerprint"], strict=True)) == {d: f"{f:016x}" for d, f in fps}
 
 
-@pytest.mark.parametrize("max_bucket", [20_000, 8])
+@pytest.mark.parametrize("max_bucket", [20_000, 70])
 @pytest.mark.parametrize("distance", [4, 7])
 def test_links_connect_what_all_pairs_connect(spark, max_bucket, distance):
     rng = random.Random(9)
@@ -82,8 +82,35 @@ def test_awkward_rows(spark):
     by = {d: c for d, c in zip(got["doc_id"], got["component_id"], strict=True) if d == d}
     assert by[0] == by[1] == by[2] == 0 and by[5] == by[6] == 5
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
-    kept = simhash.drop_near_duplicates(docs(spark, AWKWARD))
-    assert kept.columns == docs(spark, []).columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert ids.count(3) == 1 and 0 in ids and 1 not in ids and 6 not in ids and None in ids
-    assert kept.where(F.col("doc_id") == 7).count() == 1
+
+
+def kept_rows(rows, k=5, d=7):
+    """Brute force over all pairs: (doc_id, text) of the least row of each class, null ids last."""
+    fps = [brute(t, k) for _, t in rows]
+    label = classes(list(enumerate(fps)), d)
+    best = {}
+    for i, (doc, text) in enumerate(rows):
+        key = (doc is None, doc or 0, int(np.int64(np.uint64(xxhash.xxh64((text or "").encode(), seed=42).intdigest()))))
+        best[label[i]] = min(best.get(label[i], (key, i)), (key, i))
+    return sorted(((rows[i][0], rows[i][1] or "") for _, i in best.values()), key=str)
+
+
+def test_one_row_of_each_class_stays(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(300))
+    a, b, c = text(), text(), text()
+    cases = [
+        [(1, a), (1, b)], [(0, b), (1, a), (1, b)], [(5, a), (5, a), (4, a), (None, a)], [(None, a), (None, a), (None, b)], [(7, None), (6, ""), (8, " ")],
+        [(3, a), (9, a.replace("w1", "w2", 1)), (2, c), (2, c + " end"), (None, None)], [],
+    ]
+    for rows in cases:
+        df = docs(spark, rows).withColumnsRenamed({"fp": "place", "key": "n", "spans": "row"})
+        out = simhash.drop_near_duplicates(df)
+        assert out.columns == df.columns
+        assert sorted(((r["doc_id"], r["text"] or "") for r in out.collect()), key=str) == kept_rows(rows), rows
+
+
+def test_dropping_against_all_pairs(spark, data):
+    d = spark.read.parquet(f"{data}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in d.select("doc_id", "text").collect()]
+    assert sorted(((r["doc_id"], r["text"] or "") for r in simhash.drop_near_duplicates(d).collect()), key=str) == kept_rows(rows)
