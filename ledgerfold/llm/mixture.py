@@ -6,7 +6,7 @@ space of the balancing constraints (document count and word total), so both tota
 undecided documents of a source remain, the landing problem.
 
 Scale: words are counted by a built-in function in one pass; everything after it is a narrow row per document.
-A source is split into blocks by hash, each block flies on its own, and what it leaves (two documents at most)
+Every row has a key of its own from the first pass on. A source is split into blocks by hash, each block flies on its own, and what it leaves (two documents at most)
 flies again with the leftovers of other blocks, so a source with a third of all rows is spread over tasks.
 """
 
@@ -16,14 +16,17 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerfold.operators.ordering import numbered
 from ledgerfold.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 EDGE = 1e-9
-_FLIGHT = "doc_id long, size long, source_key string, block long, p double"
+#: More repeated (doc_id, size) groups than this aren't broadcast; all units are then spread by row.
+SAME_ROWS = 20_000
+_FLIGHT = "row_id long, doc_id long, size long, source_key string, block long, p double"
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
@@ -33,9 +36,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), mos
     times its source's size stops there and the excess is shared again by weight among the rest. Each
     round of sharing is one aggregate over the source table; only its two sums reach the driver.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.array(*[F.lit(float(x)) for x in weights])
-    t = sizes.select("*", (F.row_number().over(order) - 1).alias("at"))
+    t = numbered(sizes, [F.col("source").asc_nulls_last()], "at").withColumn("at", F.col("at") - 1)
     t = materialize(t.select("source", "source_key", "source_size", F.element_at(w, (F.col("at") % len(weights) + 1).cast("int")).alias("weight"), (F.col("source_size") * most).alias("cap")))
     total = t.agg(F.sum("source_size")).first()[0] or 0
     level = 0.0  # every source gets the smaller of its cap and its weight times the level
@@ -121,7 +123,7 @@ def land(size: np.ndarray, p: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 def _fly(last: bool):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "size", "p"], kind="stable", na_position="first").reset_index(drop=True)
+        pdf = pdf.sort_values(["doc_id", "size", "p", "row_id"], kind="stable", na_position="first").reset_index(drop=True)
         seed = hashlib.blake2b(repr(key).encode(), digest_size=8).digest()
         order = np.random.default_rng(int.from_bytes(seed, "little"))
         pdf = pdf.iloc[order.permutation(len(pdf))]
@@ -133,57 +135,74 @@ def _fly(last: bool):
 
 
 def draw(units: DataFrame, block_rows: int = 1000) -> DataFrame:
-    """Decide every unit of (doc_id, size, source_key, p): returns (doc_id, size, source_key, p) with p 0 or 1.
+    """Decide every unit of (row_id, doc_id, size, source_key, p): returns (row_id, p) with p 0 or 1.
 
     Blocks are rounds of a tree: ``block_rows`` units fly together, their leftovers join those of other blocks of
-    the source, until one block per source is left, which lands.
+    the source, until one block per source is left, which lands. Units of equal doc_id and size lie in one block; where there are more
+    than ``block_rows`` of them they are spread by row_id.
     """
     sizes = units.groupBy("source_key").agg(F.count(F.lit(1)).alias("n"))
     now = units.join(F.broadcast(sizes) if sizes.count() <= 20_000 else sizes, "source_key")
-    spread = F.pmod(F.xxhash64("doc_id", "size"), F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows)).cast("long"))
-    now = now.select("doc_id", "size", "source_key", spread.alias("block"), "p")
+    spread = lambda *by: F.pmod(F.xxhash64(*by), F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows)).cast("long"))
+    same = materialize(units.groupBy("doc_id", "size").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block_rows).limit(SAME_ROWS + 1))
+    block = spread("doc_id", "size")
+    if (found := same.count()) > SAME_ROWS:
+        block = spread("row_id")
+    elif found:
+        many = same.select(F.xxhash64("doc_id", "size").alias("h")).distinct().withColumn("many", F.lit(True))
+        now = now.withColumn("h", F.xxhash64("doc_id", "size")).join(F.broadcast(many), "h", "left")
+        block = F.when(F.col("many"), spread("row_id")).otherwise(block)
+    now = now.select("row_id", "doc_id", "size", "source_key", block.alias("block"), "p")
     done = None
     while True:
         last = now.select(F.max("block")).first()[0] in (None, 0)
         flown = materialize(now.groupBy("source_key", "block").applyInPandas(_fly(last), _FLIGHT))
-        settled = flown if last else flown.where("p = 0 or p = 1")
+        settled = (flown if last else flown.where("p = 0 or p = 1")).select("row_id", "p")
         done = settled if done is None else done.union(settled)
         if last:
-            return done.select("doc_id", "size", "source_key", "p")
+            return done
         left = flown.where("p > 0 and p < 1")
         # two leftovers a block at most: half a block's worth of blocks meets again
-        now = materialize(left.select("doc_id", "size", "source_key", F.floor(F.col("block") / (block_rows // 2)).cast("long").alias("block"), "p"))
+        now = materialize(left.select("row_id", "doc_id", "size", "source_key", F.floor(F.col("block") / (block_rows // 2)).cast("long").alias("block"), "p"))
 
 
-def mix_counts(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, block_rows: int = 1000) -> DataFrame:
-    """How often the mix takes each document: (doc_id, size, source_size, target, copies, taken).
-
-    ``size`` counts runs of characters other than white space; ``taken`` is copies times size. Null texts have size 0
-    and are drawn like others of their source; a null source is a source of its own, last in order. A source
-    of size 0 has target 0 and takes nothing. Repeated rows are drawn each on its own, ties break by doc_id, extra columns
-    are ignored, reruns agree, and an empty table gives an empty result. No count exceeds ``most``.
-    """
+def _sized(docs: DataFrame, *more) -> DataFrame:
+    """(row_id, doc_id, source, source_key, size, ...) of every row, written once so that row_id stays."""
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("source_key"), size.alias("size")))
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("source_key"), size.alias("size"), *more))
+
+
+def _counts(rows: DataFrame, weights: tuple[float, ...], most: float, block_rows: int) -> DataFrame:
+    """(row_id, doc_id, size, source_size, target, copies) of sized rows."""
     per = rows.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     targets = materialize(source_targets(per, weights, most))
     few = F.broadcast(targets) if targets.count() <= 20_000 else targets
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    share = rows.join(few, "source_key").withColumn("ratio", F.least(ratio, F.lit(float(most))))
-    share = share.select("doc_id", "size", "source_key", F.floor(F.col("ratio") + EDGE).cast("long").alias("base"), "ratio")
-    units = share.select("doc_id", "size", "source_key", F.greatest(F.lit(0.0), F.col("ratio") - F.col("base")).alias("p"))
-    drawn = draw(units, block_rows).join(few, "source_key").withColumn("ratio", F.least(ratio, F.lit(float(most))))
-    copies = F.floor(F.col("ratio") + EDGE).cast("long") + F.round("p").cast("long")
-    return drawn.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    share = rows.select("row_id", "doc_id", "size", "source_key").join(few, "source_key").withColumn("ratio", F.least(ratio, F.lit(float(most))))
+    base = F.floor(F.col("ratio") + EDGE).cast("long")
+    drawn = draw(share.select("row_id", "doc_id", "size", "source_key", F.greatest(F.lit(0.0), F.col("ratio") - base).alias("p")), block_rows)
+    return share.join(drawn, "row_id").select("row_id", "doc_id", "size", "source_size", "target", (base + F.round("p").cast("long")).alias("copies"))
+
+
+def mix_counts(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, block_rows: int = 1000) -> DataFrame:
+    """How often the mix takes each document: (doc_id, size, source_size, target, copies, taken).
+
+    ``size`` counts runs of characters other than white space; ``taken`` is copies times size. Null texts have size 0
+    and are drawn like others of their source; a null source is a source of its own, last in order. A source
+    of size 0 has target 0 and takes nothing. Repeated rows, also those with a null doc_id, are drawn each on its own, ties break
+    by doc_id, extra columns are ignored, reruns agree, and an empty table gives an empty result. No count exceeds ``most``.
+    """
+    drawn = _counts(_sized(docs), weights, most, block_rows)
+    return drawn.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
-    """``docs`` as the mix takes it: every row as often as drawn, all columns kept.
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, block_rows: int = 1000) -> DataFrame:
+    """``docs`` as the mix takes it: every row as often as it was drawn, all columns kept, whatever their names.
 
-    Rows that repeat a doc_id all take the largest count drawn for it; rows with a null doc_id are not taken.
+    Each row is drawn on its own, so rows that repeat an id and rows without one take part like all others.
     """
-    cols = docs.columns
-    counts = mix_counts(docs, weights, most).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("mix_copies"))
-    times = F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("mix_copy")
-    return docs.join(counts, "doc_id").select(*[docs[c] for c in cols], times).select(cols)
+    rows = _sized(docs, F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    counts = _counts(rows, weights, most, block_rows).where("copies > 0").select("row_id", "copies")
+    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return rows.select("row_id", "row").join(counts.hint("merge"), "row_id").select("row", times.alias("time")).select("row.*")

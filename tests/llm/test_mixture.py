@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -49,13 +50,13 @@ def test_caps_and_excess(spark):
 
 def test_many_blocks_of_one_source(spark):
     rng = np.random.default_rng(4)
-    rows = [(int(i), int(s), "a", 0.3) for i, s in enumerate(rng.pareto(1.2, 3000) * 50 + 1)]
-    units = spark.createDataFrame(rows, "doc_id long, size long, source_key string, p double")
+    rows = [(int(i), int(i), int(s), "a", 0.3) for i, s in enumerate(rng.pareto(1.2, 3000) * 50 + 1)]
+    units = spark.createDataFrame(rows, "row_id long, doc_id long, size long, source_key string, p double")
     got = mixture.draw(units, block_rows=20).collect()
     assert len(got) == 3000 and {r["p"] for r in got} == {0.0, 1.0}
-    want = 0.3 * sum(r[1] for r in rows)
+    want = 0.3 * sum(r[2] for r in rows)
     # what no exchange can close is less than the longest document
-    assert abs(sum(r["size"] * r["p"] for r in got) - want) < max(0.01 * want, max(r[1] for r in rows) / 2)
+    assert abs(sum(rows[r["row_id"]][2] * r["p"] for r in got) - want) < max(0.01 * want, max(r[2] for r in rows) / 2)
     assert abs(sum(r["p"] for r in got) - 900) < 30
 
 
@@ -71,6 +72,27 @@ def test_awkward_rows(spark):
     assert mixture.mix_counts(d).count() == len(AWKWARD)
     assert mixture.mix_counts(docs(spark, [])).count() == 0 and mixture.mix(docs(spark, [])).count() == 0
     out = mixture.mix(d)
-    assert out.columns == d.columns and out.where("doc_id is null").count() == 0
-    most = out.groupBy("doc_id").count().agg(F.max("count")).first()[0]
-    assert most <= 6
+    assert out.columns == d.columns and out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 6
+
+
+def test_mix_takes_each_row_as_drawn(spark):
+    """Brute force: the mix holds every row ``copies`` times, repeated and null ids, clashing columns and all."""
+    rows = [(1, "a b c"), (1, "d e"), (1, "d e"), (None, "f g h"), (None, "i"), (2, None), (3, "j k l m"), (4, "n " * 50)]
+    d = docs(spark, rows, ["a", "b", "b", "b", "a", None, None, "c"]).withColumnsRenamed({"fp": "mix_copies", "key": "row_id", "spans": "row"})
+    got = mixture.mix(d)
+    assert got.columns == d.columns
+    taken, want = Counter((r["doc_id"], len((r["text"] or "").split())) for r in got.collect()), Counter()
+    for r in mixture.mix_counts(d).collect():
+        want[r["doc_id"], r["size"]] += r["copies"]
+    assert taken == +want and sum(want.values()) > 4
+
+
+def test_rows_that_repeat_without_end_are_spread(spark):
+    d = docs(spark, [(7, "a b c")] * 900 + [(None, "d e")] * 900 + [(i, "x " * (i % 9 + 1)) for i in range(600)], ["a"] * 1800 + ["b"] * 600)
+    got = mixture.mix_counts(d, block_rows=50).toPandas()
+    assert len(got) == 2400
+    for _, g in got.groupby("target"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 0.01 * g["target"].iloc[0] + 3
+    again = mixture.mix_counts(d, block_rows=50).toPandas()
+    order = ["doc_id", "size", "taken"]
+    assert got.sort_values(order)[order].reset_index(drop=True).equals(again.sort_values(order)[order].reset_index(drop=True))
