@@ -9,7 +9,7 @@ Scale: one pass emits a narrow row per multi-line chunk (digest and place, no te
 map-side aggregation. Only documents that hold a repeated digest send text on: the bytes of those chunks are
 compared by grouping on the text itself, again pre-aggregated, so a passage in a third of all documents is one row
 per task. Whole texts are shuffled twice, compressed. A document's own list of chunks is the largest thing gathered in
-one place. Joins are merge joins at every size, which AQE may split but not turn into broadcasts.
+one place. Joins are merge joins at every size, and the places of digests that very many chunks have are salted over tasks.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerfold.operators.skew import hot_keys, salted_join
 from ledgerfold.session import lean, materialize
 
 
@@ -88,7 +89,7 @@ def _unpacked(z: list[bytes | None]) -> list[str | None]:
     return [None if x is None else open_(x).decode("utf-8", "surrogatepass") for x in z]
 
 
-def _chunk_rows(rows: DataFrame, window: int, one_in: int, most: int, every_pair: bool) -> DataFrame:
+def _chunk_rows(rows: DataFrame, window: int, one_in: int, most: int, every_pair: bool, digits: int) -> DataFrame:
     """(doc_id, text_hash, start, stop, digest) of all chunks of two lines or more; the last line end isn't digested."""
     names = ["doc_id", "text_hash", "start", "stop", "digest"]
 
@@ -99,7 +100,7 @@ def _chunk_rows(rows: DataFrame, window: int, one_in: int, most: int, every_pair
                 for a, z, n in line_pairs(text or "") if every_pair else line_chunks(text or "", window, one_in, most):
                     if n >= 2:
                         digest = xxhash.xxh3_128_hexdigest(text[a:z].rstrip("\n").encode("utf-8", "surrogatepass"))
-                        out.append((doc, key, a, z, digest))
+                        out.append((doc, key, a, z, digest[:digits]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             cols = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
@@ -124,34 +125,46 @@ def _pieces(held: DataFrame) -> DataFrame:
     return held.mapInArrow(run, "digest string, piece string, at struct<doc_id:long,text_hash:long,start:long>")
 
 
-def repeated_chunks(docs: DataFrame, window: int = 2, one_in: int = 3, most: int = 16, every_pair: bool = False) -> DataFrame:
-    """Chunks to remove: (doc_id, text_hash, start, stop, first_doc_id). Of each repeated chunk the first place stays."""
+def repeated_chunks(docs: DataFrame, window: int = 2, one_in: int = 3, most: int = 16, every_pair: bool = False, digits: int = 32) -> DataFrame:
+    """Chunks to remove: (doc_id, text_hash, start, stop, first_doc_id). Of each repeated chunk the first place stays.
+
+    Texts decide: where one digest (``digits`` hex digits) stands for several texts, each text has a first place of its own.
+    """
     lean(docs.sparkSession)
     rows = _rows(docs)
-    chunks = materialize(_chunk_rows(rows, window, one_in, most, every_pair).distinct())
-    again = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    found = materialize(chunks.join(again.hint("merge"), "digest"))
+    chunks = materialize(_chunk_rows(rows, window, one_in, most, every_pair, digits).distinct())
+    again = materialize(chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    hot = hot_keys(again, "digest", chunks.count())
+    found = materialize(salted_join(chunks, again.select("digest"), "digest", hot))
     held = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("digest", "start", "stop")).alias("spans"))
     # a repeated row's pieces come twice, at one place: they change neither the texts nor the first place
     pieces = _pieces(_packed(rows.where("doc_id is not null")).join(held.hint("merge"), ["doc_id", "text_hash"]))
     equal = pieces.groupBy("digest", "piece").agg(F.min("at").alias("first_at"))
-    # a digest with two different pieces is a collision: its bytes differ, so nothing of it is removed
-    sure = equal.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.min("first_at").alias("first_at")).where("texts = 1")
-    away = found.join(sure.hint("merge"), "digest").where(~F.struct("doc_id", "text_hash", "start").eqNullSafe(F.col("first_at")))
-    return materialize(away.select("doc_id", "text_hash", "start", "stop", F.col("first_at.doc_id").alias("first_doc_id")))
-
-
-def dedup_lines(docs: DataFrame, window: int = 2, one_in: int = 3, most: int = 16, every_pair: bool = False) -> DataFrame:
-    """``docs`` with repeated multi-line chunks cut from ``text``, and two more columns: n_removed, removed_chars.
+    first = materialize(equal.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.min("first_at").alias("first_at")))
+    place = F.struct("doc_id", "text_hash", "start")
+    sure = first.where("texts = 1").select("digest", "first_at")
+    away = salted_join(found, sure, "digest", hot).where(~place.eqNullSafe(F.col("first_at"))).select("doc_id", "text_hash", "start", "stop", F.col("first_at.doc_id").alias("first_doc_id"))
+    shared = first.where("texts > 1").select("digest")
+    if not shared.isEmpty():
+        mixed = pieces.join(shared.hint("merge"), "digest")
+        own = mixed.groupBy("digest", "piece").agg(F.min("at").alias("first_at"))
+        told = mixed.join(own.hint("merge"), ["digest", "piece"]).where(~F.col("at").eqNullSafe(F.col("first_at"))).select("at.*", F.col("first_at.doc_id").alias("first_doc_id")).distinct()
+        away = away.unionByName(found.select("doc_id", "text_hash", "start", "stop").join(told.hint("merge"), ["doc_id", "text_hash", "start"]))
+    return materialize(away)
+
+
+def dedup_lines(docs: DataFrame, window: int = 2, one_in: int = 3, most: int = 16, every_pair: bool = False, digits: int = 32, counts: tuple[str, str] = ("n_removed", "removed_chars")) -> DataFrame:
+    """``docs`` with repeated multi-line chunks cut from ``text``, and two more columns, named by ``counts``: n_removed, removed_chars.
 
     A chunk has two lines or more that aren't blank. The first place of a repeated chunk (smallest doc_id, then first in the text) keeps
     it. By content-defined borders a passage that starts or ends inside a chunk stays there; with ``every_pair`` all lines of every
     run of two lines or more that came before are cut, the first place of each line stays, and n_removed counts pairs. Null, empty and one-line texts never change; rows with a null doc_id are left as they are and count for nobody;
     rows that repeat a doc_id and text count once and change alike. Line ends inside what stays are kept as they were.
-    Other columns pass through, also ones named like the helpers here. An empty table gives an empty result.
+    Other columns pass through, also ones named like the helpers here; columns that have the names in ``counts`` are replaced. An empty
+    table gives an empty result.
     """
-    cols = docs.columns
-    away = repeated_chunks(docs, window, one_in, most, every_pair)
+    cols = [c for c in docs.columns if c not in counts]
+    away = repeated_chunks(docs, window, one_in, most, every_pair, digits)
     spans = away.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     row = F.struct(*[F.lit(None).cast("string").alias(c) if c == "text" else F.col(c) for c in cols]).alias("row")
     text = F.col("text").cast("string")
@@ -181,4 +194,4 @@ def dedup_lines(docs: DataFrame, window: int = 2, one_in: int = 3, most: int = 1
             yield pa.RecordBatch.from_arrays([b["row"], pa.array(texts, pa.string()), pa.array(removed, pa.int64()), pa.array(gone, pa.int64())], ["row", "text", "n_removed", "removed_chars"])
 
     cut = joined.select("row", "z", "spans").mapInArrow(run, f"row {kind}, text string, n_removed long, removed_chars long")
-    return cut.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in cols], F.col("n_removed"), F.col("removed_chars"))
+    return cut.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in cols], F.col("n_removed").alias(counts[0]), F.col("removed_chars").alias(counts[1]))
