@@ -128,3 +128,82 @@ def test_every_repeated_run_of_lines_is_cut(spark):
     assert got[0] == rows[0] and got[50] == "" and got[51] == rows[51] and got[52] == line(5000) + "\n"
     for k in range(1, 50):
         assert got[k].split("\n") == [line(1000 + k), line(2000 + k)]
+
+
+def test_line_columns_may_have_any_name(spark):
+    rows = ["one line\nand two", "one line\nand two", None]
+    d = docs(spark, rows).withColumnsRenamed({"fp": "n_removed", "key": "removed_chars", "spans": "row", "lang": "z"})
+    got = lines.dedup_lines(d)
+    assert got.columns == [c for c in d.columns if c not in ("n_removed", "removed_chars")] + ["n_removed", "removed_chars"]
+    assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in got.collect()} == {0: (rows[0], 0), 1: ("", 1), 2: (None, 0)}
+    kept = lines.dedup_lines(d, counts=("a", "b")).where("doc_id = 0").first()
+    assert (kept["n_removed"], kept["removed_chars"], kept["row"], kept["a"]) == ("x", 1, "y", 0)
+
+
+def test_texts_decide_where_digests_collide(spark):
+    rng = np.random.default_rng(7)
+    rows = ["\n".join(f"line {rng.integers(0, 12)}" for _ in range(8)) for _ in range(40)]
+    for pairs in (False, True):
+        want = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs(spark, rows), every_pair=pairs).collect()}
+        assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs(spark, rows), every_pair=pairs, digits=1).collect()} == want
+        assert any(want[i] != t for i, t in enumerate(rows))
+
+
+def test_a_very_common_line_pair(spark):
+    rows = [f"head {i}\nthe same line\nand the next\ntail {i}" for i in range(400)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs(spark, rows), every_pair=True).collect()}
+    assert got[0] == rows[0] and all(got[i] == f"head {i}\ntail {i}" for i in range(1, 400))
+
+
+def brute_passages(rows, min_words=20, min_bytes=240):
+    """Spans by plain loops over (doc_id, text): chunks by digest of their bytes, runs of shared chunks, cut where the first place changes."""
+    where, chunks = defaultdict(set), {}
+    for doc, text in rows:
+        raw, at, own = (text or "").encode(), 0, []
+        for z in substring.cut_points(raw).tolist():
+            own.append((at, z))
+            where[raw[at:z]].add(doc)
+            at = z
+        chunks[doc] = raw, own
+    out = set()
+    for doc, (raw, own) in chunks.items():
+        run = []
+        for a, z in [*own, (None, None)]:
+            docs_ = where[raw[a:z]] if a is not None else ()
+            if len(docs_) > 1:
+                run.append((a, z, min(docs_)))
+                continue
+            big = lambda parts: sum(substring.word_ends(raw[p[0] : p[1]]) for p in parts) >= min_words or parts[-1][1] - parts[0][0] >= min_bytes
+            if run and big(run):
+                parts = [[run[0]]]
+                for c in run[1:]:
+                    if (c[2] == doc) == (parts[-1][-1][2] == doc):
+                        parts[-1].append(c)
+                    else:
+                        parts.append([c])
+                for part in parts:
+                    kept = part[0][2] == doc
+                    if not kept or big(part):
+                        out.add((doc, part[0][0], part[-1][1], len(part), min(c[2] for c in part), kept))
+            run = []
+    return out
+
+
+def spans_of(df):
+    return {(r["doc_id"], r["start"], r["stop"], r["n_chunks"], r["first_doc_id"], r["kept"]) for r in df.collect()}
+
+
+def test_passages_against_brute_force(spark, data):
+    d = spark.read.parquet(f"{data}/documents.parquet")
+    assert spans_of(queries.op2_substring_dedup(spark, data)) == brute_passages([(r["doc_id"], r["text"]) for r in d.collect()]) != set()
+
+
+def test_passages_without_spaces(spark):
+    rng = np.random.default_rng(5)
+    han = lambda n: "".join(chr(0x4E00 + int(i)) for i in rng.integers(0, 5000, n))
+    shared, base = han(3000), "".join(chr(97 + int(i)) for i in rng.integers(0, 26, 2000))
+    short = han(120)
+    rows = [han(50) + shared, shared + han(70), "x" + base, base + "yy", han(200), han(90) + short + han(90), han(80) + short + han(60)]
+    got = substring.repeated_passages(docs(spark, rows))
+    assert {r["doc_id"] for r in got.collect()} == {0, 1, 2, 3, 5, 6}
+    assert spans_of(got) == brute_passages(list(enumerate(rows)))
