@@ -110,25 +110,21 @@ FROM doc d LEFT JOIN base ON base.doc_id = d.doc_id LEFT JOIN named ON named.doc
 """
 
 
-SQL: dict[str, str] = {
-    "op8_license_scans": _license_sql(),
-    "op6_bit_sliced_topk": """
-WITH fine AS (
-  SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-scores AS (
-  SELECT a.row_id AS query_row, a.vec_id AS query_id, b.vec_id AS vec_id, b.row_id AS row_id,
-    CAST(coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda p: CAST(p[1] AS HUGEINT) * p[2])), 0) AS BIGINT) AS score
-  FROM fine a JOIN fine b ON a.row_id <> b.row_id WHERE a.vec_id % 50 = 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id, row_id) AS rank FROM scores)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
-""",
-    "op9_url_filters": r"""
+def _url_sql() -> str:
+    """The listed rules on host and path, and the method's globs as LIKE patterns on the canonical URL."""
+    plain = lambda glob: glob.replace("\\", "\\\\").replace("_", "\\_").replace("%", "\\%").replace("*", "%")
+    globs = ", ".join(f"('{plain(h)}', '{plain(p)}')" for h, p in urls.BLOCK_GLOBS)
+    read = "path"
+    for c in urls.UNRESERVED:
+        for code in sorted({f"%{ord(c):02x}", f"%{ord(c):02X}"}):
+            read = f"replace({read}, '{code}', '{c}')"
+    lower = f"translate({{}}, '{licenses.UPPER}', '{licenses.LOWER}')"
+    return rf"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 stem AS (SELECT page_id, regexp_extract(rest, '^[^?#]*') AS rest FROM cut),
 parts AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, {lower.format("regexp_extract(rest, '^[^/]*')")} AS host,
          CASE WHEN strpos(rest, '/') > 0 THEN substr(rest, strpos(rest, '/')) ELSE '' END AS path FROM stem),
 ruled AS (
   SELECT page_id, host, path, CASE
@@ -136,12 +132,38 @@ ruled AS (
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7'
     WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/en/') THEN 'com/en/'
     WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/de/') THEN 'net/de/'
-    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM parts)
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM parts),
+escaped AS (
+  SELECT *, '.' || regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.+$', '') AS chost, {lower.format(read)} AS cpath FROM ruled),
+segments AS (
+  SELECT *, string_split(regexp_replace(cpath, '/+', '/', 'g'), '/')[2:] AS segs FROM escaped),
+walked AS (
+  SELECT *, list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(segs, lambda x: [x])),
+    lambda a, x: CASE WHEN x[1] = '..' THEN a[1:greatest(len(a) - 1, 0)] WHEN x[1] = '.' THEN a ELSE list_concat(a, x) END) AS kept FROM segments),
+canon AS (
+  SELECT *, CASE WHEN strpos(cpath, '//') = 0 AND strpos(cpath, '/.') = 0 THEN cpath
+    ELSE '/' || array_to_string(kept, '/') || CASE WHEN segs[-1] IN ('.', '..') AND len(kept) > 0 THEN '/' ELSE '' END END AS tidy FROM walked),
+globs(h, p) AS (VALUES {globs}),
+bad AS (SELECT DISTINCT chost, tidy FROM canon, globs WHERE chost LIKE h ESCAPE '' AND tidy LIKE p ESCAPE '')
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow'
-    WHEN rule IS NOT NULL THEN 'block'
-    WHEN host LIKE '%cheap-pills%' OR host LIKE '%casino%' OR host LIKE '%porn%' OR host LIKE '%viagra%'
-      OR path LIKE '%.exe' OR path LIKE '%.zip' THEN 'block' ELSE 'allow' END AS verdict
-FROM ruled
+    WHEN rule IS NOT NULL OR bad.chost IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM canon LEFT JOIN bad ON bad.chost = canon.chost AND bad.tidy = canon.tidy
+"""
+
+
+SQL: dict[str, str] = {
+    "op8_license_scans": _license_sql(),
+    "op6_bit_sliced_topk": """
+WITH fine AS (
+  SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.row_id AS query_row, a.vec_id AS query_id, b.vec_id AS vec_id, b.row_id AS row_id,
+    CAST(coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda p: CAST(p[1] AS HUGEINT) * p[2])), 0) AS BIGINT) AS score
+  FROM fine a JOIN fine b ON a.row_id <> b.row_id WHERE a.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id, row_id) AS rank FROM scores)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """,
+    "op9_url_filters": _url_sql(),
 }
