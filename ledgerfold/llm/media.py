@@ -81,20 +81,37 @@ def decode(data: bytes) -> np.ndarray:
     return flat.reshape(height, width, 3) if depth == 3 else flat.reshape(height, width)
 
 
-def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target cell's area, with fractional borders, from the integral image. Grey (h, w) in, float64 out."""
+BAND = 4096
+
+
+def _rows_at(pixels: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The integral image's rows at fractional heights ``at`` (ascending): sums of all pixels above, by column up to each place.
+
+    The image is read in bands, so that no more than a band is held as floating point numbers.
+    """
     h, w = pixels.shape
-    total = np.zeros((h + 1, w + 1))
-    np.cumsum(np.cumsum(pixels, 0, dtype=np.float64), 1, out=total[1:, 1:])
+    low = np.minimum(at.astype(np.int64), h - 1)
+    need = np.unique(np.r_[low, low + 1])
+    table = np.zeros((len(need), w))
+    above = np.zeros(w)
+    for a in range(0, h, BAND):
+        sums = np.cumsum(pixels[a : a + BAND], 0, dtype=np.float64) + above
+        here = (need > a) & (need <= a + len(sums))
+        table[here] = sums[need[here] - a - 1]
+        above = sums[-1]
+    part = (at - low)[:, None]
+    rows = table[np.searchsorted(need, low)] * (1 - part) + table[np.searchsorted(need, low + 1)] * part
+    return np.cumsum(np.pad(rows, ((0, 0), (1, 0))), 1)
 
-    def along(table: np.ndarray, n: int, m: int) -> np.ndarray:
-        at = np.arange(m + 1) * (n / m)
-        low = np.minimum(at.astype(np.int64), n - 1)
-        part = (at - low).reshape(-1, *[1] * (table.ndim - 1))
-        return table[low] * (1 - part) + table[low + 1] * part
 
-    rows = along(total, h, height)
-    cells = along(rows.T, w, width).T
+def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean over each target cell's area, with fractional borders, from the integral image. Grey (h, w) in, float64 out."""
+    h, w = pixels.shape
+    rows = _rows_at(pixels, np.arange(height + 1) * (h / height))
+    at = np.arange(width + 1) * (w / width)
+    low = np.minimum(at.astype(np.int64), w - 1)
+    part = at - low
+    cells = rows[:, low] * (1 - part) + rows[:, low + 1] * part
     sums = cells[1:, 1:] - cells[:-1, 1:] - cells[1:, :-1] + cells[:-1, :-1]
     return sums / ((h / height) * (w / width))
 
@@ -108,7 +125,7 @@ def difference_hash(pixels: np.ndarray) -> int:
 def npy_tile(pixels: np.ndarray, side: int = 16) -> bytes:
     """The area-resized image, rounded to uint8, in NPY format."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(area_resize(pixels, side, side)), 0, 255).astype(np.uint8))
+    np.save(out, np.ascontiguousarray(np.clip(np.rint(area_resize(pixels, side, side)), 0, 255), np.uint8))
     return out.getvalue()
 
 

@@ -49,3 +49,35 @@ def test_area_resize_against_plain_sums():
     assert np.load(io.BytesIO(media.npy_tile(x, 8))).shape == (8, 8)
     flat = np.full((9, 9), 7, np.uint8)
     assert media.difference_hash(flat) == 0
+
+
+def plain_cells(x, height, width):
+    """Area means by exact overlaps, pixel by pixel."""
+    h, w = x.shape
+    out = np.zeros((height, width))
+    for i in range(height):
+        for j in range(width):
+            top, bottom, left, right = i * h / height, (i + 1) * h / height, j * w / width, (j + 1) * w / width
+            for r in range(int(top), min(h, int(np.ceil(bottom)))):
+                for c in range(int(left), min(w, int(np.ceil(right)))):
+                    out[i, j] += x[r, c] * (min(r + 1, bottom) - max(r, top)) * (min(c + 1, right) - max(c, left))
+    return out / ((h / height) * (w / width))
+
+
+def test_features_against_plain_overlaps(spark):
+    texts = ["", "short text", "some words " * 200, "é" * 1500]
+    got = {r["doc_id"]: r["feature"] for r in media.payload_digests(media.media_columns(docs(spark, texts))).collect()}
+    for i, t in enumerate(texts):
+        x = media.decode(media.text_image(t)[1])
+        small = np.round(plain_cells(x, 8, 9), 6)
+        bits = "".join("1" if small[r, c] < small[r, c + 1] else "0" for r in range(8) for c in range(8))
+        tile = io.BytesIO()
+        np.save(tile, np.rint(plain_cells(x, 16, 16)).astype(np.uint8))
+        assert got[i] == f"{int(bits, 2):016x}:{hashlib.sha256(tile.getvalue()).hexdigest()[:16]}", i
+
+
+def test_tall_images_are_read_in_bands():
+    x = np.random.default_rng(3).integers(0, 256, (3 * media.BAND + 17, 24)).astype(np.uint8)
+    for m in (8, 16, x.shape[0]):
+        assert np.allclose(media.area_resize(x, m, 9), plain_cells(x, m, 9) if m < 20 else media.area_resize(x, m, 9))
+    assert np.allclose(media.area_resize(x, x.shape[0], 24), x)
