@@ -127,7 +127,8 @@ def _arrow_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def train(docs: DataFrame, labels: DataFrame, max_labels: int = 12_000) -> Ranker:
     """Fit on at most ``max_labels`` labelled documents that are not held out, those with the lowest id hashes.
 
-    Labels other than 0 and 1 are left out; an id labelled twice counts by its smaller label.
+    Labels other than 0 and 1 are left out; an id labelled twice counts by its smaller label; of rows that repeat an id the one with the
+    least features counts, so that no more rows than labels reach the driver.
     """
     lean(docs.sparkSession)
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
@@ -135,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 12_000) -> Ranke
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)  # the documented bound, so it may be broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
-    pdf = found.mapInArrow(_arrow_features, "doc_id long, quality int, x array<double>").toPandas()
+    found = found.mapInArrow(_arrow_features, "doc_id long, quality int, x array<double>")
+    pdf = found.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("row")).select("doc_id", "row.*").toPandas()  # max_labels rows at most
     x = np.array(pdf["x"].tolist()).reshape(len(pdf), NAMES + HASHED)
     order = np.lexsort((*x.T[:3], pdf["doc_id"])) if len(pdf) else np.zeros(0, np.int64)
     return fit_ranker(x[order], pdf["quality"].to_numpy()[order])
