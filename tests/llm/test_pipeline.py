@@ -1,7 +1,11 @@
+from collections import Counter
+
 import corpus_pipeline
 
-from ledgerfold.llm import lines, quality
-from tests.llm.helpers import docs
+from ledgerfold.llm import lines, mixture, quality
+from tests.llm.helpers import AWKWARD, docs
+from tests.llm.test_packing import check
+from tests.llm.test_simhash import kept_rows
 
 
 def test_stages_in_order_and_columns(spark):
@@ -55,3 +59,54 @@ def test_line_stage_leaves_no_repeated_run_of_lines(spark):
             kept, at = kept + text[at:a], z
         kept += text[at:]
         assert left.get(doc, "") == (kept if kept.strip() else ""), doc
+
+
+def test_stages_take_awkward_rows_and_names(spark):
+    """Nulls, repeats, ties, clashing columns: each stage keeps its columns, and what it says of such rows holds."""
+    d = docs(spark, AWKWARD).withColumnsRenamed({"fp": "n_removed", "key": "copies", "spans": "row"})
+    sf = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, d, sf).columns == d.columns, name
+    got = corpus_pipeline.line_stage(spark, d, sf).collect()
+    assert len(got) == len(AWKWARD) - 1 and {r["n_removed"] for r in got} == {"x"} and 6 not in {r["doc_id"] for r in got}
+    assert corpus_pipeline.line_stage(spark, d.drop("n_chars"), sf).columns == d.drop("n_chars").columns
+    rows = [(r["doc_id"], r["text"]) for r in d.collect()]
+    assert sorted(((r["doc_id"], r["text"] or "") for r in corpus_pipeline.near_stage(spark, d, sf).collect()), key=str) == kept_rows(rows)
+    assert corpus_pipeline.pack_stage(spark, d, sf).where("start = 0").count() == len(AWKWARD)
+
+
+def test_pipeline_against_brute_force(spark):
+    """Each stage over what the one before it kept, held to plain Python over all rows."""
+    sf = "/root/testdata/sf0.001"
+    from ledgerfold.session import materialize
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    table = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    ranker = quality.train(d, labels)
+    good = {i: t for i, t in table(d).items() if ranker.score(quality.features(t)[None, :])[0] >= 0.5}
+    one = materialize(corpus_pipeline.quality_stage(spark, d, sf))
+    assert table(one) == good
+    seen, left = {}, {}
+    for doc, text in sorted(good.items()):
+        kept, at = "", 0
+        for a, z, _ in lines.line_pairs(text or ""):
+            if seen.setdefault(text[a:z].rstrip("\n"), (doc, a)) != (doc, a):
+                kept, at = kept + text[at:a], z
+        kept += (text or "")[at:]
+        if kept == (text or ""):
+            left[doc] = text
+        elif kept.strip():
+            left[doc] = kept
+    two = materialize(corpus_pipeline.line_stage(spark, one, sf))
+    assert table(two) == left
+    three = materialize(corpus_pipeline.near_stage(spark, two, sf))
+    assert sorted(((i, t or "") for i, t in table(three).items()), key=str) == kept_rows(list(left.items()))
+    four = materialize(corpus_pipeline.mix_stage(spark, three, sf))
+    counts = {r["doc_id"]: r["copies"] for r in mixture.mix_counts(three).collect()}
+    assert Counter(r["doc_id"] for r in four.collect()) == +Counter(counts)
+    for (_, target), g in mixture.mix_counts(three).toPandas().groupby(["source_size", "target"]):
+        assert abs(g["taken"].sum() - target) <= max(0.05 * target, g["size"].max())
+    five = corpus_pipeline.pack_stage(spark, four.dropDuplicates(["doc_id"]), sf).toPandas()
+    check(five, table(four))
+    assert spark.createDataFrame(five).agg({"length": "sum"}).first()[0] == sum(five.groupby("doc_id")["doc_tokens"].first())
