@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import money
+from ledgerfold.session import materialize
 
 BROADCAST_ROWS = 200_000
 RATES = ("input", "cache_read", "cache_write_5m", "cache_write_1h", "output")
@@ -70,7 +71,7 @@ def price_usage(usage: DataFrame, prices: DataFrame, aliases: DataFrame, today:
     keyed = usage.withColumn("model_key", money.model_family(F.col("model")))
     pairs = keyed.where("day is not null and model_key is not null").select("model_key", "day").distinct()
     priced = price_on_date(resolve_alias(pairs, aliases), prices, F.col("day"))
-    priced = price_on_date(priced, prices, F.lit(today).cast("date"), "today_")
+    priced = materialize(price_on_date(priced, prices, F.lit(today).cast("date"), "today_"))
     joined = keyed.join(small(priced), ["model_key", "day"], "left")
     cost, status = cost_columns()
     now, _ = cost_columns("today_")

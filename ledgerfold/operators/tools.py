@@ -136,44 +136,58 @@ def result_share(calls: DataFrame, requests: DataFrame) -> DataFrame:
 
 # --- shell commands ---------------------------------------------------------------------------------------------
 
-#: Programs that set the shell up, words before a command, and programs that run the command after them
-#: (with the number of plain arguments they take themselves).
-SETUP = set("for while until if case select [ [[ test cd pwd pushd popd export set unset source . true : echo printf sleep trap shopt local declare alias".split())
-KEYWORDS = set("then do else elif ! { ( done fi esac }".split())
+#: Programs that set the shell up.
+SETUP = ("for", "while", "until", "if", "case", "select", "[", "[[", "test", "cd", "pwd", "pushd", "popd", "export", "set", "unset", "source", ".", "true", ":", "echo", "printf", "sleep", "trap", "shopt", "local", "declare", "alias")
+#: Words of the shell that stand before a command.
+KEYWORDS = ("then", "do", "else", "elif", "!", "{", "(", "done", "fi", "esac", "}")
+#: Programs that run the command after them, with the number of plain arguments they take themselves.
 WRAPPERS = {"sudo": 0, "time": 0, "nohup": 0, "command": 0, "exec": 0, "env": 0, "timeout": 1, "gtimeout": 1, "nice": 0, "caffeinate": 0, "stdbuf": 0, "xcrun": 0}
 
 #: What programs do.
 PROGRAMS = {
-    "read": "cat head tail less more nl bat wc file stat xxd hexdump od strings jq yq awk cut sort uniq column tr diff cmp md5 shasum sha256sum base64 plutil readlink realpath",
-    "search": "grep rg ag ack find fd locate mdfind egrep fgrep",
-    "list": "ls tree du df pwd eza exa",
-    "vcs": "git gh",
-    "build": "make tsc esbuild swiftc xcodebuild gradle mvn cmake ninja vite webpack rollup",
-    "test": "pytest jest vitest playwright mocha",
-    "package": "brew pip pip3 uv poetry conda apt apt-get rustup",
-    "file-write": "mv cp rm mkdir touch chmod ln tee patch rsync unzip zip tar rmdir install",
-    "network": "curl wget ssh scp nc ping http dig nslookup",
-    "process": "ps kill pkill pgrep lsof top open osascript launchctl systemctl killall wait jobs screencapture",
-    "run": "node ruby perl bash sh zsh tsx ts-node java npx bunx pnpx",
-    "database": "sqlite3 psql mysql redis-cli duckdb",
-    "container": "docker kubectl helm podman",
-    "cloud": "gcloud aws terraform vercel firebase supabase",
-    "shell": "cd pushd popd export set unset source . true : echo printf sleep which type env date whoami test [ [[ command trap exit hostname uname sw_vers id tput",
+    "read": ("cat", "head", "tail", "less", "more", "nl", "bat", "wc", "file", "stat", "xxd", "hexdump", "od", "strings", "jq", "yq", "awk", "cut", "sort", "uniq", "column", "tr", "diff", "cmp", "md5", "shasum", "sha256sum", "base64", "plutil", "readlink", "realpath"),
+    "search": ("grep", "rg", "ag", "ack", "find", "fd", "locate", "mdfind", "egrep", "fgrep"),
+    "list": ("ls", "tree", "du", "df", "pwd", "eza", "exa"),
+    "vcs": ("git", "gh"),
+    "build": ("make", "tsc", "esbuild", "swiftc", "xcodebuild", "gradle", "mvn", "cmake", "ninja", "vite", "webpack", "rollup"),
+    "test": ("pytest", "jest", "vitest", "playwright", "mocha"),
+    "package": ("brew", "pip", "pip3", "uv", "poetry", "conda", "apt", "apt-get", "rustup"),
+    "file-write": ("mv", "cp", "rm", "mkdir", "touch", "chmod", "ln", "tee", "patch", "rsync", "unzip", "zip", "tar", "rmdir", "install"),
+    "network": ("curl", "wget", "ssh", "scp", "nc", "ping", "http", "dig", "nslookup"),
+    "process": ("ps", "kill", "pkill", "pgrep", "lsof", "top", "open", "osascript", "launchctl", "systemctl", "killall", "wait", "jobs", "screencapture"),
+    "run": ("node", "ruby", "perl", "bash", "sh", "zsh", "tsx", "ts-node", "java", "npx", "bunx", "pnpx"),
+    "database": ("sqlite3", "psql", "mysql", "redis-cli", "duckdb"),
+    "container": ("docker", "kubectl", "helm", "podman"),
+    "cloud": ("gcloud", "aws", "terraform", "vercel", "firebase", "supabase"),
+    "shell": ("cd", "pushd", "popd", "export", "set", "unset", "source", ".", "true", ":", "echo", "printf", "sleep", "which", "type", "env", "date", "whoami", "test", "[", "[[", "command", "trap", "exit", "hostname", "uname", "sw_vers", "id", "tput"),
+}
+_CATEGORY = {program: category for category, programs in PROGRAMS.items() for program in programs}
+
+#: Programs whose first operand names the action.
+SUBCOMMANDS = ("git", "go", "npm", "pnpm", "yarn", "bun", "cargo", "docker", "kubectl", "gh", "brew", "pip", "pip3", "uv", "poetry", "make", "gcloud", "aws", "terraform", "swift", "deno", "npx", "bunx", "pnpx", "rustup", "conda", "apt", "apt-get", "systemctl", "launchctl", "claude", "codex", "gradle", "mvn", "dotnet", "helm", "firebase", "vercel", "supabase", "prisma", "turbo", "nx", "just", "task", "defaults", "security", "diskutil", "hdiutil")
+#: Global options of such programs that take a value.
+OPTION_VALUES = {
+    "git": ("-C", "-c", "--git-dir", "--work-tree"),
+    "npm": ("--prefix", "-w", "--workspace"),
+    "pnpm": ("-C", "--dir", "--filter", "-F"),
+    "yarn": ("--cwd",),
+    "make": ("-C", "-f", "-j"),
+    "docker": ("-H", "--context"),
+    "cargo": ("--manifest-path",),
+    "gh": ("-R", "--repo"),
 }
-_CATEGORY = {p: c for c, ps in PROGRAMS.items() for p in ps.split()}
-
-#: Programs whose first operand names the action, and global options of theirs that take a value.
-SUBCOMMANDS = set(
-    "git go npm pnpm yarn bun cargo docker kubectl gh brew pip pip3 uv poetry make gcloud aws terraform swift deno npx bunx pnpx rustup conda apt apt-get systemctl launchctl claude codex gradle mvn dotnet helm firebase vercel supabase prisma turbo nx just task defaults security diskutil hdiutil".split()
-)
-OPTION_VALUES = {"git": "-C -c --git-dir --work-tree", "npm": "--prefix -w --workspace", "pnpm": "-C --dir --filter -F", "yarn": "--cwd", "make": "-C -f -j", "docker": "-H --context", "cargo": "--manifest-path", "gh": "-R --repo"}
-SCRIPTED = {"npm", "pnpm", "yarn", "bun"}
+#: Programs whose action may run a named script.
+SCRIPTED = ("npm", "pnpm", "yarn", "bun")
 #: Language tools, whose action or script tells what they do.
-LANGUAGE_TOOLS = set("go cargo npm pnpm yarn bun deno swift dotnet".split())
+LANGUAGE_TOOLS = ("go", "cargo", "npm", "pnpm", "yarn", "bun", "deno", "swift", "dotnet")
 ACTIONS = {
-    "test": "test vet lint", "build": "build compile generate", "package": "install i ci add get mod remove update upgrade uninstall", "file-write": "fmt format",
-}
+    "test": ("test", "vet", "lint"),
+    "build": ("build", "compile", "generate"),
+    "package": ("install", "i", "ci", "add", "get", "mod", "remove", "update", "upgrade", "uninstall"),
+    "file-write": ("fmt", "format"),
+}
 SCRIPT_STARTS = (("test", "test"), ("lint", "test"), ("typecheck", "test"), ("check", "test"), ("build", "build"), ("format", "file-write"), ("fmt", "file-write"))
+
 _LEXEME = re.compile(r"""'[^']*'|"(?:\\.|[^"\\])*"|\\.|<<<|\d?>&\d?|&>>?|<&|\d?>>?|<(?!<)|&&|\|\||[|;&\n]|[^\s'"\\<>&|;]+|\s""", re.S)
 _HEREDOC = re.compile(r"<<-?\s*(['\"]?)(\w+)\1")
 
@@ -233,7 +247,7 @@ def _action(program: str, rest: list[str]) -> tuple[str, str]:
         return program, ""
     if program not in SUBCOMMANDS:
         return program, ""
-    valued = OPTION_VALUES.get(program, "").split()
+    valued = OPTION_VALUES.get(program, ())
     operands, skip = [], False
     for w in rest:
         if not skip and not w.startswith("-"):
@@ -255,7 +269,7 @@ def _category(program: str, sub: str, text: str) -> str:
         return "file-write" if writes else "read" if program == "sed" else "run"
     if program in LANGUAGE_TOOLS:
         by_script = next((c for start, c in SCRIPT_STARTS if script.startswith(start)), None)
-        return by_script or next((c for c, verbs in ACTIONS.items() if verb in verbs.split()), "run")
+        return by_script or next((c for c, verbs in ACTIONS.items() if verb in verbs), "run")
     if program.startswith("python"):
         return {"-m pytest": "test", "-m unittest": "test", "-m pip": "package"}.get(sub, "run")
     if program in _CATEGORY:
@@ -324,14 +338,34 @@ def shell_commands(calls: DataFrame) -> DataFrame:
 
 # --- reached addresses ------------------------------------------------------------------------------------------
 
-MAX_URLS = 50
 _URL = re.compile(r"(?i)\b(?:https?|wss?|ftp)://[^\s\"'<>`\\|{}^\[\]]+")
-_NETWORK = re.compile(
-    r"(?i)(^|[\s;&|(`$\"'=])(curl|wget|xh|aria2c|lynx|w3m|websocat|grpcurl|git\s+(clone|fetch|pull|push|ls-remote|submodule|remote\s+(add|set-url)))\s"
-    r"|(^|[;&|(]\s*)(open|xdg-open)\s+['\"]?(https?|wss?)://|urlopen\(|urllib\.request|\brequests\.(get|post|put|patch|delete|head|request|Session)\b"
-    r"|\bhttpx\.|\baiohttp\b|\bfetch\(|\baxios\b|\bhttps?\.(get|request)\(|\.goto\(|webbrowser\.open|Invoke-(WebRequest|RestMethod)|\bnew\s+WebSocket\("
-)
-_ASSIGNED = re.compile(r"^\s*(?:(?:export|local|readonly|const|let|var)\s+)?([A-Za-z_]\w*)\s*:?=")
+#: Programs that fetch addresses, actions of version control that do, programs that open them, and calls of code that do.
+FETCHERS = ("curl", "wget", "xh", "aria2c", "lynx", "w3m", "websocat", "grpcurl", "invoke-webrequest", "invoke-restmethod")
+REMOTE_ACTIONS = ("clone", "fetch", "pull", "push", "ls-remote", "submodule", "remote add", "remote set-url")
+OPENERS = ("open", "xdg-open")
+CALLS = (
+    "urlopen(", "urllib.request", "httpx.", "aiohttp", "fetch(", "axios", "http.get(", "http.request(", "https.get(", "https.request(", ".goto(", "webbrowser.open", "new websocket(",
+    "requests.get", "requests.post", "requests.put", "requests.patch", "requests.delete", "requests.head", "requests.request", "requests.session",
+)
+
+
+def reaches_out(line: str) -> bool:
+    """Whether a line talks to the network: a fetching program, a remote action of git, an opened address or a call of code."""
+    low = line.lower()
+    if any(call in low for call in CALLS):
+        return True
+    words = re.split(r"[\s;&|(`$\"'=]+", low)
+    if any(w in FETCHERS for w in words[:-1]):
+        return True
+    pairs = [" ".join(words[i + 1 : i + 3]) for i, w in enumerate(words) if w == "git"]
+    if any(p == a or p.startswith(f"{a} ") for p in pairs for a in REMOTE_ACTIONS):
+        return True
+    starts = [part.split() for part in re.split(r"[;&|(]", low)]
+    return any(s and s[0] in OPENERS and len(s) > 1 and "://" in s[1] for s in starts)
+
+
+#: A variable's name before its value, after any words that declare it.
+_ASSIGNED = re.compile(r"\s*(?:[a-z]+\s+)?([A-Za-z_]\w*)\s*:?=(?!=)")
 _OPENED = re.compile(r"(?m)^Web search completed for: (\S+)")
 URL_KEYS = {"url", "urls", "uri", "href", "link", "target_url", "page_url", "website"}
 
@@ -343,7 +377,7 @@ def clean_url(raw: str) -> tuple[str, str]:
     host = m[2].rsplit("@", 1)[-1].lower() if m else ""
     if not host or host.endswith(":") or any(c in host for c in "$%{}<>()"):
         return "", ""
-    return raw[:2000], host
+    return raw, host
 
 
 def command_urls(text: str) -> list[str]:
@@ -351,7 +385,7 @@ def command_urls(text: str) -> list[str]:
     lines = text.replace("\\\n", " ").split("\n")
     given: dict[str, str] = {}
     for line in lines:
-        if (m := _ASSIGNED.match(line)) and not _NETWORK.search(line):
+        if (m := _ASSIGNED.match(line)) and not reaches_out(line):
             given[m[1]] = line[m.end() :]
     out: list[str] = []
 
@@ -362,7 +396,7 @@ def command_urls(text: str) -> list[str]:
                 use(given[name], seen | {name})
 
     for line in lines:
-        if _NETWORK.search(line):
+        if reaches_out(line):
             use(line, frozenset())
     return out
 
@@ -380,7 +414,7 @@ def _arguments(value: object, key: str = "") -> Iterator[str]:
 
 
 def tool_urls(calls: DataFrame) -> DataFrame:
-    """A row per address of (call_id, category, arguments JSON, command, result): position, url, host, source; 50 a call at most."""
+    """A row per address of (call_id, category, arguments JSON, command, result): position, url, host, source."""
     import json
 
     schema = "call_id string, position int, url string, host string, source string"
@@ -401,7 +435,7 @@ def tool_urls(calls: DataFrame) -> DataFrame:
                     candidates += [(u, "search_result") for u in _URL.findall(r.result or "")]
                 for raw, source in candidates:
                     url, host = clean_url(raw)
-                    if url and url not in found and len(found) < MAX_URLS:
+                    if url and url not in found:
                         found[url] = host, source
                 rows += [[r.call_id, i, u, h, s] for i, (u, (h, s)) in enumerate(found.items())]
             yield pd.DataFrame(rows, columns=["call_id", "position", "url", "host", "source"])

@@ -7,11 +7,15 @@ configuration, model, failure_reason, started_at, finished_at, reported_cost, li
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import text as T
 from ledgerfold.functions.money import model_family, ratio
+from ledgerfold.operators.pricing import small
+from ledgerfold.session import materialize
 
 MIN_SAMPLE = 10
 
@@ -43,6 +47,12 @@ def final_attempts(attempts: DataFrame) -> DataFrame:
     return attempts.withColumn("is_final", F.row_number().over(w) == 1)
 
 
+def classified_failures(*frames: DataFrame) -> DataFrame:
+    """(failure_reason, failure): each distinct text of the frames' ``failure_reason`` classified once, written for the joins to come."""
+    texts = reduce(DataFrame.union, [f.select("failure_reason") for f in frames]).where(F.trim("failure_reason") != "").distinct()
+    return small(materialize(texts.select("failure_reason", T.failure(F.col("failure_reason")).alias("failure"))))
+
+
 def attempt_rows(tasks: DataFrame, attempts: DataFrame, usage: DataFrame) -> DataFrame:
     """One row per attempt: disposition, error, cost and its source, tokens, duration, flags.
 
@@ -53,8 +63,9 @@ def attempt_rows(tasks: DataFrame, attempts: DataFrame, usage: DataFrame) -> Dat
     rows = final_attempts(attempts).join(t, "task_id").join(usage.drop("installation_id"), "attempt_id", "left")
     blank = lambda c: F.when(F.trim(c) != "", c)
     final_failure = F.when(F.col("is_final"), F.col("task_failure"))
-    error = T.failure(F.coalesce(blank(F.col("failure_reason")), final_failure))
-    rows = rows.withColumn("_e", error).withColumns({
+    rows = rows.withColumn("failure_reason", F.coalesce(blank(F.col("failure_reason")), final_failure))
+    known = classified_failures(attempts, tasks)
+    rows = rows.join(known, "failure_reason", "left").withColumnRenamed("failure", "_e").withColumns({
         "error_class": F.col("_e.error_class"), "error_signature": F.col("_e.signature"), "attribution": F.col("_e.attribution"),
         "configuration": F.coalesce(blank(F.col("configuration")), blank(model_family(F.col("model"))), F.lit("unrecorded")),
         "cost_usd": F.coalesce("token_cost", "reported_cost"), "cost_source": F.when(F.col("token_cost").isNotNull(), "tokens").when(F.col("reported_cost").isNotNull(), "reported"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerfold.operators import joins, library, workflow
 from ledgerfold.plans.book import Book
 from ledgerfold.plans.standins import ATTEMPTS, MESSAGES, TASKS, attempts, messages, table, tasks
+from ledgerfold.session import materialize
 from ledgerfold.streaming import incremental
 
 BOOK = Book()
@@ -20,9 +21,9 @@ def rows(spark, sf_dir):
 
 def failed_tasks(spark, sf_dir):
     """Tasks with their classified failure."""
-    from ledgerfold.functions.text import failure
-
-    return workflow.task_links(tasks(spark, sf_dir)).withColumn("error_class", failure(F.col("failure_reason"))["error_class"])
+    t = tasks(spark, sf_dir)
+    known = workflow.classified_failures(t).select("failure_reason", F.col("failure.error_class").alias("error_class"))
+    return workflow.task_links(t).join(known, "failure_reason", "left")
 
 
 @BOOK.add(f"WITH {ATTEMPTS} SELECT attempt_id, disposition, error_class, error_signature, attribution, round(cost_usd, 6) AS cost_usd, CAST(duration_ms AS BIGINT) AS duration_ms, is_final FROM rows_")
@@ -128,7 +129,7 @@ def workflow_totals(spark, sf_dir):
 
 @BOOK.add()
 def workflow_detectors(spark, sf_dir):
-    r, t = rows(spark, sf_dir), failed_tasks(spark, sf_dir).withColumn("started_at", F.col("created_at"))
+    r, t = materialize(rows(spark, sf_dir)), materialize(failed_tasks(spark, sf_dir).withColumn("started_at", F.col("created_at")))
     parent = t.select(F.col("task_id").alias("parent_id"), F.col("error_class").alias("parent_error"))
     kinds = F.array(*map(F.lit, ("handoff_invalid", "contract_repair_started", "contract_repair_succeeded", "contract_repair_failed")))
     contracts = workflow.contract_repairs(t.select("task_id", F.element_at(kinds, (F.col("task_id") % 4 + 1).cast("int")).alias("kind")), t)
@@ -138,7 +139,7 @@ def workflow_detectors(spark, sf_dir):
 
 @BOOK.add()
 def workflow_opportunities(spark, sf_dir):
-    r = rows(spark, sf_dir)
+    r = materialize(rows(spark, sf_dir))
     return workflow.opportunities(workflow.workflow_matrix(r), workflow.error_clusters(r))
 
 

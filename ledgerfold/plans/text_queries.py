@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerfold.functions import dates
 from ledgerfold.functions import text as T
 from ledgerfold.operators import authorship, search
+from ledgerfold.operators.ordering import numbered
 from ledgerfold.plans.book import Book
 from ledgerfold.plans.standins import messages, table
 
@@ -29,7 +30,7 @@ def word_index(spark, sf_dir):
 @BOOK.add(f"""WITH {W}, st AS (SELECT count(*) AS nd, avg(length) AS al FROM len), h AS (SELECT * FROM ix WHERE term IN ('the', 'with')), d AS (SELECT term, count(*) AS df FROM h GROUP BY 1), f AS (SELECT id FROM h GROUP BY 1 HAVING count(*) = 2),
 s AS (SELECT h.id, sum(ln(1 + (nd - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / al))) AS score FROM h JOIN f ON f.id = h.id JOIN d ON d.term = h.term JOIN len ON len.id = h.id CROSS JOIN st GROUP BY 1) SELECT id, round(round(score, 6), 4) AS score FROM s ORDER BY round(score, 6) DESC, id LIMIT 500""")
 def bm25_search(spark, sf_dir):
-    return search.search_text(search.build_index(corpus(spark, sf_dir)), ["with", "the"]).select("id", F.round("score", 4).alias("score"))
+    return search.search_text(search.build_index(corpus(spark, sf_dir)), ["with", "the"], recent=None).select("id", F.round("score", 4).alias("score"))
 
 
 @BOOK.add("SELECT doc_id AS id FROM documents WHERE regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}])of[^\\p{L}\\p{N}]+the([^\\p{L}\\p{N}]|$)')")
@@ -68,10 +69,8 @@ def vector_topk(spark, sf_dir):
 @BOOK.add("""WITH a AS (SELECT o_custkey AS w, max(o_totalprice) / 1000000 AS c FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT c_custkey AS w, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer)
 SELECT coalesce(a.w, b.w) AS workspace_id, round(CASE WHEN c IS NOT NULL THEN c * 0.6 + coalesce(1.0 / r, 0) * 0.4 ELSE 1.0 / r END, 6) AS score FROM a FULL JOIN b ON a.w = b.w""")
 def hybrid_score(spark, sf_dir):
-    from pyspark.sql import Window
-
     a = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("workspace_id")).agg((F.max("o_totalprice") / 1000000).alias("cosine"))
-    top = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("workspace_id"), F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "c_custkey")).alias("rank"))
+    top = numbered(table(spark, sf_dir, "customer"), [F.desc("c_acctbal"), F.col("c_custkey")], "rank").select(F.col("c_custkey").alias("workspace_id"), "rank")
     return search.hybrid_score(a, top)
 
 
@@ -154,10 +153,8 @@ def passages(spark, sf_dir):
 @BOOK.add("""WITH h AS (SELECT c_custkey AS c, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer WHERE c_nationkey < 5), v AS (SELECT c_custkey AS c, c_acctbal / 9973 AS s FROM customer WHERE c_nationkey BETWEEN 3 AND 8), t AS (SELECT c_custkey AS c FROM customer WHERE c_name LIKE '%77%')
 SELECT coalesce(h.c, v.c, t.c) AS conversation_id, round(coalesce(0.55 / r, 0) + 0.35 * coalesce(s, 0) + CASE WHEN t.c IS NULL THEN 0 ELSE 0.3 END, 6) AS score FROM h FULL JOIN v ON h.c = v.c FULL JOIN t ON t.c = coalesce(h.c, v.c)""")
 def search_conversations(spark, sf_dir):
-    from pyspark.sql import Window
-
     c = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "conversation_id")
-    hits = c.where("c_nationkey < 5").select("conversation_id", F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "conversation_id")).alias("rank"))
+    hits = numbered(c.where("c_nationkey < 5"), [F.desc("c_acctbal"), F.col("conversation_id")], "rank").select("conversation_id", "rank")
     vectors = c.where("c_nationkey between 3 and 8").select("conversation_id", (F.col("c_acctbal") / 9973).alias("cosine"))
     return search.search_conversations(hits, vectors, c.withColumnRenamed("c_name", "title"), "77")
 
