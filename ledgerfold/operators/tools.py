@@ -470,6 +470,31 @@ def route_to_cube(keys: set[str], fields: set[str], cube: DataFrame, calls: Data
     return cube if (keys | {f"{m}_sum" for m in fields}) <= set(cube.columns) else calls
 
 
+def _call_measure(op: str, measure: str | None) -> Column:
+    """The aggregate over calls that ``cube_measure`` states over cube rows."""
+    if measure is None:
+        return F.count(F.lit(1))
+    return {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count, "avg": F.avg}[op](measure)
+
+
+def answer_metrics(calls: DataFrame, cube: DataFrame, keys: list[str], metrics: dict[str, tuple[str, str | None]]) -> DataFrame:
+    """Named metrics (op, measure) per group of ``keys``: from the cube if it keeps all the fields, with the same results as from calls."""
+    frame = route_to_cube(set(keys), {m for _, m in metrics.values() if m}, cube, calls)
+    measure = cube_measure if frame is cube else _call_measure
+    return frame.groupBy(*keys).agg(*[measure(op, m).alias(name) for name, (op, m) in metrics.items()])
+
+
+def answer_distinct(calls: DataFrame, cube: DataFrame, field: str) -> DataFrame:
+    """(value, calls) of the values of a field that some call has, from the cube if it keeps the field."""
+    out = answer_metrics(calls, cube, [field], {"calls": ("count", None)})
+    return out.where(F.col(field).isNotNull()).withColumnRenamed(field, "value")
+
+
+def answer_stats(calls: DataFrame, cube: DataFrame, measure: str) -> DataFrame:
+    """One row of a measure: n, least, most and mean over all calls, from the cube if it keeps the measure."""
+    return answer_metrics(calls, cube, [], {"n": ("count", measure), "least": ("min", measure), "most": ("max", measure), "mean": ("avg", measure)})
+
+
 def tool_usage_daily(cube: DataFrame, dims: list[str]) -> DataFrame:
     """Daily rollup of a cube: calls, errors by type, distinct works, error rate and mean duration."""
     when = lambda c: F.coalesce(F.sum(F.when(c, F.col("calls"))), F.lit(0)).cast("long")

@@ -57,6 +57,17 @@ def test_cube_equals_calls(spark):
         assert {key(r): (r["n"], round(r["m"], 7), r["lo"]) for r in a} == {key(r): (r["n"], round(r["m"], 7), r["lo"]) for r in b}
 
 
+def test_answers_from_cube_and_calls_agree(spark):
+    calls = spark.createDataFrame([("a", "ok", 3, 1), ("a", "error", None, 2), ("b", "ok", 5, None), ("b", None, 7, 4)], "tool string, status string, duration_ms long, extra long")
+    cube = tools.tool_call_cube(calls, ["tool", "status"], [], ["duration_ms"])
+    asked = {"n": ("count", None), "sum": ("sum", "duration_ms"), "avg": ("avg", "duration_ms")}
+    for keys in ([], ["tool"], ["tool", "status"]):
+        both = [sorted(map(str, tools.answer_metrics(calls, c, keys, asked).collect())) for c in (cube, calls.limit(0))]
+        assert both[0] == both[1]
+    assert tools.route_to_cube({"tool"}, {"extra"}, cube, calls) is calls and tools.answer_stats(calls, cube, "extra").first()["most"] == 4
+    assert {(r["value"], r["calls"]) for r in tools.answer_distinct(calls, cube, "status").collect()} == {("ok", 2), ("error", 1)}
+
+
 def test_failure_classes(spark):
     rows = {
         "worker w7 died": ("worker_died", "worker died", "infrastructure"),
