@@ -24,37 +24,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.operators.graph import connected_components
+from ledgerfold.operators.skew import hot_keys, salted_join
 from ledgerfold.session import lean, materialize
 
 SEED = 42
 BITS = 64
 
 
-def fingerprint(text: str | None, shingle_words: int = 5) -> int:
-    """The 64-bit fingerprint of one text; no words: 0. A bit is set if it is set in over half the shingle hashes."""
+def _hashes(text: str | None, shingle_words: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, repeats included, in portions; a shorter text is one shingle, no words have none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     k = min(shingle_words, len(words))
     spans = zip(*(words[i:] for i in range(k)), strict=False)
-    total, counts = 0, np.zeros(BITS, np.int64)
     join, digest = b" ".join, xxhash.xxh64_intdigest
     while part := [digest(join(s), SEED) for _, s in zip(range(65536), spans, strict=False)]:
-        bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(0, dtype=np.int64)
+        yield np.array(part, np.uint64)
+
+
+def _other(h: np.ndarray, print_: int) -> np.ndarray:
+    """The hashes of another print: the same for print 0, else as good as independent of them."""
+    if not print_:
+        return h
+    with np.errstate(over="ignore"):
+        x = h + np.uint64(print_) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(27))
+
+
+def fingerprints(text: str | None, shingle_words: int = 5, prints: int = 1) -> list[int]:
+    """Fingerprints of 64 bits of one text; no words: 0. A bit is set if it is set in over half the shingle hashes."""
+    total, counts = 0, np.zeros((prints, BITS), np.int64)
+    for part in _hashes(text, shingle_words):
+        for i in range(prints):
+            bits = np.unpackbits(_other(part, i).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[i] += bits.sum(0, dtype=np.int64)
         total += len(part)
-    return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
+    return [int(np.packbits(2 * c > total, bitorder="little").view("<u8")[0]) for c in counts]
+
+
+def fingerprint(text: str | None, shingle_words: int = 5) -> int:
+    """The first of ``fingerprints``."""
+    return fingerprints(text, shingle_words)[0]
+
+
+def shingle_set(text: str | None, shingle_words: int = 5) -> np.ndarray:
+    """The distinct shingles as sorted 32-bit hashes: among a million, collisions hide about a hundred."""
+    parts = [np.unique(h >> np.uint64(32)).astype(np.uint32) for h in _hashes(text, shingle_words)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint32)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; of two empty ones 1."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def _fingerprints_of(rows: DataFrame, first: str, shingle_words: int) -> DataFrame:
-    """(first column, fp) of (first column, text); ``first`` is the first column's name and type."""
+def _fingerprints_of(rows: DataFrame, first: str, shingle_words: int, prints: int = 1) -> DataFrame:
+    """(first column, fp, fp1, ...) of (first column, text); ``first`` is the first column's name and type."""
+    names = ["fp", *(f"fp{i}" for i in range(1, prints))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, shingle_words) for t in b["text"].to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], [b.schema.names[0], "fp"])
+            fps = np.array([fingerprints(t, shingle_words, prints) for t in b["text"].to_pylist()], np.uint64).view(np.int64).reshape(-1, prints)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in fps.T.copy())], [b.schema.names[0], *names])
 
-    return rows.mapInArrow(run, f"{first}, fp long")
+    return rows.mapInArrow(run, ", ".join([first, *(f"{n} long" for n in names)]))
 
 
 def with_fingerprints(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
@@ -207,19 +241,68 @@ def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, distance: int = 7) -> DataFrame:
+def _joined(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """``big`` (a written table) joined to ``small`` (unique in ``key``), the rows of very frequent keys spread over tasks."""
+    return salted_join(big, small, key, hot_keys(big.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, big.count()))
+
+
+def _candidates(nodes: DataFrame, prints: list[str], distance: int) -> DataFrame:
+    """(a, b): pairs of text hashes, a < b, that the links of any print stand for; texts of one fingerprint hang on the least of them."""
+    found = None
+    for fp in prints:
+        one = materialize(nodes.select(F.col(fp).alias("fp"), "hash"))
+        least = materialize(one.groupBy("fp").agg(F.min("hash").alias("rep")))
+        links = materialize(near_links(least.select("fp"), distance))
+        us = materialize(_joined(links, least.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u"))
+        ends = _joined(us, least.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v").select("a", "b")
+        stars = _joined(one, least, "fp").where("hash != rep").select(F.col("rep").alias("a"), F.col("hash").alias("b"))
+        now = ends.union(stars)
+        found = now if found is None else found.union(now)
+    return materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, shingle_words: int, least: float) -> DataFrame:
+    """(u, v): the ``pairs`` (a, b) whose texts' shingle sets have a Jaccard similarity of ``least`` or more. ``texts``: hash, text."""
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("hash")).distinct())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(t, shingle_words).astype("<u4").tobytes() for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["hash"], pa.array(found, pa.binary())], ["hash", "words"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left, right = ([np.frombuffer(x, "<u4") for x in b[c].to_pylist()] for c in ("left", "right"))
+            near = pa.array([similarity(x, y) >= least for x, y in zip(left, right, strict=True)], pa.bool_())
+            yield b.select(["u", "v"]).filter(near)
+
+    known = materialize(texts.join(ends, "hash", "left_semi").mapInArrow(sets, "hash long, words binary").groupBy("hash").agg(F.first("words").alias("words")))
+    left = materialize(_joined(pairs, known.select(F.col("hash").alias("a"), F.col("words").alias("left")), "a"))
+    hot = hot_keys(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "b", pairs.count())
+    both = salted_join(left, known.select(F.col("hash").alias("b"), F.col("words").alias("right")), "b", hot)
+    return both.select(F.col("a").alias("u"), F.col("b").alias("v"), "left", "right").mapInArrow(compare, "u long, v long")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, distance: int = 7, prints: int = 2, least: float = 0.8) -> DataFrame:
     """``docs`` with one row per class, the one with the smallest (doc_id, text hash), all columns kept.
 
-    A row's key is its doc_id and text, so rows that share an id with different texts are documents of their own; of rows equal in
-    both one stays. Null ids come after all others: such a row stays if no row of its class has an id and no other null one a smaller
-    hash. Null and blank texts are one class. An empty table gives an empty result; extra columns pass through, whatever their
-    names.
+    Candidates are links of at most ``distance`` bits in any of ``prints`` fingerprints; two texts are of one class if links with a
+    shingle similarity of ``least`` or more lead from one to the other. A row's key is its doc_id and text, so rows that share an id
+    with different texts are documents of their own; of rows equal in both one stays. Null ids come after all others: such a row
+    stays if no row of its class has an id and no other null one a smaller hash. Null and blank texts are one class. An empty table
+    gives an empty result; extra columns pass through, whatever their names.
     """
     lean(docs.sparkSession)
     cols = docs.columns
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"))
-    marked = materialize(_fingerprints_of(docs.select(key.alias("place"), F.col("text").cast("string").alias("text")), "place struct<none:boolean,id:long,hash:long>", shingle_words))
-    keep = _named(marked, distance).groupBy("component").agg(F.min("low").alias("place")).select("place")
+    text = F.col("text").cast("string").alias("text")
+    marked = materialize(_fingerprints_of(docs.select(key.alias("place"), text), "place struct<none:boolean,id:long,hash:long>", shingle_words, prints))
+    names = marked.columns[1:]
+    nodes = materialize(marked.groupBy(F.col("place.hash").alias("hash")).agg(F.min("place").alias("low"), *[F.min(n).alias(n) for n in names]))
+    links = _similar(_candidates(nodes, names, distance), docs.select(key["hash"].alias("hash"), text), shingle_words, least)
+    parts = connected_components(materialize(links)).withColumnRenamed("vertex", "hash")
+    named = nodes.select("hash", "low").join(parts, "hash", "left").withColumn("component", F.coalesce("component", "hash"))
+    keep = named.groupBy("component").agg(F.min("low").alias("place")).select("place")
     same = marked.groupBy("place").agg(F.count(F.lit(1)).alias("n"))
     keep = materialize(same.join(keep, "place", "left_semi"))
     whole = docs.select(F.struct(*[F.col(c) for c in cols]).alias("row"), key.alias("place"))

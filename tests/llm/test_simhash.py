@@ -84,17 +84,60 @@ def test_awkward_rows(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
-def kept_rows(rows, k=5, d=7):
-    """Brute force over all pairs: (doc_id, text) of the least row of each class, null ids last."""
-    fps = [brute(t, k) for _, t in rows]
-    label = classes(list(enumerate(fps)), d)
+def runs_of(text, k=5):
+    words = (text or "").encode().lower().split()
+    return [b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
+
+
+def second(h):
+    x = (h + 0x9E3779B97F4A7C15) % 2**64
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+    return x ^ (x >> 27)
+
+
+def kept_rows(rows, d=7, least=0.8):
+    """Brute force over all pairs: (doc_id, text) of the least row of each class, null ids last.
+
+    Two rows are linked if either of two fingerprints is within ``d`` bits and their sets of shingles are alike enough.
+    """
+    sets, prints = [], []
+    for _, t in rows:
+        h = [xxhash.xxh64(r, seed=42).intdigest() for r in runs_of(t)]
+        prints.append([sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in g) > len(g)) for g in (h, [second(x) for x in h])])
+        sets.append(set(runs_of(t)))
+    label = list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            near = any((a ^ b).bit_count() <= d for a, b in zip(prints[i], prints[j], strict=True))
+            if near and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                label[max(a, b)] = min(a, b)
     best = {}
     for i, (doc, text) in enumerate(rows):
         key = (doc is None, doc or 0, int(np.int64(np.uint64(xxhash.xxh64((text or "").encode(), seed=42).intdigest()))))
-        best[label[i]] = min(best.get(label[i], (key, i)), (key, i))
+        best[root(i)] = min(best.get(root(i), (key, i)), (key, i))
     return sorted(((rows[i][0], rows[i][1] or "") for _, i in best.values()), key=str)
 
 
+def test_links_are_verified(spark):
+    """Texts that share one run of words many times over have near fingerprints, but few shingles in common."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randint(0, 99999)}"
+    chant = "la la la la la " * 200
+    rows = [(i, chant + " ".join(word() for _ in range(12))) for i in range(6)]
+    base = [word() for _ in range(400)]
+    rows += [(10 + i, " ".join(base[:-1] + [word()])) for i in range(6)]
+    assert len({simhash.fingerprint(t) for i, t in rows if i < 6}) < 6
+    got = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs(spark, rows)).collect())
+    assert got == [0, 1, 2, 3, 4, 5, 10]
+
+
 def test_one_row_of_each_class_stays(spark):
     rng = random.Random(3)
     text = lambda: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(300))
