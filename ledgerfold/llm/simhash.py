@@ -29,6 +29,8 @@ from ledgerfold.session import lean, materialize
 
 SEED = 42
 BITS = 64
+#: Keyed rows a task writes, about: fingerprints are a small table, which comes in few partitions, their keys are a large one.
+KEYED_ROWS = 500_000
 
 
 def _hashes(text: str | None, shingle_words: int) -> Iterator[np.ndarray]:
@@ -200,8 +202,11 @@ def near_links(fps: DataFrame, distance: int = 4, max_bucket: int = 20_000, inta
     ``fps`` has one row per distinct fp. ``max_bucket`` only decides when a bucket is keyed again on its free
     bits; no fingerprint is dropped and what is connected does not depend on it.
     """
-    p = intact or choose_intact(fps.count(), distance)
-    rows = materialize(_keyed(fps.select(F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("used"), "fp"), distance, p))
+    n = fps.count()
+    p = intact or choose_intact(n, distance)
+    tasks = max(fps.sparkSession.sparkContext.defaultParallelism, n * len(block_masks(2**BITS - 1, distance, p)) // KEYED_ROWS)
+    first = fps.select(F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("used"), "fp").repartition(tasks, "fp")
+    rows = materialize(_keyed(first, distance, p))
     links = None
     while True:
         hot = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_bucket).select("bucket"))
