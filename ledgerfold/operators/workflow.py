@@ -222,10 +222,21 @@ def projects(installations: DataFrame, tasks: DataFrame, attempts: DataFrame) ->
 
 
 def enqueue_bursts(tasks: DataFrame, gap: str = "10 minutes", least: int = 5) -> DataFrame:
-    """Bursts of root tasks (no parent, not created by a task) with gaps of at most ``gap``: start, end, tasks, flavor counts, newest first."""
+    """Bursts of root tasks (no parent, not created by a task) with gaps of at most ``gap``: start, end, tasks, flavor counts, newest first.
+
+    Tasks are counted per slot of one gap's length first, as those of a slot are of one burst: the ordered window, which has no key,
+    sees a row per slot, whose number depends on the time covered and not on the tasks.
+    """
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp")
+    width = F.unix_micros(zero + F.expr(f"interval {gap}")) - F.unix_micros(zero)
     roots = tasks.where("parent_id is null and created_by is null and created_at is not null")
-    per = roots.groupBy(F.session_window("created_at", gap)).agg(F.min("created_at").alias("started_at"), F.max("created_at").alias("ended_at"), F.count(F.lit(1)).alias("root_tasks"), F.countDistinct("flavor").alias("flavors"))
-    return per.where(F.col("root_tasks") >= least).drop("session_window").orderBy(F.desc("started_at"))
+    per = roots.withColumn("slot", F.floor(F.unix_micros("created_at") / width)).groupBy("slot", "flavor").agg(F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"), F.count(F.lit(1)).alias("n"))
+    slots = per.groupBy("slot").agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+    w = Window.orderBy("slot")
+    apart = F.unix_micros("first_at") - F.unix_micros(F.lag("last_at").over(w)) > width
+    bursts = slots.withColumn("_new", F.coalesce(apart.cast("int"), F.lit(1))).withColumn("burst", F.sum("_new").over(w)).select("slot", "burst")
+    whole = per.join(bursts, "slot").groupBy("burst").agg(F.min("first_at").alias("started_at"), F.max("last_at").alias("ended_at"), F.sum("n").alias("root_tasks"), F.countDistinct("flavor").alias("flavors"))
+    return whole.where(F.col("root_tasks") >= least).drop("burst").orderBy(F.desc("started_at"))
 
 
 def definition_changes(tasks: DataFrame, bursts: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def error_clusters(spark, sf_dir):
 
 
 @BOOK.add(f"""WITH {ATTEMPTS}, m AS (SELECT flavor, configuration, quantile_cont(cost_usd, 0.5) AS med FROM rows_ GROUP BY 1, 2) SELECT attempt_id, r.flavor, r.configuration, round(cost_usd, 6) AS cost_usd, round(med, 6) AS median_cost_usd
-FROM rows_ r JOIN m ON m.flavor = r.flavor AND m.configuration = r.configuration WHERE cost_usd >= 1.5 * med AND cost_usd >= med + 2 AND cost_usd >= 3 * med OR false ORDER BY cost_usd DESC, attempt_id LIMIT 12""")
+FROM rows_ r JOIN m ON m.flavor = r.flavor AND m.configuration = r.configuration WHERE cost_usd >= 1.5 * med AND cost_usd >= med + 2 AND cost_usd >= 3 * med ORDER BY cost_usd DESC, attempt_id LIMIT 12""")
 def cost_outliers(spark, sf_dir):
     return workflow.cost_outliers(rows(spark, sf_dir)).select("attempt_id", "flavor", "configuration", F.round("cost_usd", 6).alias("cost_usd"), F.round("median_cost_usd", 6).alias("median_cost_usd"))
 

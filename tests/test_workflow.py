@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -17,6 +18,18 @@ def test_bursts_merge_up_to_the_gap(spark):
     assert [r["root_tasks"] for r in two] == [5, 6]
 
 
+def test_bursts_equal_session_windows(spark):
+    rng = random.Random(5)
+    at = [0]
+    for _ in range(400):
+        at.append(at[-1] + rng.choice([0, 1, 3, 9, 10, 11, 25]))
+    t = tasks(spark, at).withColumn("flavor", F.concat(F.lit("f"), F.col("task_id") % 3))
+    plain = t.groupBy(F.session_window("created_at", "10 minutes")).agg(F.min("created_at").alias("s"), F.max("created_at").alias("e"), F.count("task_id").alias("n"), F.countDistinct("flavor").alias("f")).where("n >= 5").drop("session_window")
+    got = wf.enqueue_bursts(t).collect()
+    assert [tuple(r) for r in got] == sorted((tuple(r) for r in plain.collect()), reverse=True) and len(got) > 20
+    assert wf.enqueue_bursts(t.where("task_id < 0")).collect() == []
+
+
 def test_definition_change_in_its_burst(spark):
     t = tasks(spark, [0, 1, 2, 3, 4, 60, 61, 62, 63, 64])
     got = wf.definition_changes(t, wf.enqueue_bursts(t)).collect()
