@@ -38,15 +38,33 @@ def attribute_changes(changes: DataFrame, conversations: DataFrame) -> DataFrame
     ended_at. The only conversation of the work, else the only one of the work item, else the only one whose span contains
     the time; otherwise the change belongs to the work as a whole.
     """
-    j = changes.join(conversations.select("workspace_id", "conversation_id", F.col("work_item").alias("c_item"), "started_at", "ended_at"), "workspace_id", "left")
-    item = F.coalesce(F.col("work_item") == F.col("c_item"), F.lit(False))
-    inside = F.coalesce(F.col("at").between(F.col("started_at"), F.col("ended_at")), F.lit(False))
-    one = lambda c: (F.count(F.when(c, F.col("conversation_id"))), F.min(F.when(c, F.col("conversation_id"))))
-    (n_all, c_all), (n_item, c_item), (n_time, c_time) = one(F.lit(True)), one(item), one(inside)
-    g = j.groupBy("change_id", "workspace_id").agg(n_all.alias("n_all"), c_all.alias("c_all"), n_item.alias("n_item"), c_item.alias("c_item"), n_time.alias("n_time"), c_time.alias("c_time"))
-    pick = F.when(F.col("n_all") == 1, F.col("c_all")).when(F.col("n_item") == 1, F.col("c_item")).when(F.col("n_time") == 1, F.col("c_time"))
-    how = F.when(F.col("n_all") == 1, "sole").when(F.col("n_item") == 1, "work_item").when(F.col("n_time") == 1, "time").otherwise("workspace")
-    return g.select("change_id", "workspace_id", pick.alias("conversation_id"), how.alias("scope"))
+    c = conversations.where("conversation_id is not null")
+    one = lambda name: (F.count(F.lit(1)).alias(f"n_{name}"), F.min("conversation_id").alias(f"c_{name}"))
+    works = c.groupBy("workspace_id").agg(*one("all"))
+    items = c.where("work_item is not null").groupBy("workspace_id", "work_item").agg(*one("item"))
+    known = changes.join(works, "workspace_id", "left").join(items, ["workspace_id", "work_item"], "left")
+    pick = F.when(F.col("n_all") == 1, F.col("c_all")).when(F.col("n_item") == 1, F.col("c_item"))
+    how = F.when(F.col("n_all") == 1, "sole").when(F.col("n_item") == 1, "work_item")
+    known = known.withColumns({"_pick": pick, "_how": how})
+    timed = only_open(known, c)
+    return timed.select("change_id", "workspace_id", F.coalesce("_pick", F.when(F.col("_how").isNull(), F.col("c_time"))).alias("conversation_id"), F.coalesce("_how", F.when(F.col("c_time").isNotNull(), "time"), F.lit("workspace")).alias("scope"))
+
+
+def only_open(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """Adds ``c_time`` to each point (workspace_id, at, ...): the only conversation of its work whose span contains the time, else null.
+
+    A sweep over the borders of the spans, both inclusive: spans open so far are counted and their hashes summed, so that where
+    one is open the sum is its hash. No pair of a point and a span is made.
+    """
+    h = F.xxhash64("conversation_id").cast("decimal(20,0)")
+    s = spans.where("started_at <= ended_at").select("workspace_id", "started_at", "ended_at", h.alias("_h"), "conversation_id")
+    border = lambda at, place, sign: s.select("workspace_id", F.col(at).alias("_t"), F.lit(place).alias("_p"), F.lit(sign).alias("_n"), (F.col("_h") * sign).cast("decimal(20,0)").alias("_h"))
+    both = points.withColumns({"_t": F.col("at"), "_p": F.lit(1)}).unionByName(border("started_at", 0, 1).unionByName(border("ended_at", 2, -1)), allowMissingColumns=True)
+    w = Window.partitionBy("workspace_id").orderBy("_t", "_p").rowsBetween(Window.unboundedPreceding, 0)
+    swept = both.withColumns({"_open": F.sum("_n").over(w), "_sum": F.sum("_h").over(w)}).where("_p = 1")
+    swept = swept.withColumn("_h", F.when((F.col("_open") == 1) & F.col("at").isNotNull(), F.col("_sum").cast("decimal(20,0)")))
+    names = s.groupBy("workspace_id", "_h").agg(F.min("conversation_id").alias("c_time"))
+    return swept.join(names, ["workspace_id", "_h"], "left").select(*points.columns, "c_time")
 
 
 def identity_links(conversations: DataFrame) -> DataFrame:

@@ -95,3 +95,21 @@ def test_numbered_rows(spark):
     got = ordering.numbered(df, [F.desc("x"), F.col("y")], "n").orderBy("n").collect()
     assert [r["n"] for r in got] == list(range(1, 1001)) and [(-r["x"], r["y"]) for r in got] == sorted((-r["x"], r["y"]) for r in got)
     assert ordering.numbered(df.limit(0), [F.col("x")]).count() == 0
+
+
+def test_changes_are_attributed_as_by_all_pairs(spark):
+    rng = random.Random(3)
+    items = [None, "i", "j", "k"]
+    convs = [(i, rng.choice([1, 1, 1, 2, 3, None]), rng.choice(items), rng.choice([None, *range(20)]), rng.choice([None, *range(5, 30)])) for i in range(30)] + [(40, 7, "i", 0, 3)]
+    changes = [(100 + i, rng.choice([1, 1, 2, 3, 7, 8, None]), rng.choice([None, "i", "j", "k", "z"]), rng.choice([None, *range(40)])) for i in range(200)]
+    want = {}
+    for cid, work, item, at in changes:
+        mine = [c for c in convs if work is not None and c[1] == work]
+        same = [c[0] for c in mine if item is not None and c[2] == item]
+        inside = [c[0] for c in mine if None not in (at, c[3], c[4]) and c[3] <= at <= c[4]]
+        found = [(one[0], how) for one, how in (([c[0] for c in mine], "sole"), (same, "work_item"), (inside, "time")) if len(one) == 1]
+        want[cid] = found[0] if found else (None, "workspace")
+    c = spark.createDataFrame(changes, "change_id long, workspace_id long, work_item string, at int")
+    v = spark.createDataFrame(convs, "conversation_id long, workspace_id long, work_item string, started_at int, ended_at int")
+    got = {r["change_id"]: (r["conversation_id"], r["scope"]) for r in joins.attribute_changes(c, v).collect()}
+    assert got == want and {h for _, h in got.values()} == {"sole", "work_item", "time", "workspace"}
