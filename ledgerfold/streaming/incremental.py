@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ledgerfold.functions import text as T
+from ledgerfold.session import materialize
+from ledgerfold.sources.tables import read_stored, write_table
 
 GUARD = "version"
+SHARD, SHARDS = "shard", 64
 
 
 def stream_lines(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -42,30 +45,24 @@ def newest(batch: DataFrame, stored: DataFrame, keys: list[str], version: str =
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")
 
 
-def upsert_versioned(batch: DataFrame, target: str, keys: list[str], partition: str, version: str = GUARD) -> None:
-    """Merge a batch into a partitioned Parquet table: an older copy never overwrites a newer one.
+def upsert_versioned(batch: DataFrame, target: str, keys: list[str], version: str = GUARD, shards: int = SHARDS) -> None:
+    """Merge a batch into a Parquet table partitioned by ``shard``: an older copy never overwrites a newer one.
 
-    Only partitions the batch touches are read and replaced; they are staged in the shared folder first, as a table can't be
-    overwritten while it is read.
+    The shard is a hash of the key, so all versions of a key meet in one partition, whatever else changes in its row, and only
+    shards the batch touches are read and replaced. A table keeps the number of shards it was begun with. Rows are staged in the
+    shared folder first, as a table can't be overwritten while it is read.
     """
-    from ledgerfold.session import materialize
-    from ledgerfold.sources.tables import write_table
-
     spark = batch.sparkSession
-    batch = materialize(batch)
-    try:
-        stored = spark.read.parquet(target).select(batch.columns)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-            raise
-        stored = batch.limit(0)
-    touched = stored.join(batch.select(partition).distinct(), partition, "left_semi").select(batch.columns)
-    write_table(materialize(newest(batch, touched, keys, version)), target, [partition])
-
-
-def upsert_stream(stream: DataFrame, target: str, keys: list[str], partition: str, checkpoint: str, version: str = GUARD) -> DataStreamWriter:
+    batch = materialize(batch.withColumn(SHARD, F.pmod(F.xxhash64(*keys), F.lit(shards)).cast("int")))
+    stored = read_stored(spark, target)
+    stored = batch.limit(0) if stored is None else stored.select(batch.columns)
+    touched = stored.join(batch.select(SHARD).distinct(), SHARD, "left_semi").select(batch.columns)
+    write_table(materialize(newest(batch, touched, keys, version)), target, [SHARD])
+
+
+def upsert_stream(stream: DataFrame, target: str, keys: list[str], checkpoint: str, version: str = GUARD, shards: int = SHARDS) -> DataStreamWriter:
     """A writer that upserts every micro-batch; a batch that is run again changes nothing."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: upsert_versioned(df, target, keys, partition, version))
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: upsert_versioned(df, target, keys, version, shards))
 
 
 def hourly_stream(events: DataFrame, delay: str = "2 hours") -> DataFrame:
@@ -96,8 +93,8 @@ def refresh_batches(changes: DataFrame, store: str, recompute: Callable[[DataFra
     """Keep a projection current: each batch of changed keys recomputes its rows and replaces them as new versions."""
 
     def apply(df: DataFrame, epoch: int) -> None:
-        rows = recompute(df.select(key).distinct()).withColumn(GUARD, F.lit(epoch).cast("long")).withColumn("shard", F.pmod(F.xxhash64(key), F.lit(64)).cast("int"))
-        upsert_versioned(rows, store, [key], "shard")
+        rows = recompute(df.select(key).distinct()).withColumn(GUARD, F.lit(epoch).cast("long"))
+        upsert_versioned(rows, store, [key])
 
     return changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
 

@@ -71,13 +71,29 @@ def test_only_held_partitions_are_replaced(spark, tmp_path):
     assert sorted((r["k"], r["v"]) for r in spark.read.parquet(at).collect()) == [(1, "new"), (2, "b")]
 
 
+def test_installations_of_a_snapshot_keep_no_old_rows(spark, tmp_path):
+    put = lambda n, name, rows: spark.createDataFrame(rows, "installation_id string, v string").write.mode("overwrite").parquet(str(tmp_path / n / name))
+    load = lambda n: tables.load_workflow(spark, str(tmp_path / n), str(tmp_path / "at"))
+    stored = lambda name: sorted((r["installation_id"], r["v"]) for r in spark.read.parquet(str(tmp_path / "at" / name)).collect())
+    assert load("none") == {}
+    for name in ("tasks", "events", "findings"):
+        put("old", name, [("a", "a1"), ("b", "b1"), ("c", "c1")])
+    assert set(load("old")) == {"tasks", "events", "findings"}
+    put("new", "tasks", [("a", "a2"), ("b", "b2")])
+    put("new", "events", [("a", "a2")])
+    load("new")
+    assert stored("tasks") == [("a", "a2"), ("b", "b2"), ("c", "c1")]
+    assert stored("events") == [("a", "a2"), ("c", "c1")]
+    assert stored("findings") == [("a", "a1"), ("b", "b1"), ("c", "c1")]
+
+
 def test_older_copies_never_overwrite(spark, tmp_path):
     at = str(tmp_path / "u")
-    put = lambda rows: inc.upsert_versioned(spark.createDataFrame(rows, "id string, version long, v string, shard int"), at, ["id"], "shard")
+    put = lambda rows: inc.upsert_versioned(spark.createDataFrame(rows, "id string, version long, v string, day int"), at, ["id"])
     put([("a", 2, "two", 0), ("b", 1, "one", 1)])
-    put([("a", 1, "old", 0), ("b", 3, "three", 1)])
+    put([("a", 1, "old", 5), ("b", 3, "three", 2)])
     put([("a", 2, "again", 0)])
-    assert sorted((r["id"], r["v"]) for r in spark.read.parquet(at).collect()) == [("a", "two"), ("b", "three")]
+    assert sorted((r["id"], r["v"], r["day"]) for r in spark.read.parquet(at).collect()) == [("a", "two", 0), ("b", "three", 2)]
 
 
 def drain(stream, name):
