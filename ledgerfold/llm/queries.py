@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import align, licenses, lines, media, mixture, packing, quality, simhash, substring, topk, urls
+from ledgerfold.llm import align, licenses, lines, media, mixture, packing, quality, secrets, simhash, substring, topk, urls
 
 #: The rules of the URL query.
 URL_RULES = [
@@ -67,6 +67,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"), "n_removed", "removed_chars")
 
 
+def op12_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "net")
+    return out.select("doc_id", *map(count, secrets.KINDS[:3]), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = align.align_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
@@ -84,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scans": op8_license_scans,
     "op9_url_filters": op9_url_filters,
     "op10_line_dedup": op10_line_dedup,
+    "op12_secret_scans": op12_secret_scans,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
