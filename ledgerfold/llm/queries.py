@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerfold.llm import align, licenses, lines, media, mixture, packing, quality, secrets, simhash, substring, topk, urls
+from ledgerfold.llm import align, licenses, lines, media, mixture, packing, quality, repair, secrets, simhash, substring, topk, urls
 
 #: The rules of the URL query.
 URL_RULES = [
@@ -67,6 +67,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"), "n_removed", "removed_chars")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return repair.repair_conversations(repair.damaged(rows), rows)
+
+
 def op12_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.find_secrets(_table(spark, sf_dir, "documents"))
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scans": op8_license_scans,
     "op9_url_filters": op9_url_filters,
     "op10_line_dedup": op10_line_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_secret_scans": op12_secret_scans,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
