@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -33,8 +34,13 @@ from ledgerfold.session import lean, materialize
 
 CHUNK = 1 << 15
 FAN = 16
-#: Distinct stretches a worker remembers before it starts anew.
+#: Distinct stretches a worker remembers before it starts anew, and how many bytes of text it aligns at a time.
 KEPT = 300_000
+STEP = 1 << 20
+#: Longer words go through the vocabulary's own tokenizer, which finds merges in better than quadratic time.
+LONG = 400
+#: Fixed value: how byte-level vocabularies of this kind part a text before they merge.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Largest table of pair counts that is broadcast.
 BROADCAST_PAIRS = 2_000_000
 _B_BITS = 15
@@ -84,6 +90,8 @@ class Aligner:
         self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.a.encode_special_tokens = True
         found_a, found_b = token_bytes_a(path_a), token_bytes_b(path_b)
+        ranks = {t: i for i, t in found_a.items() if not self.a.id_to_token(i).startswith("<|")}
+        self.joined = tiktoken.Encoding("joined", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.bytes_a = [found_a.get(i, b"") for i in range(max(found_a) + 1)]
         self.bytes_b = [found_b.get(i, b"") for i in range(max(found_b) + 1)]
         self.len_a, self.len_b = (np.array([len(t) for t in x]) for x in (self.bytes_a, self.bytes_b))
@@ -107,15 +115,18 @@ class Aligner:
         new = [w for w in words if w not in self.place]
         if not new:
             return
-        ids_a = [e.ids for e in self.a.encode_batch([" " + w for w in new], add_special_tokens=False)]
+        plain = [w for w in new if w and len(w) <= LONG and not w[-1].isspace()]
+        new = plain + [w for w in new if not w or len(w) > LONG or w[-1].isspace()]
+        whole = [b" " + w.encode() for w in new]
+        sizes = np.fromiter(map(len, whole), np.int64, len(new))
+        flat_a, n_a = self._ids_a(new, len(plain), sizes)
         ids_b = [found if w else self.lone for w, found in zip(new, self.b.encode(new, num_threads=1))]
-        kept = np.ones(len(new), bool)
-        for i, w in enumerate(new):
-            whole = b" " + w.encode()
-            if b"".join([self.bytes_a[t] for t in ids_a[i]]) != whole or b"".join([self.bytes_b[t] for t in ids_b[i]]) != whole:
-                kept[i], ids_a[i], ids_b[i] = False, [], []
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(new)) for x in (ids_a, ids_b))
-        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((ids_a, n_a), (ids_b, n_b)))
+        n_b = np.fromiter(map(len, ids_b), np.int64, len(new))
+        flat_b = np.fromiter(chain.from_iterable(ids_b), np.int64, int(n_b.sum()))
+        kept = self._kept(flat_a, n_a, self.bytes_a, self.len_a, whole, sizes) & self._kept(flat_b, n_b, self.bytes_b, self.len_b, whole, sizes)
+        if not kept.all():
+            flat_a, flat_b = flat_a[np.repeat(kept, n_a)], flat_b[np.repeat(kept, n_b)]
+            n_a, n_b = n_a * kept, n_b * kept
         ends_a, ends_b = np.cumsum(self.len_a[flat_a]), np.cumsum(self.len_b[flat_b])
         both = np.intersect1d(ends_a, ends_b, assume_unique=True)
         upto_a, upto_b = np.searchsorted(ends_a, both), np.searchsorted(ends_b, both)
@@ -129,6 +140,25 @@ class Aligner:
         self.starts = np.concatenate([self.starts, self.starts[-1] + stops[1:]])
         self.pairs = np.concatenate([self.pairs, ((flat_a[upto_a] << _B_BITS) + flat_b[upto_b]).astype(np.int32)])
 
+    def _ids_a(self, words: list[str], plain: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A of all stretches in a row, and how many each has: the first ``plain`` ones are encoded in one text."""
+        ids = self.joined.encode_to_numpy("".join([" " + w for w in words[:plain]]), disallowed_special=()).astype(np.int64)
+        ends, stops = np.cumsum(self.len_a[ids]), np.cumsum(sizes[:plain])
+        upto = np.searchsorted(ends, stops, side="right")
+        rest = [e.ids for e in self.a.encode_batch([" " + w for w in words[plain:]], add_special_tokens=False)]
+        n = np.concatenate([np.diff(np.concatenate([[0], upto])), np.fromiter(map(len, rest), np.int64, len(rest))])
+        return np.concatenate([ids, np.fromiter(chain.from_iterable(rest), np.int64)]), n
+
+    @staticmethod
+    def _kept(flat: np.ndarray, n: np.ndarray, known: list[bytes], lengths: np.ndarray, whole: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """Whether the tokens of each stretch spell its bytes: all at once, and one by one where they don't."""
+        begins = np.concatenate([[0], np.cumsum(n)])
+        covered = np.concatenate([[0], np.cumsum(lengths[flat])])
+        if (np.diff(covered[begins]) == sizes).all() and b"".join([known[t] for t in flat.tolist()]) == b"".join(whole):
+            return np.ones(len(n), bool)
+        ids = flat.tolist()
+        return np.array([b"".join([known[t] for t in ids[begins[i] : begins[i + 1]]]) == w for i, w in enumerate(whole)], bool)
+
     def _joined(self, ids: np.ndarray, last: np.ndarray) -> pa.Array:
         """The ids of each group, the last of which stands at ``last``, as text."""
         offsets = pa.array(np.concatenate([[0], last + 1]), pa.int32())
@@ -188,6 +218,16 @@ def align_batch(made: Aligner, bodies: pa.Array) -> dict[str, pa.Array]:
     }
 
 
+def _steps(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``b`` in slices of about ``STEP`` bytes of text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b["body"]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < b.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, side="right")))
+        yield b.slice(at, stop - at)
+        at = stop
+
+
 def ranges(docs: DataFrame, chunk: int = CHUNK, cuts: bool = True) -> DataFrame:
     """(key, doc_id, chunk, chunks, body) of each text: one row for short texts, more for long ones, which are dealt over tasks.
 
@@ -211,7 +251,7 @@ def fragments(docs: DataFrame, path_a: str, path_b: str, chunk: int = CHUNK) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = aligner(path_a, path_b)
-        for b in batches:
+        for b in (part for whole in batches for part in _steps(whole)):
             got = align_batch(made, b["body"])
             yield pa.RecordBatch.from_arrays([b["key"], b["doc_id"], b["chunk"], b["chunks"], *got.values()], ["key", "doc_id", "chunk", "chunks", *got])
 
@@ -263,11 +303,12 @@ def grouped(fragment: Column) -> Column:
     return F.when(fragment["cut"], _listed(F.concat(fragment["head_a"], F.lit("|"), fragment["head_b"]), fragment["closed"], by=";")).otherwise("")
 
 
-def align_documents(docs: DataFrame, path_a: str, path_b: str, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+def align_documents(docs: DataFrame, path_a: str, path_b: str, chunk: int = CHUNK, fan: int = FAN, digests: bool = False) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of every row.
 
     ``groups`` is ``a1,a2|b1;a3|b2,b3``: the ids of A and B of each group in order. ``n_links`` counts linked token pairs, ``count_sum``
     sums over them how often the pair is linked in all rows, ``n_best`` counts those whose pair is its B id's most frequent one, ties included.
+    With ``digests`` a column ``groups_sha256`` stands in place of ``groups`` (empty where they are), so that they needn't be shuffled.
 
     Null and empty texts, and texts that a tokenizer doesn't keep byte for byte, have no tokens: zeros and empty ``groups``, and they add
     to no count. Rows that repeat a doc_id or a text are aligned and counted each, a null doc_id stays null, other columns are left out, an empty
@@ -286,6 +327,8 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, chunk: int = CHUN
     lost = frags.where((F.col("chunks") == 1) & ~F.col("ok")).select("key", "doc_id", *zero, F.lit("").alias("groups"))
     lost = lost.unionByName(kept.where(~F.col("ok")).select("key", "doc_id", *zero, F.lit("").alias("groups")))
     rows = single.select(*sizes, "groups").unionByName(whole.select(*sizes).join(tree, "key")).unionByName(lost)
+    if digests:
+        rows = rows.select(*sizes, F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
 
     linked = single.select("key", "pairs", "times").unionByName(parts.select("key", "pairs", "times"))
     linked = linked.select("key", F.inline(F.arrays_zip("pairs", "times"))).withColumnsRenamed({"pairs": "pair", "times": "n"})
@@ -297,4 +340,4 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, chunk: int = CHUN
     sums = linked.join(stats, "pair").groupBy("key").agg(F.sum(F.col("n") * F.col("best")).alias("n_best"), F.sum(F.col("n") * F.col("links")).alias("count_sum"))
     out = rows.join(sums, "key", "left")
     none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return out.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), none("n_best"), none("count_sum"), "groups")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), none("n_best"), none("count_sum"), rows.columns[-1])
