@@ -15,7 +15,7 @@ from ledgerfold.functions import dates
 from ledgerfold.functions import text as T
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line, value) of every line that isn't blank; ``line`` orders the lines of a file."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path)
     # the id grows with the position inside a split, and splits of a file are numbered in order
@@ -39,15 +39,23 @@ def read_claude(spark: SparkSession, path: str) -> DataFrame:
     Files under ``<session>/subagents/`` belong to their root session, as the stream of the sub-agent. The model carries forward
     inside a file.
     """
-    lines = _lines(spark, path)
+    up = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    return claude_messages(_lines(spark, path).withColumn("model", F.last(claude_model(), ignorenulls=True).over(up)))
+
+
+def claude_model() -> Column:
+    """The model a session line names, which holds for the lines after it."""
+    return _get("message.model")
+
+
+def claude_messages(lines: DataFrame) -> DataFrame:
+    """Messages of session lines (file, line, value, model); the model is the one carried forward to the line."""
     file = F.col("file")
     session = F.coalesce(F.nullif(F.regexp_extract(file, r"([^/]+)/subagents/", 1), F.lit("")), F.regexp_extract(file, r"([^/]+)\.jsonl$", 1))
     stream = F.nullif(F.regexp_extract(file, r"/subagents/(?:.*/)?([^/]+)\.jsonl$", 1), F.lit(""))
-    up = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     e = lines.select(
         "file", "line", "value", session.alias("conversation_id"), stream.alias("parent_native_id"), _get("type").alias("type"), _get("subtype").alias("subtype"), _get("uuid").alias("uuid"),
-        dates.parse_timestamp(_get("timestamp")).alias("created_at"), _get("message.role").alias("role"), _get("message.content").alias("content"), _get("message.usage").isNotNull().alias("has_usage"),
-        F.last(_get("message.model"), ignorenulls=True).over(up).alias("model"),
+        dates.parse_timestamp(_get("timestamp")).alias("created_at"), _get("message.role").alias("role"), _get("message.content").alias("content"), _get("message.usage").isNotNull().alias("has_usage"), "model",
     )
     blocks = F.when(F.col("content").startswith("["), F.from_json("content", schemas.CLAUDE_BLOCKS)).otherwise(F.array(F.from_json(F.to_json(F.struct(F.lit("text").alias("type"), F.col("content").alias("text"))), schemas.CLAUDE_BLOCKS[6:-1])))
     talk = e.where(F.col("content").isNotNull()).select("*", F.posexplode(blocks).alias("block_no", "b"))
@@ -67,13 +75,28 @@ def read_claude(spark: SparkSession, path: str) -> DataFrame:
 
 def read_codex(spark: SparkSession, path: str) -> DataFrame:
     """Messages of rollout files: session metadata, model carried forward, text, calls, outputs, searches and token counts."""
-    lines = _lines(spark, path)
+    whole = Window.partitionBy("file").orderBy("line")
+    up, all_ = whole.rowsBetween(Window.unboundedPreceding, 0), whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lines = _lines(spark, path).withColumns({"model": F.last(codex_model(), ignorenulls=True).over(up), "session": F.first(codex_session(), ignorenulls=True).over(all_)})
+    return codex_messages(lines)
+
+
+def codex_model() -> Column:
+    """The model a rollout line names, which holds for the lines after it."""
+    return F.when(_get("type") == "turn_context", _get("model", F.coalesce(_get("payload"), F.col("value"))))
+
+
+def codex_session() -> Column:
+    """The session a rollout line declares; a file's first one holds for all its lines."""
+    return F.when(_get("type") == "session_meta", _get("id", F.coalesce(_get("payload"), F.col("value"))))
+
+
+def codex_messages(lines: DataFrame) -> DataFrame:
+    """Messages of rollout lines (file, line, value, model, session)."""
     p = F.coalesce(_get("payload"), F.col("value"))
-    e = lines.select("file", "line", "value", _get("type").alias("type"), p.alias("p"), dates.parse_timestamp(_get("timestamp")).alias("created_at"))
-    up = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    own = F.first(F.when(F.col("type") == "session_meta", _get("id", "p")), ignorenulls=True).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    e = lines.select("file", "line", "value", "model", "session", _get("type").alias("type"), p.alias("p"), dates.parse_timestamp(_get("timestamp")).alias("created_at"))
     named = F.regexp_extract("file", r"([0-9a-f]{8}-[0-9a-f-]{27})\.jsonl$", 1)
-    e = e.withColumns({"conversation_id": F.coalesce(F.nullif(named, F.lit("")), own, F.regexp_extract("file", r"([^/]+)\.jsonl$", 1)), "model": F.last(F.when(F.col("type") == "turn_context", _get("model", "p")), ignorenulls=True).over(up), "ptype": _get("type", "p")})
+    e = e.withColumns({"conversation_id": F.coalesce(F.nullif(named, F.lit("")), "session", F.regexp_extract("file", r"([^/]+)\.jsonl$", 1)), "ptype": _get("type", "p")})
     kind = (
         F.when(F.col("ptype").isin("function_call", "custom_tool_call", "local_shell_call", "web_search_call"), "tool_call").when(F.col("ptype").isin("function_call_output", "custom_tool_call_output"), "tool_result")
         .when(F.col("ptype") == "message", "text").when((F.col("type") == "compacted") | (F.col("ptype") == "compaction"), "compaction").otherwise("metadata")
