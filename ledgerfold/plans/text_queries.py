@@ -8,8 +8,10 @@ from ledgerfold.functions import dates
 from ledgerfold.functions import text as T
 from ledgerfold.operators import authorship, search
 from ledgerfold.operators.ordering import numbered
+from ledgerfold.operators.textindex import TextIndex
 from ledgerfold.plans.book import Book
 from ledgerfold.plans.standins import messages, table
+from ledgerfold.session import scratch_folder
 
 BOOK = Book()
 
@@ -44,6 +46,37 @@ def substring_search(spark, sf_dir):
     return search.search_substring(corpus(spark, sf_dir), ["TION", "the "]).select("id")
 
 
+@BOOK.add(f"""WITH {W}, st AS (SELECT count(*) AS nd, avg(length) AS al FROM len), h AS (SELECT * FROM ix WHERE term IN ('the', 'with')), d AS (SELECT term, count(*) AS df FROM h GROUP BY 1), f AS (SELECT id FROM h GROUP BY 1 HAVING count(*) = 2),
+s AS (SELECT h.id, sum(ln(1 + (nd - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / al))) AS score FROM h JOIN f ON f.id = h.id JOIN d ON d.term = h.term JOIN len ON len.id = h.id CROSS JOIN st GROUP BY 1) SELECT id, round(round(score, 6), 4) AS score FROM s ORDER BY round(score, 6) DESC, id LIMIT 500""")
+def stored_bm25(spark, sf_dir):
+    """The same ranking from an index in segments: a third of the messages with other texts first, then all in two deltas."""
+    return _stored(spark, sf_dir).search(["with", "the"], best=search.BEST).select("id", F.round("score", 4).alias("score"))
+
+
+def _stored(spark, sf_dir):
+    m = corpus(spark, sf_dir)
+    index = TextIndex(spark, scratch_folder(spark, "index"), buckets=8)
+    index.add(m.where("id % 3 = 0").withColumn("text", F.concat(F.lit("with the stale of the "), "text")))
+    index.add(m.where("id % 3 <> 1"))
+    index.add(m.where("id % 3 = 1"))
+    return index
+
+
+@BOOK.add(r"""WITH d AS (SELECT doc_id AS id, text FROM documents), v AS (SELECT id, text, regexp_matches(text, '(?i)(^|[^\p{L}\p{N}])in[^\p{L}\p{N}]+the([^\p{L}\p{N}]|$)') AS words FROM d)
+SELECT id, 'words' AS variant FROM v WHERE words UNION ALL SELECT id, 'case' FROM v WHERE words AND regexp_matches(text, 'In[^\p{L}\p{N}]+the')
+UNION ALL SELECT id, 'separators' FROM v WHERE words AND contains(lower(text), 'in, the') UNION ALL SELECT id, 'both' FROM v WHERE words AND contains(text, 'in, the')""")
+def phrase_variants(spark, sf_dir):
+    m, index = corpus(spark, sf_dir), _stored(spark, sf_dir)
+    variants = {"words": ("in the", False, False), "case": ("In the", False, True), "separators": ("In, the", True, False), "both": ("in, the", True, True)}
+    parts = [index.search_phrase(m, *v).select("id", F.lit(name).alias("variant")) for name, v in variants.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@BOOK.add("SELECT doc_id AS id FROM documents WHERE contains(lower(text), 'ation') AND contains(lower(text), 'the ')")
+def trigram_search(spark, sf_dir):
+    return _stored(spark, sf_dir).search_substring(corpus(spark, sf_dir), ["ATION", "the ", "x"]).select("id")
+
+
 @BOOK.add(f"""WITH {W}, v AS (SELECT DISTINCT term FROM ix), d AS (SELECT term, CASE WHEN CASE WHEN ends_with(term, 'ation') AND length(term) > 8 THEN left(term, length(term) - 5) WHEN ends_with(term, 'ments') AND length(term) > 8 THEN left(term, length(term) - 5) WHEN ends_with(term, 'ment') AND length(term) > 7 THEN left(term, length(term) - 4) WHEN ends_with(term, 'ingly') AND length(term) > 8 THEN left(term, length(term) - 5) WHEN ends_with(term, 'ing') AND length(term) > 6 THEN left(term, length(term) - 3) WHEN ends_with(term, 'edly') AND length(term) > 7 THEN left(term, length(term) - 4) WHEN ends_with(term, 'ed') AND length(term) > 5 THEN left(term, length(term) - 2) WHEN ends_with(term, 'ies') AND length(term) > 6 THEN left(term, length(term) - 3) WHEN ends_with(term, 'es') AND length(term) > 5 THEN left(term, length(term) - 2) WHEN ends_with(term, 's') AND length(term) > 4 THEN left(term, length(term) - 1) ELSE term END = 'ther' THEN 0 ELSE levenshtein(term, 'thering') END AS distance FROM v WHERE starts_with(term, 'th') AND length(term) BETWEEN 5 AND 9 AND term <> 'thering')
 SELECT * FROM (SELECT term, distance FROM d WHERE distance <= 2 ORDER BY distance, term LIMIT 24) UNION ALL SELECT 'thering', 0""")
 def fuzzy_terms(spark, sf_dir):

@@ -55,6 +55,11 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/ledgerfold/{spark.sparkContext.applicationId}"
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a job's own files in the shared folder; ``clear_scratch`` removes it."""
+    return f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
 
