@@ -1,4 +1,4 @@
-"""Incremental and streaming forms: new files, new records, guarded upserts, late data, interval joins, freshness."""
+"""Incremental and streaming forms: new files, new records, guarded upserts, late data, freshness."""
 
 from __future__ import annotations
 
@@ -70,18 +70,6 @@ def hourly_stream(events: DataFrame, delay: str = "2 hours") -> DataFrame:
     return events.withWatermark("created_at", delay).groupBy(F.window("created_at", "1 hour").alias("w"), "session_id", "model").agg(F.sum("total_tokens").alias("total_tokens")).select("session_id", "model", F.col("w.start").alias("usage_hour"), "total_tokens")
 
 
-def copied_stream(user: DataFrame, agent: DataFrame, hours: int = 48, delay: str = "1 hour") -> DataFrame:
-    """Stream-stream interval join: word runs of user messages that an agent reply had within the hours before.
-
-    Both: (id, conversation_id, text, sent_at).
-    """
-    runs = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.col("sent_at").alias(f"{p}_at"), F.explode(T.shingles(T.word_tokens(F.col("text")), 8)).alias(f"{p}_hash"))
-    u = runs(user, "u").withWatermark("u_at", delay)
-    a = runs(agent, "a").withWatermark("a_at", delay)
-    near = (F.col("u_hash") == F.col("a_hash")) & (F.col("a_at") < F.col("u_at")) & (F.col("a_at") >= F.col("u_at") - F.expr(f"interval {hours} hours"))
-    return u.join(a, near).select("u_id", "a_id", "u_at", "a_at", F.col("u_hash").alias("hash"))
-
-
 def burst_stream(tasks: DataFrame, keys: tuple[str, ...] = ("installation_id",), gap: str = "10 minutes", delay: str = "1 hour", least: int = 5) -> DataFrame:
     """Enqueue bursts as a stream of session windows, per key: a stream has no session windows without one."""
     roots = tasks.where("parent_id is null and created_by is null").withWatermark("created_at", delay)

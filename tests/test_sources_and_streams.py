@@ -121,15 +121,3 @@ def test_hourly_stream_and_bursts(spark, tmp_path, data):
     assert got == batch
     drain(inc.burst_stream(spark.readStream.schema(e.schema).parquet(str(tmp_path / "ev")), ("model",), "40 minutes", least=2), "bursts")
     assert spark.table("bursts").count() > 0
-
-
-def test_copied_stream_joins_inside_the_window(spark, tmp_path):
-    text = "one two three four five six seven eight nine"
-    rows = [("u", "c", text, "2026-01-02 00:00:00"), ("late", "c", text, "2026-01-09 00:00:00")]
-    make = lambda r, n: spark.createDataFrame(r, "id string, conversation_id string, text string, t string").selectExpr("id", "conversation_id", "text", "timestamp(t) sent_at").coalesce(1).write.parquet(str(tmp_path / n))
-    make(rows, "u")
-    make([("a", "c", text, "2026-01-01 00:00:00")], "a")
-    schema = "id string, conversation_id string, text string, sent_at timestamp"
-    read = lambda n: spark.readStream.schema(schema).parquet(str(tmp_path / n))
-    drain(inc.copied_stream(read("u"), read("a")), "copied")
-    assert {r["u_id"] for r in spark.table("copied").collect()} == {"u"}
