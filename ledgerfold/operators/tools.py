@@ -1,4 +1,4 @@
-"""The tool ledger: requests, calls with results, context cost, commands, addresses, cube and daily rollup.
+"""The tool ledger: requests, calls with results, context cost, cube and daily rollup.
 
 Every per-conversation rule is a window over (conversation, stream) ordered by message index, so one hash
 partitioning by conversation serves them all. Only ids, sizes and counters are in these tables; texts stay behind.
@@ -6,10 +6,6 @@ partitioning by conversation serves them all. Only ids, sizes and counters are i
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,316 +130,6 @@ def result_share(calls: DataFrame, requests: DataFrame) -> DataFrame:
     return out.withColumn("carried_tokens", F.col("result_tokens") * F.col("carried")).drop("_user", "_total", "context_growth")
 
 
-# --- shell commands ---------------------------------------------------------------------------------------------
-
-#: Programs that set the shell up.
-SETUP = ("for", "while", "until", "if", "case", "select", "[", "[[", "test", "cd", "pwd", "pushd", "popd", "export", "set", "unset", "source", ".", "true", ":", "echo", "printf", "sleep", "trap", "shopt", "local", "declare", "alias")
-#: Words of the shell that stand before a command.
-KEYWORDS = ("then", "do", "else", "elif", "!", "{", "(", "done", "fi", "esac", "}")
-#: Programs that run the command after them, with the number of plain arguments they take themselves.
-WRAPPERS = {"sudo": 0, "time": 0, "nohup": 0, "command": 0, "exec": 0, "env": 0, "timeout": 1, "gtimeout": 1, "nice": 0, "caffeinate": 0, "stdbuf": 0, "xcrun": 0}
-
-#: What programs do.
-PROGRAMS = {
-    "read": ("cat", "head", "tail", "less", "more", "nl", "bat", "wc", "file", "stat", "xxd", "hexdump", "od", "strings", "jq", "yq", "awk", "cut", "sort", "uniq", "column", "tr", "diff", "cmp", "md5", "shasum", "sha256sum", "base64", "plutil", "readlink", "realpath"),
-    "search": ("grep", "rg", "ag", "ack", "find", "fd", "locate", "mdfind", "egrep", "fgrep"),
-    "list": ("ls", "tree", "du", "df", "pwd", "eza", "exa"),
-    "vcs": ("git", "gh"),
-    "build": ("make", "tsc", "esbuild", "swiftc", "xcodebuild", "gradle", "mvn", "cmake", "ninja", "vite", "webpack", "rollup"),
-    "test": ("pytest", "jest", "vitest", "playwright", "mocha"),
-    "package": ("brew", "pip", "pip3", "uv", "poetry", "conda", "apt", "apt-get", "rustup"),
-    "file-write": ("mv", "cp", "rm", "mkdir", "touch", "chmod", "ln", "tee", "patch", "rsync", "unzip", "zip", "tar", "rmdir", "install"),
-    "network": ("curl", "wget", "ssh", "scp", "nc", "ping", "http", "dig", "nslookup"),
-    "process": ("ps", "kill", "pkill", "pgrep", "lsof", "top", "open", "osascript", "launchctl", "systemctl", "killall", "wait", "jobs", "screencapture"),
-    "run": ("node", "ruby", "perl", "bash", "sh", "zsh", "tsx", "ts-node", "java", "npx", "bunx", "pnpx"),
-    "database": ("sqlite3", "psql", "mysql", "redis-cli", "duckdb"),
-    "container": ("docker", "kubectl", "helm", "podman"),
-    "cloud": ("gcloud", "aws", "terraform", "vercel", "firebase", "supabase"),
-    "shell": ("cd", "pushd", "popd", "export", "set", "unset", "source", ".", "true", ":", "echo", "printf", "sleep", "which", "type", "env", "date", "whoami", "test", "[", "[[", "command", "trap", "exit", "hostname", "uname", "sw_vers", "id", "tput"),
-}
-_CATEGORY = {program: category for category, programs in PROGRAMS.items() for program in programs}
-
-#: Programs whose first operand names the action.
-SUBCOMMANDS = ("git", "go", "npm", "pnpm", "yarn", "bun", "cargo", "docker", "kubectl", "gh", "brew", "pip", "pip3", "uv", "poetry", "make", "gcloud", "aws", "terraform", "swift", "deno", "npx", "bunx", "pnpx", "rustup", "conda", "apt", "apt-get", "systemctl", "launchctl", "claude", "codex", "gradle", "mvn", "dotnet", "helm", "firebase", "vercel", "supabase", "prisma", "turbo", "nx", "just", "task", "defaults", "security", "diskutil", "hdiutil")
-#: Global options of such programs that take a value.
-OPTION_VALUES = {
-    "git": ("-C", "-c", "--git-dir", "--work-tree"),
-    "npm": ("--prefix", "-w", "--workspace"),
-    "pnpm": ("-C", "--dir", "--filter", "-F"),
-    "yarn": ("--cwd",),
-    "make": ("-C", "-f", "-j"),
-    "docker": ("-H", "--context"),
-    "cargo": ("--manifest-path",),
-    "gh": ("-R", "--repo"),
-}
-#: Programs whose action may run a named script.
-SCRIPTED = ("npm", "pnpm", "yarn", "bun")
-#: Language tools, whose action or script tells what they do.
-LANGUAGE_TOOLS = ("go", "cargo", "npm", "pnpm", "yarn", "bun", "deno", "swift", "dotnet")
-ACTIONS = {
-    "test": ("test", "vet", "lint"),
-    "build": ("build", "compile", "generate"),
-    "package": ("install", "i", "ci", "add", "get", "mod", "remove", "update", "upgrade", "uninstall"),
-    "file-write": ("fmt", "format"),
-}
-SCRIPT_STARTS = (("test", "test"), ("lint", "test"), ("typecheck", "test"), ("check", "test"), ("build", "build"), ("format", "file-write"), ("fmt", "file-write"))
-
-_LEXEME = re.compile(r"""'[^']*'|"(?:\\.|[^"\\])*"|\\.|<<<|\d?>&\d?|&>>?|<&|\d?>>?|<(?!<)|&&|\|\||[|;&\n]|[^\s'"\\<>&|;]+|\s""", re.S)
-_HEREDOC = re.compile(r"<<-?\s*(['\"]?)(\w+)\1")
-
-
-def _without_heredocs(line: str) -> tuple[str, bool]:
-    """The command line without heredoc bodies, and whether it had any."""
-    found = False
-    while (m := _HEREDOC.search(line)) and line[m.start() - 1 : m.start()] != "<":
-        found = True
-        begin = line.find("\n", m.end())
-        end = re.compile(rf"^\s*{re.escape(m[2])}\s*$", re.M).search(line, begin + 1) if begin >= 0 else None
-        tail = line[m.end() : begin] if begin >= 0 else line[m.end() :]
-        line = line[: m.start()] + " " + tail + (line[end.end() :] if end else "")
-    return line, found
-
-
-def _operands(words: list[str]) -> list[str]:
-    """Words without quotes, up to the first redirection."""
-    out = []
-    for w in words:
-        if re.match(r"\d*[<>]|&>", w):
-            break
-        out.append(re.sub(r"\\(.)", r"\1", w) if w[:1] not in "'\"" else w.strip("'\""))
-    return out
-
-
-def _simple(words: list[str]) -> tuple[str, str]:
-    """Program and subcommand of a simple command's words."""
-    rest = _operands(words)
-    while rest:
-        w = rest[0].lstrip("({") or rest[0]
-        name = w.rsplit("/", 1)[-1]
-        if w in KEYWORDS or re.match(r"[A-Za-z_]\w*=", w):
-            rest = rest[1:]
-        elif name in WRAPPERS and len(rest) > 1:
-            rest = rest[1:]
-            while rest and (rest[0].startswith("-") or (name == "env" and "=" in rest[0])):
-                rest = rest[1:]
-            rest = rest[WRAPPERS[name] :]
-        else:
-            return _action(name.lower().removesuffix(")"), rest[1:])
-    return "", ""
-
-
-def _action(program: str, rest: list[str]) -> tuple[str, str]:
-    """The program with its subcommand, script or module."""
-    if program.startswith("python") or program in ("node", "ruby", "perl", "bash", "sh", "zsh", "tsx", "ts-node"):
-        for i, w in enumerate(rest):
-            if w == "-m" and program.startswith("python"):
-                return program, f"-m {rest[i + 1]}" if i + 1 < len(rest) else ""
-            if w in ("-c", "-e"):
-                return program, w
-            if w == "-":
-                return program, "stdin"
-            if not w.startswith("-"):
-                return program, w.rsplit("/", 1)[-1]
-        return program, ""
-    if program not in SUBCOMMANDS:
-        return program, ""
-    valued = OPTION_VALUES.get(program, ())
-    operands, skip = [], False
-    for w in rest:
-        if not skip and not w.startswith("-"):
-            operands.append(w)
-        skip = not skip and w in valued
-    if not operands:
-        return program, ""
-    if operands[0] in ("run", "exec", "x") and program in SCRIPTED and len(operands) > 1:
-        return program, " ".join(operands[:2])
-    return program, operands[0]
-
-
-def _category(program: str, sub: str, text: str) -> str:
-    verb, _, script = sub.partition(" ")
-    if program == "git":
-        return "search" if sub == "grep" else "vcs"
-    if program == "sed" or program == "perl":
-        writes = re.search(r"\s(-i|-pi|--in-place)", text)
-        return "file-write" if writes else "read" if program == "sed" else "run"
-    if program in LANGUAGE_TOOLS:
-        by_script = next((c for start, c in SCRIPT_STARTS if script.startswith(start)), None)
-        return by_script or next((c for c, verbs in ACTIONS.items() if verb in verbs), "run")
-    if program.startswith("python"):
-        return {"-m pytest": "test", "-m unittest": "test", "-m pip": "package"}.get(sub, "run")
-    if program in _CATEGORY:
-        return _CATEGORY[program]
-    return "run" if program and text.strip().startswith(("./", "/")) else "other"
-
-
-def parse_command(line: str) -> dict:
-    """A lexical reading of a shell line: its simple commands, the primary one and flags. Nothing is evaluated."""
-    body, heredoc = _without_heredocs(line)
-    segments: list[dict] = []
-    words: list[str] = []
-    text, operator, word = "", "", ""
-    flags = {"has_pipe": False, "has_redirect": False, "is_backgrounded": False}
-
-    def close(next_operator: str) -> None:
-        nonlocal text, operator, word, words
-        if word:
-            words.append(word)
-        if text.strip():
-            program, sub = _simple(words)
-            segments.append({"text": text.strip(), "operator": operator, "program": program, "subcommand": sub, "category": _category(program, sub, text)})
-        text, word, words, operator = "", "", [], next_operator
-
-    depth = 0
-    for m in _LEXEME.finditer(body):
-        t = m[0]
-        depth = max(0, depth + (t.count("$(") + t.count("(") - t.count("$(") if t[0] not in "'\"" else 0) - (t.count(")") if t[0] not in "'\"" else 0))
-        if t in ("&&", "||", ";", "|", "&", "\n") and not depth:
-            flags["has_pipe"] |= t == "|"
-            flags["is_backgrounded"] |= t == "&"
-            close(";" if t == "\n" else t)
-            continue
-        if re.fullmatch(r"&>>?|\d?>>?", t) and not depth:
-            flags["has_redirect"] = True
-        text += t
-        if t.isspace():
-            if word:
-                words.append(word)
-            word = ""
-        else:
-            word += t
-    close("")
-    primary = next((i for i, s in enumerate(segments) if s["program"] and s["program"] not in SETUP), 0 if segments else -1)
-    return {"segments": segments, "primary": primary, "has_heredoc": heredoc, **flags}
-
-
-def shell_commands(calls: DataFrame) -> DataFrame:
-    """A row per simple command of (call_id, command): position, operator, program, subcommand, category, is_primary and flags."""
-    schema = "call_id string, position int, operator string, text string, program string, subcommand string, category string, is_primary boolean, has_pipe boolean, has_redirect boolean, has_heredoc boolean, is_backgrounded boolean"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in schema.split(", ")]
-        for pdf in batches:
-            rows = []
-            for call, line in zip(pdf["call_id"], pdf["command"], strict=True):
-                if not line:
-                    continue
-                p = parse_command(line)
-                for i, s in enumerate(p["segments"]):
-                    rows.append([call, i, s["operator"], s["text"], s["program"], s["subcommand"], s["category"], i == p["primary"], p["has_pipe"], p["has_redirect"], p["has_heredoc"], p["is_backgrounded"]])
-            yield pd.DataFrame(rows, columns=names)
-
-    return calls.select(F.col("call_id").cast("string").alias("call_id"), "command").mapInPandas(run, schema)
-
-
-# --- reached addresses ------------------------------------------------------------------------------------------
-
-_URL = re.compile(r"(?i)\b(?:https?|wss?|ftp)://[^\s\"'<>`\\|{}^\[\]]+")
-#: Programs that fetch addresses, actions of version control that do, programs that open them, and calls of code that do.
-FETCHERS = ("curl", "wget", "xh", "aria2c", "lynx", "w3m", "websocat", "grpcurl", "invoke-webrequest", "invoke-restmethod")
-REMOTE_ACTIONS = ("clone", "fetch", "pull", "push", "ls-remote", "submodule", "remote add", "remote set-url")
-OPENERS = ("open", "xdg-open")
-CALLS = (
-    "urlopen(", "urllib.request", "httpx.", "aiohttp", "fetch(", "axios", "http.get(", "http.request(", "https.get(", "https.request(", ".goto(", "webbrowser.open", "new websocket(",
-    "requests.get", "requests.post", "requests.put", "requests.patch", "requests.delete", "requests.head", "requests.request", "requests.session",
-)
-
-
-def reaches_out(line: str) -> bool:
-    """Whether a line talks to the network: a fetching program, a remote action of git, an opened address or a call of code."""
-    low = line.lower()
-    if any(call in low for call in CALLS):
-        return True
-    words = re.split(r"[\s;&|(`$\"'=]+", low)
-    if any(w in FETCHERS for w in words[:-1]):
-        return True
-    pairs = [" ".join(words[i + 1 : i + 3]) for i, w in enumerate(words) if w == "git"]
-    if any(p == a or p.startswith(f"{a} ") for p in pairs for a in REMOTE_ACTIONS):
-        return True
-    starts = [part.split() for part in re.split(r"[;&|(]", low)]
-    return any(s and s[0] in OPENERS and len(s) > 1 and "://" in s[1] for s in starts)
-
-
-#: A variable's name before its value, after any words that declare it.
-_ASSIGNED = re.compile(r"\s*(?:[a-z]+\s+)?([A-Za-z_]\w*)\s*:?=(?!=)")
-_OPENED = re.compile(r"(?m)^Web search completed for: (\S+)")
-URL_KEYS = {"url", "urls", "uri", "href", "link", "target_url", "page_url", "website"}
-
-
-def clean_url(raw: str) -> tuple[str, str]:
-    """(url, host with port) of a network address with a literal host; empty texts otherwise."""
-    raw = raw.strip().rstrip(".,:;!?)'\"")
-    m = re.match(r"(?i)^(https?|wss?|ftp)://([^/?#]*)", raw)
-    host = m[2].rsplit("@", 1)[-1].lower() if m else ""
-    if not host or host.endswith(":") or any(c in host for c in "$%{}<>()"):
-        return "", ""
-    return raw, host
-
-
-def command_urls(text: str) -> list[str]:
-    """Addresses on lines that talk to the network, and those of variables such lines use, through other variables as well."""
-    lines = text.replace("\\\n", " ").split("\n")
-    given: dict[str, str] = {}
-    for line in lines:
-        if (m := _ASSIGNED.match(line)) and not reaches_out(line):
-            given[m[1]] = line[m.end() :]
-    out: list[str] = []
-
-    def use(part: str, seen: frozenset[str]) -> None:
-        out.extend(u.rstrip(".,:;!?)'\"") for u in _URL.findall(part) if u.rstrip(".,:;!?)'\"") not in out)
-        for name in re.findall(r"[A-Za-z_]\w*", _URL.sub(" ", part)):
-            if name in given and name not in seen:
-                use(given[name], seen | {name})
-
-    for line in lines:
-        if reaches_out(line):
-            use(line, frozenset())
-    return out
-
-
-def _arguments(value: object, key: str = "") -> Iterator[str]:
-    """Texts under URL keys at any depth."""
-    if isinstance(value, dict):
-        for k, v in value.items():
-            yield from _arguments(v, k.lower())
-    elif isinstance(value, list):
-        for v in value:
-            yield from _arguments(v, key)
-    elif isinstance(value, str) and key in URL_KEYS:
-        yield value
-
-
-def tool_urls(calls: DataFrame) -> DataFrame:
-    """A row per address of (call_id, category, arguments JSON, command, result): position, url, host, source."""
-    import json
-
-    schema = "call_id string, position int, url string, host string, source string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                found: dict[str, tuple[str, str]] = {}
-                try:
-                    given = json.loads(r.arguments or "null")
-                except ValueError:
-                    given = None
-                candidates = [(u, "input") for u in _arguments(given)]
-                candidates += [(u, "command") for u in command_urls(r.command or "")]
-                candidates += [(u, "result") for u in _OPENED.findall(r.result or "")]
-                if r.category == "web":
-                    candidates += [(u, "search_result") for u in _URL.findall(r.result or "")]
-                for raw, source in candidates:
-                    url, host = clean_url(raw)
-                    if url and url not in found:
-                        found[url] = host, source
-                rows += [[r.call_id, i, u, h, s] for i, (u, (h, s)) in enumerate(found.items())]
-            yield pd.DataFrame(rows, columns=["call_id", "position", "url", "host", "source"])
-
-    cols = [F.col(c).cast("string").alias(c) for c in ("call_id", "category", "arguments", "command", "result")]
-    return calls.select(*cols).mapInPandas(run, schema)
-
-
 # --- cube and rollup --------------------------------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import text as T
-from ledgerfold.operators import tools
+from ledgerfold.operators import addresses, shell, tools
 from ledgerfold.plans.book import Book
 from ledgerfold.plans.standins import CALLS, table, tool_calls
 
@@ -115,16 +115,46 @@ def tool_outcome(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", out.alias("o")).select("event_id", "o.status", "o.error_type", "o.exit_code")
 
 
-@BOOK.add("SELECT CAST(page_id AS VARCHAR) AS call_id, p AS position, CASE p WHEN 0 THEN 'curl' ELSE 'jq' END AS program, CASE p WHEN 0 THEN 'network' ELSE 'read' END AS category, p = 0 AS is_primary, true AS has_pipe FROM pages, (VALUES (0), (1)) t(p)")
-def shell_commands(spark, sf_dir):
-    c = table(spark, sf_dir, "pages").select(F.col("page_id").alias("call_id"), F.concat(F.lit("FOO=1 curl -sS '"), "url", F.lit("' | jq .")).alias("command"))
-    return tools.shell_commands(c).select("call_id", "position", "program", "category", "is_primary", "has_pipe")
+#: What the commands of each kind of page read as: kind, position, operator, program, subcommand, category, is_primary.
+COMMAND_ROWS = [
+    (0, 0, "", "curl", "", "network", True), (0, 1, "|", "jq", "", "read", False),
+    (1, 0, "", "cd", "", "shell", False), (1, 1, "&&", "git", "log", "vcs", True), (1, 2, "||", "echo", "", "shell", False),
+    (2, 0, "", "tee", "", "file-write", True), (2, 1, ";", "python3", "-m pytest", "test", False),
+    (3, 0, "", "wget", "", "network", True), (3, 1, "&", "sleep", "", "shell", False),
+    (4, 0, "", "npm", "run build", "build", True), (4, 1, "script", "echo", "", "shell", False), (4, 2, ";", "rg", "", "search", False),
+    (5, 0, "", "git", "commit", "vcs", True), (5, 1, "&&", "git", "push", "vcs", False),
+]
+_FLAGS = {0: (True, False, False, False), 1: (False, True, False, False), 2: (False, True, True, False), 3: (False, False, False, True), 4: (False, False, False, False), 5: (False, False, True, False)}
+_EXPECTED = ", ".join(f"({k}, {p}, '{o}', '{g}', '{s}', '{c}', {m}, {', '.join(map(str, _FLAGS[k]))})" for k, p, o, g, s, c, m in COMMAND_ROWS)
 
 
-@BOOK.add("""SELECT CAST(page_id AS VARCHAR) AS call_id, 0 AS position, regexp_extract(url, '://([^/?#]*)', 1) AS host, 'command' AS source FROM pages WHERE page_id % 2 = 0 UNION ALL
-SELECT CAST(page_id AS VARCHAR), 0, regexp_extract(url, '://([^/?#]*)', 1), 'input' FROM pages WHERE page_id % 2 = 1""")
+@BOOK.add(f"""SELECT CAST(page_id AS VARCHAR) AS call_id, e.* EXCLUDE (kind) FROM pages JOIN (VALUES {_EXPECTED}) e(kind, position, operator, program, subcommand, category, is_primary, has_pipe, has_redirect, has_heredoc, is_backgrounded) ON page_id % 6 = kind""")
+def shell_commands(spark, sf_dir):
+    url = F.regexp_replace("url", "['\"\\\\]", "")
+    said = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    kind = F.col("page_id") % 6
+    line = (
+        F.when(kind == 0, said("FOO=1 timeout 30 curl -sS '", url, "' | jq .")).when(kind == 1, said("cd /srv && git -C lib log '", url, "' > log.txt || echo \"", url, "; none\""))
+        .when(kind == 2, said("tee page.txt > copy.txt <<'END'\n", url, " | a && b\nit's; text\nEND\nenv -i X=1 python3 -m pytest -q tests")).when(kind == 3, said("sudo wget -q '", url, "' & sleep 2"))
+        .when(kind == 5, said("git commit -m \"$(cat <<'EOF'\nMend ", url, "; don't break\nEOF\n)\" && git push"))
+    )
+    script = said('await tools.exec_command({cmd:"npm run build"}); run({cmd: `echo (a; b); rg -n x`}) // ', url)
+    given = F.when(kind == 3, F.to_json(F.struct(F.array(F.lit("bash"), F.lit("-lc"), line).alias("command")))).when(kind == 4, script).otherwise(F.to_json(F.struct(line.alias("command"))))
+    calls = table(spark, sf_dir, "pages").select(F.col("page_id").alias("call_id"), F.lit("exec").alias("tool"), given.alias("input"), F.lit(None).cast("string").alias("details"))
+    out = shell.shell_commands(shell.call_commands(calls))
+    return out.select("call_id", "position", "operator", "program", "subcommand", "category", "is_primary", "has_pipe", "has_redirect", "has_heredoc", "is_backgrounded")
+
+
+@BOOK.add("""WITH p AS (SELECT page_id, page_id % 4 AS k, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages), f(k, position, host, source) AS (VALUES (0, 0, NULL, 'command'), (1, 0, NULL, 'input'), (1, 1, 'shown.example', 'search_result'), (2, 0, NULL, 'command'), (2, 1, 'second.example', 'command'))
+SELECT CAST(page_id AS VARCHAR) AS call_id, position, coalesce(f.host, lower(p.host)) AS host, source FROM p JOIN f ON p.k = f.k""")
 def tool_urls(spark, sf_dir):
-    even = F.col("page_id") % 2 == 0
+    kind = F.col("page_id") % 4
     none = F.lit(None).cast("string")
-    c = table(spark, sf_dir, "pages").select(F.col("page_id").alias("call_id"), F.lit("web").alias("category"), F.when(~even, F.to_json(F.struct(F.struct("url").alias("page")))).alias("arguments"), F.when(even, F.concat(F.lit("U='"), "url", F.lit("'\ncurl $U"))).alias("command"), none.alias("result"))
-    return tools.tool_urls(c).select("call_id", "position", "host", "source")
+    url = F.regexp_extract("url", r"^[^\s\"'<>`\\|{}^\[\]]*", 0)
+    said = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    command = F.when(kind == 0, said("U='", url, "'\ncurl $U")).when(kind == 2, said("BASE=", url, "\nexport A=\"$BASE\"\nX=https://unused.example\nnode -e \"fetch(process.env.A)\" https://second.example"))
+    command = command.when(kind == 3, said("prefetch(", url, ")\necho ", url, "\nreopen ", url))
+    arguments = F.when(kind == 1, F.to_json(F.struct(F.struct(F.array(url).alias("urls")).alias("page"), F.lit("https://prompt.example").alias("prompt"))))
+    result = F.when(kind == 1, F.lit("<https://shown.example>."))
+    c = table(spark, sf_dir, "pages").select(F.col("page_id").alias("call_id"), F.when(kind == 1, "web").otherwise("shell").alias("category"), arguments.alias("arguments"), command.alias("command"), F.coalesce(result, none).alias("result"))
+    return addresses.tool_urls(c).select("call_id", "position", "host", "source")

@@ -1,50 +1,10 @@
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import text as T
 from ledgerfold.operators import tools
 
-CASES = [
-    ("pushd build && git --git-dir ../.git log -3 | tail -1", "git", "log", "vcs", 3, True, False, False),
-    ("MODE=ci nice cargo build --release 2>&1", "cargo", "build", "build", 1, False, False, False),
-    ("yarn run lint:fix >> lint.log", "yarn", "run lint:fix", "test", 1, False, True, False),
-    ("perl -pi -e 's/x/y/' notes.md", "perl", "-e", "file-write", 1, False, False, False),
-    ("printf 'a; b' ; grep -c 'x|y' notes.md", "grep", "", "search", 2, False, False, False),
-    ("tee conf.ini <<'END'\nkey = a | b\nEND\nstat conf.ini", "tee", "", "file-write", 2, False, False, True),
-    ("env LANG=C python3.12 -m pytest -q tests", "python3.12", "-m pytest", "test", 1, False, False, False),
-    ("while true; do kubectl get pods; done", "kubectl", "get", "container", 3, False, False, False),
-    ("timeout 5 ping -c1 host.example", "ping", "", "network", 1, False, False, False),
-    ("sudo -E systemctl restart web &", "systemctl", "restart", "process", 1, False, False, False),
-    ("uv pip install duckdb", "uv", "pip", "package", 1, False, False, False),
-]
-
-
-@pytest.mark.parametrize("line,program,sub,category,n,pipe,redirect,heredoc", CASES)
-def test_commands(line, program, sub, category, n, pipe, redirect, heredoc):
-    p = tools.parse_command(line)
-    s = p["segments"][p["primary"]]
-    assert (s["program"], s["subcommand"], s["category"], len(p["segments"])) == (program, sub, category, n)
-    assert (p["has_pipe"], p["has_redirect"], p["has_heredoc"]) == (pipe, redirect, heredoc)
-
-
-def test_urls_of_variables_but_not_of_prose():
-    assert tools.command_urls('H=https://svc.example.org\nU="$H/api"\nwget -qO- "$U"') == ["https://svc.example.org"]
-    assert tools.command_urls('echo "open https://example.com in a browser"') == []
-    assert tools.clean_url("https://Example.com/a).") == ("https://Example.com/a", "example.com")
-    assert tools.clean_url("https://${HOST}/api") == ("", "")
-
-
-def test_lines_that_reach_out():
-    yes = ["git  remote add up https://a.example/x", "cd x; git clone https://a.example/y", "open 'https://a.example'", "r = requests.get(URL)", "await fetch(url)", "Invoke-WebRequest https://a.example"]
-    no = ["git status", "echo curl", "reopen https://a.example", "cat fetch.txt", "git remote -v"]
-    assert [x for x in yes if not tools.reaches_out(x)] == [] and [x for x in no if tools.reaches_out(x)] == []
-    long_ = "https://a.example/" + "p" * 5000
-    assert tools.clean_url(long_) == (long_, "a.example")
-    assert len(tools.command_urls("\n".join(f"curl https://a.example/{i}" for i in range(80)))) == 80
-
-
 def test_cube_equals_calls(spark):
     rng = random.Random(7)
     rows = [(rng.choice("wxyz"), rng.choice(["a", "b"]), rng.choice(["ok", "error"]), rng.choice([None, "", "p"]), rng.choice([None, rng.randint(0, 99)])) for _ in range(500)]
