@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerfold.functions import dates
 from ledgerfold.functions import text as T
-from ledgerfold.operators import authorship, search
+from ledgerfold.operators import authorship, search, semantic
 from ledgerfold.operators.ordering import numbered
 from ledgerfold.operators.textindex import TextIndex
 from ledgerfold.plans.book import Book
@@ -136,14 +136,37 @@ def authorship_rows(spark, sf_dir):
     return authorship.classify_authorship(m.where("role = 'user'"), m.where("role = 'assistant'")).select("id", "workspace_id", F.size("spans").alias("n_spans"), "typed_words", "typed_chars", "words", "chars")
 
 
+_NORMAL = f"""CASE {" ".join(f"WHEN w = '{w}' THEN '{c}'" for w, c in T.CONCEPTS.items())} ELSE regexp_replace(regexp_replace(regexp_replace(w, 'ing$', ''), 'ed$', ''), 's$', '') END"""
+_FEATURES = f"""t AS (SELECT doc_id AS id, list_transform(regexp_extract_all(lower(text), '[a-z0-9_./-]+'), lambda w: {_NORMAL}) AS ws FROM documents),
+u AS (SELECT id, ws, unnest(range(1, len(ws) + 1)) AS i FROM t), v AS (SELECT id, ws[i] AS w, ws[i + 1] AS nxt FROM u),
+fs AS (SELECT id, concat('w:', w) AS f, CAST(1.0 AS DOUBLE) AS x FROM v WHERE length(w) > 1 UNION ALL SELECT id, concat('b:', w, ':', nxt), 0.55 FROM v WHERE nxt IS NOT NULL
+  UNION ALL SELECT id, concat('c:', substr(concat('^', w, '$'), j, 3)), 0.18 FROM (SELECT id, w, unnest(range(1, length(w) + 1)) AS j FROM v)),
+fw AS (SELECT id, f, sum(x) AS weight FROM fs GROUP BY 1, 2)"""
+
+
+@BOOK.add(f"WITH {_FEATURES} SELECT id, count(*) AS n_features, round(sum(weight), 4) AS weight, round(sqrt(sum(weight * weight)), 4) AS length, max(f) AS last_feature FROM fw GROUP BY 1")
+def text_features(spark, sf_dir):
+    """The features that embeddings hash, per document."""
+    w = F.col("weight")
+    return semantic.features(corpus(spark, sf_dir), ["id"]).groupBy("id").agg(F.count(F.lit(1)).alias("n_features"), F.round(F.sum(w), 4).alias("weight"), F.round(F.sqrt(F.sum(w * w)), 4).alias("length"), F.max("feature").alias("last_feature"))
+
+
 @BOOK.add()
 def embed_documents(spark, sf_dir):
-    return search.embed(corpus(spark, sf_dir)).select(F.xxhash64("text").alias("text_key"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
+    """Vectors of all distinct texts; SQL has no such hash, tests hold them to plain sums."""
+    return semantic.embed(corpus(spark, sf_dir)).select(F.xxhash64("text").alias("text_key"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"), F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
 @BOOK.add()
 def explain_similarity(spark, sf_dir):
-    return search.explain_similarity("the with of", corpus(spark, sf_dir))
+    return semantic.explain_similarity("the with of", corpus(spark, sf_dir))
+
+
+@BOOK.add()
+def explain_fields(spark, sf_dir):
+    """The split by field, of documents whose first line, rest and language are fields."""
+    m = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.create_map(F.lit("title"), F.substring_index("text", "\n", 1), F.lit("body"), F.regexp_replace("text", "^[^\n]*\n?", ""), F.lit("lang"), "lang")).alias("field", "text"))
+    return semantic.explain_fields("the with of", m).select("id", "field", F.round("signal", 6).alias("signal"))
 
 
 def _written(spark, sf_dir):
