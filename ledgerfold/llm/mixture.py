@@ -19,13 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerfold.llm.columns import plain
 from ledgerfold.operators.ordering import numbered
 from ledgerfold.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 EDGE = 1e-9
-#: More repeated (doc_id, size) groups than this aren't broadcast; all units are then spread by row.
-SAME_ROWS = 20_000
 _FLIGHT = "row_id long, doc_id long, size long, source_key string, block long, p double"
 
 
@@ -138,20 +137,12 @@ def draw(units: DataFrame, block_rows: int = 1000) -> DataFrame:
     """Decide every unit of (row_id, doc_id, size, source_key, p): returns (row_id, p) with p 0 or 1.
 
     Blocks are rounds of a tree: ``block_rows`` units fly together, their leftovers join those of other blocks of
-    the source, until one block per source is left, which lands. Units of equal doc_id and size lie in one block; where there are more
-    than ``block_rows`` of them they are spread by row_id.
+    the source, until one block per source is left, which lands. Units are dealt to blocks by a hash of their row_id, at every size of the
+    table; for draws that agree between layouts of the same rows, number rows by what is in them (``_counts``).
     """
     sizes = units.groupBy("source_key").agg(F.count(F.lit(1)).alias("n"))
     now = units.join(F.broadcast(sizes) if sizes.count() <= 20_000 else sizes, "source_key")
-    spread = lambda *by: F.pmod(F.xxhash64(*by), F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows)).cast("long"))
-    same = materialize(units.groupBy("doc_id", "size").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block_rows).limit(SAME_ROWS + 1))
-    block = spread("doc_id", "size")
-    if (found := same.count()) > SAME_ROWS:
-        block = spread("row_id")
-    elif found:
-        many = same.select(F.xxhash64("doc_id", "size").alias("h")).distinct().withColumn("many", F.lit(True))
-        now = now.withColumn("h", F.xxhash64("doc_id", "size")).join(F.broadcast(many), "h", "left")
-        block = F.when(F.col("many"), spread("row_id")).otherwise(block)
+    block = F.pmod(F.xxhash64("row_id"), F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows)).cast("long"))
     now = now.select("row_id", "doc_id", "size", "source_key", block.alias("block"), "p")
     done = None
     while True:
@@ -167,22 +158,28 @@ def draw(units: DataFrame, block_rows: int = 1000) -> DataFrame:
 
 
 def _sized(docs: DataFrame, *more) -> DataFrame:
-    """(row_id, doc_id, source, source_key, size, ...) of every row, written once so that row_id stays."""
+    """(row_id, doc_id, source, source_key, size, said, ...) of every row, written once so that row_id stays; ``said`` is a hash of the text."""
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("source_key"), size.alias("size"), *more))
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("source_key"), size.alias("size"), F.xxhash64(F.col("text").cast("string")).alias("said"), *more))
 
 
 def _counts(rows: DataFrame, weights: tuple[float, ...], most: float, block_rows: int) -> DataFrame:
-    """(row_id, doc_id, size, source_size, target, copies) of sized rows."""
+    """(row_id, doc_id, size, source_size, target, copies) of sized rows.
+
+    Units are numbered in the order of (source, doc_id, size, text hash) by range partitions. Rows equal in all of them have neighbouring
+    numbers and are alike to the draw, so it doesn't depend on how the table is laid out.
+    """
     per = rows.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     targets = materialize(source_targets(per, weights, most))
     few = F.broadcast(targets) if targets.count() <= 20_000 else targets
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    share = rows.select("row_id", "doc_id", "size", "source_key").join(few, "source_key").withColumn("ratio", F.least(ratio, F.lit(float(most))))
+    unit = numbered(rows.select("row_id", "doc_id", "size", "source_key", "said"), [F.col(c).asc_nulls_first() for c in ("source_key", "doc_id", "size", "said")], "unit")
+    share = unit.join(few, "source_key").withColumn("ratio", F.least(ratio, F.lit(float(most))))
     base = F.floor(F.col("ratio") + EDGE).cast("long")
-    drawn = draw(share.select("row_id", "doc_id", "size", "source_key", F.greatest(F.lit(0.0), F.col("ratio") - base).alias("p")), block_rows)
-    return share.join(drawn, "row_id").select("row_id", "doc_id", "size", "source_size", "target", (base + F.round("p").cast("long")).alias("copies"))
+    drawn = draw(share.select(F.col("unit").alias("row_id"), "doc_id", "size", "source_key", F.greatest(F.lit(0.0), F.col("ratio") - base).alias("p")), block_rows)
+    drawn = drawn.withColumnRenamed("row_id", "unit")
+    return share.join(drawn, "unit").select("row_id", "doc_id", "size", "source_size", "target", (base + F.round("p").cast("long")).alias("copies"))
 
 
 def mix_counts(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, block_rows: int = 1000) -> DataFrame:
@@ -202,7 +199,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
 
     Each row is drawn on its own, so rows that repeat an id and rows without one take part like all others.
     """
-    rows = _sized(docs, F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    names, docs = docs.columns, plain(docs)
+    rows = _sized(docs, F.struct(*docs.columns).alias("row"))
     counts = _counts(rows, weights, most, block_rows).where("copies > 0").select("row_id", "copies")
     times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return rows.select("row_id", "row").join(counts.hint("merge"), "row_id").select("row", times.alias("time")).select("row.*")
+    return rows.select("row_id", "row").join(counts.hint("merge"), "row_id").select("row", times.alias("time")).select("row.*").toDF(*names)

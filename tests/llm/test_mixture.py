@@ -96,3 +96,14 @@ def test_rows_that_repeat_without_end_are_spread(spark):
     again = mixture.mix_counts(d, block_rows=50).toPandas()
     order = ["doc_id", "size", "taken"]
     assert got.sort_values(order)[order].reset_index(drop=True).equals(again.sort_values(order)[order].reset_index(drop=True))
+
+
+def test_layouts_of_the_same_rows_agree(spark):
+    """However the table is cut into files, also with many rows equal in id and size, the same copies are drawn."""
+    rows = [(i % 40, "w " * (i % 3)) for i in range(1500)] + [(7, "a b c")] * 400 + [(None, "d e")] * 300
+    d = docs(spark, rows, [f"s{i % 4}" for i in range(1500)] + ["s0"] * 700)
+    seen = []
+    for table in (d, d.repartition(1), d.repartition(9), d.orderBy("text").repartition(3)):
+        got = mixture.mix_counts(table, block_rows=60).select("doc_id", "size", "source_size", "copies").collect()
+        seen.append(Counter(map(tuple, got)))
+    assert all(s == seen[0] for s in seen)
