@@ -21,7 +21,9 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
+from ledgerfold.llm.columns import plain
 from ledgerfold.operators.skew import hot_keys, salted_join
 from ledgerfold.session import lean, materialize
 
@@ -80,8 +82,8 @@ def _packed(rows: DataFrame) -> DataFrame:
             at = b.schema.get_field_index("text")
             yield b.set_column(at, "z", pa.array(z, pa.binary()))
 
-    fields = [f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in rows.schema]
-    return rows.mapInArrow(run, ", ".join(fields).replace("`text` binary", "`z` binary"))
+    fields = [StructField("z", BinaryType()) if f.name == "text" else f for f in rows.schema]
+    return rows.mapInArrow(run, StructType(fields))
 
 
 def _unpacked(z: list[bytes | None]) -> list[str | None]:
@@ -163,14 +165,16 @@ def dedup_lines(docs: DataFrame, window: int = 2, one_in: int = 3, most: int = 1
     Other columns pass through, also ones named like the helpers here; columns that have the names in ``counts`` are replaced. An empty
     table gives an empty result.
     """
-    cols = [c for c in docs.columns if c not in counts]
+    names = [c for c in docs.columns if c not in counts]
+    docs = plain(docs).select(*[p for p, c in zip(plain(docs).columns, docs.columns) if c not in counts])
+    cols = docs.columns
     away = repeated_chunks(docs, window, one_in, most, every_pair, digits)
     spans = away.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     row = F.struct(*[F.lit(None).cast("string").alias(c) if c == "text" else F.col(c) for c in cols]).alias("row")
     text = F.col("text").cast("string")
     whole = _packed(docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")))
     joined = whole.join(spans.hint("merge"), ["doc_id", "text_hash"], "left")
-    kind = docs.select(row).schema["row"].dataType.simpleString()
+    shape = StructType([docs.select(row).schema["row"], StructField("text", StringType()), StructField("n_removed", LongType()), StructField("removed_chars", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,5 +197,6 @@ def dedup_lines(docs: DataFrame, window: int = 2, one_in: int = 3, most: int = 1
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([b["row"], pa.array(texts, pa.string()), pa.array(removed, pa.int64()), pa.array(gone, pa.int64())], ["row", "text", "n_removed", "removed_chars"])
 
-    cut = joined.select("row", "z", "spans").mapInArrow(run, f"row {kind}, text string, n_removed long, removed_chars long")
-    return cut.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in cols], F.col("n_removed").alias(counts[0]), F.col("removed_chars").alias(counts[1]))
+    cut = joined.select("row", "z", "spans").mapInArrow(run, shape)
+    out = cut.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in cols], "n_removed", "removed_chars")
+    return out.toDF(*names, *counts)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerfold.llm.columns import plain
 from ledgerfold.session import lean
 
 HASHED = 128
@@ -166,8 +167,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_labels: int = 12_000
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_labels: int = 12_000) -> DataFrame:
     """The rows of ``docs``, all columns, that the classifier predicts 1; texts are scored in place, without a join."""
+    names, docs = docs.columns, plain(docs)
     ranker = train(docs, labels, max_labels)
-    cols = docs.columns
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,4 +178,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_labels: int = 12_000) -> D
                 x = np.array([features(t) for t in b.column(at).to_pylist()]).reshape(b.num_rows, NAMES + HASHED)
                 yield b.filter(pa.array(ranker.score(x) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema).select(cols)
+    return docs.mapInArrow(run, docs.schema).toDF(*names)

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerfold.llm.columns import plain
 from ledgerfold.operators.graph import connected_components
 from ledgerfold.operators.skew import hot_keys, salted_join
 from ledgerfold.session import lean, materialize
@@ -293,12 +294,12 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, distance: int
 
     Candidates are links of at most ``distance`` bits in any of ``prints`` fingerprints; two texts are of one class if links with a
     shingle similarity of ``least`` or more lead from one to the other. A row's key is its doc_id and text, so rows that share an id
-    with different texts are documents of their own; of rows equal in both one stays. Null ids come after all others: such a row
+    with different texts are documents of their own; of rows equal in both the one stays whose columns, as JSON, come first. Null ids come after all others: such a row
     stays if no row of its class has an id and no other null one a smaller hash. Null and blank texts are one class. An empty table
     gives an empty result; extra columns pass through, whatever their names.
     """
     lean(docs.sparkSession)
-    cols = docs.columns
+    names_given, docs = docs.columns, plain(docs)
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"))
     text = F.col("text").cast("string").alias("text")
     marked = materialize(_fingerprints_of(docs.select(key.alias("place"), text), "place struct<none:boolean,id:long,hash:long>", shingle_words, prints))
@@ -310,7 +311,8 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, distance: int
     keep = named.groupBy("component").agg(F.min("low").alias("place")).select("place")
     same = marked.groupBy("place").agg(F.count(F.lit(1)).alias("n"))
     keep = materialize(same.join(keep, "place", "left_semi"))
-    whole = docs.select(F.struct(*[F.col(c) for c in cols]).alias("row"), key.alias("place"))
-    kept = whole.join(keep.hint("merge"), "place")
-    once = kept.where("n > 1").groupBy("place").agg(F.first("row").alias("row"))
-    return kept.where("n = 1").select("row").union(once.select("row")).select("row.*")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), key.alias("place"))
+    alone = whole.join(keep.where("n = 1").select("place").hint("merge"), "place").select("row")
+    # rows equal in id and text are few, so their side may be broadcast where its size allows; which one stays is settled by all its columns
+    several = whole.join(keep.where("n > 1").select("place"), "place").groupBy("place").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return alone.union(several.select("row")).select("row.*").toDF(*names_given)

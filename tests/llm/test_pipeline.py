@@ -75,6 +75,23 @@ def test_stages_take_awkward_rows_and_names(spark):
     assert corpus_pipeline.pack_stage(spark, d, sf).where("start = 0").count() == len(AWKWARD)
 
 
+def test_stages_take_any_column_name(spark):
+    """Blanks, colons, dots, backticks, names that differ in case only, and names with nested fields."""
+    names = ["my col", "a:b", "a.b", "c`d", "Text", "DOC_ID", "n_Chars", "row.text", ""]
+    rows = [(1, "good words here\nand a second line", "s", 37), (2, "good words here\nand a second line", "s", 37), (None, None, None, None), (3, "other", "t", 5)]
+    d = spark.createDataFrame([(*r, *[f"{i}{r[0]}" for i in range(len(names))]) for r in rows], "doc_id long, text string, source string, n_chars long, " + ", ".join(f"x{i} string" for i in range(len(names))))
+    nested = d.selectExpr("*", "named_struct('in ner', x0, 'a.b', x1) AS s").toDF("doc_id", "text", "source", "n_chars", *names, "st:ruct")
+    sf = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, nested, sf)
+        assert out.columns == nested.columns, name
+        for r in out.collect():
+            assert r[4:13] == tuple(f"{i}{r[0]}" for i in range(len(names))), name
+            assert r[13]["in ner"] == r[4]
+    cut = lines.dedup_lines(nested).collect()
+    assert sorted(r["n_removed"] for r in cut) == [0, 0, 0, 1]
+
+
 def test_pipeline_against_brute_force(spark):
     """Each stage over what the one before it kept, held to plain Python over all rows."""
     sf = "/root/testdata/sf0.001"
