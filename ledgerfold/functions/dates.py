@@ -9,13 +9,21 @@ from pyspark.sql import functions as F
 SECONDS_UP_TO = 1e10
 
 
+#: Fixed value: texts that are a number of seconds or milliseconds.
+EPOCH_TEXT = r"^[0-9]{9,13}(\.[0-9]+)?$"
+
+
+def epoch_timestamp(number: Column) -> Column:
+    """Any number of seconds since 1970, or of milliseconds where it is over ``SECONDS_UP_TO``."""
+    n = number.cast("double")
+    return F.timestamp_millis(F.round(F.when(n <= SECONDS_UP_TO, n * 1000).otherwise(n)).cast("long"))
+
+
 def parse_timestamp(text: Column) -> Column:
-    """RFC 3339, zone-less (UTC) and date-only texts, and epoch seconds or milliseconds; anything else is null."""
+    """RFC 3339, zone-less (UTC) and date-only texts, and epochs of 9 to 13 digits; anything else is null. Numbers go through ``epoch_timestamp``."""
     t = F.trim(text.cast("string"))
-    number = F.when(t.rlike(r"^-?\d+(\.\d+)?$"), t.cast("double"))
-    epoch = F.timestamp_millis(F.round(F.when(F.abs(number) <= SECONDS_UP_TO, number * 1000).otherwise(number)).cast("long"))
-    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"), F.try_to_timestamp(t))
-    return F.coalesce(iso, epoch)
+    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?)?$"), F.try_to_timestamp(t))
+    return F.coalesce(iso, epoch_timestamp(F.when(t.rlike(EPOCH_TEXT), t)))
 
 
 def canonical(ts: Column) -> Column:

@@ -112,11 +112,22 @@ def patch_lines(patch: Column) -> Column:
     return F.struct(count("+").alias("added"), count("-").alias("removed"))
 
 
-def call_path(arguments: Column) -> Column:
-    """File path of a call: a path argument of its JSON, or the first file header of a patch."""
-    named = F.coalesce(*[F.get_json_object(arguments, f"$.{k}") for k in ("file_path", "path", "notebook_path", "filename")])
-    header = F.regexp_extract(arguments, r"\*\*\* (?:Update|Add|Delete) File: ([^\n\\\"]+)", 1)
-    return F.coalesce(named, F.when(header != "", F.trim(header)))
+#: Arguments that name a call's file, in the order they are read, and the tools whose input is a patch.
+PATH_KEYS = ("file_path", "notebook_path", "path", "filePath")
+PATCH_TOOLS = ("apply_patch", "applypatch")
+
+
+def patch_text(name: Column, arguments: Column) -> Column:
+    """The patch of a patch tool's call: its ``patch`` or ``input`` argument, or the whole input where that is no JSON object."""
+    named = F.coalesce(F.get_json_object(arguments, "$.patch"), F.get_json_object(arguments, "$.input"))
+    return F.when(F.lower(name).isin(*PATCH_TOOLS), F.when(F.ltrim(arguments).startswith("{"), named).otherwise(arguments))
+
+
+def call_path(name: Column, arguments: Column) -> Column:
+    """File path of a call, up to 500 characters: a path argument of its JSON, else a patch tool's first file header."""
+    named = F.coalesce(*[F.nullif(F.get_json_object(arguments, f"$.{k}"), F.lit("")) for k in PATH_KEYS])
+    header = F.regexp_extract(patch_text(name, arguments), r"(?m)^\*\*\* (?:Update|Add|Delete) File: (.+)$", 1)
+    return clip(F.trim(F.coalesce(named, F.when(header != "", header))), 500)
 
 
 def estimated_tokens(text: Column, images: Column | None = None) -> Column:
@@ -176,27 +187,51 @@ def disposition(error: Column, is_final: Column, human_followup: Column, outcome
     return F.when(filled(error), "error").when(~is_final, "retried").when(human_followup, "escalated").when(filled(outcome), "advanced").otherwise("open")
 
 
-#: Openings of injected user-role text and their sources.
-INJECTED = (
+#: Openings of injected user-role text and their sources, of session files, of those flagged as meta, and of rollouts.
+CLAUDE_INJECTED = (
     ("<task-notification>", "task_notification"), ("<local-command-stdout>", "command_output"), ("<local-command-stderr>", "command_output"),
-    ("[Request interrupted by user", "interruption"), ("<environment_context>", "environments.environment_context"),
-    ("<recommended_plugins>", "plugins.recommendations"), ("<turn_aborted>", "turn_aborted"), ("<user_instructions>", "user_instructions"),
-    ("# AGENTS.md instructions", "user_instructions"), ("Warning: apply_patch was requested via exec_command", "harness_warning"),
+    ("[Request interrupted by user", "interruption"),
+)
+CLAUDE_META = (("[Image:", "image_note"), ("Base directory for this skill", "skill"), ("<local-command-caveat>", "command_caveat"))
+CODEX_INJECTED = (
+    ("<environment_context>", "environments.environment_context"), ("<recommended_plugins>", "plugins.recommendations"), ("<turn_aborted>", "turn_aborted"),
+    ("<user_instructions>", "user_instructions"), ("# AGENTS.md instructions", "user_instructions"), ("Warning: apply_patch was requested via exec_command", "harness_warning"),
 )
+INJECTED = CLAUDE_INJECTED + CODEX_INJECTED
 
 
-def injected_source(text: Column) -> Column:
-    """The harness source of injected user-role text; null for what a person or parent agent wrote."""
-    t = F.trim(text)
+def _opened(text: Column, openings: tuple[tuple[str, str], ...]) -> Column:
+    t = F.trim(text, F.lit(" \t\n\r\f\v"))
     out = F.lit(None).cast("string")
-    for opening, source in reversed(INJECTED):
+    for opening, source in reversed(openings):
         out = F.when(t.startswith(opening), source).otherwise(out)
     return out
 
 
-def sender(originator: Column, entrypoint: Column) -> Column:
-    """The automation that sent user-role input; null for interactive input."""
-    return F.when(originator == "codex_exec", "automation:codex-exec").when(entrypoint == "sdk-cli", "automation:claude-sdk-cli")
+def injected_source(text: Column) -> Column:
+    """The harness source of injected user-role text by its opening alone; null for what a person or parent agent wrote."""
+    return _opened(text, INJECTED)
+
+
+def claude_injected(text: Column, event: Column) -> Column:
+    """The harness source of a session file's user event (JSON): its origin, flags, then the text's opening; null for a person's or parent agent's."""
+    origin = F.get_json_object(event, "$.origin.kind")
+    flag = lambda name: F.get_json_object(event, f"$.{name}") == "true"
+    return (
+        F.when(origin == "task-notification", "task_notification").when(origin == "peer", "peer_message").when(flag("isCompactSummary"), "compaction_summary")
+        .when(flag("isMeta"), F.coalesce(_opened(text, CLAUDE_META), F.lit("harness"))).otherwise(_opened(text, CLAUDE_INJECTED))
+    )
+
+
+def codex_injected(text: Column, item_kind: Column) -> Column:
+    """The harness source of a rollout's user content block: its kind, unless a user's, else the text's opening."""
+    return F.when(item_kind.startswith("user."), F.lit(None).cast("string")).when(item_kind != "", item_kind).otherwise(_opened(text, CODEX_INJECTED))
+
+
+def sender(originator: Column, entrypoint: Column, source: Column | None = None) -> Column:
+    """The automation that sent user-role input; null for interactive input. A rollout's ``source`` "exec" is one too."""
+    scripted = originator == "codex_exec" if source is None else (F.coalesce(originator == "codex_exec", F.lit(False)) | (source == "exec"))
+    return F.when(scripted, "automation:codex-exec").when(entrypoint == "sdk-cli", "automation:claude-sdk-cli")
 
 
 #: Attachment references, and tags of text a harness puts before what a person typed.
@@ -297,18 +332,48 @@ def pull_requests(text: Column) -> Column:
     return F.transform(links, lambda x: F.struct(part(x, 1).alias("host"), part(x, 2).alias("owner"), part(x, 3).alias("repo"), part(x, 4).cast("long").alias("number")))
 
 
-def changed_files(name: Column, arguments: Column, root: Column) -> Column:
-    """Array of (path, status) an edit, write or patch call changes, relative to the work's root."""
+def clean_path(path: Column) -> Column:
+    """A path without empty, ``.`` and resolvable ``..`` parts; ``.`` for none."""
+    rooted = path.startswith("/")
+
+    def step(kept: Column, part: Column) -> Column:
+        up = part == ".."
+        popped = F.slice(kept, F.lit(1), F.size(kept) - 1)
+        stuck = (F.size(kept) == 0) | (F.element_at(kept, -1) == "..")
+        return F.when(~up, F.concat(kept, F.array(part))).when(F.size(kept) == 0, F.when(rooted, kept).otherwise(F.array(part))).when(stuck, F.concat(kept, F.array(part))).otherwise(popped)
+
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    joined = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.when(rooted, F.concat(F.lit("/"), joined)).when(joined == "", ".").otherwise(joined)
+
+
+def relative_path(path: Column, *roots: Column) -> Column:
+    """A path below the first root that holds it, or a relative path that stays inside; null for others."""
+    clean = clean_path(F.trim(path))
+    below = F.lit(None).cast("string")
+    for root in reversed(roots):
+        base = clean_path(root)
+        inside = F.when(clean == base, ".").when(base == "/", clean.substr(F.lit(2), F.length(clean))).when(clean.startswith(F.concat(base, F.lit("/"))), clean.substr(F.length(base) + 2, F.length(clean)))
+        below = F.coalesce(F.when(F.coalesce(root, F.lit("")) != "", inside), below)
+    out = F.when(clean.startswith("/"), below).when(~clean.isin(".", "..") & ~clean.startswith("../"), clean)
+    return F.when(F.trim(path) != "", out)
+
+
+def changed_files(name: Column, arguments: Column, root: Column, second_root: Column | None = None) -> Column:
+    """Array of (path, status) an edit, write or patch call changes, relative to the work's root or else to the second one.
+
+    Paths outside of both are left out; an edit is "modified", a write "written".
+    """
     low = F.lower(name)
-    strip = lambda p: F.when(p.startswith(F.concat(root, F.lit("/"))), F.expr("null").cast("string")).otherwise(p)
-    relative = lambda p: F.coalesce(strip(p), p.substr(F.length(root) + 2, F.length(p)))
-    one = F.coalesce(F.get_json_object(arguments, "$.file_path"), F.get_json_object(arguments, "$.path"))
-    single = F.when(one.isNotNull(), F.array(F.struct(relative(one).alias("path"), F.when(low == "write", "added").otherwise("modified").alias("status"))))
-    heads = F.regexp_extract_all(F.regexp_replace(arguments, r"\\n", "\n"), F.lit(r"\*\*\* (?:Update|Add|Delete) File: [^\n\"]+"), F.lit(0))
-    kind = lambda h: F.when(h.contains("Add File"), "added").when(h.contains("Delete File"), "deleted").otherwise("modified")
-    many = F.transform(heads, lambda h: F.struct(relative(F.trim(F.regexp_replace(h, r"^\*\*\* \w+ File: ", ""))).alias("path"), kind(h).alias("status")))
+    roots = [root] if second_root is None else [root, second_root]
+    one = F.coalesce(F.nullif(F.get_json_object(arguments, "$.file_path"), F.lit("")), F.get_json_object(arguments, "$.path"))
+    single = F.array(F.struct(one.alias("path"), F.when(low == "write", "written").otherwise("modified").alias("status")))
+    heads = F.regexp_extract_all(patch_text(name, arguments), F.lit(r"(?m)^\*\*\* (?:Update|Add|Delete) File: .+$"), F.lit(0))
+    kind = lambda h: F.when(h.startswith("*** Add"), "added").when(h.startswith("*** Delete"), "deleted").otherwise("modified")
+    many = F.transform(heads, lambda h: F.struct(F.regexp_replace(h, r"^\*\*\* \w+ File: ", "").alias("path"), kind(h).alias("status")))
     none = F.array().cast("array<struct<path:string,status:string>>")
-    return F.when(low.isin("edit", "write", "multiedit", "notebookedit"), F.coalesce(single, none)).when(low.contains("patch"), many).otherwise(none)
+    found = F.when(low.isin("edit", "write", "multiedit") & one.isNotNull(), single).when(low.isin(*PATCH_TOOLS), F.coalesce(many, none)).otherwise(none)
+    return F.filter(F.transform(found, lambda f: F.struct(relative_path(f["path"], *roots).alias("path"), f["status"].alias("status"))), lambda f: f["path"].isNotNull())
 
 
 def repository_name(remote: Column, location: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerfold.functions import dates
 from ledgerfold.functions import text as T
 from ledgerfold.operators import authorship, tools, workflow
 from ledgerfold.plans.book import Book
@@ -37,12 +38,16 @@ def patch_lines(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", T.patch_lines(patch).alias("p")).select("event_id", "p.added", "p.removed")
 
 
-@BOOK.add("SELECT page_id, CASE WHEN page_id % 4 = 3 THEN NULL ELSE url END AS path FROM pages")
+@BOOK.add("SELECT page_id, CASE page_id % 7 WHEN 0 THEN url WHEN 1 THEN concat('n', url) WHEN 2 THEN trim(url) WHEN 4 THEN CASE WHEN length(url) > 100 THEN NULL ELSE concat(repeat('p', 500), '…') END WHEN 5 THEN url END AS path FROM pages")
 def call_path(spark, sf_dir):
-    n = F.col("page_id") % 4
-    patch = F.concat(F.lit('{"input": "*** Begin Patch\n*** Update File: '), "url", F.lit('\n@@"}'))
-    arguments = F.when(n == 0, F.to_json(F.struct(F.col("url").alias("file_path")))).when(n == 1, F.to_json(F.struct(F.col("url").alias("path")))).when(n == 2, patch).otherwise("{}")
-    return table(spark, sf_dir, "pages").select("page_id", T.call_path(arguments).alias("path"))
+    """Rows tell the order of the names, empty ones, other names, other patch tools and the clip apart."""
+    n, url = F.col("page_id") % 7, F.col("url")
+    patch = F.to_json(F.struct(F.concat(F.lit("*** Begin Patch\n*** Update File: "), url, F.lit("\n@@")).alias("input")))
+    given = F.when(n == 0, F.to_json(F.struct(url.alias("file_path"), F.lit("x").alias("path")))).when(n == 1, F.to_json(F.struct(F.lit("x").alias("path"), F.concat(F.lit("n"), url).alias("notebook_path"))))
+    given = given.when(n.isin(2, 6), patch).when(n == 3, F.to_json(F.struct(url.alias("filename")))).when(n == 4, F.to_json(F.struct(F.when(F.length(url) <= 100, F.concat(F.repeat(F.lit("p"), 500), url)).alias("filePath"))))
+    given = given.otherwise(F.to_json(F.struct(F.lit("").alias("file_path"), url.alias("path"))))
+    name = F.when(n == 2, "apply_patch").when(n == 6, "my_patcher").otherwise("Read")
+    return table(spark, sf_dir, "pages").select("page_id", T.call_path(name, given).alias("path"))
 
 
 @BOOK.add("SELECT doc_id, CAST(ceil(strlen(text) / 4.0) + 1500 * (doc_id % 3) AS BIGINT) AS tokens FROM documents")
@@ -103,18 +108,42 @@ def pull_requests(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(T.pull_requests(text)).alias("p")).select("page_id", "p.*")
 
 
-@BOOK.add(f"""WITH {EV}, f AS (SELECT event_id, k % 4 AS n, concat('src/', CAST(k AS VARCHAR), '.py') AS path FROM ev)
-SELECT event_id, path, CASE n WHEN 0 THEN 'modified' WHEN 1 THEN 'added' ELSE 'deleted' END AS status FROM f WHERE n < 3 UNION ALL SELECT event_id, concat(path, 'x'), 'added' FROM f WHERE n = 2""")
+@BOOK.add(f"""WITH {EV}, f AS (SELECT event_id, k % 8 AS n, concat('src/', CAST(k AS VARCHAR), '.py') AS path FROM ev)
+SELECT event_id, path, CASE n WHEN 0 THEN 'modified' WHEN 1 THEN 'written' WHEN 5 THEN 'written' ELSE 'deleted' END AS status FROM f WHERE n IN (0, 1, 2, 5) UNION ALL SELECT event_id, concat(path, 'x'), 'added' FROM f WHERE n = 2""")
 def changed_files(spark, sf_dir):
-    n = F.col("k") % 4
+    """Edits, writes and patches; writes outside both roots, below the second root, tools with a patch in their name and other tools."""
+    n = F.col("k") % 8
     path = F.concat(F.lit("src/"), F.col("k").cast("string"), F.lit(".py"))
-    whole = F.to_json(F.struct(F.concat(F.lit("/work/"), path).alias("file_path")))
-    patch = F.concat(F.lit('{"patch": "*** Begin Patch\\n*** Delete File: '), path, F.lit("\\n*** Add File: "), path, F.lit('x\\n+new"}'))
-    name = F.when(n == 0, "Edit").when(n == 1, "Write").when(n == 2, "apply_patch").otherwise("Read")
-    files = T.changed_files(name, F.when(n == 2, patch).otherwise(whole), F.lit("/work"))
+    at = F.when(n == 4, "/else/").when(n == 5, "/repo/./lib/../").when(n == 7, "../").otherwise("/work/")
+    whole = F.to_json(F.struct(F.concat(at, path).alias("file_path")))
+    patch = F.concat(F.lit('{"patch": "*** Begin Patch\\n*** Delete File: '), path, F.lit("\\n*** Add File: /work/"), path, F.lit('x\\n+new"}'))
+    name = F.when(n.isin(0, 7), "Edit").when(n.isin(1, 4, 5), "Write").when(n == 2, "apply_patch").when(n == 6, "dispatch_patch").otherwise("NotebookEdit")
+    files = T.changed_files(name, F.when(n.isin(2, 6), patch).otherwise(whole), F.lit("/work"), F.lit("/repo"))
     return events(spark, sf_dir).select("event_id", F.explode(files).alias("f")).select("event_id", "f.path", "f.status")
 
 
+@BOOK.add("""SELECT concat(CAST(conv_id AS VARCHAR), ':', CAST(turn AS VARCHAR)) AS id, CASE conv_id % 6 WHEN 0 THEN 'peer_message' WHEN 1 THEN 'compaction_summary' WHEN 2 THEN 'skill' WHEN 3 THEN 'harness' WHEN 4 THEN 'interruption' END AS claude,
+CASE conv_id % 4 WHEN 0 THEN 'turn_aborted' WHEN 1 THEN 'skills.list' END AS codex, CASE WHEN conv_id % 5 = 0 THEN 'automation:codex-exec' END AS sender FROM conversations""")
+def flagged_origin(spark, sf_dir):
+    """Where injected text comes from by its event's flags and its item's kind, and scripted sessions by their source."""
+    n, m = F.col("conv_id") % 6, F.col("conv_id") % 4
+    event = F.when(n == 0, '{"origin":{"kind":"peer"},"isMeta":true}').when(n == 1, '{"isCompactSummary":true,"isMeta":true}').when(n.isin(2, 3), '{"isMeta":true}').otherwise('{"isMeta":false}')
+    text = F.concat(F.when(n == 2, "\nBase directory for this skill: ").when(n == 4, "[Request interrupted by user] ").when(n == 5, "[Image: ").otherwise("said "), "text")
+    block = F.concat(F.when(m.isin(0, 2), "<turn_aborted>").otherwise("said "), "text")
+    kind = F.when(m == 1, "skills.list").when(m == 2, "user.text").when(m == 3, "")
+    sender = T.sender(F.lit("cli"), F.lit("cli"), F.when(F.col("conv_id") % 5 == 0, "exec").otherwise("vscode"))
+    return table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), T.claude_injected(text, event).alias("claude"), T.codex_injected(block, kind).alias("codex"), sender.alias("sender"))
+
+
+@BOOK.add("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN strftime(to_timestamp(epoch(ts)::BIGINT)::TIMESTAMP, '%Y-%m-%d %H:%M:%S') WHEN 2 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 3 THEN strftime(ts, '%Y-%m-%d 00:00:00') WHEN 4 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS parsed FROM events""")
+def timestamp_shapes(spark, sf_dir):
+    """Years, epochs of seconds and milliseconds, dates, zones, and times without seconds."""
+    n, ts = F.col("event_id") % 6, F.col("ts").cast("timestamp")
+    text = F.when(n == 0, F.date_format(ts, "yyyy")).when(n == 1, F.unix_seconds(ts).cast("string")).when(n == 2, F.concat(F.unix_seconds(ts).cast("string"), F.lit("000")))
+    text = text.when(n == 3, F.date_format(ts, "yyyy-MM-dd")).when(n == 4, F.concat(F.date_format(ts + F.expr("interval 2 hours"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+0200"))).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm"))
+    return table(spark, sf_dir, "events").select("event_id", F.date_format(dates.parse_timestamp(text), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+
+
 @BOOK.add(f"""WITH {LEDGER} SELECT event_id, CASE WHEN k % 5 = 0 THEN 'unavailable' WHEN total_tokens > input_tokens + outp THEN 'reported-partial' ELSE 'reported-reconciled' END AS status,
 CAST(CASE WHEN k % 5 = 0 THEN 0 ELSE greatest(0, total_tokens - input_tokens - outp) END AS BIGINT) AS unclassified FROM led""")
 def session_status(spark, sf_dir):

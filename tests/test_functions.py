@@ -13,6 +13,10 @@ def test_timestamps_in_many_shapes(spark):
     df = spark.createDataFrame([(r,) for r in rows], "t string").select(dates.canonical(dates.parse_timestamp(F.col("t"))).alias("x"))
     got = [r["x"] for r in df.collect()]
     assert got[:3] == ["2026-01-02T03:04:05.000Z"] * 3 and got[3] == "2026-01-02T00:00:00.000Z" and got[4] == got[5] == "2026-01-02T03:04:05.000Z" and got[6:] == [None, None]
+    other = {"2024": None, "123456789": "1973-11-29T21:33:09.000Z", "12345678": None, "1767323045.25": "2026-01-02T03:04:05.250Z", "17673230450000": None, "-1767323045": None, "2026-01-02T03:04": None, "2026-01-02 03:04:05.5+0100": "2026-01-02T02:04:05.500Z"}
+    df = spark.createDataFrame([(r,) for r in other], "t string").select("t", dates.canonical(dates.parse_timestamp(F.col("t"))).alias("x"))
+    assert {r["t"]: r["x"] for r in df.collect()} == other
+    assert one(spark, dates.canonical(dates.epoch_timestamp(F.lit(2024)))) == "1970-01-01T00:33:44.000Z"
 
 
 def test_weeks_start_on_local_mondays(spark):
@@ -30,11 +34,18 @@ def test_durations(spark):
 
 def test_patches_and_paths(spark):
     assert tuple(one(spark, T.patch_lines(F.lit("--- a\n+++ b\n+x\n+y\n-z\n c")))) == (2, 1)
-    assert one(spark, T.call_path(F.lit('{"file_path": "/w/a.py"}'))) == "/w/a.py"
-    assert one(spark, T.call_path(F.lit("*** Begin Patch\n*** Update File: src/b.go\n@@"))) == "src/b.go"
+    path = lambda name, given: one(spark, T.call_path(F.lit(name), F.lit(given)))
+    assert path("Read", '{"file_path": "/w/a.py"}') == "/w/a.py" and path("x", '{"filename": "a"}') is None and path("x", '{"filePath": "b", "path": ""}') == "b"
+    assert path("x", '{"path": "p", "notebook_path": "n"}') == "n" and path("x", '{"path": "' + "q" * 600 + '"}') == "q" * 500 + "…"
+    assert path("apply_patch", "*** Begin Patch\n*** Update File: src/b.go\n@@") == "src/b.go" and path("my_patcher", "*** Update File: src/b.go") is None
+    assert path("ApplyPatch", '{"input": "*** Add File: c d.go \\n+x"}') == "c d.go"
     got = one(spark, T.changed_files(F.lit("apply_patch"), F.lit("*** Add File: /w/n.py\n+x\n*** Delete File: old.py\n"), F.lit("/w")))
     assert [(r["path"], r["status"]) for r in got] == [("n.py", "added"), ("old.py", "deleted")]
     assert [(r["path"], r["status"]) for r in one(spark, T.changed_files(F.lit("Edit"), F.lit('{"file_path": "/w/a.py"}'), F.lit("/w")))] == [("a.py", "modified")]
+    changed = lambda name, given, *roots: [tuple(r) for r in one(spark, T.changed_files(F.lit(name), F.lit(given), *map(F.lit, roots)))]
+    assert changed("write", '{"file_path": "/else/x.py"}', "/w") == [] and changed("write", '{"path": "/r/./x.py"}', "/w", "/r/") == [("x.py", "written")]
+    assert changed("NotebookEdit", '{"file_path": "/w/x"}', "/w") == [] and changed("dispatch", "*** Add File: x", "/w") == []
+    assert changed("edit", '{"path": "../x"}', "/w") == [] and changed("edit", '{"path": "a/../b//c"}', "/w") == [("b/c", "modified")] and changed("edit", '{"path": "/w/../v/x"}', "/w") == []
 
 
 def test_sizes_links_and_names(spark):
@@ -56,6 +67,13 @@ def test_snippets_and_clips(spark):
 def test_injected_text_and_senders(spark):
     assert one(spark, T.injected_source(F.lit(" <task-notification>x"))) == "task_notification" and one(spark, T.injected_source(F.lit("hello"))) is None
     assert one(spark, T.sender(F.lit("codex_exec"), F.lit(None))) == "automation:codex-exec" and one(spark, T.sender(F.lit(None), F.lit("sdk-cli"))) == "automation:claude-sdk-cli"
+    assert one(spark, T.sender(F.lit(None).cast("string"), F.lit(None), F.lit("exec"))) == "automation:codex-exec" and one(spark, T.sender(F.lit("cli"), F.lit(None), F.lit("vscode"))) is None
+    said = lambda text, event: one(spark, T.claude_injected(F.lit(text), F.lit(event)))
+    assert said("hello", '{"origin": {"kind": "peer"}}') == "peer_message" and said("hello", '{"isCompactSummary": true}') == "compaction_summary" and said("hello", "{}") is None
+    assert said("[Image: x]", '{"isMeta": true}') == "image_note" and said("hello", '{"isMeta": true}') == "harness" and said("[Image: x]", '{"isMeta": false}') is None
+    assert said("\n<task-notification>", "{}") == "task_notification" and said("<turn_aborted>", "{}") is None
+    block = lambda text, kind: one(spark, T.codex_injected(F.lit(text), F.lit(kind).cast("string")))
+    assert block("<turn_aborted>", None) == "turn_aborted" and block("<turn_aborted>", "user.text") is None and block("hi", "skills.list") == "skills.list" and block("<task-notification>", "") is None
 
 
 def test_template_keys_concepts_and_ids(spark):
