@@ -50,6 +50,40 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return e.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 
+def merge_links(labels: DataFrame | None, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(changes, fresh): how new links change stored labels (vertex, component); together with the labels that stay they equal a full run.
+
+    Links are contracted to links between labels, so components are found over groups that a link touches, and no stored link is read. ``changes``
+    has (component, new) of stored groups that get a smaller label, ``fresh`` the labels of vertices that weren't stored. Labels are smallest
+    vertices, as of ``connected_components``.
+    """
+    a, b = links.columns[:2]
+    new = materialize(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u != v").distinct())
+    ends = new.select("u").union(new.select("v")).distinct().toDF("vertex")
+    if labels is None:
+        labels = ends.select("vertex", F.col("vertex").alias("component")).limit(0)
+    # each end stands for its group: a stored vertex for its label, another one for itself
+    known = materialize(ends.join(labels, "vertex", "left").select("vertex", "component", F.coalesce("component", "vertex").alias("group")))
+    side = known.select("vertex", "group")
+    between = new.join(side.toDF("u", "gu"), "u").join(side.toDF("v", "gv"), "v").where("gu != gv").select("gu", "gv").distinct()
+    joined = materialize(connected_components(between).toDF("group", "label"))
+    changes = joined.join(known.where("component is not null").select("group").distinct(), "group", "left_semi").where("label != group").toDF("component", "new")
+    fresh = known.where("component is null").join(joined, "group", "left").select("vertex", F.coalesce("label", "group").alias("component"))
+    return changes, fresh
+
+
+def apply_links(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """All labels after new links: stored ones with their changes, and fresh ones.
+
+    To keep a stored table current, write only the rows whose component is in ``merge_links``' changes, and the fresh ones.
+    """
+    changes, fresh = merge_links(labels, links)
+    if labels is None:
+        return fresh
+    moved = labels.join(changes, "component", "left").select("vertex", F.coalesce("new", "component").alias("component"))
+    return moved.unionByName(fresh)
+
+
 def pointer_jump(parents: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
     """Root and depth of every node of a forest given as (node, parent), null parent for roots.
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerfold.functions import text as T
 from ledgerfold.functions.money import model_family, ratio
+from ledgerfold.operators.percentiles import exact_percentiles
 from ledgerfold.operators.pricing import small
 from ledgerfold.session import materialize
 
@@ -77,25 +78,45 @@ def attempt_rows(tasks: DataFrame, attempts: DataFrame, usage: DataFrame) -> Dat
 OUTSIDE = ("infrastructure", "provider")
 
 
-def workflow_matrix(rows: DataFrame) -> DataFrame:
+def _spread_percentiles(rows: DataFrame, typical: Column) -> DataFrame:
+    """(flavor, configuration, medians and 90th percentiles), each measure ordered over tasks instead of gathered per cell."""
+    keys = ["flavor", "configuration"]
+    wanted = {"cost_usd": {0.5: "median_cost_usd", 0.9: "p90_cost_usd"}, "duration_ms": {0.5: "median_duration_ms", 0.9: "p90_duration_ms"}, "total_tokens": {0.5: "median_tokens"}}
+    parts = []
+    for measure, names in wanted.items():
+        some = typical & (F.col("total_tokens") > 0) if measure == "total_tokens" else typical
+        found = exact_percentiles(rows.where(some), keys, measure, list(names))
+        parts.append(found.select(*keys, F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("p")).alias("name"), "value"))
+    names = [n for of in wanted.values() for n in of.values()]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
+
+
+def workflow_matrix(rows: DataFrame, spread: bool = False) -> DataFrame:
     """Cells of flavor x configuration: dispositions, rates, cost per useful result, typical cost, duration and tokens, cache share.
 
     Medians and 90th percentiles interpolate and leave out runs killed from outside; spend does not. Best and worst value mark the
-    cheapest and dearest of at least two cells of a flavor with enough runs.
+    cheapest and dearest of at least two cells of a flavor with enough runs. With ``spread`` no cell's values are gathered in one task, for cells of
+    any size; ``rows`` should be a written table then.
     """
     outside = F.col("attribution").isin(*OUTSIDE)
     typical = F.col("error_class").isNull() | ~outside
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
     typ = lambda c: F.when(typical, F.col(c))
+    gathered = (
+        F.percentile(typ("cost_usd"), 0.5).alias("median_cost_usd"), F.percentile(typ("cost_usd"), 0.9).alias("p90_cost_usd"),
+        F.percentile(typ("duration_ms"), 0.5).alias("median_duration_ms"), F.percentile(typ("duration_ms"), 0.9).alias("p90_duration_ms"),
+        F.percentile(F.when(typical & (F.col("total_tokens") > 0), F.col("total_tokens")), 0.5).alias("median_tokens"),
+    )
     g = rows.groupBy("flavor", "configuration").agg(
         F.count(F.lit(1)).alias("attempts"), *[n(F.col("disposition") == d).alias(d) for d in ("advanced", "escalated", "error", "retried", "open")],
         n(F.col("error_class").isNotNull() & ~outside).alias("agent_errors"), n(F.col("error_class").isNotNull() & outside).alias("infrastructure_errors"),
         F.count("cost_usd").alias("priced_attempts"), F.sum("cost_usd").alias("cost_usd"),
-        F.percentile(typ("cost_usd"), 0.5).alias("median_cost_usd"), F.percentile(typ("cost_usd"), 0.9).alias("p90_cost_usd"),
-        F.percentile(typ("duration_ms"), 0.5).alias("median_duration_ms"), F.percentile(typ("duration_ms"), 0.9).alias("p90_duration_ms"),
-        F.percentile(F.when(typical & (F.col("total_tokens") > 0), F.col("total_tokens")), 0.5).alias("median_tokens"),
+        *([] if spread else gathered),
         F.sum("input_tokens").alias("input_tokens"), F.sum("cache_read_input_tokens").alias("cache_read_tokens"),
     )
+    if spread:
+        g = g.join(_spread_percentiles(rows, typical), ["flavor", "configuration"], "left")
     per = F.when((F.col("advanced") > 0) & (F.col("priced_attempts") > 0), F.col("cost_usd") * F.col("attempts") / F.col("priced_attempts") / F.col("advanced"))
     g = g.withColumns({
         "advance_rate": ratio(F.col("advanced"), F.col("attempts")), "error_rate": ratio(F.col("error"), F.col("attempts")), "escalation_rate": ratio(F.col("escalated"), F.col("attempts")),
@@ -244,9 +265,17 @@ def definition_changes(tasks: DataFrame, bursts: DataFrame) -> DataFrame:
     seen = tasks.groupBy("flavor", "version").agg(F.min("created_at").alias("first_seen"))
     w = Window.partitionBy("flavor").orderBy("first_seen", "version")
     new = seen.withColumn("_n", F.row_number().over(w)).where("_n > 1").drop("_n")
-    later = bursts.withColumn("next_start", F.lead("started_at").over(Window.partitionBy(F.lit(1)).orderBy("started_at")))  # one row per burst
-    j = new.join(later, (new.first_seen >= later.started_at) & (F.col("next_start").isNull() | (new.first_seen < F.col("next_start"))))
-    return j.select("started_at", "flavor", "version", (F.col("first_seen") > F.col("started_at")).alias("during"))
+    day = lambda c: F.to_date(c).alias("day")
+    # the last burst of the same day, else that of a day before: joins on days, and a window over one row per day
+    of_day = bursts.select(day("started_at"), "started_at")
+    same = new.select("flavor", "version", "first_seen", day("first_seen")).join(of_day, "day", "left")
+    same = same.groupBy("flavor", "version", "first_seen", "day").agg(F.max(F.when(F.col("started_at") <= F.col("first_seen"), F.col("started_at"))).alias("started_at"))
+    days = of_day.groupBy("day").agg(F.max("started_at").alias("last")).unionByName(same.select("day").distinct().withColumn("last", F.lit(None).cast("timestamp")))
+    days = days.groupBy("day").agg(F.max("last").alias("last"))
+    before = Window.partitionBy(F.lit(1)).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # a row per calendar day
+    days = days.withColumn("earlier", F.max("last").over(before)).drop("last")
+    found = same.join(days, "day").withColumn("started_at", F.coalesce("started_at", "earlier")).where("started_at is not null")
+    return found.select("started_at", "flavor", "version", (F.col("first_seen") > F.col("started_at")).alias("during"))
 
 
 def window_filter(tasks: DataFrame, since: str | None = None, until: str | None = None, last_days: int | None = None, now: str | None = None, bursts: DataFrame | None = None) -> DataFrame:

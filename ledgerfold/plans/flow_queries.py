@@ -43,6 +43,19 @@ def workflow_matrix(spark, sf_dir):
     return m.select("flavor", "configuration", "attempts", "advanced", "error", "escalated", "agent_errors", "infrastructure_errors", r("cost_usd", 4), r("median_cost_usd", 6), r("p90_cost_usd", 6), r("agent_error_rate", 6), r("cost_per_advance_usd", 6), "value_flag")
 
 
+@BOOK.add(f"""WITH {ATTEMPTS}, g AS (SELECT flavor, configuration, count(*) AS attempts, count(*) FILTER (disposition = 'advanced') AS advanced, count(*) FILTER (disposition = 'error') AS error, count(*) FILTER (disposition = 'escalated') AS escalated,
+count(*) FILTER (error_class IS NOT NULL AND attribution NOT IN ('infrastructure', 'provider')) AS agent_errors, count(*) FILTER (error_class IS NOT NULL AND attribution IN ('infrastructure', 'provider')) AS infra, sum(cost_usd) AS cost,
+quantile_cont(CASE WHEN error_class IS NULL OR attribution NOT IN ('infrastructure', 'provider') THEN cost_usd END, 0.5) AS med, quantile_cont(CASE WHEN error_class IS NULL OR attribution NOT IN ('infrastructure', 'provider') THEN cost_usd END, 0.9) AS p90 FROM rows_ GROUP BY 1, 2),
+c AS (SELECT *, cost / nullif(advanced, 0) AS per FROM g)
+SELECT flavor, configuration, attempts, advanced, error, escalated, agent_errors, infra AS infrastructure_errors, round(cost, 4) AS cost_usd, round(med, 6) AS median_cost_usd, round(p90, 6) AS p90_cost_usd, round(agent_errors / CAST(nullif(attempts - infra, 0) AS DOUBLE), 6) AS agent_error_rate, round(per, 6) AS cost_per_advance_usd,
+CASE WHEN per = min(per) OVER (PARTITION BY flavor) THEN 'best' WHEN per = max(per) OVER (PARTITION BY flavor) THEN 'worst' END AS value_flag FROM c""")
+def workflow_matrix_spread(spark, sf_dir):
+    """The same cells, with percentiles that gather no cell's values in one task."""
+    m = workflow.workflow_matrix(materialize(rows(spark, sf_dir)), spread=True)
+    r = lambda c, n: F.round(c, n).alias(c)
+    return m.select("flavor", "configuration", "attempts", "advanced", "error", "escalated", "agent_errors", "infrastructure_errors", r("cost_usd", 4), r("median_cost_usd", 6), r("p90_cost_usd", 6), r("agent_error_rate", 6), r("cost_per_advance_usd", 6), "value_flag")
+
+
 @BOOK.add(f"WITH {TASKS}, e AS (SELECT p.flavor AS parent_flavor, p.outcome AS parent_outcome, t.flavor, t.error_class FROM tasks t JOIN tasks p ON t.parent_id = p.task_id) SELECT parent_flavor, parent_outcome, flavor, count(*) AS n, round(avg(CASE WHEN error_class IS NOT NULL THEN 1 ELSE 0 END), 6) AS error_share FROM e GROUP BY 1, 2, 3")
 def workflow_graph(spark, sf_dir):
     return workflow.workflow_graph(failed_tasks(spark, sf_dir)).withColumn("error_share", F.round("error_share", 6))

@@ -135,7 +135,7 @@ def flagged_origin(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), T.claude_injected(text, event).alias("claude"), T.codex_injected(block, kind).alias("codex"), sender.alias("sender"))
 
 
-@BOOK.add("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN strftime(to_timestamp(epoch(ts)::BIGINT)::TIMESTAMP, '%Y-%m-%d %H:%M:%S') WHEN 2 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 3 THEN strftime(ts, '%Y-%m-%d 00:00:00') WHEN 4 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS parsed FROM events""")
+@BOOK.add("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 2 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 3 THEN strftime(ts, '%Y-%m-%d 00:00:00') WHEN 4 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS parsed FROM events""")
 def timestamp_shapes(spark, sf_dir):
     """Years, epochs of seconds and milliseconds, dates, zones, and times without seconds."""
     n, ts = F.col("event_id") % 6, F.col("ts").cast("timestamp")

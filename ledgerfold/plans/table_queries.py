@@ -8,6 +8,7 @@ from ledgerfold.operators import graph, joins
 from ledgerfold.operators import querytable as qt
 from ledgerfold.plans.book import Book
 from ledgerfold.plans.standins import table
+from ledgerfold.session import materialize
 
 BOOK = Book()
 C = qt.Clause
@@ -137,6 +138,15 @@ def components(spark, sf_dir):
     return graph.connected_components(part_links(spark, sf_dir)).select(F.col("vertex").alias("p_partkey"), "component")
 
 
+@BOOK.add(f"WITH RECURSIVE {ROOT} SELECT k AS p_partkey, root AS component FROM root WHERE k IN (SELECT p_partkey FROM part WHERE p_partkey % 5 <> 0 AND p_partkey > 0 UNION SELECT p_partkey // 7 FROM part WHERE p_partkey % 5 <> 0 AND p_partkey > 0)")
+def component_batches(spark, sf_dir):
+    """The same labels, from links that come in three batches: each changes only the groups it touches."""
+    links, labels = materialize(part_links(spark, sf_dir)), None
+    for part in (2, 0, 1):
+        labels = materialize(graph.apply_links(labels, links.where(F.pmod(F.xxhash64(*links.columns), F.lit(3)) == part)))
+    return labels.select(F.col("vertex").alias("p_partkey"), "component")
+
+
 @BOOK.add(f"WITH RECURSIVE {ROOT}, depth AS (SELECT k, count(*) - 1 AS depth FROM up GROUP BY k) SELECT root.k AS node, root, CAST(depth AS BIGINT) AS depth FROM root JOIN depth ON root.k = depth.k")
 def roots(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.when((F.col("p_partkey") % 5 != 0) & (F.col("p_partkey") > 0), F.floor(F.col("p_partkey") / 7).cast("long")).alias("parent"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerfold.functions import dates
@@ -12,6 +13,7 @@ from ledgerfold.operators.textindex import TextIndex
 from ledgerfold.plans.book import Book
 from ledgerfold.plans.standins import messages, table
 from ledgerfold.session import scratch_folder
+from ledgerfold.sources import transcripts
 
 BOOK = Book()
 
@@ -230,3 +232,25 @@ def work_documents(spark, sf_dir):
     ends = works.select("workspace_id", none.alias("first_request"), none.alias("last_reply"))
     failures = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("workspace_id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("text"))
     return documents(works, ends, failures)
+
+
+@BOOK.add("""WITH m AS (SELECT conv_id, turn, role, text, max(CASE WHEN turn % 3 = 1 THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS named FROM conversations),
+r AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 'system' ELSE role END AS role, 0 AS block, CASE WHEN turn % 5 = 4 THEN 'compaction' ELSE 'text' END AS kind, CASE WHEN turn % 5 = 4 THEN NULL ELSE text END AS said, named FROM m
+  UNION ALL SELECT conv_id, turn, role, 1, 'tool_call', NULL, named FROM m WHERE turn % 5 = 1)
+SELECT CASE WHEN conv_id % 4 = 3 THEN concat('s', CAST(conv_id // 4 AS VARCHAR)) ELSE CAST(conv_id AS VARCHAR) END AS conversation_id, CASE WHEN conv_id % 4 = 3 THEN concat('agent', CAST(conv_id AS VARCHAR)) END AS stream, (turn + 1) * 1000 + block AS source_order, role, kind, md5(said) AS said_md5,
+CASE WHEN named IS NOT NULL THEN concat('m', CAST(named AS VARCHAR)) END AS model, CASE WHEN block = 1 THEN concat('t', CAST(turn AS VARCHAR)) END AS call_id FROM r""")
+def claude_lines(spark, sf_dir):
+    """Session lines built from the conversations: texts, lists of blocks, tool calls, compactions, sub-agents' files, models carried forward."""
+    c, turn = table(spark, sf_dir, "conversations"), F.col("turn")
+    number = lambda x: F.col(x).cast("string")
+    blocks = F.array(F.to_json(F.struct(F.lit("text").alias("type"), "text")), F.to_json(F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("t"), number("turn")).alias("id"), F.lit("Bash").alias("name"), F.struct(F.lit("ls").alias("command")).alias("input"))))
+    content = F.when(turn % 5 == 1, F.concat(F.lit("["), F.array_join(blocks, ","), F.lit("]"))).otherwise(F.expr("substring(to_json(array(text)), 2, length(to_json(array(text))) - 2)"))
+    model = F.when(turn % 3 == 1, F.concat(F.lit(',"model":"m'), number("turn"), F.lit('"'))).otherwise("")
+    said = F.concat(F.lit('{"type":"'), "role", F.lit('","uuid":"u'), number("turn"), F.lit('","message":{"role":"'), "role", F.lit('"'), model, F.lit(',"content":'), content, F.lit("}}"))
+    compacted = F.concat(F.lit('{"type":"system","subtype":"compact_boundary","uuid":"u'), number("turn"), F.lit('"'), F.when(turn % 3 == 1, F.concat(F.lit(',"message":{"model":"m'), number("turn"), F.lit('"}'))).otherwise(""), F.lit("}"))
+    file = F.when(F.col("conv_id") % 4 == 3, F.concat(F.lit("/x/s"), F.floor(F.col("conv_id") / 4).cast("string"), F.lit("/subagents/agent"), number("conv_id"), F.lit(".jsonl"))).otherwise(F.concat(F.lit("/x/"), number("conv_id"), F.lit(".jsonl")))
+    lines = c.select(file.alias("file"), (turn + 1).cast("int").alias("line"), F.when(turn % 5 == 4, compacted).otherwise(said).alias("value"))
+    up = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    m = transcripts.claude_messages(lines.withColumn("model", F.last(transcripts.claude_model(), ignorenulls=True).over(up)))
+    text = F.when(F.col("kind") == "text", F.md5("text"))
+    return m.select("conversation_id", F.col("parent_native_id").alias("stream"), F.col("source_order").cast("long").alias("source_order"), "role", "kind", text.alias("said_md5"), "model", "call_id")

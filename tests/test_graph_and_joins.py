@@ -2,6 +2,7 @@ import random
 
 from ledgerfold import session
 from ledgerfold.operators import graph, joins, ordering, skew
+from ledgerfold.session import materialize
 
 
 def union_find(pairs):
@@ -113,3 +114,25 @@ def test_changes_are_attributed_as_by_all_pairs(spark):
     v = spark.createDataFrame(convs, "conversation_id long, workspace_id long, work_item string, started_at int, ended_at int")
     got = {r["change_id"]: (r["conversation_id"], r["scope"]) for r in joins.attribute_changes(c, v).collect()}
     assert got == want and {h for _, h in got.values()} == {"sole", "work_item", "time", "workspace"}
+
+
+def test_links_in_batches_equal_all_links(spark):
+    """Whatever the order of batches, labels equal those of a full run, and only touched groups change."""
+    import random
+
+    from ledgerfold.operators.graph import apply_links, connected_components, merge_links
+
+    rng = random.Random(6)
+    links = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(1, 1), (None, 2), (3, 4), (3, 4)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    flat = lambda df: sorted((r["vertex"], r["component"]) for r in df.collect())
+    want = flat(connected_components(frame(links)))
+    for order in (links, links[::-1]):
+        labels = None
+        for i in range(0, len(order), 17):
+            labels = materialize(apply_links(labels, frame(order[i : i + 17])))
+        assert flat(labels) == want
+    changes, fresh = merge_links(labels, frame([(100, 101), (5, 5)]))
+    assert changes.count() == 0 and flat(fresh) == [(100, 100), (101, 100)]
+    changes, fresh = merge_links(labels, frame([(0, 100)]))
+    assert changes.count() == 0 and len(flat(fresh)) == 1
