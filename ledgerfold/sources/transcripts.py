@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ledgerfold import schemas
 from ledgerfold.functions import dates
 from ledgerfold.functions import text as T
+from ledgerfold.session import materialize
+from ledgerfold.sources.exports import json_records
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -113,7 +115,7 @@ def codex_messages(lines: DataFrame) -> DataFrame:
 
 def read_chatgpt(spark: SparkSession, path: str) -> DataFrame:
     """Messages of an export: the graph's nodes that hold a message, by time, then id."""
-    c = spark.read.schema(schemas.EXPORT_CONVERSATION).option("multiLine", "true").json(path)
+    c = json_records(spark, path).select(F.from_json("record", schemas.EXPORT_CONVERSATION).alias("c")).select("c.*")
     m = c.select("conversation_id", F.explode("mapping").alias("node", "v")).select("conversation_id", "node", "v.message.*").where("id is not null")
     w = Window.partitionBy("conversation_id").orderBy(F.col("create_time").asc_nulls_first(), "id")
     rows = m.select(
@@ -125,9 +127,8 @@ def read_chatgpt(spark: SparkSession, path: str) -> DataFrame:
 
 def read_canonical(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of canonical exports (one workspace or ``{"workspaces": [...]}`` a file): workspaces, conversations, messages, changes, metrics, prs."""
-    many = spark.read.schema(schemas.CANONICAL).option("multiLine", "true").json(path).where("workspaces is not null").select(F.inline("workspaces"))
-    one = spark.read.schema(schemas.CANONICAL_WORKSPACE).option("multiLine", "true").json(path).where("id is not null")
-    w = many.unionByName(one).withColumn("workspace_id", T.stable_id("workspace", F.col("source_kind"), F.col("id"))).withColumn("activity_at", dates.parse_timestamp(F.col("activity_at")))
+    w = json_records(spark, path).select(F.from_json("record", schemas.CANONICAL_WORKSPACE).alias("w")).select("w.*").where("id is not null")
+    w = materialize(w).withColumn("workspace_id", T.stable_id("workspace", F.col("source_kind"), F.col("id"))).withColumn("activity_at", dates.parse_timestamp(F.col("activity_at")))
     c = w.select("workspace_id", F.inline("conversations")).withColumn("conversation_id", T.stable_id("conversation", F.col("workspace_id"), F.col("id")))
     m = c.select("workspace_id", "conversation_id", "provider", F.posexplode("messages").alias("source_order", "m")).select("workspace_id", "conversation_id", "provider", "source_order", "m.*")
     return {
