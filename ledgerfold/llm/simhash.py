@@ -159,42 +159,64 @@ def spanning_links(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return out
 
 
-def _bucket_links(rows: DataFrame, distance: int) -> DataFrame:
-    """Links of every bucket; rows of a bucket stand together, in one task."""
+def earlier_bucket(diff: np.ndarray, used: np.ndarray, masks: list[int]) -> np.ndarray:
+    """Whether two fingerprints that differ in ``diff`` and met under the mask ``used`` agree under a mask before it in ``masks`` too.
+
+    A ``used`` that isn't one of ``masks`` (a bucket keyed again) has none before it.
+    """
+    place = {m: i for i, m in enumerate(masks)}
+    at = np.array([place.get(int(m), 0) for m in used], np.int64)
+    out = np.zeros(len(diff), bool)
+    for i in range(int(at.max(initial=0))):
+        open_ = np.flatnonzero(~out & (at > i))
+        out[open_[(diff[open_] & np.uint64(masks[i])) == 0]] = True
+    return out
+
+
+def _bucket_links(rows: DataFrame, distance: int, masks: list[int]) -> DataFrame:
+    """Links of every bucket; rows of a bucket stand together, in one task.
+
+    A link whose ends agree under an earlier mask is left to that mask's bucket, whose links connect them: over all buckets, by the order of masks, the same
+    fingerprints are connected, and a large group's forest isn't sent once per mask.
+    """
     empty = np.zeros(0, np.uint64)
 
-    def links(keys: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
-        """Of whole buckets: pairs of two by one comparison, larger buckets one by one."""
-        out: list[tuple[int, int]] = []
+    def links(keys: np.ndarray, fps: np.ndarray, used: np.ndarray) -> np.ndarray:
+        """(u, v) of whole buckets: pairs of two by one comparison, larger buckets one by one."""
         edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         size = np.diff(np.r_[edge, len(keys)])
         two = edge[size == 2]
         near = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= distance]
-        out += zip(fps[near].tolist(), fps[near + 1].tolist(), strict=True)
+        found, under = [np.stack([fps[near], fps[near + 1]], 1)], [used[near]]
         for i in np.flatnonzero(size > 2):
-            out += spanning_links(np.unique(fps[edge[i] : edge[i] + size[i]]), distance)
-        return out
+            tree = spanning_links(np.unique(fps[edge[i] : edge[i] + size[i]]), distance)
+            if tree:
+                found.append(np.array(tree, np.uint64))
+                under.append(np.full(len(tree), used[edge[i]], np.uint64))
+        both, mask = np.concatenate(found), np.concatenate(under)
+        return both[~earlier_bucket(both[:, 0] ^ both[:, 1], mask, masks)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros(0, np.int64), empty
+        keys, fps, used = np.zeros(0, np.int64), empty, empty
 
-        def send(found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        def send(found: np.ndarray) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(found), 65536):
-                two = np.array(found[i : i + 65536], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1])], ["u", "v"])
+                two = found[i : i + 65536].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], ["u", "v"])
 
         for b in batches:
             keys = np.r_[keys, b["bucket"].to_numpy()]
             fps = np.r_[fps, b["fp"].to_numpy().view(np.uint64)]
+            used = np.r_[used, b["used"].to_numpy().view(np.uint64)]
             if not len(keys) or keys[0] == keys[-1]:
                 continue
             cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1
-            yield from send(links(keys[:cut], fps[:cut]))
-            keys, fps = keys[cut:], fps[cut:]
+            yield from send(links(keys[:cut], fps[:cut], used[:cut]))
+            keys, fps, used = keys[cut:], fps[cut:], used[cut:]
         if len(keys):
-            yield from send(links(keys, fps))
+            yield from send(links(keys, fps, used))
 
-    return rows.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
+    return rows.select("bucket", "used", "fp").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
 
 
 def near_links(fps: DataFrame, distance: int = 4, max_bucket: int = 20_000, intact: int | None = None) -> DataFrame:
@@ -205,14 +227,15 @@ def near_links(fps: DataFrame, distance: int = 4, max_bucket: int = 20_000, inta
     """
     n = fps.count()
     p = intact or choose_intact(n, distance)
-    tasks = max(fps.sparkSession.sparkContext.defaultParallelism, n * len(block_masks(2**BITS - 1, distance, p)) // KEYED_ROWS)
+    masks = block_masks(2**BITS - 1, distance, p)
+    tasks = max(fps.sparkSession.sparkContext.defaultParallelism, n * len(masks) // KEYED_ROWS)
     first = fps.select(F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("used"), "fp").repartition(tasks, "fp")
     rows = materialize(_keyed(first, distance, p))
     links = None
     while True:
         hot = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_bucket).select("bucket"))
         more = not hot.isEmpty()
-        now = _bucket_links(rows.join(hot, "bucket", "left_anti") if more else rows, distance)
+        now = _bucket_links(rows.join(hot, "bucket", "left_anti") if more else rows, distance, masks)
         links = now if links is None else links.union(now)
         if not more:
             return links.distinct()
