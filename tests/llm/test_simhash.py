@@ -157,3 +157,14 @@ def test_dropping_against_all_pairs(spark, data):
     d = spark.read.parquet(f"{data}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in d.select("doc_id", "text").collect()]
     assert sorted(((r["doc_id"], r["text"] or "") for r in simhash.drop_near_duplicates(d).collect()), key=str) == kept_rows(rows)
+
+
+def test_links_left_to_earlier_masks():
+    """By hand: under which masks two fingerprints agree, and a mask of a bucket keyed again counts as the first."""
+    rng = np.random.default_rng(8)
+    masks = simhash.block_masks(2**64 - 1, 4, 2)
+    diff = rng.integers(0, 2**63, 300, dtype=np.uint64) & rng.integers(0, 2**63, 300, dtype=np.uint64) & rng.integers(0, 2**63, 300, dtype=np.uint64)
+    used = np.array([masks[i] for i in rng.integers(0, len(masks), 300)], np.uint64)
+    got = simhash.earlier_bucket(diff, used, masks)
+    assert got.tolist() == [any(int(d) & m == 0 for m in masks[: masks.index(int(u))]) for d, u in zip(diff, used)]
+    assert not simhash.earlier_bucket(diff, np.full(300, 3, np.uint64), masks).any()
