@@ -35,7 +35,7 @@ CASES = [
     ("pnpm --filter web exec vitest", "pnpm", "exec vitest", "run", 1, False, False, False),
     ("X=1 Y=2", "", "", "other", 1, False, False, False),
     ("env", "env", "", "shell", 1, False, False, False),
-    ("echo a\;b '<<' c\nls", "ls", "", "list", 2, False, False, False),
+    ("echo a\\;b '<<' c\nls", "ls", "", "list", 2, False, False, False),
     ("diff <(sort a) <(sort b) || true", "diff", "", "read", 2, False, False, False),
     ("cmd &> all.log; kill -9 1 2>/dev/null", "cmd", "", "other", 2, False, True, False),
     ("python -", "python", "stdin", "run", 1, False, False, False),
