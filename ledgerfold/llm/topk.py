@@ -7,9 +7,10 @@ most significant one downward; rows tied at the boundary are resolved exactly by
 from the data, and scores are integers of any size, so nothing is clamped.
 
 Scale: the index is cut into blocks by hash of the row, bounded by rows and by bytes, and each block's slices are built
-once and written to the shared folder; queries are cut into chunks bounded alike. A task holds one block's
-bitmaps and one chunk. Every block answers every query (the stated query set against all rows) with k rows at most, and only
-those are shuffled and ranked.
+once and written to the shared folder. Queries are the small side, so they are repeated per block and stream through the
+block that a task holds; the index itself is shuffled once, or once per lane where blocks are fewer than tasks. A task holds one
+block's bitmaps and one batch of queries. Every block answers every query (the stated query set against all rows) with k rows
+at most, and only those are shuffled and ranked.
 """
 
 from __future__ import annotations
@@ -169,6 +170,19 @@ def build_index(rows: DataFrame, blocks: int, width: int) -> DataFrame:
     return rows.withColumn("block", F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(run, schema)
 
 
+def dealt(index: DataFrame, queries: DataFrame, blocks: int, lanes: int) -> DataFrame:
+    """Each block of the index once per lane, followed by the lane's queries: every query meets every block once.
+
+    The number of partitions is stated, so that none is merged or split at run time.
+    """
+    upto = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    held = index.select("block", upto(lanes).alias("lane"), "depth", "vec_ids", "row_ids", "slices")
+    lane = F.pmod(F.xxhash64("row_id", F.lit(2)), F.lit(lanes)).cast("int")
+    asked = queries.select(upto(blocks).alias("block"), lane.alias("lane"), "row_id", "vec_id", "x")
+    both = held.unionByName(asked, allowMissingColumns=True)
+    return both.repartition(blocks * lanes, "block", "lane").sortWithinPartitions("block", "lane", F.asc_nulls_first("row_id"))
+
+
 def top_inner(vectors: DataFrame, every: int = 50, k: int = 5, block_rows: int = 65_536, chunk_rows: int = 64, cell_bytes: int = 16 << 20) -> DataFrame:
     """The k best other rows of each query row (vec_id divisible by ``every``): (query_id, rank, vec_id, score).
 
@@ -176,7 +190,8 @@ def top_inner(vectors: DataFrame, every: int = 50, k: int = 5, block_rows: int =
     candidates of their own and, as queries, have results of their own. Ties go to the smaller vec_id. Shorter vectors count as
     padded with zeros. Components and scores of any size are ranked exactly; a score beyond the range of a long is null. Fewer
     than k other rows give fewer results, one row or an empty table none; extra columns are ignored.
-    ``cell_bytes`` bounds the bytes of a block's vectors or slices and of a chunk's vectors.
+    ``cell_bytes`` bounds the bytes of a block's vectors or slices. Where there are fewer blocks than shuffle partitions, queries are
+    dealt to lanes of about ``chunk_rows`` queries or more, each with a copy of the block.
     """
     spark = vectors.sparkSession
     lean(spark)
@@ -186,31 +201,29 @@ def top_inner(vectors: DataFrame, every: int = 50, k: int = 5, block_rows: int =
     width = max(1, width or 0)
     depth = int(most or 0).bit_length() + 10
     queries = rows.where(F.col("vec_id") % every == 0)
-    fit = lambda least, bits: max(1, min(least, 8 * cell_bytes // (width * bits)))
-    blocks = max(1, -(-n // fit(block_rows, max(64, depth))))
-    chunks = max(1, -(-queries.count() // fit(chunk_rows, 64)))
+    blocks = max(1, -(-n // max(1, min(block_rows, 8 * cell_bytes // (width * max(64, depth))))))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lanes = max(1, min(queries.count() // chunk_rows, -(-tasks // blocks)))
     index = materialize(build_index(rows, blocks, width))
-    asked = queries.groupBy(F.pmod(F.xxhash64("row_id", F.lit(2)), F.lit(chunks)).cast("int").alias("chunk")).agg(F.collect_list(F.struct("row_id", "vec_id", "x")).alias("asked"))
-    asked = asked.select("chunk", "asked", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    spread = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    pairs = spread.repartition("block", "chunk").join(asked.repartition("block", "chunk").hint("merge"), ["block", "chunk"])
+    stream = dealt(index, queries, blocks, lanes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded = None
         for batch in batches:
-            for r in range(batch.num_rows):
-                own, got = batch.slice(r, 1), batch["asked"][r].as_py()
-                read = lambda name, kind: np.frombuffer(own[name][0].as_buffer(), kind)
-                ids, keys = read("vec_ids", np.int64), read("row_ids", np.int64)
-                bits = BitSlices(read("slices", np.uint64).reshape(width, own["depth"][0].as_py(), -1), len(ids))
-                place = {x: i for i, x in enumerate(keys.tolist())}
-                out: list[tuple] = []
-                for q in got:
-                    best, scores = bits.top(quantised([q["x"]], width)[0], k, place.get(q["row_id"]))
-                    out += [(q["row_id"], q["vec_id"], int(ids[i]), int(keys[i]), order_key(s), s if -(2**63) <= s < 2**63 else None) for i, s in zip(best.tolist(), scores, strict=True)]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-                cols = list(zip(*out, strict=True)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["query_row", "query_id", "vec_id", "row_id", "key", "score"])
-
-    found = pairs.select("vec_ids", "row_ids", "depth", "slices", "asked").mapInArrow(run, "query_row long, query_id long, vec_id long, row_id long, key binary, score long")
+            out: list[tuple] = []
+            for r, (key, row, vec) in enumerate(zip(zip(batch["block"].to_pylist(), batch["lane"].to_pylist(), strict=True), batch["row_id"].to_pylist(), batch["vec_id"].to_pylist(), strict=True)):
+                read = lambda name, kind: np.frombuffer(batch[name][r].as_buffer(), kind)  # noqa: B023, E731
+                if row is None:
+                    ids, keys = read("vec_ids", np.int64), read("row_ids", np.int64)
+                    bits = BitSlices(read("slices", np.uint64).reshape(width, batch["depth"][r].as_py(), -1), len(ids))
+                    loaded, place = key, {x: i for i, x in enumerate(keys.tolist())}
+                elif key == loaded:  # a block to which no row was dealt has no index
+                    best, scores = bits.top(quantised([batch["x"][r].as_py()], width)[0], k, place.get(row))
+                    out += [(row, vec, int(ids[i]), int(keys[i]), order_key(s), s if -(2**63) <= s < 2**63 else None) for i, s in zip(best.tolist(), scores, strict=True)]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["query_row", "query_id", "vec_id", "row_id", "key", "score"])
+
+    found = stream.mapInArrow(run, "query_row long, query_id long, vec_id long, row_id long, key binary, score long")
     order = Window.partitionBy("query_row").orderBy(F.desc("key"), "vec_id", "row_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -75,3 +75,15 @@ def test_awkward_rows(spark):
     fine = [(i, v) for i, v in rows if i in (0, 5, 6, 7)]
     assert result(topk.top_inner(df, 50, 5)) == brute(fine, 50, 5)
     assert topk.top_inner(df.limit(0)).count() == 0 and topk.top_inner(df.where("vec_id = 0").limit(1)).count() == 0
+
+
+def test_the_index_is_sent_once_per_lane(spark):
+    for n in (200, 2000):
+        rows = topk.usable(spark.range(n).selectExpr("id AS vec_id", "array(double(id), 1D) AS embedding"))
+        blocks, queries = n // 50, rows.where("vec_id % 50 = 0")
+        for lanes in (1, 3):
+            sent = topk.dealt(topk.build_index(rows, blocks, 2), queries, blocks, lanes)
+            got = sent.selectExpr("spark_partition_id() AS part", "block", "lane", "slices IS NULL AS query", "row_id").collect()
+            assert sum(not r["query"] for r in got) == blocks * lanes and sum(r["query"] for r in got) == blocks * n // 50
+            held = {(r["part"], r["block"], r["lane"]) for r in got if not r["query"]}
+            assert len(held) == blocks * lanes and all((r["part"], r["block"], r["lane"]) in held for r in got)
