@@ -61,6 +61,15 @@ def workflow_graph(spark, sf_dir):
     return workflow.workflow_graph(failed_tasks(spark, sf_dir)).withColumn("error_share", F.round("error_share", 6))
 
 
+@BOOK.add(f"""WITH {TASKS}, e AS (SELECT p.flavor AS parent_flavor, t.flavor FROM tasks t JOIN tasks p ON t.parent_id = p.task_id),
+b AS (SELECT 'in' AS direction, parent_flavor AS other FROM e WHERE flavor = '1-URGENT' UNION ALL SELECT 'out', flavor FROM e WHERE parent_flavor = '1-URGENT'),
+g AS (SELECT direction, other, count(*) AS n FROM b GROUP BY 1, 2)
+SELECT direction, other, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY n DESC, other) AS rank FROM g) WHERE rank <= 3""")
+def graph_neighbours(spark, sf_dir):
+    """The three largest edges into and out of one flavor."""
+    return workflow.graph_neighbours(workflow.workflow_graph(failed_tasks(spark, sf_dir)), "1-URGENT", 3).select("direction", "other", "n", "rank")
+
+
 @BOOK.add(f"""WITH {TASKS}, h AS (SELECT parent_id, bool_or(is_human) AS h FROM tasks WHERE parent_id IS NOT NULL GROUP BY 1)
 SELECT t.task_id, p.flavor AS parent_flavor, coalesce(h.h, false) AS human_followup, row_number() OVER (PARTITION BY t.candidate_id, t.flavor ORDER BY t.created_at, t.task_id) > 1 AS revisit FROM tasks t LEFT JOIN tasks p ON p.task_id = t.parent_id LEFT JOIN h ON h.parent_id = t.task_id""")
 def task_links(spark, sf_dir):

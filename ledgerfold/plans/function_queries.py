@@ -173,6 +173,12 @@ def window_filter(spark, sf_dir):
     return kept.groupBy("flavor").agg(F.count(F.lit(1)).alias("tasks"))
 
 
+@BOOK.add(f"""WITH {TASKS}, n AS (SELECT flavor, version, row_number() OVER (PARTITION BY flavor ORDER BY created_at DESC, version DESC) AS r FROM tasks)
+SELECT t.task_id, t.flavor, t.version FROM tasks t JOIN n ON n.flavor = t.flavor AND n.version = t.version AND n.r = 1""")
+def current_definitions(spark, sf_dir):
+    return workflow.current_definitions(tasks(spark, sf_dir)).select("task_id", "flavor", "version")
+
+
 @BOOK.add(f"""WITH {TASKS}, d AS (SELECT flavor, version, min(created_at) AS f FROM tasks GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY flavor ORDER BY f, version) AS r FROM d),
 b AS (SELECT CAST(make_date(y, 1, 1) AS TIMESTAMP) AS s FROM (SELECT DISTINCT CAST(year(created_at) AS INTEGER) AS y FROM tasks)), l AS (SELECT s, lead(s) OVER (ORDER BY s) AS e FROM b)
 SELECT strftime(s, '%Y') AS burst, flavor, version, f > s AS during FROM n JOIN l ON f >= s AND (e IS NULL OR f < e) WHERE r > 1""")

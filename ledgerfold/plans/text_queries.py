@@ -223,6 +223,14 @@ def find_files(spark, sf_dir):
     return search.find_files(p, "RING")
 
 
+@BOOK.add("SELECT DISTINCT page_id // 7 AS call_id, url, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages WHERE page_id % 5 <> 0 AND contains(lower(url), 'example.net/de/')")
+def find_urls(spark, sf_dir):
+    """Addresses of calls, each call's pages listed twice; every fifth page stands for a search result."""
+    source = F.when(F.col("page_id") % 5 == 0, "search_result").otherwise("input")
+    p = table(spark, sf_dir, "pages").select(F.expr("page_id div 7").alias("call_id"), "url", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), source.alias("source"))
+    return search.find_urls(p.union(p), "Example.NET/de/")
+
+
 @BOOK.add("SELECT c_custkey AS workspace_id, concat_ws(chr(10), c_name, nullif(c_mktsegment, ''), a) AS text FROM customer LEFT JOIN (SELECT o_custkey, string_agg(o_orderpriority, chr(10) ORDER BY n) AS a FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderpriority) AS n FROM orders WHERE o_orderstatus = 'F') WHERE n <= 3 GROUP BY 1) ON o_custkey = c_custkey")
 def work_documents(spark, sf_dir):
     from ledgerfold.operators.library import documents
