@@ -42,12 +42,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: links of a five-word shingle similarity of 0.8 or more, found by fingerprints within seven bits.
+    """One document of each near-duplicate class: all links of a five-word shingle similarity of 0.8 or more, those by fingerprints within seven bits first.
 
     The row with the smallest (doc_id, text hash) stays, null ids come last, null and blank texts are one class, of rows equal in id and text
     one stays; other columns pass through, an empty table gives an empty one.
     """
-    return simhash.drop_near_duplicates(docs)
+    return simhash.drop_near_duplicates(docs, every_pair=True)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

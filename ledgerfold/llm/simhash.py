@@ -13,7 +13,7 @@ contraction in written rounds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerfold.llm.columns import plain
-from ledgerfold.operators.graph import connected_components
+from ledgerfold.operators.graph import apply_links, connected_components
 from ledgerfold.operators.skew import hot_keys, salted_join
-from ledgerfold.session import lean, materialize
+from ledgerfold.session import discard, lean, materialize
 
 SEED = 42
 BITS = 64
@@ -71,9 +71,9 @@ def fingerprint(text: str | None, shingle_words: int = 5) -> int:
 
 
 def shingle_set(text: str | None, shingle_words: int = 5) -> np.ndarray:
-    """The distinct shingles as sorted 32-bit hashes: among a million, collisions hide about a hundred."""
-    parts = [np.unique(h >> np.uint64(32)).astype(np.uint32) for h in _hashes(text, shingle_words)]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint32)
+    """The distinct shingles as sorted 64-bit hashes; a text without words has the set {0}, so all such texts are alike."""
+    parts = [np.unique(h) for h in _hashes(text, shingle_words)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(1, np.uint64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -235,11 +235,14 @@ def near_links(fps: DataFrame, distance: int = 4, max_bucket: int = 20_000, inta
     while True:
         hot = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_bucket).select("bucket"))
         more = not hot.isEmpty()
-        now = _bucket_links(rows.join(hot, "bucket", "left_anti") if more else rows, distance, masks)
+        now = materialize(_bucket_links(rows.join(hot, "bucket", "left_anti") if more else rows, distance, masks))
         links = now if links is None else links.union(now)
+        last = rows
+        if more:
+            rows = materialize(_keyed(rows.join(hot, "bucket", "left_semi"), distance, p).distinct())
+        discard(last)
         if not more:
             return links.distinct()
-        rows = materialize(_keyed(rows.join(hot, "bucket", "left_semi"), distance, p).distinct())
 
 
 def _named(marked: DataFrame, distance: int) -> DataFrame:
@@ -290,33 +293,212 @@ def _candidates(nodes: DataFrame, prints: list[str], distance: int) -> DataFrame
     return materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, shingle_words: int, least: float) -> DataFrame:
-    """(u, v): the ``pairs`` (a, b) whose texts' shingle sets have a Jaccard similarity of ``least`` or more. ``texts``: hash, text."""
+def cells(tokens: np.ndarray) -> np.ndarray:
+    """How many of a set's tokens lie in each of 128 ranges of hashes."""
+    return np.bincount((tokens >> np.uint64(57)).astype(np.int64), minlength=128).astype(np.uint32)
+
+
+def most_similar(a: np.ndarray, b: np.ndarray) -> float:
+    """The most that the similarity of two sets with such ``cells`` can be."""
+    both = int(np.minimum(a, b).sum())
+    return both / (int(a.sum()) + int(b.sum()) - both)
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, made: Callable[[str | None], np.ndarray], kind: str, passes: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
+    """The ``pairs`` (a, b), a written table, whose texts' ``made`` arrays (of type ``kind``) pass. ``texts``: hash, text."""
     ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("hash")).distinct())
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingle_set(t, shingle_words).astype("<u4").tobytes() for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["hash"], pa.array(found, pa.binary())], ["hash", "words"])
+            found = [made(t).astype(kind).tobytes() for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["hash"], pa.array(found, pa.binary())], ["hash", "made"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left, right = ([np.frombuffer(x, "<u4") for x in b[c].to_pylist()] for c in ("left", "right"))
-            near = pa.array([similarity(x, y) >= least for x, y in zip(left, right, strict=True)], pa.bool_())
-            yield b.select(["u", "v"]).filter(near)
+            left, right = ([np.frombuffer(x, kind) for x in b[c].to_pylist()] for c in ("left", "right"))
+            good = pa.array([passes(x, y) for x, y in zip(left, right, strict=True)], pa.bool_())
+            yield b.select(["a", "b"]).filter(good)
 
-    known = materialize(texts.join(ends, "hash", "left_semi").mapInArrow(sets, "hash long, words binary").groupBy("hash").agg(F.first("words").alias("words")))
-    left = materialize(_joined(pairs, known.select(F.col("hash").alias("a"), F.col("words").alias("left")), "a"))
+    known = materialize(texts.join(ends, "hash", "left_semi").mapInArrow(arrays, "hash long, made binary").groupBy("hash").agg(F.first("made").alias("made")))
+    left = materialize(_joined(pairs, known.select(F.col("hash").alias("a"), F.col("made").alias("left")), "a"))
     hot = hot_keys(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "b", pairs.count())
-    both = salted_join(left, known.select(F.col("hash").alias("b"), F.col("words").alias("right")), "b", hot)
-    return both.select(F.col("a").alias("u"), F.col("b").alias("v"), "left", "right").mapInArrow(compare, "u long, v long")
+    both = salted_join(left, known.select(F.col("hash").alias("b"), F.col("made").alias("right")), "b", hot)
+    out = materialize(both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long"))
+    discard(ends, known, left)
+    return out
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, shingle_words: int, least: float) -> DataFrame:
+    """(u, v): the ``pairs`` (a, b) whose texts' shingle sets have a Jaccard similarity of ``least`` or more. ``texts``: hash, text.
+
+    Most candidates are told apart by counts of hashes in ranges, which bound the similarity, so that few sets are shuffled.
+    """
+    possible = _compared(pairs, texts, lambda t: cells(shingle_set(t, shingle_words)), "<u4", lambda x, y: most_similar(x, y) >= least)
+    return _compared(possible, texts, lambda t: shingle_set(t, shingle_words), "<u8", lambda x, y: similarity(x, y) >= least).toDF("u", "v")
+
+
+def _frequent(texts: DataFrame, shingle_words: int, over: int = 64, most: int = 200_000, portion: int = 1 << 22) -> np.ndarray:
+    """Up to ``most`` shingles that more than ``over`` texts have, the rarest first. Prefixes take them last, which only saves work: any one order finds all pairs.
+
+    A task counts by portions of its shingles and sends on those it met twice in one, so that the many that stand in one text aren't shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            found, n = found[n > 1].view(np.int64), n[n > 1]
+            for i in range(0, len(found), 65536):
+                yield pa.RecordBatch.from_arrays([pa.array(found[i : i + 65536]), pa.array(n[i : i + 65536], pa.int64())], ["token", "n"])
+
+        held, size = [], 0
+        for b in batches:
+            for t in b["text"].to_pylist():
+                held.append(shingle_set(t, shingle_words))
+                size += len(held[-1])
+                if size >= portion:
+                    yield from send(held)
+                    held, size = [], 0
+        if held:
+            yield from send(held)
+
+    counted = texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > over)
+    rows = counted.orderBy(F.col("n").desc(), "token").limit(most).collect()  # ``most`` at most
+    return np.array([r["token"] for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def prefix(tokens: np.ndarray, last: np.ndarray, rank: np.ndarray, least: float) -> np.ndarray:
+    """The first of a sorted set's tokens, so many that two sets alike by ``least`` share one: in rising order, but those in ``last`` (sorted) after all others, by ``rank``."""
+    n = len(tokens) - int(np.ceil(least * len(tokens) - 1e-9)) + 1
+    if not len(last):
+        return tokens[:n]
+    at = np.minimum(np.searchsorted(last, tokens), len(last) - 1)
+    late = last[at] == tokens
+    first = tokens[~late][:n]
+    return np.concatenate([first, tokens[late][np.argsort(rank[at[late]])][: n - len(first)]])
+
+
+def _prefixes(texts: DataFrame, shingle_words: int, least: float) -> DataFrame:
+    """(token, hash, size, pos): the prefix of each text's shingles, with the set's size and the token's place."""
+    late = _frequent(texts, shingle_words)
+    order = np.argsort(late)
+    shared = texts.sparkSession.sparkContext.broadcast((late[order], order))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rank = shared.value
+        for b in batches:
+            sets = [shingle_set(t, shingle_words) for t in b["text"].to_pylist()]
+            heads = [prefix(x, last, rank, least) for x in sets]
+            n = np.array([len(x) for x in heads], np.int64)
+            tokens = np.concatenate(heads).view(np.int64) if heads else np.zeros(0, np.int64)
+            size = np.repeat(np.array([len(x) for x in sets], np.int32), n)
+            pos = np.concatenate([np.arange(k, dtype=np.int32) for k in n]) if heads else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(b["hash"].to_numpy(), n)), pa.array(size), pa.array(pos)], ["token", "hash", "size", "pos"])
+
+    return texts.mapInArrow(run, "token long, hash long, size int, pos int")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by token, cut so that a token's rows are in one portion."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b] if rest is None else [*rest.to_batches(), b])
+        tokens = t["token"].to_numpy()
+        cut = int(np.searchsorted(tokens, tokens[-1])) if len(tokens) else 0
+        if cut:
+            yield t.slice(0, cut)
+        rest = t.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _several(rows: DataFrame, column: str) -> DataFrame:
+    """The ``rows`` of tokens with more than one value of ``column``; a token's rows are in one task, by token."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches):
+            tokens, values = t["token"].to_numpy(), t[column].to_numpy()
+            edge = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+            mixed = np.maximum.reduceat(values, edge) != np.minimum.reduceat(values, edge)
+            yield from t.filter(pa.array(np.repeat(mixed, np.diff(np.r_[edge, len(tokens)])))).select(names).to_batches(max_chunksize=65536)
+
+    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, rows.schema)
+
+
+def meeting(hashes: np.ndarray, groups: np.ndarray, size: np.ndarray, pos: np.ndarray, least: float, every: bool, step: int = 512) -> Iterator[np.ndarray]:
+    """Pairs of places, of one token's rows, whose groups differ and whose sizes and what follows the token allow a similarity of ``least``.
+
+    Either all of them or only those with the row of middle size.
+    """
+    order = np.lexsort((hashes, size))
+    for i in range(0, len(order), step) if every else (len(order) // 2,):
+        left = order[i : i + (step if every else 1)]
+        right = order[i:] if every else order
+        a, b = left[:, None], right[None, :]
+        ok = (groups[a] != groups[b]) & (np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]) - 1e-9)
+        ok &= np.minimum(size[a] - pos[a], size[b] - pos[b]) >= least / (1 + least) * (size[a] + size[b]) - 1e-9
+        if every:
+            ok &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
+        x, y = np.nonzero(ok)
+        yield np.stack([left[x], right[y]], 1)
+
+
+def _meetings(rows: DataFrame, labels: DataFrame, least: float, every: bool) -> DataFrame:
+    """(a, b): pairs of text hashes, a < b, of different classes that share a token of their prefixes: candidates of any similarity of ``least``."""
+    marked = rows.join(labels.select(F.col("vertex").alias("hash"), "component").hint("merge"), "hash", "left")
+    marked = marked.select("token", "hash", F.coalesce("component", "hash").alias("component"), "size", "pos")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def send(found: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(found.min(1)), pa.array(found.max(1))], ["a", "b"])
+
+        for t in _runs(batches):
+            tokens, hashes, groups, size, pos = (t[c].to_numpy() for c in ("token", "hash", "component", "size", "pos"))
+            edge = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+            ends = np.r_[edge[1:], len(tokens)]
+            mixed = np.maximum.reduceat(groups, edge) != np.minimum.reduceat(groups, edge)
+            waiting, held = [], 0
+            for a, z in zip(edge[mixed], ends[mixed]):
+                for found in meeting(hashes[a:z], groups[a:z], size[a:z], pos[a:z], least, every):
+                    waiting.append(hashes[a:z][found])
+                    held += len(found)
+                    if held > 65536:
+                        yield send(np.concatenate(waiting))
+                        waiting, held = [], 0
+            if held:
+                yield send(np.concatenate(waiting))
+
+    return materialize(marked.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct())
+
+
+def _within(links: DataFrame, nodes: DataFrame, prints: list[str], distance: int) -> DataFrame:
+    """The ``links`` (u, v) within ``distance`` bits in any of ``prints``."""
+    us = materialize(_joined(links, nodes.select(F.col("hash").alias("u"), *[F.col(p).alias(f"u_{p}") for p in prints]), "u"))
+    both = _joined(us, nodes.select(F.col("hash").alias("v"), *[F.col(p).alias(f"v_{p}") for p in prints]), "v")
+    bits = [F.bit_count(F.col(f"u_{p}").bitwiseXOR(F.col(f"v_{p}"))) for p in prints]
+    return both.where(F.least(*bits, F.lit(BITS)) <= distance).select("u", "v")
+
+
+def _all_similar(texts: DataFrame, labels: DataFrame, shingle_words: int, least: float, only: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The labels (vertex, component) after every link of ``least`` or more among ``texts`` (hash, text) that ``only`` leaves, given those of some of the links.
+
+    Sets that alike share a token of their prefixes; only pairs of different classes are compared. A first look compares each with one other
+    per token, which joins most of a large group, so that the second, at all pairs that are still apart, is no square of it.
+    """
+    rows = materialize(_several(_prefixes(texts, shingle_words, least), "hash"))
+    for every in (False, True):
+        links = _similar(_meetings(rows, labels, least, every), texts, shingle_words, least)
+        labels = materialize(apply_links(labels, only(links)))
+    discard(rows)
+    return labels
 
 
-def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, distance: int = 7, prints: int = 2, least: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, distance: int = 7, prints: int = 2, least: float = 0.8, every_pair: bool = False) -> DataFrame:
     """``docs`` with one row per class, the one with the smallest (doc_id, text hash), all columns kept.
 
-    Candidates are links of at most ``distance`` bits in any of ``prints`` fingerprints; two texts are of one class if links with a
-    shingle similarity of ``least`` or more lead from one to the other. A row's key is its doc_id and text, so rows that share an id
+    Two texts are of one class if links with a shingle similarity of ``least`` or more lead from one to the other; only those of at most ``distance``
+    bits in any of ``prints`` fingerprints, or with ``every_pair`` all. Links found by fingerprints come first; then all pairs of different classes
+    whose sets can be so alike are looked at, by prefixes of the sets, so that none is missed. A row's key is its doc_id and text, so rows that share an id
     with different texts are documents of their own; of rows equal in both the one stays whose columns, as JSON, come first. Null ids come after all others: such a row
     stays if no row of its class has an id and no other null one a smaller hash. Null and blank texts are one class. An empty table
     gives an empty result; extra columns pass through, whatever their names.
@@ -328,8 +510,11 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, distance: int
     marked = materialize(_fingerprints_of(docs.select(key.alias("place"), text), "place struct<none:boolean,id:long,hash:long>", shingle_words, prints))
     names = marked.columns[1:]
     nodes = materialize(marked.groupBy(F.col("place.hash").alias("hash")).agg(F.min("place").alias("low"), *[F.min(n).alias(n) for n in names]))
-    links = _similar(_candidates(nodes, names, distance), docs.select(key["hash"].alias("hash"), text), shingle_words, least)
-    parts = connected_components(materialize(links)).withColumnRenamed("vertex", "hash")
+    texts = docs.select(key["hash"].alias("hash"), text)
+    links = _similar(_candidates(nodes, names, distance), texts, shingle_words, least)
+    labels = materialize(connected_components(links))
+    only = lambda found: found if every_pair else _within(found, nodes, names, distance)
+    parts = _all_similar(texts, labels, shingle_words, least, only).withColumnRenamed("vertex", "hash")
     named = nodes.select("hash", "low").join(parts, "hash", "left").withColumn("component", F.coalesce("component", "hash"))
     keep = named.groupBy("component").agg(F.min("low").alias("place")).select("place")
     same = marked.groupBy("place").agg(F.count(F.lit(1)).alias("n"))

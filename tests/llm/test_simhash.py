@@ -168,3 +168,68 @@ def test_links_left_to_earlier_masks():
     got = simhash.earlier_bucket(diff, used, masks)
     assert got.tolist() == [any(int(d) & m == 0 for m in masks[: masks.index(int(u))]) for d, u in zip(diff, used)]
     assert not simhash.earlier_bucket(diff, np.full(300, 3, np.uint64), masks).any()
+
+
+def all_pairs_kept(rows, least=0.8):
+    """Brute force over all pairs: ids (distinct, not null) of the least row of each class of texts that are alike enough, whatever their fingerprints."""
+    sets, label = [set(runs_of(t)) for _, t in rows], list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    order = sorted(range(len(rows)), key=lambda i: len(sets[i]))
+    for k, i in enumerate(order):
+        for j in order[:k]:
+            if len(sets[j]) >= least * len(sets[i]) and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                label[max(a, b)] = min(a, b)
+    best = {}
+    for i, (doc, _) in enumerate(rows):
+        best[root(i)] = min(best.get(root(i), doc), doc)
+    return sorted(best.values())
+
+
+def edited(rng, words, share):
+    """``words`` with changes at places spread so that about ``share`` of the five-word shingles stay alike."""
+    out = list(words)
+    n = round(len(words) * (1 - share) / (1 + share) / 5 * 2 / 2)
+    for k in range(n):
+        out[int((k + 0.5) * len(words) / max(1, n))] = f"x{rng.randint(0, 10**9)}"
+    return out
+
+
+def test_every_similar_pair_is_linked(spark, monkeypatch):
+    """Pairs about the threshold, many of which are beyond the bits in both fingerprints, among texts that share frequent passages."""
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        base = [f"w{rng.randint(0, 99999)}" for _ in range(rng.choice([6, 20, 90, 300]))] + passage[: rng.choice([0, 0, 30, 60])]
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join(edited(rng, base, rng.uniform(0.75, 0.9)))), (3 * i + 2, " ".join(edited(rng, base, rng.uniform(0.75, 0.9))))]
+    frequent = simhash._frequent
+    monkeypatch.setattr(simhash, "_frequent", lambda texts, k: frequent(texts, k, 4, 1000))
+    df = docs(spark, rows)
+    want = all_pairs_kept(rows)
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df, every_pair=True).collect()) == want
+    near = kept_rows(rows)
+    assert len(near) > len(want)
+    assert sorted(((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(df).collect()), key=str) == near
+
+
+def test_prefixes_of_similar_sets_meet():
+    """By hand: in any one order, two sets alike by 0.8 share a token of their prefixes, also where frequent tokens come last."""
+    rng = np.random.default_rng(4)
+    last = np.sort(rng.integers(0, 400, 60).astype(np.uint64))
+    last = np.unique(last)
+    rank = rng.permutation(len(last))
+    for _ in range(3000):
+        pool = rng.permutation(400).astype(np.uint64)
+        n = int(rng.integers(1, 40))
+        a = np.sort(pool[:n])
+        b = np.sort(np.r_[pool[: n - int(rng.integers(0, n // 5 + 1))], pool[n : n + int(rng.integers(0, n // 5 + 1))]])
+        if simhash.similarity(a, b) >= 0.8:
+            for late, order in ((last, rank), (last[:0], rank[:0])):
+                x, y = simhash.prefix(a, late, order, 0.8), simhash.prefix(b, late, order, 0.8)
+                assert set(x.tolist()) & set(y.tolist())
