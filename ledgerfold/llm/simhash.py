@@ -32,6 +32,8 @@ SEED = 42
 BITS = 64
 #: Keyed rows a task writes, about: fingerprints are a small table, which comes in few partitions, their keys are a large one.
 KEYED_ROWS = 500_000
+#: Links or pairs of hashes, two longs each, that one task settles or lists, so that the many small steps of the near-dedup aren't a full set of tasks each.
+FEW = 50_000
 
 
 def _hashes(text: str | None, shingle_words: int) -> Iterator[np.ndarray]:
@@ -306,7 +308,9 @@ def most_similar(a: np.ndarray, b: np.ndarray) -> float:
 
 def _compared(pairs: DataFrame, texts: DataFrame, made: Callable[[str | None], np.ndarray], kind: str, passes: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
     """The ``pairs`` (a, b), a written table, whose texts' ``made`` arrays (of type ``kind``) pass. ``texts``: hash, text."""
-    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("hash")).distinct())
+    total = pairs.count()
+    listed = pairs.coalesce(1) if total <= FEW else pairs
+    ends = materialize(listed.select(F.explode(F.array("a", "b")).alias("hash")).distinct())
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -320,9 +324,9 @@ def _compared(pairs: DataFrame, texts: DataFrame, made: Callable[[str | None], n
             yield b.select(["a", "b"]).filter(good)
 
     known = materialize(texts.join(ends, "hash", "left_semi").mapInArrow(arrays, "hash long, made binary").groupBy("hash").agg(F.first("made").alias("made")))
-    left = materialize(_joined(pairs, known.select(F.col("hash").alias("a"), F.col("made").alias("left")), "a"))
-    hot = hot_keys(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "b", pairs.count())
-    both = salted_join(left, known.select(F.col("hash").alias("b"), F.col("made").alias("right")), "b", hot)
+    hot = {c: hot_keys(listed.groupBy(c).agg(F.count(F.lit(1)).alias("n")), c, total) for c in ("a", "b")}
+    left = materialize(salted_join(pairs, known.select(F.col("hash").alias("a"), F.col("made").alias("left")), "a", hot["a"]))
+    both = salted_join(left, known.select(F.col("hash").alias("b"), F.col("made").alias("right")), "b", hot["b"])
     out = materialize(both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long"))
     discard(ends, known, left)
     return out
@@ -488,7 +492,7 @@ def _all_similar(texts: DataFrame, labels: DataFrame, shingle_words: int, least:
     rows = materialize(_several(_prefixes(texts, shingle_words, least), "hash"))
     for every in (False, True):
         links = _similar(_meetings(rows, labels, least, every), texts, shingle_words, least)
-        labels = materialize(apply_links(labels, only(links)))
+        labels = materialize(apply_links(labels, only(links), FEW))
     discard(rows)
     return labels
 
@@ -512,7 +516,7 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, distance: int
     nodes = materialize(marked.groupBy(F.col("place.hash").alias("hash")).agg(F.min("place").alias("low"), *[F.min(n).alias(n) for n in names]))
     texts = docs.select(key["hash"].alias("hash"), text)
     links = _similar(_candidates(nodes, names, distance), texts, shingle_words, least)
-    labels = materialize(connected_components(links))
+    labels = materialize(connected_components(links, few=FEW))
     only = lambda found: found if every_pair else _within(found, nodes, names, distance)
     parts = _all_similar(texts, labels, shingle_words, least, only).withColumnRenamed("vertex", "hash")
     named = nodes.select("hash", "low").join(parts, "hash", "left").withColumn("component", F.coalesce("component", "hash"))

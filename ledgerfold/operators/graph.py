@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ledgerfold.operators.skew import hot_keys, salted_join
 from ledgerfold.session import discard, materialize
@@ -23,13 +27,39 @@ def _star(edges: DataFrame, large: bool, hubs: list) -> DataFrame:
     return salted_join(down, low, "u", hubs).select("v", "m").union(low.select("u", "m")).toDF("u", "v")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def _settled(edges: DataFrame) -> DataFrame:
+    """(vertex, component) of a bounded edge list (u, v) of integers, by union-find in one task."""
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        of = None
+        for b in batches:
+            of = b.schema.field("u").type
+            for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True):
+                u, v = root(u), root(v)
+                up[max(u, v)] = min(u, v)
+        if up:
+            yield pa.RecordBatch.from_arrays([pa.array(list(up), of), pa.array([root(x) for x in list(up)], of)], ["vertex", "component"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, f"vertex {kind}, component {kind}")
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 50, few: int = 0) -> DataFrame:
     """Label every vertex of an undirected edge list with the smallest vertex it can reach.
 
     ``edges`` has two columns of one comparable type; nulls and self-loops are ignored and repeated edges
     count once. Returns (vertex, component) for vertices that have an edge. Alternating large-star and
     small-star steps halve path lengths each round; every round is written to the shared folder, so lineage
     stays short and no edge list visits the driver. Vertices with very many edges (fewer than 1,000 can have that many) are salted.
+    An edge list of at most ``few`` edges between integers is settled by one task instead: rounds over a small list are thousands of
+    tasks without rows, of each of which the driver keeps a record.
     """
     a, b = edges.columns[:2]
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u != v")
@@ -37,6 +67,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     mark = None
     for _ in range(max_rounds):
         n = e.count()
+        if n <= few and isinstance(e.schema["u"].dataType, IntegralType):
+            return _settled(e)
         ends = e.select("u").union(e.select("v")).groupBy("u").agg(F.count(F.lit(1)).alias("n"))
         hubs = hot_keys(ends, "u", n)
         last, e = e, materialize(_star(_star(e, True, hubs), False, hubs).where("u != v").distinct())
@@ -50,34 +82,38 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return e.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 
-def merge_links(labels: DataFrame | None, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+def merge_links(labels: DataFrame | None, links: DataFrame, few: int = 0) -> tuple[DataFrame, DataFrame]:
     """(changes, fresh): how new links change stored labels (vertex, component); together with the labels that stay they equal a full run.
 
     Links are contracted to links between labels, so components are found over groups that a link touches, and no stored link is read. ``changes``
     has (component, new) of stored groups that get a smaller label, ``fresh`` the labels of vertices that weren't stored. Labels are smallest
-    vertices, as of ``connected_components``.
+    vertices, as of ``connected_components``, to which ``few`` goes; so few links are contracted in one task, too.
     """
     a, b = links.columns[:2]
     new = materialize(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u != v").distinct())
-    ends = new.select("u").union(new.select("v")).distinct().toDF("vertex")
+    small = few > 0 and new.count() <= few
+    new = new.coalesce(1) if small else new
+    ends = new.select(F.explode(F.array("u", "v")).alias("vertex")).distinct()
     if labels is None:
         labels = ends.select("vertex", F.col("vertex").alias("component")).limit(0)
     # each end stands for its group: a stored vertex for its label, another one for itself
     known = materialize(ends.join(labels, "vertex", "left").select("vertex", "component", F.coalesce("component", "vertex").alias("group")))
+    known = known.coalesce(1) if small else known
     side = known.select("vertex", "group")
     between = new.join(side.toDF("u", "gu"), "u").join(side.toDF("v", "gv"), "v").where("gu != gv").select("gu", "gv").distinct()
-    joined = materialize(connected_components(between).toDF("group", "label"))
+    joined = materialize(connected_components(between, few=few).toDF("group", "label"))
+    joined = joined.coalesce(1) if small else joined
     changes = joined.join(known.where("component is not null").select("group").distinct(), "group", "left_semi").where("label != group").toDF("component", "new")
     fresh = known.where("component is null").join(joined, "group", "left").select("vertex", F.coalesce("label", "group").alias("component"))
     return changes, fresh
 
 
-def apply_links(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def apply_links(labels: DataFrame | None, links: DataFrame, few: int = 0) -> DataFrame:
     """All labels after new links: stored ones with their changes, and fresh ones.
 
     To keep a stored table current, write only the rows whose component is in ``merge_links``' changes, and the fresh ones.
     """
-    changes, fresh = merge_links(labels, links)
+    changes, fresh = merge_links(labels, links, few)
     if labels is None:
         return fresh
     moved = labels.join(changes, "component", "left").select("vertex", F.coalesce("new", "component").alias("component"))

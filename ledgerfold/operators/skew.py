@@ -14,7 +14,9 @@ def hot_limit(total: int) -> int:
 
 
 def hot_keys(counted: DataFrame, key: str, total: int, n: str = "n") -> list:
-    """The keys of (key, n) with more than ``hot_limit`` of ``total`` rows: fewer than 500, so they may visit the driver."""
+    """The keys of (key, n) with more than ``hot_limit`` of ``total`` rows: fewer than 500, so they may visit the driver. A table within the limit has none and isn't looked at."""
+    if total <= hot_limit(total):
+        return []
     return [r[0] for r in counted.where(F.col(n) > hot_limit(total)).select(key).collect()]
 
 

@@ -6,6 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from ledgerfold.llm import queries, simhash
+from ledgerfold.operators import graph
 from tests.llm.helpers import AWKWARD, docs
 
 
@@ -233,3 +234,12 @@ def test_prefixes_of_similar_sets_meet():
             for late, order in ((last, rank), (last[:0], rank[:0])):
                 x, y = simhash.prefix(a, late, order, 0.8), simhash.prefix(b, late, order, 0.8)
                 assert set(x.tolist()) & set(y.tolist())
+
+
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    """The near-dedup's few links are settled without rounds, each of which is a full set of tasks where partitions aren't merged."""
+    rounds, star = [], graph._star
+    monkeypatch.setattr(graph, "_star", lambda *a: rounds.append(1) or star(*a))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, "other words")]
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs(spark, rows), every_pair=True).collect()) == [1, 3] and not rounds

@@ -136,3 +136,22 @@ def test_links_in_batches_equal_all_links(spark):
     assert changes.count() == 0 and flat(fresh) == [(100, 100), (101, 100)]
     changes, fresh = merge_links(labels, frame([(0, 100)]))
     assert changes.count() == 0 and len(flat(fresh)) == 1
+
+
+def test_few_links_are_settled_without_rounds(spark, monkeypatch):
+    """Labels of a bounded edge list take no round, in one go or in batches, and equal those of rounds; other types than integers and longer lists take rounds."""
+    rng = random.Random(9)
+    links = [(rng.randint(-90, 90), rng.randint(-90, 90)) for _ in range(80)] + [(2**62 + i + 1, 2**62 + i) for i in range(40)] + [(1, 1), (None, 2), (3, 4), (4, 3)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    flat = lambda df: sorted((r["vertex"], r["component"]) for r in df.collect())
+    words = spark.createDataFrame([("b", "a"), ("b", "c")], "a string, b string")
+    want = flat(graph.connected_components(frame(links)))
+    assert flat(graph.connected_components(words, few=1000)) == [("a", "a"), ("b", "a"), ("c", "a")]
+    star, rounds = graph._star, []
+    monkeypatch.setattr(graph, "_star", lambda *a: rounds.append(1) or star(*a))
+    assert flat(graph.connected_components(frame(links), few=1000)) == want == sorted(union_find([p for p in links if None not in p and p[0] != p[1]]).items())
+    labels = None
+    for i in range(0, len(links), 50):
+        labels = materialize(graph.apply_links(labels, frame(links[i : i + 50]), few=1000))
+    assert flat(labels) == want and graph.connected_components(frame([]), few=1000).collect() == [] and not rounds
+    assert flat(graph.connected_components(frame(links), few=20)) == want and rounds
