@@ -189,9 +189,10 @@ def spawned_works(spark, sf_dir):
 
 @BOOK.add("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'stored' ELSE 'fresh' END AS origin FROM part UNION ALL SELECT s_suppkey + 100000, 'fresh' FROM supplier")
 def union_first(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey")
-    fresh = p.union(table(spark, sf_dir, "supplier").select(F.col("s_suppkey") + 100000)).withColumn("origin", F.lit("fresh"))
-    return joins.union_first([p.where("p_partkey % 2 = 0").withColumn("origin", F.lit("stored")), fresh], ["p_partkey"])
+    """Parts and suppliers as one list; a supplier whose number is also a part's is another key."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.lit("part").alias("kind"))
+    fresh = p.union(table(spark, sf_dir, "supplier").select(F.col("s_suppkey") + 100000, F.lit("supplier"))).withColumn("origin", F.lit("fresh"))
+    return joins.union_first([p.where("p_partkey % 2 = 0").withColumn("origin", F.lit("stored")), fresh], ["kind", "p_partkey"]).select("p_partkey", "origin")
 
 
 @BOOK.add("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")

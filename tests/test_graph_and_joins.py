@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from ledgerfold import session
 from ledgerfold.operators import graph, joins, ordering, skew
 from ledgerfold.session import materialize
@@ -155,3 +157,12 @@ def test_few_links_are_settled_without_rounds(spark, monkeypatch):
         labels = materialize(graph.apply_links(labels, frame(links[i : i + 50]), few=1000))
     assert flat(labels) == want and graph.connected_components(frame([]), few=1000).collect() == [] and not rounds
     assert flat(graph.connected_components(frame(links), few=20)) == want and rounds
+
+
+def test_parts_and_suppliers_of_one_number_both_stay(spark, tmp_path):
+    from ledgerfold.plans import table_queries
+
+    spark.range(100_000, 100_004).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(1, 3).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = sorted(map(tuple, table_queries.union_first(spark, str(tmp_path)).collect()))
+    assert got == [(100_000, "stored"), (100_001, "fresh"), (100_001, "fresh"), (100_002, "fresh"), (100_002, "stored"), (100_003, "fresh")]
