@@ -1,5 +1,7 @@
 """Embeddings and explanations against plain sums over each text's features."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -54,3 +56,13 @@ def test_fields_share_the_signal(spark):
     for r in whole:
         assert abs(sum(v for (i, _), v in got.items() if i == r["id"]) - r["s"]) < 1e-9
     assert got["d", "title"] > got["d", "body"] > 0 and ("d", "note") not in got
+
+
+def exchanges(df):
+    """The lines of a plan where rows are shuffled."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange " in line]
+
+
+def test_vectors_shuffle_texts_and_no_features(spark):
+    df = spark.createDataFrame([(t,) for t in TEXTS], "text string")
+    assert all(re.search(r"hashpartitioning\(_k1#\d+L, _k2#\d+L, \d+\)", line) for line in exchanges(S.embed(df)))
