@@ -66,3 +66,32 @@ def exchanges(df):
 def test_vectors_shuffle_texts_and_no_features(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS], "text string")
     assert all(re.search(r"hashpartitioning\(_k1#\d+L, _k2#\d+L, \d+\)", line) for line in exchanges(S.embed(df)))
+
+
+@pytest.mark.parametrize("explained", [S.explain_similarity, S.explain_fields])
+def test_explanations_shuffle_texts_and_no_features(spark, explained):
+    docs = spark.createDataFrame([("d", "title", t) for t in TEXTS], "id string, field string, text string")
+    assert all("hashpartitioning(id#" in line for line in exchanges(explained("failing build", docs)))
+    assert len([line for line in exchanges(explained("failing build", docs)) if "text" in line or "REPARTITION_BY_COL" in line]) == 1
+
+
+def test_explanations_of_many_rows_sum_up(spark):
+    """Queries with more features than a lane has slots, fields without the query's words, several texts of an id and field."""
+    rows = [(i % 5, f"f{i % 3}", f"{t} {'errors in workspace' if i % 2 else 'nothing'} {i}") for i, t in enumerate(TEXTS * 3)]
+    docs = spark.createDataFrame(rows, "id long, field string, text string")
+    query = "resolve the failing builds of conversation errors"
+    whole = {r["id"]: r["s"] for r in S.explain_similarity(query, docs).groupBy("id").agg(F.sum("signal").alias("s")).collect()}
+    got = {}
+    for r in S.explain_fields(query, docs).collect():
+        got[r["id"]] = got.get(r["id"], 0.0) + r["signal"]
+    assert set(got) == set(whole) and all(abs(got[i] - whole[i]) < 1e-12 for i in got)
+    wanted, length = S.text_features(query), np.linalg.norm([sum(S.bucket_of(f)[1] * w for f, w in S.text_features(query).items() if S.bucket_of(f)[0] == b) for b in range(S.DIMS)])
+    for i in range(5):
+        own: dict = {}
+        for _, _, t in (r for r in rows if r[0] == i):
+            for f, w in S.text_features(t).items():
+                own[f] = own.get(f, 0.0) + w
+        v = np.zeros(S.DIMS)
+        for f, w in own.items():
+            v[S.bucket_of(f)[0]] += S.bucket_of(f)[1] * w
+        assert abs(whole[str(i)] - sum(w * own.get(f, 0.0) for f, w in wanted.items()) / length / np.linalg.norm(v)) < 1e-9
