@@ -95,3 +95,15 @@ def test_explanations_of_many_rows_sum_up(spark):
         for f, w in own.items():
             v[S.bucket_of(f)[0]] += S.bucket_of(f)[1] * w
         assert abs(whole[str(i)] - sum(w * own.get(f, 0.0) for f, w in wanted.items()) / length / np.linalg.norm(v)) < 1e-9
+
+
+def test_features_are_counted_where_their_texts_lie(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)] + [(0, "failing again")], "id long, text string")
+    found = S.features(docs, ["id"])
+    assert [line for line in exchanges(found) if "feature" in line] == []
+    got = {(r["id"], r["feature"]): r["weight"] for r in found.collect()}
+    want: dict = {}
+    for i, t in [*enumerate(TEXTS), (0, "failing again")]:
+        for f, w in S.text_features(t).items():
+            want[i, f] = want.get((i, f), 0.0) + w
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
