@@ -107,7 +107,8 @@ def _lanes(df: DataFrame, keys: Sequence[str], asked: Sequence[str] = (), per_as
     slot = F.pmod(h, F.lit(DIMS)).cast("int")
     if asked:
         numbers = F.create_map(*[F.lit(x) for i, f in enumerate(asked) for x in (f, DIMS + i)])
-        slot = F.when(F.col("feature").isin(list(asked)), F.element_at(numbers, F.col("feature"))).otherwise(slot)
+        near = slot.isin(sorted({bucket_of(f)[0] for f in asked}))  # whole numbers are compared first, texts for few features
+        slot = F.when(near & F.col("feature").isin(list(asked)), F.element_at(numbers, F.col("feature"))).otherwise(slot)
     signed = _percent(F.col("feature")) * F.when(h >= 0, 1).otherwise(-1)
     each = listed_features(df, [*keys, *per_asked], text).select(*keys, *per_asked, slot.alias("slot"), signed.alias("value"))
     own = [F.when(F.col("slot") >= DIMS, F.col(c)).alias(c) for c in per_asked]
